@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import exact_dedup, sharding
+from lodeworks.llm import exact_dedup, quality_model, quality_rules, sharding
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1,
     "op2_exact_dedup": exact_dedup.op2,
     "op7_sharding": sharding.op7,
+    "op10_quality_model": quality_model.op10,
 }
 
 ORACLES = {
