@@ -35,7 +35,7 @@ def ranked(df: DataFrame, within: list[str], part: Column, order: list[str], nam
     return own.join(before, same).select(*[own[c] for c in df.columns if c != "_part"], (F.col("_before") + own["_row"]).alias(name))
 
 
-def interleave(docs: DataFrame, shards: int = 16, seed: int = 20, id_col: str = "doc_id", source_col: str = "source", carry: dict[str, Column] | None = None, per_part: int = 200_000) -> DataFrame:
+def interleave(docs: DataFrame, shards: int = 16, seed: int = 20, id_col: str = "doc_id", source_col: str = "source", carry: dict[str, Column] | None = None, per_part: int = 50_000) -> DataFrame:
     """docs' rows as (doc_id, source, the columns of carry, shard, slot, fraction). per_part: rows that one range holds on average."""
     more = carry or {}
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
@@ -44,7 +44,7 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 20, id_col: str =
         sizes = rows.groupBy("source").agg(F.count("*").alias("_of"))
         sizes = checkpoint(sizes)
         total = sizes.agg(F.coalesce(F.sum("_of"), F.lit(0))).first()[0]
-        ranges = spread(total, per_part)
+        ranges = spread(total, per_part, 64)
         prefix = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
         own = ranked(rows, ["source"], F.floor(prefix * ranges / _SPAN), ["_key", "doc_id"], "_rank")
         big = sizes.withColumnRenamed("source", "_source")
