@@ -75,6 +75,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each set of equal texts, that with the largest id, with all columns. Ids must be unique."""
+    away = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col))
+    return docs.join(away, id_col, "left_anti")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every document: of equal texts, that with the largest doc_id stays."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import exact_dedup, near_dedup, quality_model, quality_rules, sharding
+from lodeworks.llm import exact_dedup, near_dedup, packing, quality_model, quality_rules, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
     "op2_exact_dedup": exact_dedup.op2,
     "op4_near_dedup": near_dedup.op4,
+    "op5_packing": packing.op5,
     "op7_sharding": sharding.op7,
     "op10_quality_model": quality_model.op10,
 }
