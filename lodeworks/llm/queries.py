@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import exact_dedup, near_dedup, packing, quality_model, quality_rules, sharding
+from lodeworks.llm import exact_dedup, near_dedup, packing, quality_model, quality_rules, sharding, warc_store
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
     "op2_exact_dedup": exact_dedup.op2,
+    "op3_warc_store": warc_store.op3,
     "op4_near_dedup": near_dedup.op4,
     "op5_packing": packing.op5,
     "op7_sharding": sharding.op7,
@@ -15,4 +16,5 @@ QUERIES = {
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op3_warc_store": warc_store.OP3_SQL,
 }
