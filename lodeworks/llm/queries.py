@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import exact_dedup, near_dedup, packing, quality_model, quality_rules, sharding, warc_store
+from lodeworks.llm import exact_dedup, html_text, near_dedup, packing, quality_model, quality_rules, sharding, warc_store
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc_store": warc_store.op3,
     "op4_near_dedup": near_dedup.op4,
     "op5_packing": packing.op5,
+    "op6_html_text": html_text.op6,
     "op7_sharding": sharding.op7,
     "op10_quality_model": quality_model.op10,
 }
