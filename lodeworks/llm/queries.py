@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import exact_dedup, html_text, licenses, near_dedup, packing, quality_model, quality_rules, sharding, warc_store
+from lodeworks.llm import exact_dedup, html_text, licenses, near_dedup, packing, pieces, quality_model, quality_rules, sharding, warc_store
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_html_text": html_text.op6,
     "op7_sharding": sharding.op7,
     "op8_licenses": licenses.op8,
+    "op9_pieces": pieces.op9,
     "op10_quality_model": quality_model.op10,
 }
 
