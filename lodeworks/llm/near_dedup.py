@@ -8,9 +8,10 @@
    probability 5e-8.
 3. In each bucket the class that meets most others is the centre, and every class of the bucket is linked with it
    only: one candidate at most a class and bucket, whatever the bucket's size. Candidates are confirmed on full sets.
-4. What stars can't see is swept up exactly: in buckets that still hold several components, the classes outside the
-   bucket's largest component are compared by signature with all of the bucket, tile by tile, and pairs of different
-   components that may reach the threshold (5 standard deviations of the estimate are allowed) are confirmed as well.
+4. What stars can't see is swept up: in buckets that still hold several components, the classes outside the bucket's
+   largest component are compared with all of the bucket, tile by tile, by sketches of up to SKETCH hashes. Sets that
+   fit a sketch are compared exactly, larger ones within 5 standard deviations. A tile proposes one pair for two
+   components that are surely linked, and all pairs that aren't sure; these are confirmed on full sets as well.
 5. Components by alternating large-star and small-star steps on the confirmed links.
 
 Set sizes, links and components are exact but for the probabilities named.
@@ -35,8 +36,12 @@ _SHIFT = np.uint64(64 - 8)
 #: For each bin, the order in which it asks the others for a value.
 _ASK = np.array([np.random.default_rng(1000 + b).permutation(BINS) for b in range(BINS)]).astype(np.int16)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Hashes in a sketch.
+SKETCH = 512
 #: Rows on one side of a tile.
 TILE = 1024
+#: Ids of texts to compare that are sent to every task at most; more are joined by a shuffle.
+MOST_SENT = 1_000_000
 
 
 class _Hashes(dict):
@@ -88,7 +93,7 @@ def band_keys(value: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SIGNED = "doc_id bigint, n_shingles bigint, set_hash bigint, keys array<bigint>, sig binary, shingles binary"
+_SIGNED = "doc_id bigint, n_shingles bigint, set_hash bigint, keys array<bigint>"
 
 
 def _signed(size: int):
@@ -97,22 +102,31 @@ def _signed(size: int):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for lo in range(0, batch.num_rows, 512):
-                n, whole, keys, sigs, sets = [], [], [], [], []
+                n, whole, keys = [], [], []
                 for text in texts.slice(lo, 512).to_pylist():
                     s = shingle_set(text, size, hashes)
                     n.append(len(s))
-                    sets.append(s.tobytes())
-                    if len(s):
-                        v = signature(s)
-                        whole.append(xxhash.xxh64_intdigest(sets[-1]) - (1 << 63))
-                        keys.append(band_keys(v))
-                        sigs.append(_stir(v).astype(np.uint8).tobytes())
-                    else:
-                        whole.append(None)
-                        keys.append(None)
-                        sigs.append(None)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, 512), pa.array(n, pa.int64()), pa.array(whole, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())],
-                                                 names=["doc_id", "n_shingles", "set_hash", "keys", "sig", "shingles"])
+                    whole.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
+                    keys.append(band_keys(signature(s)) if len(s) else None)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, 512), pa.array(n, pa.int64()), pa.array(whole, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_hash", "keys"])
+    return run
+
+
+def sketch(sets: np.ndarray) -> np.ndarray:
+    """The SKETCH smallest of a set's hashes, 32 bits of each, in order: the whole set if it isn't larger."""
+    own = np.unique((_stir(sets) >> np.uint64(32)).astype(np.uint32))
+    return own[:SKETCH]
+
+
+def _shingled(size: int, short: bool = False):
+    """Documents to their full sets, or to sketches."""
+    def run(batches):
+        hashes = _Hashes()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                sets = [shingle_set(text, size, hashes) for text in batch.column(1).slice(lo, 512).to_pylist()]
+                sets = [(sketch(x) if short else x).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), pa.array(sets, pa.binary())], names=["rep", "shingles"])
     return run
 
 
@@ -132,13 +146,21 @@ def _overlap(batches):
         yield pa.RecordBatch.from_arrays([a, b, pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _sets(texts: DataFrame, named: DataFrame, size: int, short: bool = False) -> DataFrame:
+    """rep and the full set, or the sketch, of the texts whose ids are in named (rep, distinct); only these are shingled again."""
+    named = checkpoint(named.withColumnRenamed("rep", "doc_id"))
+    own = texts.join(F.broadcast(named) if named.count() <= MOST_SENT else named, "doc_id", "left_semi")
+    return own.mapInArrow(_shingled(size, short), "rep bigint, shingles binary").dropDuplicates(["rep"])
+
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("y"))
-    fit = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    both = fit.join(left.select("a", "x"), "a").join(right.select("b", "y"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_overlap, "a bigint, b bigint, both bigint, either bigint").filter(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
+    sizes = reps.select("rep", "n_shingles")
+    fit = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb")), "b")
+    fit = checkpoint(fit.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
+    sets = scratch.keep(_sets(texts, fit.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), size), f"{name}_sets")
+    both = fit.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    return scratch.keep(both.mapInArrow(_overlap, "a bigint, b bigint, both bigint, either bigint").filter(100 * F.col("both") >= percent * F.col("either")).select("a", "b"), name)
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -171,57 +193,86 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return checkpoint(roots.select(F.col("u").alias("node"), "root").union(roots.select("root", "root").distinct()))
 
 
-_TILE_ROWS = "p_side boolean, rep bigint, comp bigint, n bigint, band int, keys array<bigint>, sig binary"
+class Sketches:
+    """Sketches side by side, to compare one with all."""
+
+    def __init__(self, sketches: list[np.ndarray], n: np.ndarray):
+        flat = np.concatenate(sketches)
+        self.values, self.number = np.unique(flat, return_inverse=True)
+        self.starts = np.concatenate(([0], np.cumsum([len(x) for x in sketches])))
+        whole = n <= SKETCH
+        # Up to its last value a sketch has all of its set; up to any value if it is the whole set.
+        self.upto = np.where(whole, np.uint32(0xFFFFFFFF), flat[self.starts[1:] - 1])
+        self.whole = whole
+
+    def compare(self, i: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """For all sketches whether their similarity with that of i may reach share, and whether it surely does (by 5 standard deviations, or exactly for whole sets)."""
+        own = self.number[self.starts[i] : self.starts[i + 1]]
+        member = np.zeros(len(self.values), bool)
+        member[own] = True
+        low = self.number <= np.searchsorted(self.values, self.upto[i], "right") - 1
+        both = np.add.reduceat(member[self.number] & low, self.starts[:-1])
+        either = np.add.reduceat(low, self.starts[:-1]) + np.searchsorted(self.values[own], np.minimum(self.upto, self.upto[i]), "right") - both
+        slack = np.where(self.whole & self.whole[i], 0.0, 5 * np.sqrt(share * (1 - share) / either)) * either
+        return both >= share * either - slack - 1e-9, both >= share * either + slack - 1e-9
 
 
 def _tile(percent: int):
     share = percent / 100
-    # 8 bits of each bin are kept, so that unequal bins agree by chance once in 256.
-    least = share + (1 - share) / 256 - 5 * float(np.sqrt(share * (1 - share) / BINS))
 
     def run(key, table):
         side = np.asarray(table.column("p_side").combine_chunks().to_numpy(zero_copy_only=False))
-        rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "comp", "n"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, BINS)
+        rep, comp, n, band = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "band"))
+        sets = Sketches([np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()], n)
         keys = np.array(table.column("keys").to_pylist(), np.int64)
-        band = table.column("band").to_numpy()
-        t = np.flatnonzero(~side)
+        group = np.unique(comp, return_inverse=True)[1]
         a, b = [], []
         for p in np.flatnonzero(side):
-            fit = t[(comp[t] != comp[p]) & (np.minimum(n[t], n[p]) >= share * np.maximum(n[t], n[p]))]
-            fit = fit[(sig[fit] == sig[p]).mean(1) >= least]
-            if len(fit):
-                # In this bucket only if no earlier band has the pair.
-                fit = fit[(keys[fit] == keys[p]).argmax(1) == band[p]]
-                a += np.maximum(rep[fit], rep[p]).tolist()
-                b += np.minimum(rep[fit], rep[p]).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            other = (group != group[p]) & ~side & (np.minimum(n, n[p]) >= share * np.maximum(n, n[p]))
+            # In this bucket only if no earlier band has the pair.
+            other[other] = (keys[other] == keys[p]).argmax(1) == band[p]
+            if not other.any():
+                continue
+            may, sure = sets.compare(p, share)
+            # One sure link joins two groups; pairs that aren't sure are all proposed, but for those in one group by then.
+            for t in np.flatnonzero(other & sure):
+                if group[t] != group[p]:
+                    a.append(rep[t])
+                    b.append(rep[p])
+                    group[group == group[t]] = group[p]
+            for t in np.flatnonzero(other & may & ~sure & (group != group[p])):
+                a.append(rep[t])
+                b.append(rep[p])
+        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
     return run
 
 
-def _left_over(buckets: DataFrame, reps: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and whose signatures may reach the threshold."""
+def _left_over(buckets: DataFrame, reps: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and whose sketches may reach the threshold."""
     named = buckets.join(roots, buckets["rep"] == roots["node"], "left").select("bucket", "band", "rep", F.coalesce("root", "rep").alias("comp"))
     sizes = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     mixed = checkpoint(sizes.groupBy("bucket").agg(F.max(F.struct("n", -F.col("comp"))).alias("top"), F.sum("n").alias("rows"), F.count("*").alias("comps")).filter("comps > 1").select("bucket", "rows", (-F.col("top.col2")).alias("main"), (F.col("rows") - F.col("top.n")).alias("probes")))
-    inside = named.join(mixed, "bucket").withColumns({"probe": F.col("comp") != F.col("main"), "h": F.abs(F.xxhash64("rep"))})
+    inside = scratch.keep(named.join(mixed, "bucket").withColumns({"probe": F.col("comp") != F.col("main"), "h": F.abs(F.xxhash64("rep"))}), "mixed")
     # Probes and targets of a bucket are dealt into tiles of about TILE by TILE.
     cut = inside.withColumns({"np": F.ceil(F.col("probes") / TILE).cast("int"), "nt": F.ceil(F.col("rows") / TILE).cast("int")})
     probes = cut.filter("probe").select("bucket", "band", "rep", "comp", F.lit(True).alias("p_side"), (F.col("h") % F.col("np")).cast("int").alias("pt"), F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("tt"))
     targets = cut.select("bucket", "band", "rep", "comp", F.lit(False).alias("p_side"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("pt"), (F.col("h") % F.col("nt")).cast("int").alias("tt"))
-    dealt = probes.unionByName(targets).join(reps.select("rep", F.col("n_shingles").alias("n"), "keys", "sig"), "rep")
+    own = inside.select("rep").distinct()
+    sketches = reps.select("rep", F.col("n_shingles").alias("n"), "keys").join(scratch.keep(_sets(texts, own, size, short=True), "sketches"), "rep")
+    dealt = probes.unionByName(targets).join(scratch.keep(sketches, "tile_rows"), "rep")
     return dealt.groupBy("bucket", "pt", "tt").applyInArrow(_tile(percent), "a bigint, b bigint").distinct()
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's n_shingles and component_id, linking texts that share percent of the union of their shingles of size words."""
     with Scratch(docs.sparkSession) as scratch:
-        signed = scratch.keep(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_signed(size), _SIGNED), "signed")
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        signed = scratch.keep(texts.mapInArrow(_signed(size), _SIGNED), "signed")
         full = signed.filter("n_shingles > 0")
         # Sets with one hash and one size are taken as equal.
-        classes = full.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"))
-        classes = scratch.keep(classes, "classes")
-        reps = scratch.keep(full.select("doc_id", "keys", "sig").join(classes.select(F.col("rep").alias("doc_id"), "n_shingles"), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "reps")
+        classes = scratch.keep(full.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+        own = full.select("doc_id", "keys").join(classes.select(F.col("rep").alias("doc_id"), "n_shingles"), "doc_id")
+        reps = scratch.keep(own.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "reps")
         rows = reps.select("rep", F.posexplode("keys").alias("band", "bucket"))
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
         buckets = scratch.keep(rows.join(sizes, "bucket"), "buckets")
@@ -229,12 +280,11 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         centres = buckets.join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", -F.col("rep"))).alias("top")).select("bucket", (-F.col("top.col2")).alias("centre"))
         centres = scratch.keep(centres, "centres")
         stars = buckets.join(centres, "bucket").filter("rep <> centre").select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
-        met = buckets.select("rep").distinct()
-        sets = scratch.keep(full.select(F.col("doc_id").alias("rep"), "n_shingles", "shingles").join(met, "rep").dropDuplicates(["rep"]), "sets")
-        links = scratch.keep(_confirmed(stars, sets, percent), "star_links")
+        links = _confirmed(stars, reps, texts, size, percent, scratch, "star_links")
         roots = components(links)
-        more = scratch.keep(_confirmed(_left_over(buckets, reps, roots, percent), sets, percent), "more_links")
-        roots = components(links.union(more))
+        more = _confirmed(_left_over(buckets, reps, roots, texts, size, percent, scratch), reps, texts, size, percent, scratch, "more_links")
+        if not more.isEmpty():
+            roots = components(links.union(more))
         named = classes.join(roots, classes["rep"] == roots["node"], "left").select("set_hash", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
         out = full.select("doc_id", "set_hash", "n_shingles").join(named, ["set_hash", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
         return checkpoint(out.union(signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
