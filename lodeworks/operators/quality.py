@@ -90,3 +90,18 @@ def violations(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
     """(rule, n, first key) of the rows that break each rule; a null check breaks it."""
     cells = F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(False)), n) for n, c in checks.items())))
     return df.select(key, F.explode(cells).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
+
+
+def acceptance(facts: DataFrame, key: list[str], criteria: dict[str, Column | None]) -> DataFrame:
+    """(key, criterion, status): passed or failed; blocked if the facts say nothing; manual_required for criteria without a test."""
+    verdict = lambda c: F.lit("manual_required") if c is None else F.when(c.isNull(), "blocked").when(c, "passed").otherwise("failed")
+    cells = F.array(*(F.struct(F.lit(n).alias("criterion"), verdict(c).alias("status")) for n, c in criteria.items()))
+    return facts.select(*key, F.explode(cells).alias("_c")).select(*key, "_c.criterion", "_c.status")
+
+
+def policy_verdict(facts: DataFrame, key: list[str], rules: dict[str, Column], blocking: set[str]) -> DataFrame:
+    """Each key's violations, those of blocking rules, and verdict."""
+    rows = rule_rows(facts, key, rules)
+    bad, hard = ~F.col("passed"), F.col("rule").isin(*blocking)
+    out = rows.groupBy(*key).agg(F.count_if(bad).alias("violations"), F.count_if(bad & hard).alias("blocked"))
+    return out.withColumn("verdict", F.when(F.col("blocked") > 0, "blocked").when(F.col("violations") > 0, "failed").otherwise("passed"))
