@@ -22,8 +22,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.runs, self.pieces = Tokenizer.from_file(path), most, {}, {}
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        #: Texts of the added tokens, which are found before anything is split.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
@@ -33,8 +34,9 @@ class Encoder:
         return got
 
     def _run(self, run: str) -> bytes:
-        if _PLAIN.fullmatch(run) and "\x7f" not in run:
-            return b"".join(map(self._piece, _PIECES.findall(run.lower())))
+        low = run.lower()
+        if _PLAIN.fullmatch(run) and "\x7f" not in run and not any(a in low for a in self.added):
+            return b"".join(map(self._piece, _PIECES.findall(low)))
         return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
 
     def many(self, texts: list[str | None]) -> list[bytes]:
