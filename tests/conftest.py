@@ -11,8 +11,8 @@ def spark(tmp_path_factory):
     from lodeworks.session import session
 
     top = tmp_path_factory.mktemp("spark")
-    conf = {"spark.sql.warehouse.dir": f"file://{top}/warehouse", "spark.checkpoint.dir": f"file://{top}/shared", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", "spark.default.parallelism": "8"}
-    s = session("local[8]", 8, **conf)
+    conf = {"spark.sql.warehouse.dir": f"file://{top}/warehouse", "spark.checkpoint.dir": f"file://{top}/shared", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", "spark.default.parallelism": "4"}
+    s = session("local[8]", 4, **conf)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
