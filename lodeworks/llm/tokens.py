@@ -15,13 +15,25 @@ _PLAIN = re.compile("[\x21-ɏ]+")
 _SHIFTED = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
+def opened(path: str):
+    """The tokenizer of a file, read once in each process.
+
+    Functions are shipped by value, so their globals are new in each task, and each reading would leave memory behind;
+    the module of tokenizers itself stays.
+    """
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_opened", {})
+    if path not in kept:
+        kept[path] = tokenizers.Tokenizer.from_file(path)
+    return kept[path]
+
+
 class Encoder:
     """The ids of texts as little-endian 32-bit numbers. Runs between white space and their pieces are remembered, up to a bound."""
 
     def __init__(self, path: str, most: int = 600_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most, self.runs, self.pieces = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer, self.most, self.runs, self.pieces = opened(path), most, {}, {}
         self.model = self.tokenizer.model
         #: Texts of the added tokens, which are found before anything is split.
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
