@@ -53,7 +53,7 @@ def _uniform(key: np.ndarray, *more) -> np.ndarray:
 class Lattices:
     """Word lattices of a model, with each edge's probability among those of its node."""
 
-    def __init__(self, path: str, alpha: float = 1.0, most: int = 300_000):
+    def __init__(self, path: str, alpha: float = 1.0, most: int = 100_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
