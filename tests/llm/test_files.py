@@ -148,6 +148,20 @@ def test_marked_pages():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x") == ""
 
 
+@pytest.mark.parametrize("wrap", ["<div class='has-sidebar'>", "<div id='search-page'>", "<form id=aspnetForm>", "<div class='notice'>", "<div id=sidebar><div class=menu>"])
+def test_wrappers_of_the_article_do_not_drop_it(wrap):
+    rest = "<nav>menu</nav><div class='share-buttons'>share this</div><section id=comments><article class=comment>me too</article></section>"
+    page = f"<body>{wrap}{{}}</div></form></body>"
+    assert html_text.main_text(page.format(f"{rest}<article><p>the text of it all<form>mail</form></article>")) == "the text of it all"
+    assert html_text.main_text(page.format(f"{rest}<main><p>the text of it all</main>")) == "the text of it all"
+
+
+def test_small_marked_elements_still_go():
+    assert html_text.main_text("<article>own text</article><div class=related><article>other</article></div>") == "own text"
+    assert html_text.main_text("<div>a text of several words here</div><div id=comments><article>me too</article></div><div class=cookie-notice>yes</div><form>go</form>") == "a text of several words here"
+    assert html_text.main_text("<form><div>a text of several words here</div><div class=site-footer>foot</div></form>") == "a text of several words here"
+
+
 def test_suffix_arrays_group_equal_runs():
     tokens = np.array([1, 2, 3, 9, 1, 2, 3, 8, 2, 3, 9])
     order, rank = html_text.suffix_array(tokens, 2)
