@@ -181,6 +181,23 @@ def test_repeats_decide_unmarked_pages(spark, monkeypatch, group):
     assert found[100] == "all rights reserved by the company of this site" and found[101] == ""
 
 
+@pytest.mark.parametrize("group", [300, 4])
+def test_copies_keep_their_text(spark, monkeypatch, group):
+    monkeypatch.setattr(html_text, "GROUP", group)
+    boiler = "<div>all rights reserved by the company of this site</div>"
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(120))
+    # Twelve distinct pages, one of them eight times, once with another word; pages without a host; two pages with a heading.
+    rows = [(i, f"http://one.example/{i}", f"<div>{text(i)}</div>{boiler}") for i in range(12)]
+    rows += [(20 + i, f"http://one.example/0?from={i}", f"<div>{text(0)}{' more' if i == 3 else ''}</div>{boiler}") for i in range(7)]
+    rows += [(40 + i, None, f"<div>{text(99)}</div>") for i in range(4)]
+    rows += [(50 + i, f"http://two.example/{i}", f"<div>how we make our bread</div><div>{text(70 + i)}</div>") for i in range(2)]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(found[i] == text(i) for i in range(12))
+    assert all(found[20 + i] == text(0) + (" more" if i == 3 else "") for i in range(7))
+    assert all(found[40 + i] == text(99) for i in range(4))
+    assert all(found[50 + i] == f"how we make our bread\n{text(70 + i)}" for i in range(2))
+
+
 # ---- licenses
 
 
