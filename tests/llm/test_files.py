@@ -198,6 +198,14 @@ def test_copies_keep_their_text(spark, monkeypatch, group):
     assert all(found[50 + i] == f"how we make our bread\n{text(70 + i)}" for i in range(2))
 
 
+def test_repeats_are_cut_from_marked_articles(spark):
+    note = "share this story with all of your friends today"
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    rows = [(i, f"http://one.example/{i}", f"<main><p>{text(i)} {note if i % 2 else ''}</p><p>{note}</p></main>") for i in range(8)]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {i: text(i) for i in range(8)}
+
+
 # ---- licenses
 
 
