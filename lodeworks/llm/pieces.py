@@ -202,9 +202,10 @@ def sample(lattices: Lattices, texts: list[str | None], keys: list[int], k: int
     return done
 
 
-def _sampled(path: str, k: int, alpha: float, seed: int):
+def _sampled(path: str, k: int, alpha: float, seed: int, carry: list[str]):
     def run(batches):
         lattices = Lattices(path, alpha)
+        model = lattices.model
         for batch in batches:
             keys, texts = batch.column("key").to_pylist(), batch.column("text").to_pylist()
             lo = 0
@@ -214,20 +215,29 @@ def _sampled(path: str, k: int, alpha: float, seed: int):
                     chars += len(texts[hi] or "")
                     hi += 1
                 made = sample(lattices, texts[lo:hi], [xxhash.xxh64_intdigest(str(x), seed) for x in keys[lo:hi]], k)
-                flat = [(x, n, *s) for x, own in zip(keys[lo:hi], made, strict=True) for n, s in enumerate(own)]
-                kinds = [pa.string(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], t) for i, t in enumerate(kinds)], names=["key", "sample", "ids", "log_prob", "perturbed", "inclusion"])
+                flat = []
+                for i, own in enumerate(made, lo):
+                    best = model.encode(texts[i] or "")
+                    want = model.decode(best)
+                    flat += [(keys[i], n, *s, len(best), model.decode(s[0]) == want, i) for n, s in enumerate(own)]
+                kinds = [pa.string(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()]
+                at = pa.array([f[-1] for f in flat], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], t) for i, t in enumerate(kinds)] + [batch.column(c).take(at) for c in carry], names=["key", "sample", "ids", "log_prob", "perturbed", "inclusion", "n_best", "round_trip", *carry])
                 lo = hi
     return run
 
 
-def sample_pieces(rows: DataFrame, model: str, key: Column, text: Column, k: int = SAMPLES, alpha: float = 1.0, seed: int = 9) -> DataFrame:
+def sample_pieces(rows: DataFrame, model: str, key: Column, text: Column, k: int = SAMPLES, alpha: float = 1.0, seed: int = 9, carry: tuple[str, ...] = ()) -> DataFrame:
     """key (as a string), sample, ids, log_prob, perturbed and inclusion of up to k segmentations of each row's text.
 
+    Also n_best, the number of pieces of the model's own best segmentation, round_trip, whether the sample decodes to the
+    same text as that, and the columns carry of rows, as they are.
+
     model: a SentencePiece model file, the same on all executors.
     """
-    own = rows.select(F.coalesce(key.cast("string"), F.lit("")).alias("key"), text.cast("string").alias("text"))
-    return own.mapInArrow(_sampled(model, k, alpha, seed), "key string, sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
+    own = rows.select(F.coalesce(key.cast("string"), F.lit("")).alias("key"), text.cast("string").alias("text"), *carry)
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return own.mapInArrow(_sampled(model, k, alpha, seed, list(carry)), "key string, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, n_best int, round_trip boolean" + kinds)
 
 
 def encode(rows: DataFrame, model: str, key: Column, text: Column) -> DataFrame:
@@ -256,11 +266,10 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "t
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two distinct segmentations of every conversation turn, with a digest of their ids."""
+    """Two distinct segmentations of every document, with a digest of their ids and a check of the round trip."""
     import public_tokenizers
 
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    made = sample_pieces(turns, public_tokenizers.path("piece_bpe_32k.model"), F.concat_ws(":", "conv_id", "turn"), F.col("text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made = sample_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), F.col("doc_id"), F.col("text"), carry=("doc_id",))
     digest = F.crc32(F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))).cast("binary"))
-    part = F.split("key", ":")
-    return made.select(part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("turn"), "sample", F.size("ids").alias("n_pieces"), "log_prob", "perturbed", "inclusion", digest.alias("ids_crc32"))
+    return made.select("doc_id", "sample", F.size("ids").alias("n_pieces"), "n_best", "log_prob", "perturbed", "inclusion", digest.alias("ids_crc32"), "round_trip")

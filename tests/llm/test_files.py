@@ -286,6 +286,15 @@ def test_few_paths_and_round_trip(spark):
     assert best["0"] == lattices.model.encode("Hello world")
 
 
+def test_all_documents_are_sampled_and_decoded(spark, tmp_path):
+    texts = ["Hello world", None, "", "tabs\tand  spaces 😀", "a long text " * 3000, "no id"]
+    rows = [(i if t != "no id" else None, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = pieces.op9(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == {r[0] for r in rows} and all(r.round_trip for r in out)
+    assert all(sum(r.doc_id == i for r in out) == (2 if t else 1) for i, t in rows)
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     from pyspark.sql import functions as F
 
