@@ -3,8 +3,10 @@
 Templates are a small fixed table (its size is checked), indexed once: word shingles are hashed, and of every few
 neighbouring ones the smallest is kept, in templates and texts alike, so that any common run of SHINGLE + SPAN - 1 words
 shares a fingerprint. Each hit proposes a template and a diagonal; hits whose places in the text are close make one
-candidate. A local alignment within BAND words of the diagonals then gives the words matched, their share of the
-template and the place in the text.
+segment, and segments of a template that follow each other in it and in the text make one candidate, whatever stands
+between them. Local alignments within BAND words of the segments' diagonals then give the words matched, their share of
+the template and the place in the text. A place must have the words that tell a license from its neighbours (version,
+NC, SA, Lesser); of templates that match the same words the best covered stays.
 
 Each text is scanned alone, whole, with memory in proportion to it: no shuffle.
 
@@ -16,6 +18,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +41,47 @@ TEMPLATES = {
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "BSD-first-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "All-rights-reserved": "All rights reserved.",
 }
+#: Names of licenses as they stand in lines, with what leads to them or not.
+_NAMES = {
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2"), "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1"), "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3"), "Apache-2.0": ("Apache License, Version 2.0",), "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License v2.0"),
+    **{f"CC-{k.upper()}-4.0": (f"CC {k.upper()} 4.0", f"Creative Commons {v} 4.0 International License") for k, v in {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}.items()},
+    "CC0-1.0": ("CC0 1.0 Universal",),
+}
+for _k, _v in _NAMES.items():
+    for _i, _x in enumerate(_v):
+        TEMPLATES |= {f"{_k}-name{_i or ''}": _x, f"{_k}-licensed{_i or ''}": f"Licensed under the {_x}"}
+for _k, _v in {"MIT": "MIT", "ISC": "ISC", "BSD-2-Clause": "BSD 2-Clause", "BSD-3-Clause": "BSD 3-Clause"}.items():
+    TEMPLATES[f"{_k}-licensed"] = f"Licensed under the {_v} License."
+#: Whole texts, from the first word that isn't the copyright holder's.
+TEMPLATES |= {x.stem: x.read_text("utf-8") for x in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+for _k, _v in {"MIT-full": "Permission is hereby", "ISC": "Permission to use", "BSD-2-Clause": "Redistribution and", "BSD-3-Clause": "Redistribution and"}.items():
+    TEMPLATES[_k] = TEMPLATES[_k][TEMPLATES[_k].index(_v) :]
+
+# Words, in lower case with one space between, that a place must have, or must not have, to be of a license.
+_NC, _SA, _ND = "(?:noncommercial|nc)", "(?:sharealike|sa)", "(?:noderivatives|noderivs|nd)"
+_MUST = {"MIT-line": ("mit",), "MIT-licensed": ("mit",), "ISC-licensed": ("isc",), "Apache-2.0": ("apache", "version 2|license 2"), "BSD-2-Clause-licensed": ("bsd 2",), "BSD-3-Clause-licensed": ("bsd 3",), "BSD-3-Clause": ("neither the name|names? of .* endorse|bsd 3",), "MPL-2.0": ("mozilla public license|mpl", "2 0"), "CC0": ("cc0|creative commons",),
+         "GPL-2.0": ("general public license", "version 2(?! 1)|v2(?! 1)"), "GPL-3.0": ("general public license", "version 3|v3"), "LGPL-2.1": ("lesser", "version 2 1|v2 1"), "LGPL-3.0": ("lesser", "version 3|v3"), "AGPL-3.0": ("affero", "version 3|v3"),
+         "CC-BY": ("4 0",), "CC-BY-SA": (_SA,), "CC-BY-NC": (_NC,), "CC-BY-ND": (_ND,), "CC-BY-NC-SA": (_SA,), "CC-BY-NC-ND": (_ND,)}
+_SHORT = 100  # words; whole texts may name other licenses
+_NOT = {"GPL-": ("lesser", "affero", "library general"), "CC-BY-4": (_NC, _SA, _ND), "CC-BY-SA": (_NC, _ND), "CC-BY-NC-4": (_SA, _ND), "CC-BY-ND": (_NC, _SA), "CC-BY-NC-SA": (_ND,), "CC-BY-NC-ND": (_SA,)}
+_NOT_LONG = {"GPL-3.0": ("remote network interaction",), "CC-BY-SA": (_NC,)}
+
+
+def allowed(name: str, length: int, words: str) -> bool:
+    """Whether a place has the words that tell a license from its neighbours."""
+    has = lambda p: re.search(rf"\b(?:{p})\b", words)
+    no = _NOT if length < _SHORT else _NOT_LONG
+    return all(has(p) for k, own in _MUST.items() if name.startswith(k) for p in own) and not any(has(p) for k, own in no.items() if name.startswith(k) for p in own)
 
 
 class _Words(dict):
@@ -108,6 +150,7 @@ class Scanner:
             raise ValueError("the templates are too large for one task")
         found = [(int(f), t, int(p)) for t, h in enumerate(self.hashes) for f, p in zip(*fingerprints(h), strict=True)]
         found.sort()
+        self.prints = np.bincount([t for _, t, _ in found], minlength=len(self.names)).tolist()
         self.key = np.array([f for f, _, _ in found], np.uint64)
         self.template, self.place = np.array([t for _, t, _ in found]), np.array([p for _, _, p in found])
 
@@ -122,20 +165,64 @@ class Scanner:
         out = []
         if (hi > lo).any():
             hits = sorted((int(self.template[k]), int(p), int(p) - int(self.place[k])) for a, b, p in zip(lo, hi, at, strict=True) if b > a for k in range(a, b))
-            groups: list[list] = []
-            for t, p, d in hits:
-                if groups and groups[-1][0] == t and p - groups[-1][1] <= len(self.hashes[t]) and groups[-1][2] - BAND <= d <= groups[-1][3] + BAND:
-                    g = groups[-1]
-                    g[1], g[2], g[3] = p, min(g[2], d), max(g[3], d)
-                else:
-                    groups.append([t, p, d, d])
             spans = None
-            for t, _, low, high in groups:
-                n, first, end = align(self.hashes[t], h, low - BAND, high + BAND)
-                if n >= least * len(self.hashes[t]):
+            for t, chain in _chains(hits, self.hashes, self.prints):
+                own, n, pieces = self.hashes[t], 0, []
+                for i, (p, _, q, _, low, high, _) in enumerate(chain):
+                    (x, y), (u, v) = ((p, q) if i else (0, 0)), ((chain[i + 1][0], chain[i + 1][2]) if i + 1 < len(chain) else (len(h), len(own)))
+                    k, first, end = align(own[y:v], h[x:u], low - BAND - x + y, high + BAND - x + y)
+                    n += k
+                    if k:
+                        pieces.append((x + first, x + end))
+                if pieces and n >= least * len(own):
                     spans = spans or [m.span() for m in _WORD.finditer(text)]
-                    out.append((self.names[t], int(n), len(self.hashes[t]), n / len(self.hashes[t]), spans[first][0], spans[end - 1][1]))
-        return sorted(set(out), key=lambda x: (x[4], x[0]))
+                    start, stop = spans[pieces[0][0]][0], spans[pieces[-1][1] - 1][1]
+                    if allowed(self.names[t], len(own), " ".join(_WORD.findall(text[start:stop].lower()))):
+                        out.append((2 * int(n) - len(own), pieces, (self.names[t], int(n), len(own), n / len(own), start, stop)))
+        # Of matches over the same words the one with most words matched less those missing stays.
+        kept: list = []
+        for _, pieces, row in sorted(out, key=lambda x: (-x[0], -x[2][3], x[2][0], x[2][4])):
+            size = sum(e - f for f, e in pieces)
+            if not any(2 * sum(max(0, min(e, y) - max(f, x)) for f, e in pieces for x, y in other) > size for other, _ in kept):
+                kept.append((pieces, row))
+        return sorted({row for _, row in kept}, key=lambda x: (x[4], x[0]))
+
+
+def _chains(hits: list, hashes: list, prints: list[int]):
+    """(template, segments in order of text and template) of hits; a segment is (places, template places, diagonals, hits)."""
+    by: dict[int, list] = {}
+    for t, p, d in hits:
+        segments = by.setdefault(t, [])
+        for g in reversed(segments[-16:]):
+            if p - g[1] <= len(hashes[t]) and g[4] - BAND <= d <= g[5] + BAND and p - d >= g[3] - BAND:
+                g[1], g[3], g[4], g[5], g[6] = p, max(g[3], p - d), min(g[4], d), max(g[5], d), g[6] + 1
+                break
+        else:
+            segments.append([p, p, p - d, p - d, d, d, 1])
+    for t, segments in by.items():
+        size = len(hashes[t])
+        best, back = [], []
+        for i, g in enumerate(segments):
+            most, via = 0.0, -1
+            for j in range(i - 1, -1, -1):
+                o = segments[j]
+                if g[0] - o[0] > 2 * size:
+                    break
+                # A gap costs little, so that the nearer of two copies is followed.
+                if o[1] < g[0] <= o[1] + size and o[3] < g[2] and (w := best[j] - 1e-4 * abs(g[4] - o[5])) > most:
+                    most, via = w, j
+            best.append(most + g[6])
+            back.append(via)
+        used: set[int] = set()
+        for i in sorted(range(len(segments)), key=lambda i: -best[i]):
+            chain = []
+            while i >= 0 and i not in used:
+                used.add(i)
+                chain.append(segments[i])
+                i = back[i]
+            # Long templates share phrases with any prose.
+            if chain and (size <= 60 or 20 * sum(g[6] for g in chain) >= prints[t]):
+                yield t, chain[::-1]
 
 
 _FOUND = "doc_id bigint, license string, words_matched int, template_words int, coverage double, start int, end int"

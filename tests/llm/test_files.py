@@ -220,6 +220,25 @@ def test_license_scan(spark):
     assert [f[0] for f in found] == [1, 2, 6, 6] and not found[1][3]
 
 
+@pytest.mark.parametrize("text, want", [
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("under the GNU Lesser General Public License, version 3", "LGPL-3.0"), ("Released under the BSD License.", None),
+    ("(c) A. All rights reserved. ", "All-rights-reserved"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"), ("Licensed under the Apache License, Version 1.1.", None), ("the GNU Affero General Public License, version 3", "AGPL-3.0"),
+])
+def test_lines_are_told_apart(text, want):
+    found = [m[0] for m in licenses.Scanner(licenses.TEMPLATES).scan(f"first words {text} last words")]
+    assert len(found) == (want is not None) and all(x.startswith(want) for x in found)
+
+
+def test_whole_texts_are_found():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name in ("MIT-full", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "Apache-2.0", "CC0-1.0", "CC-BY-SA-4.0"):
+        found = scanner.scan(f"some words {licenses.TEMPLATES[name]} other words")
+        assert max(found, key=lambda x: x[1])[0] == name and max(x[3] for x in found if x[0] == name) > 0.95, name
+    words = licenses.TEMPLATES["MIT-full"].split()
+    split = " ".join(words[:80] + ["and", "a", "page", "header", "of", "nine", "words", "or", "so"] + words[80:])
+    assert [(m[0], m[3]) for m in scanner.scan(split)] == [("MIT-full", 1.0)]
+
+
 def test_alignment_equals_the_full_one():
     """Within a band as wide as the texts the banded score is that of the plain dynamic programme."""
     r = np.random.default_rng(7)
