@@ -138,19 +138,20 @@ def module_candidates(path: Column, source: Column) -> Column:
     return F.when(source.startswith("."), forms).otherwise(F.array().cast("array<string>"))
 
 
-def resolve_exports(exported: DataFrame, modules: DataFrame, depth: int = 8) -> DataFrame:
+def resolve_exports(exported: DataFrame, modules: DataFrame, depth: int | None = None) -> DataFrame:
     """path, exported, origin, local, hops: where each exported name of a module is declared, through re-exports.
 
     exported: exports(); modules: (path, source, resolved), each module's relative sources and what they are. A name is
-    followed for depth steps at most, and never through a module twice; of several ways the shortest stays.
+    followed to its end, or for depth steps if given, and never through a module twice; of several ways the shortest stays.
     """
     from lodeworks.sources.snapshots import cut
 
     edges = cut(exported.filter("re_export").join(modules, ["path", "source"]).select(F.col("path").alias("m"), F.col("exported").alias("out"), F.col("local").alias("into"), "resolved"))
     own = cut(exported.filter("source is null").select(F.col("path").alias("m"), F.col("exported").alias("out"), "local"))
     found = own.select(F.col("m").alias("path"), F.col("out").alias("exported"), F.col("m").alias("origin"), "local", F.lit(0).alias("hops"), F.array("m").alias("way"))
-    out, now = found, found
-    for d in range(1, depth + 1):
+    out, now, d = found, found, 0
+    while depth is None or d < depth:
+        d += 1
         e, n = edges.alias("e"), now.alias("n")
         step = e.join(n, (F.col("e.resolved") == F.col("n.path")) & ((F.col("e.into") == F.col("n.exported")) | ((F.col("e.into") == "*") & (F.col("e.out") == "*") & (F.col("n.exported") != "default"))) & ~F.array_contains(F.col("n.way"), F.col("e.m")))
         name = F.when(F.col("e.out") == "*", F.col("n.exported")).otherwise(F.col("e.out"))

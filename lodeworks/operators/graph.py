@@ -41,15 +41,15 @@ def shortest(all_paths: DataFrame) -> DataFrame:
     return all_paths.groupBy("start", "entity").agg(F.min(F.struct("hops", "path")).alias("b")).select("start", "entity", F.col("b.hops").alias("hops"), F.col("b.path").alias("path"))
 
 
-def levels(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """Topological level of each node (node): 0 without dependencies, else one more than its deepest one. Edges are (src, dst): src needs dst.
 
-    Raises if a cycle keeps levels growing.
+    Raises if a cycle keeps levels growing: for most rounds, or as many as there are nodes, which no chain outlasts.
     """
     from lodeworks.sources.snapshots import cut
 
     level = nodes.select("node").withColumn("level", F.lit(0).cast("long"))
-    for _ in range(most):
+    for _ in range(nodes.select("node").distinct().count() if most is None else most):
         deeper = edges.join(level, edges["dst"] == level["node"]).groupBy("src").agg((F.max("level") + 1).alias("want"))
         after = cut(level.join(deeper, level["node"] == deeper["src"], "left").select("node", F.greatest("level", F.coalesce("want", F.lit(0))).alias("level")))
         if after.join(level.withColumnRenamed("level", "was"), "node").filter("level <> was").isEmpty():
@@ -58,7 +58,16 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
     raise ValueError("the dependencies have a cycle")
 
 
-def skipped_dependents(nodes: DataFrame, edges: DataFrame, failed: DataFrame, depth: int) -> DataFrame:
-    """Nodes that need a failed one, directly or not."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return paths(failed.select(F.col("node").alias("entity")), back, depth).select(F.col("entity").alias("node")).distinct()
+def skipped_dependents(nodes: DataFrame, edges: DataFrame, failed: DataFrame, depth: int | None = None) -> DataFrame:
+    """Nodes that need a failed one, directly or not; at most depth steps away if given. A failed node on a cycle needs itself."""
+    from lodeworks.sources.snapshots import cut
+
+    first = failed.select("node").distinct()
+    now, found, d = first, first.limit(0), 0
+    while depth is None or d < depth:
+        step = edges.join(now, edges["dst"] == now["node"], "left_semi").select(F.col("src").alias("node")).distinct()
+        now = cut(step.join(found, "node", "left_anti"))
+        if now.isEmpty():
+            break
+        found, d = cut(found.unionByName(now)), d + 1
+    return found

@@ -204,3 +204,12 @@ def test_retrieval(spark):
     assert found == {"s1": 155, "s2": 5, "s3": 22, "c1": 215}
     cards = spark.createDataFrame([("k1", "overview", "all about NcButton", True), ("k2", "constraint", "never", False), ("k3", "overview", "no hit", True)], "id string, type string, text string, verified boolean")
     assert [r.id for r in retrieval.ranked_cards(cards, ["NcButton"]).collect()] == ["k2", "k1"]
+
+
+def test_walks_have_no_fixed_end(spark, rows):
+    edges = spark.createDataFrame([(f"n{i + 1:02}", f"n{i:02}") for i in range(14)], "src string, dst string")
+    nodes = spark.createDataFrame([(f"n{i:02}",) for i in range(15)], "node string")
+    assert rows(graph.skipped_dependents(nodes, edges, nodes.filter("node = 'n00'"))) == [(f"n{i:02}",) for i in range(1, 15)]
+    exported = spark.createDataFrame([("m00", "x", "x", None, False)] + [(f"m{i:02}", "x", "x", "./up", True) for i in range(1, 12)], "path string, exported string, local string, source string, re_export boolean")
+    modules = spark.createDataFrame([(f"m{i:02}", "./up", f"m{i - 1:02}") for i in range(1, 12)], "path string, source string, resolved string")
+    assert rows(apidoc.resolve_exports(exported, modules).select("path", "hops")) == [(f"m{i:02}", i) for i in range(12)]
