@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +21,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _left: set[str] = set()
 
 
+def kept_in_process(name: str, make: Callable):
+    """What make() gives, made once in each Python process and kept from task to task.
+
+    Functions are shipped to tasks by value, so their own globals are new in each task. A module of this name, which
+    exists in memory only, is what stays.
+    """
+    kept = vars(sys.modules.setdefault("lodeworks_kept", types.ModuleType("lodeworks_kept")))
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On one machine a temporary one stands in for it."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         root = "file://" + tempfile.mkdtemp(prefix="lodeworks-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)

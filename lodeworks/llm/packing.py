@@ -3,8 +3,9 @@
 A document of n tokens fills n // window whole sequences of its own; its last n % window tokens are its tail. How many
 tails have which length is a histogram of at most window - 1 numbers, all that the plan needs:
 
-1. Combinations of up to DEPTH tails that fill the window exactly are enumerated from the lengths at hand: pairs, and
-   triples whose two longer parts are common lengths.
+1. Combinations of up to three tails that fill the window exactly are enumerated from the lengths at hand: all pairs,
+   and for each longest part the BREADTH triples with the commonest other parts. Leaving out the rarer triples costs
+   padding only, and little of it: step 3 packs what they would have held.
 2. Repeat counts solve min |A x - histogram| with x >= 0 by coordinate descent, are rounded down and applied while
    enough tails are left.
 3. The rest is packed greedily: the longest tail left, then again and again the longest that fits; the pattern is
@@ -31,9 +32,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeworks.llm.common import Scratch, checkpoint
-from lodeworks.llm.tokens import Encoder
+from lodeworks.llm.tokens import opened
 
-WINDOW, END, DEPTH = 4096, 2, 3
+WINDOW, END = 4096, 2
 #: Ranges that the tails of one length are ranked in.
 RANGES = 64
 #: Combinations that the plan tries at most for one longest part.
@@ -129,7 +130,7 @@ _TOKENS = "doc_id bigint, doc_tokens bigint, crcs array<bigint>"
 def _encoded(path: str, window: int, end: int):
     """Documents to their token counts and the CRC-32 of each whole window and of the tail."""
     def run(batches):
-        encode = Encoder(path)
+        encode = opened(path)
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
