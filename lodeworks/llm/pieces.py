@@ -6,25 +6,27 @@ model with log probabilities these are the weights; of a BPE model, whose scores
 
 Sampling without replacement adds a Gumbel to each path's log probability and takes the k largest sums, without listing
 paths: the maximum over a subtree is a Gumbel shifted by the subtree's log probability. The search keeps subtrees by
-their perturbed bounds, best first. The best one is descended: the child that attains the bound is drawn by its share,
-so a descent is a plain sample of the rest of the text, and the siblings passed get their own bounds, truncated at that
-of the parent. The inclusion score of a sample is the probability to be above the bound that the search stopped at,
-1 - exp(-exp(log_prob - bound)); 1 if no path is left.
-
-No piece spans the start of a word, so a text's lattice is a chain of word lattices. These are remembered; the descents
-of a batch of texts are made together, array by array. Random numbers are hashes of the row's key, the round, the word
-and the step, hence independent of batches and partitions.
+their perturbed bounds, best first, and descends from the best one, a descent being a plain sample of the rest of the
+text. No piece spans the start of a word, so a text's lattice is a chain of word lattices, and what a descent passes by
+is kept as one subtree a word: the paths that are the same before the word and differ in it. Their probability is known
+from the word alone, and their bound is a Gumbel truncated at that of the descent. Only when such a subtree is the best
+is it split, by the edge at which its paths leave the word's: the edge that attains the bound is drawn by its share, the
+others get truncated bounds of their own. The inclusion score of a sample is the probability to be above the bound that
+the search stopped at, 1 - exp(-exp(log_prob - bound)); 1 if no path is left.
+
+The lattices and descents of a batch of texts are made together, array by array: pieces are found by walking a trie from
+all places of the batch's distinct words at once. Random numbers are hashes of the row's key, the round, the word and
+the step, hence independent of batches and partitions.
 
 Cases: null or empty texts have one path of no pieces; a text with fewer than k paths gets them all; rows of equal key
-and text get equal samples; very long texts are searched whole; ties in the bounds are broken by place; an empty table
-gives no rows; other columns are ignored.
+and text get equal samples; a null key counts as the empty one; very long texts are searched whole; ties in the bounds
+are broken by place; an empty table gives no rows; other columns are ignored, but those to carry are returned as they are.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeworks.llm.common import kept_in_process
+
 SAMPLES = 2
 #: Texts, and characters, whose descents are made together.
 ROWS, CHARS = 512, 400_000
@@ -50,10 +54,16 @@ def _uniform(key: np.ndarray, *more) -> np.ndarray:
     return ((key >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers first[i], first[i] + 1, ... of size[i] each, one after the other, and the i of each."""
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) - (np.cumsum(size) - size)[of] + first[of], of
+
+
 class Lattices:
-    """Word lattices of a model, with each edge's probability among those of its node."""
+    """The pieces of a model as a trie in flat arrays, with the log weight of each."""
 
-    def __init__(self, path: str, alpha: float = 1.0, most: int = 100_000):
+    def __init__(self, path: str, alpha: float = 1.0):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -64,80 +74,112 @@ class Lattices:
         self.vocabulary = {self.model.id_to_piece(i): (i, -alpha * math.log(1 - s) if ranks else alpha * s) for i, s in score.items()}
         self.bytes = {b: self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.byte_weight = -alpha * math.log(1 + n) if ranks else alpha * (min(score.values()) - 10)
-        self.longest = max(map(len, self.vocabulary))
-        self.most, self.known = most, {}
+        #: What the model puts before a text and takes away again.
+        self.prefix = len(self.model.normalize("a")) - 1
         # Characters without a piece that holds them are words of their own.
         held = "".join(sorted({c for p in self.vocabulary for c in p} - {"▁"}))
         self.words = re.compile("▁*[" + re.escape(held) + "]+|▁+|.", re.S)
-
-    def word(self, w: str) -> tuple:
-        """(edges of each place, their ends, their pieces, log shares, cumulative shares)."""
-        got = self.known.get(w)
-        if got is not None:
-            return got
-        n, find = len(w), self.vocabulary.get
-        after, places = [0.0] * (n + 1), [None] * n
-        for i in range(n - 1, -1, -1):
-            edges = [(j, (e[0],), e[1] + after[j]) for j in range(i + 1, min(n, i + self.longest) + 1) if (e := find(w[i:j]))]
-            if w[i] not in self.vocabulary:
-                data = w[i].replace("▁", " ").encode("utf-8", "replace")
-                edges.append((i + 1, tuple(self.bytes[b] for b in data), self.byte_weight * len(data) + after[i + 1]))
-            top = max(e[2] for e in edges)
-            after[i] = top + math.log(sum(math.exp(e[2] - top) for e in edges))
-            places[i] = [(j, ids, x - after[i]) for j, ids, x in edges]
-        counts, ends, ids, logs, cums = [], [], [], [], []
-        for own in places:
-            counts.append(len(own))
-            total = 0.0
-            for j, p, x in own:
-                ends.append(j)
-                ids.append(p)
-                logs.append(x)
-                total += math.exp(x)
-                cums.append(total)
-            cums[-1] = 1.0
-        if len(self.known) > self.most:
-            self.known.clear()
-        self.known[w] = out = (counts, ends, ids, logs, cums)
-        return out
+        # Trie nodes are numbered from 1; a step is a node and a character.
+        nodes, steps = {"": 0}, {}
+        for piece in self.vocabulary:
+            for i in range(len(piece)):
+                if piece[: i + 1] not in nodes:
+                    nodes[piece[: i + 1]] = len(nodes)
+                    steps[nodes[piece[:i]] << 21 | ord(piece[i])] = nodes[piece[: i + 1]]
+        self.step = np.array(sorted(steps), np.int64)
+        self.to = np.array([steps[x] for x in self.step.tolist()], np.int64)
+        self.piece, self.weight = np.full(len(nodes), -1), np.zeros(len(nodes))
+        for piece, (i, w) in self.vocabulary.items():
+            self.piece[nodes[piece]], self.weight[nodes[piece]] = i, w
+        self.inner = np.zeros(len(nodes), bool)
+        self.inner[self.step >> 21] = True
+
+    def edges(self, chars: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, piece, log weight) of the edges over words side by side; end: where the word of each place ends.
+
+        A piece of -1 - c stands for the bytes of character c.
+        """
+        place, node, depth, out = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0, []
+        alone = np.ones(len(chars), bool)
+        while len(place):
+            key = node << 21 | chars[place + depth]
+            i = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
+            found = self.step[i] == key
+            place, node, depth = place[found], self.to[i[found]], depth + 1
+            hit = self.piece[node] >= 0
+            out.append((place[hit], np.full(hit.sum(), depth), self.piece[node[hit]], self.weight[node[hit]]))
+            if depth == 1:
+                alone[place[hit]] = False
+            on = self.inner[node] & (place + depth < end[place])
+            place, node = place[on], node[on]
+        odd = np.flatnonzero(alone)
+        c = chars[odd]
+        size = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF) - 2 * (c == 0x2581)
+        out.append((odd, np.ones(len(odd), np.int64), -1 - c, self.byte_weight * size))
+        source, length, piece, weight = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(source, kind="stable")
+        return source[order], source[order] + length[order], piece[order], weight[order]
 
 
 class _Batch:
-    """The lattices of some texts in flat arrays."""
+    """The lattices of some texts in flat arrays: words by number, their characters as nodes, and the nodes' edges."""
 
-    def __init__(self, lattices: Lattices, texts: list[str | None], keys: np.ndarray):
-        words = [lattices.words.findall(lattices.model.normalize(t)) if t else [] for t in texts]
+    def __init__(self, lattices: Lattices, texts: list[str], keys: np.ndarray):
+        words = [lattices.words.findall(t) for t in texts]
         number: dict[str, int] = {}
         self.word = np.array([number.setdefault(w, len(number)) for own in words for w in own], np.int64)
         self.first = np.concatenate(([0], np.cumsum([len(own) for own in words]))).astype(np.int64)
-        self.keys = keys
-        parts = [lattices.word(w) for w in number]
+        self.keys, self.bytes = keys, lattices.bytes
         self.length = np.array([len(w) for w in number], np.int64)
         self.node = np.concatenate(([0], np.cumsum(self.length))).astype(np.int64)
-        self.edge = np.concatenate(([0], np.cumsum(np.fromiter(chain.from_iterable(p[0] for p in parts), np.int64)))).astype(np.int64)
-        self.to = np.fromiter(chain.from_iterable(p[1] for p in parts), np.int64)
-        self.ids = list(chain.from_iterable(p[2] for p in parts))
-        self.log = np.fromiter(chain.from_iterable(p[3] for p in parts), float)
-        self.of = np.repeat(np.arange(len(self.edge) - 1), np.diff(self.edge))
-        self.cum = np.fromiter(chain.from_iterable(p[4] for p in parts), float) + self.of
+        chars = np.frombuffer("".join(number).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        end = np.repeat(self.node[1:], self.length)
+        source, to, self.piece, weight = lattices.edges(chars, end)
+        n = len(chars)
+        self.degree = np.bincount(source, minlength=n)
+        self.edge = np.concatenate(([0], np.cumsum(self.degree))).astype(np.int64)
+        # Log weights of what follows a node, for all nodes at one distance from the ends of their words at a time.
+        after = np.zeros(n + 1)
+        target = np.where(to == end[source], n, to)
+        left = end - np.arange(n)
+        nodes = np.argsort(left, kind="stable")
+        at, _ = _ranges(self.edge[nodes], self.degree[nodes])
+        cuts = np.searchsorted(left[nodes], np.arange(1, left.max(initial=0) + 2))
+        starts = np.concatenate(([0], np.cumsum(self.degree[nodes]))).astype(np.int64)
+        weights, targets = weight[at], target[at]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi > lo:
+                e, f = starts[lo], starts[hi]
+                after[nodes[lo:hi]] = np.logaddexp.reduceat(weights[e:f] + after[targets[e:f]], starts[lo:hi] - e)
+        #: Where an edge leads within its word, the log of its share among its node's, and the shares up to it.
+        self.to = to - np.repeat(self.node[:-1], self.length)[source]
+        self.log = np.minimum(weight + after[target] - after[source], 0.0)
+        total = np.cumsum(np.exp(self.log))
+        self.cum = total - np.concatenate(([0.0], total))[self.edge[source]]
+        self.cum[self.edge[1:] - 1] = 1.0
+        self.cum += source
 
     def descend(self, row: np.ndarray, at: np.ndarray, place: np.ndarray, turn: int):
         """Plain samples from the given places on: for each of them in order (request, word, node, edge) of each step."""
         size = self.first[row + 1] - at
-        req = np.repeat(np.arange(len(row)), size)
-        word = np.arange(len(req)) - np.repeat(np.cumsum(size) - size, size) + at[req]
+        word, req = _ranges(at, size)
         pos = np.zeros(len(req), np.int64)
         heads = (np.cumsum(size) - size)[size > 0]
         pos[heads] = place[size > 0]
-        live, out, step = np.flatnonzero(pos < self.length[self.word[word]]), [], 0
+        kind, key, own = self.word[word], self.keys[row][req], word - self.first[row][req]
+        live, out, step = np.flatnonzero(pos < self.length[kind]), [], 0
         while len(live):
-            w = word[live]
-            node = self.node[self.word[w]] + pos[live]
-            u = _uniform(self.keys[row[req[live]]], turn, w - self.first[row[req[live]]], step)
-            e = np.clip(np.searchsorted(self.cum, node + u, "right"), self.edge[node], self.edge[node + 1] - 1)
+            k = kind[live]
+            node = self.node[k] + pos[live]
+            e = self.edge[node]
+            many = np.flatnonzero(self.degree[node] > 1)
+            if len(many):
+                u = _uniform(key[live[many]], turn, own[live[many]], step)
+                at = node[many]
+                e[many] = np.minimum(np.searchsorted(self.cum, at + u, "right"), self.edge[at + 1] - 1)
             out.append((live, node, e))
             pos[live] = self.to[e]
-            live = live[pos[live] < self.length[self.word[w]]]
+            live = live[pos[live] < self.length[k]]
             step += 1
         if not out:
             return tuple(np.empty(0, np.int64) for _ in range(4))
@@ -146,83 +188,131 @@ class _Batch:
         slot, node, e = slot[order], node[order], e[order]
         return req[slot], word[slot], node, e
 
-    def siblings(self, req, node, edge, before, bound, row, word, turn):
-        """Edges that the descents passed by: (step, edge, log probability up to it, bound), the largest bounds come from all."""
-        size = self.edge[node + 1] - self.edge[node]
-        step = np.repeat(np.arange(len(node)), size)
-        e = np.arange(len(step)) - np.repeat(np.cumsum(size) - size, size) + self.edge[node][step]
-        other = e != edge[step]
-        step, e = step[other], e[other]
-        phi = before[step] + self.log[e]
-        r = row[req[step]]
-        noise = -np.log(_uniform(self.keys[r], turn, word[step] - self.first[r], node[step] - self.node[self.word[word[step]]], e - self.edge[node[step]], 77))
-        return step, e, phi, phi - np.log(np.exp(np.minimum(phi - bound[req[step]], 700)) + noise)
-
-
-def sample(lattices: Lattices, texts: list[str | None], keys: list[int], k: int = SAMPLES) -> list[list[tuple[list[int], float, float, float]]]:
-    """For each text up to k distinct segmentations: (ids, log probability, perturbed log probability, inclusion score)."""
+    def others(self, node: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Log of the share of each node's edges but the given one."""
+        out = np.full(len(node), -np.inf)
+        many = np.flatnonzero(self.degree[node] > 1)
+        with np.errstate(divide="ignore"):
+            out[many] = np.log(-np.expm1(self.log[edge[many]]))
+        # Where next to nothing is left, it is added up.
+        rare = many[self.log[edge[many]] > -1e-9]
+        if len(rare):
+            e, of = _ranges(self.edge[node[rare]], self.degree[node[rare]])
+            log = np.where(e == edge[rare][of], -np.inf, self.log[e])
+            out[rare] = np.logaddexp.reduceat(log, np.flatnonzero(np.diff(of, prepend=-1)))
+        return out
+
+    def split(self, r: int, turn: int, bound: float, before: float, word: int, own: np.ndarray) -> list[tuple]:
+        """The subtrees of the paths that differ in a word from its edges own: (bound, log probability, number of own edges kept, edge).
+
+        The first attains the bound.
+        """
+        node = np.searchsorted(self.edge, own, "right") - 1
+        e, of = _ranges(self.edge[node], self.degree[node])
+        other = e != own[of]
+        e, of = e[other], of[other]
+        phi = before + np.concatenate(([0.0], np.cumsum(self.log[own])))[of] + self.log[e]
+        share = np.cumsum(np.exp(phi - phi.max()))
+        key, at = np.full(len(e), self.keys[r]), word - self.first[r]
+        drawn = min(int(np.searchsorted(share, share[-1] * _uniform(key[:1], turn, at, 78)[0], "right")), len(e) - 1)
+        value = _truncated(phi, np.full(len(e), bound), _uniform(key, turn, at, np.arange(len(e)), 79))
+        value[drawn] = bound
+        order = np.concatenate(([drawn], np.delete(np.arange(len(e)), drawn)))
+        return [(float(value[i]), float(phi[i]), int(of[i]), int(e[i])) for i in order]
+
+    def ids(self, path: np.ndarray) -> np.ndarray:
+        """The ids of a path's pieces, with bytes spelt out."""
+        own = self.piece[path]
+        odd = own < 0
+        if odd.any():
+            kinds, at = np.unique(own[odd], return_inverse=True)
+            spelt = [(" " if x == -1 - 0x2581 else chr(-1 - x)).encode("utf-8", "replace") for x in kinds.tolist()]
+            size = np.array([len(x) for x in spelt])
+            where, _ = _ranges((np.cumsum(size) - size)[at], size[at])
+            width = np.ones(len(own), np.int64)
+            width[odd] = size[at]
+            own, odd = np.repeat(own, width), np.repeat(odd, width)
+            own[odd] = np.array([self.bytes[c] for x in spelt for c in x])[where]
+        return own.astype(np.int32)
+
+
+def _truncated(phi: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gumbels of location phi that are at most bound."""
+    return phi - np.log(np.exp(np.minimum(phi - bound, 700)) - np.log(u))
+
+
+def sample(lattices: Lattices, texts: list[str], keys: list[int], k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """For each normalised text up to k distinct segmentations: (ids, log probability, perturbed log probability, inclusion score)."""
     rows = len(texts)
     b = _Batch(lattices, texts, np.array(keys, np.uint64))
     gumbel = -np.log(-np.log(_uniform(b.keys, 0, 0)))
-    # An open subtree: bound, log probability, word and place it goes on at, edges so far.
-    heaps: list[list] = [[(float(gumbel[r]), 0.0, int(b.first[r]), 0, np.empty(0, np.int64))] for r in range(rows)]
+    nothing = np.empty(0, np.int64)
+    # An open subtree: bound, log probability, edges so far, the word and place it goes on at, and the edges from there to
+    # the word's end that its paths must not all have (None: none), the log probability being that before these.
+    heaps: list[list] = [[(float(gumbel[r]), 0.0, nothing, int(b.first[r]), 0, None)] for r in range(rows)]
     out: list[list] = [[] for _ in range(rows)]
     for turn in range(1, k + 1):
         row = np.array([r for r in range(rows) if heaps[r]], np.int64)
         if not len(row):
             break
         best = []
-        for r in row:
+        for r in row.tolist():
             i = max(range(len(heaps[r])), key=lambda i: heaps[r][i][0])
-            best.append(heaps[r].pop(i))
+            bound, lp, path, word, place, own = heaps[r].pop(i)
+            if own is not None:
+                first, *more = [(v, phi, np.concatenate((path, own[:j], [e])), *((word, int(b.to[e])) if b.to[e] < b.length[b.word[word]] else (word + 1, 0)), None) for v, phi, j, e in b.split(r, turn, bound, lp, word, own)]
+                heaps[r] += more
+                bound, lp, path, word, place, _ = first
+            best.append((bound, lp, path, word, place))
         bound, start = np.array([x[0] for x in best]), np.array([x[1] for x in best])
-        req, word, node, edge = b.descend(row, np.array([x[2] for x in best], np.int64), np.array([x[3] for x in best], np.int64), turn)
+        req, word, node, edge = b.descend(row, np.array([x[3] for x in best], np.int64), np.array([x[4] for x in best], np.int64), turn)
         ends = np.searchsorted(req, np.arange(len(row) + 1))
         run = np.concatenate(([0.0], np.cumsum(b.log[edge])))
         before = run[:-1] - run[ends[:-1]][req] + start[req]
-        step, e, phi, value = b.siblings(req, node, edge, before, bound, row, word, turn)
-        cut = np.searchsorted(req[step], np.arange(len(row) + 1))
-        for i, r in enumerate(row):
-            own = edge[ends[i] : ends[i + 1]]
-            path = np.concatenate((best[i][4], own))
-            out[r].append((path, float(start[i] + run[ends[i + 1]] - run[ends[i]]), float(bound[i])))
-            lo, hi = cut[i], cut[i + 1]
+        # One subtree for each word passed: log probability and bound.
+        begin = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(req, prepend=-1) != 0))
+        phi = np.logaddexp.reduceat(before + b.others(node, edge), begin) if len(begin) else np.empty(0)
+        some = phi > -np.inf
+        begin, stop, phi = begin[some], np.append(begin, len(word))[1:][some], phi[some]
+        of, at = req[begin], word[begin]
+        value = _truncated(phi, bound[of], _uniform(b.keys[row[of]], turn, at - b.first[row[of]], 77))
+        cut = np.searchsorted(of, np.arange(len(row) + 1))
+        for i, r in enumerate(row.tolist()):
+            prefix, lo, hi = best[i][2], cut[i], cut[i + 1]
+            out[r].append((np.concatenate((prefix, edge[ends[i] : ends[i + 1]])), float(start[i] + run[ends[i + 1]] - run[ends[i]]), float(bound[i])))
             need = k - turn + 1
             top = np.arange(lo, hi) if hi - lo <= need else lo + np.argpartition(-value[lo:hi], need - 1)[:need]
-            for t in top:
-                s = step[t]
-                w, p = int(word[s]), int(b.to[e[t]])
-                if p == b.length[b.word[w]]:
-                    w, p = w + 1, 0
-                heaps[r].append((float(value[t]), float(phi[t]), w, p, np.concatenate((best[i][4], edge[ends[i] : s], [e[t]]))))
+            for t in top.tolist():
+                s = int(begin[t])
+                heaps[r].append((float(value[t]), float(before[s]), np.concatenate((prefix, edge[ends[i] : s])), int(word[s]), 0, edge[s : stop[t]]))
     done = []
     for r in range(rows):
         limit = max((x[0] for x in heaps[r]), default=-math.inf)
-        done.append([(list(chain.from_iterable(b.ids[x] for x in path)), lp, g, 1.0 if limit == -math.inf else -math.expm1(-math.exp(min(lp - limit, 700)))) for path, lp, g in out[r]])
+        done.append([(b.ids(path), lp, g, 1.0 if limit == -math.inf else -math.expm1(-math.exp(min(lp - limit, 700)))) for path, lp, g in out[r]])
     return done
 
 
 def _sampled(path: str, k: int, alpha: float, seed: int, carry: list[str]):
     def run(batches):
-        lattices = Lattices(path, alpha)
+        lattices = kept_in_process(f"lattices {path} {alpha}", lambda: Lattices(path, alpha))
         model = lattices.model
         for batch in batches:
-            keys, texts = batch.column("key").to_pylist(), batch.column("text").to_pylist()
+            keys, texts = batch.column("key").to_pylist(), [model.normalize(t or "") for t in batch.column("text").to_pylist()]
             lo = 0
             while lo < len(texts):
                 hi, chars = lo, 0
-                while hi < len(texts) and hi - lo < ROWS and (hi == lo or chars + len(texts[hi] or "") <= CHARS):
-                    chars += len(texts[hi] or "")
+                while hi < len(texts) and hi - lo < ROWS and (hi == lo or chars + len(texts[hi]) <= CHARS):
+                    chars += len(texts[hi])
                     hi += 1
                 made = sample(lattices, texts[lo:hi], [xxhash.xxh64_intdigest(str(x), seed) for x in keys[lo:hi]], k)
-                flat = []
-                for i, own in enumerate(made, lo):
-                    best = model.encode(texts[i] or "")
-                    want = model.decode(best)
-                    flat += [(keys[i], n, *s, len(best), model.decode(s[0]) == want, i) for n, s in enumerate(own)]
-                kinds = [pa.string(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()]
-                at = pa.array([f[-1] for f in flat], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], t) for i, t in enumerate(kinds)] + [batch.column(c).take(at) for c in carry], names=["key", "sample", "ids", "log_prob", "perturbed", "inclusion", "n_best", "round_trip", *carry])
+                flat = [(i, n, *s, model.decode(s[0].tolist()) == texts[i][lattices.prefix :].replace("▁", " ")) for i, own in enumerate(made, lo) for n, s in enumerate(own)]
+                at = pa.array([f[0] for f in flat], pa.int64())
+                ids = [f[2] for f in flat]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32)))
+                kinds = {1: pa.int32(), 3: pa.float64(), 4: pa.float64(), 5: pa.float64(), 6: pa.bool_()}
+                sampled, log_prob, perturbed, inclusion, same = (pa.array([f[j] for f in flat], t) for j, t in kinds.items())
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(at), sampled, ids, log_prob, perturbed, inclusion, same] + [batch.column(c).take(at) for c in carry], names=["key", "sample", "ids", "log_prob", "perturbed", "inclusion", "round_trip", *carry])
                 lo = hi
     return run
 
@@ -230,27 +320,13 @@ def _sampled(path: str, k: int, alpha: float, seed: int, carry: list[str]):
 def sample_pieces(rows: DataFrame, model: str, key: Column, text: Column, k: int = SAMPLES, alpha: float = 1.0, seed: int = 9, carry: tuple[str, ...] = ()) -> DataFrame:
     """key (as a string), sample, ids, log_prob, perturbed and inclusion of up to k segmentations of each row's text.
 
-    Also n_best, the number of pieces of the model's own best segmentation, round_trip, whether the sample decodes to the
-    same text as that, and the columns carry of rows, as they are.
+    Also round_trip, whether the sample decodes to the normalised text, and the columns carry of rows, as they are.
 
     model: a SentencePiece model file, the same on all executors.
     """
     own = rows.select(F.coalesce(key.cast("string"), F.lit("")).alias("key"), text.cast("string").alias("text"), *carry)
     kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
-    return own.mapInArrow(_sampled(model, k, alpha, seed, list(carry)), "key string, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, n_best int, round_trip boolean" + kinds)
-
-
-def encode(rows: DataFrame, model: str, key: Column, text: Column) -> DataFrame:
-    """key and ids of each row's text by the model's own best segmentation."""
-    def run(batches):
-        import sentencepiece
-
-        m = sentencepiece.SentencePieceProcessor(model_file=model)
-        for batch in batches:
-            ids = m.encode([t or "" for t in batch.column("text").to_pylist()], num_threads=1)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
-
-    return rows.select(key.cast("string").alias("key"), text.cast("string").alias("text")).mapInArrow(run, "key string, ids array<int>")
+    return own.mapInArrow(_sampled(model, k, alpha, seed, list(carry)), "key string, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, round_trip boolean" + kinds)
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -266,10 +342,9 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "t
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two distinct segmentations of every document, with a digest of their ids and a check of the round trip."""
+    """Two distinct segmentations of every document, as ids, with a check that they decode to the text."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     made = sample_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), F.col("doc_id"), F.col("text"), carry=("doc_id",))
-    digest = F.crc32(F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))).cast("binary"))
-    return made.select("doc_id", "sample", F.size("ids").alias("n_pieces"), "n_best", "log_prob", "perturbed", "inclusion", digest.alias("ids_crc32"), "round_trip")
+    return made.select("doc_id", "sample", F.size("ids").alias("n_pieces"), "log_prob", "perturbed", "inclusion", "ids", "round_trip")

@@ -257,52 +257,74 @@ def test_alignment_equals_the_full_one():
 
 
 def lattice_paths(lattices, word):
-    """All segmentations of a word with their log probabilities."""
-    counts, ends, ids, logs, _ = lattices.word(word)
-    starts = np.concatenate(([0], np.cumsum(counts)))
-
+    """All segmentations of a word with their log probabilities, by listing them."""
     def walk(i):
         if i == len(word):
             yield (), 0.0
-        else:
-            for e in range(starts[i], starts[i + 1]):
-                for rest, lp in walk(ends[e]):
-                    yield ids[e] + rest, logs[e] + lp
-    return dict(walk(0))
-
-
-def test_samples_are_distinct_and_drawn_by_their_shares():
+        for j in range(i + 1, len(word) + 1):
+            if word[i:j] in lattices.vocabulary:
+                n, w = lattices.vocabulary[word[i:j]]
+                for rest, x in walk(j):
+                    yield (n, *rest), w + x
+        if i < len(word) and word[i] not in lattices.vocabulary:
+            data = word[i].encode()
+            for rest, x in walk(i + 1):
+                yield (*(lattices.bytes[c] for c in data), *rest), lattices.byte_weight * len(data) + x
+
+    weights = defaultdict(list)
+    for path, w in walk(0):
+        weights[path].append(w)
+    total = math.log(sum(math.exp(w) for own in weights.values() for w in own))
+    return {path: math.log(sum(map(math.exp, own))) - total for path, own in weights.items()}
+
+
+@pytest.mark.parametrize("text", ["hello", "so it is", "x😀é"])
+def test_samples_are_distinct_and_drawn_by_their_shares(text):
+    """Also the second sample, given the first: by the shares of the paths that are left."""
     lattices = pieces.Lattices(MODEL)
-    word = lattices.words.findall(lattices.model.normalize("hello"))
-    assert len(word) == 1
-    paths = lattice_paths(lattices, word[0])
-    assert sum(math.exp(x) for x in paths.values()) == pytest.approx(1)
-    n, first = 4000, defaultdict(int)
-    for own in pieces.sample(lattices, ["hello"] * n, list(range(n)), 3):
-        assert len({tuple(s[0]) for s in own}) == 3
-        assert own[0][2] >= own[1][2] >= own[2][2]
+    normal = lattices.model.normalize(text)
+    words = [lattice_paths(lattices, w) for w in lattices.words.findall(normal)]
+    paths = {(): 0.0}
+    for own in words:
+        paths = {a + b: x + y for a, x in paths.items() for b, y in own.items()}
+    n, first, second = 6000, defaultdict(int), defaultdict(int)
+    for own in pieces.sample(lattices, [normal] * n, list(range(n)), 3):
+        assert len({tuple(s[0]) for s in own}) == min(3, len(paths))
+        assert all(x[2] >= y[2] for x, y in zip(own, own[1:]))
         for ids, lp, _, inclusion in own:
-            assert lp == pytest.approx(paths[tuple(ids)]) and 0 < inclusion <= 1
-        first[tuple(own[0][0])] += 1
-    for path, lp in paths.items():
-        p = math.exp(lp)
-        assert abs(first[path] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
+            assert lp == pytest.approx(paths[tuple(ids.tolist())]) and 0 < inclusion <= 1
+        first[tuple(own[0][0].tolist())] += 1
+        second[tuple(own[1][0].tolist())] += 1
+    p = {path: math.exp(lp) for path, lp in paths.items()}
+    for path in p:
+        then = sum(p[a] * p[path] / (1 - p[a]) for a in p if a != path)
+        for found, share in ((first[path], p[path]), (second[path], then)):
+            assert abs(found / n - share) < 5 * math.sqrt(max(0, share * (1 - share)) / n) + 1e-3
+
+
+def test_inclusion_scores_weigh_samples_without_bias():
+    """Shares weighed by the inverse of the chance to be above the last sample add up to one, on average."""
+    lattices = pieces.Lattices(MODEL)
+    normal = lattices.model.normalize("abcd")
+    paths = lattice_paths(lattices, normal)
+    n = 3000
+    found = [sum(math.exp(lp) / -math.expm1(-math.exp(lp - own[-1][2])) for _, lp, _, _ in own[:-1]) for own in pieces.sample(lattices, [normal] * n, list(range(n)), 4)]
+    assert len(paths) > 4 and np.mean(found) == pytest.approx(1, abs=5 * np.std(found) / math.sqrt(n))
 
 
 def test_few_paths_and_round_trip(spark):
     lattices = pieces.Lattices(MODEL)
-    own = pieces.sample(lattices, [None, "", "a"], [1, 2, 3], 50)
-    assert own[0] == own[1] == [([], 0.0, own[0][0][2], 1.0)] or [s[0] for s in own[0] + own[1]] == [[], []]
-    assert all(s[3] == 1.0 for s in own[2]) and len(own[2]) == len(lattice_paths(lattices, "▁a"))
-    texts = ["Hello world", "naïve 😀 text", "tabs\tand  spaces", None]
+    own = pieces.sample(lattices, ["", "", "▁a"], [1, 2, 3], 50)
+    assert [s[0].tolist() for s in own[0] + own[1]] == [[], []] and own[0][0][3] == 1.0
+    assert all(s[3] == 1.0 for s in own[2]) and {tuple(s[0].tolist()) for s in own[2]} == set(lattice_paths(lattices, "▁a"))
+    texts = ["Hello world", "naïve 😀 text", "tabs\tand  spaces", None, " a\n", "▁ x\u2581", "x" * 3000]
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
     from pyspark.sql import functions as F
 
     out = pieces.decode(pieces.sample_pieces(rows, MODEL, F.col("k"), F.col("t")), MODEL).collect()
     norm = {str(i): lattices.model.decode(lattices.model.encode(t or "")) for i, t in enumerate(texts)}
-    assert {r.key for r in out} == set(norm) and all(r.text == norm[r.key] for r in out)
-    best = {r.key: r.ids for r in pieces.encode(rows, MODEL, F.col("k"), F.col("t")).collect()}
-    assert best["0"] == lattices.model.encode("Hello world")
+    assert {r.key for r in out} == set(norm) and all(r.text == norm[r.key] and r.round_trip for r in out)
+    assert pieces.sample_pieces(rows.limit(0), MODEL, F.col("k"), F.col("t"), carry=("t",)).count() == 0
 
 
 def test_all_documents_are_sampled_and_decoded(spark, tmp_path):
