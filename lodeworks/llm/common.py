@@ -18,6 +18,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Keys that are sent to every task at most.
+MOST_SENT = 1_000_000
+
 _left: set[str] = set()
 
 
@@ -75,20 +78,47 @@ class Scratch:
         self.drop()
 
 
-@atexit.register
-def _clean() -> None:
-    spark = SparkSession.getActiveSession()
-    for path in list(_left):
+def clear(spark: SparkSession, but: str = "") -> None:
+    """Delete the folders of scratch tables that are left, for results that have been written by now."""
+    for path in list(_left - {but}):
         with contextlib.suppress(Exception):
             remove(spark, path)
 
 
+@atexit.register
+def _clean() -> None:
+    clear(SparkSession.getActiveSession())
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder; Spark deletes its files once nothing refers to them."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def without(docs: DataFrame, key: dict[str, Column], away: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose key is in away, and with one row only of each key that is in again; nulls are equal.
+
+    key: the columns of away and again, by name, as expressions over docs. Texts are not shuffled while the keys to drop
+    are few enough to be sent to every task, which is counted first; beyond that docs are joined by a shuffle.
+    """
+    had, name = docs.columns, f"_key{uuid.uuid4().hex}"
+    keyed = docs.withColumn(name, F.struct(*(c.alias(n) for n, c in key.items())))
+
+    def sent(keys: DataFrame) -> DataFrame:
+        keys = checkpoint(keys.select(*(F.col(n) for n in key)).distinct())
+        small = keys.count() <= MOST_SENT
+        keys = keys.select(F.struct(*key).alias("_away"))
+        return F.broadcast(keys) if small else keys
+
+    if again is not None and not again.isEmpty():
+        again = sent(again)
+        same = F.col(name).eqNullSafe(F.col("_away"))
+        keyed = keyed.join(again, same, "left_anti").unionByName(keyed.join(again, same, "left_semi").dropDuplicates([name]))
+    away = sent(away)
+    return keyed.join(away, F.col(name).eqNullSafe(F.col("_away")), "left_anti").select(*(F.col(f"`{c}`") for c in had))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

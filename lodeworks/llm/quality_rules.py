@@ -4,16 +4,24 @@ Each text gives a vector of transformed statistics, in fixed point so that sums
 each (language, source) the minimum-covariance-determinant estimate is sought by concentration steps from two starts
 (medians with quartile spreads, and the plain mean and covariance): the three quarters of the rows nearest by
 Mahalanobis distance give the next mean and covariance. A step is one aggregation: rows are counted and summed by group
-and distance bin, and the bins below the quantile are added up, so no group meets in a task. The start of the smaller
-determinant wins, one reweighting step follows, and texts beyond a chi-square tail are rejected. A small variance is
-added in each dimension so that a statistic that is constant in a group cannot reject tiny deviations.
+and distance bin, and the bins up to the quantile are added up, so no group meets in a task. A bin is 1 / BINS of a
+factor e wide and is taken whole, so that a subset may hold a little more than its three quarters. After two steps the
+start of the smaller determinant goes on, until the determinants settle; one reweighting step follows.
 
-Groups of under least_rows rows pool with the small groups of their language, and those pools, if still too small, with
-each other. A pool of under MIN_FIT rows, or in which no estimate exists, gives no verdict: its texts stay.
+Small groups have too few rows for an estimate of their own, so every estimate is regularised: with n rows of its own a
+group's mean and covariance count n / (n + SHRINK), those of its language the rest, which in turn lean on the whole
+corpus's in the same way. During the steps what a group leans on is fixed, as its start gives it; the reweighting step
+takes it anew from the rows it keeps. This is continuous in n: a large group has its own estimate, a group of one row nearly that of
+its language, and every group gives a verdict. A small variance is added in each dimension so that a statistic that is
+constant in a group cannot reject tiny deviations.
+
+Texts beyond a chi-square tail are rejected. Statistics of real texts have longer tails than a normal distribution, so the
+tail is far out (1e-7) in order to leave unusual but sound texts alone; what the rules are after lies much farther out.
 
 Cases: null or empty texts have no words and fail the base rules; a null language or source is a value of its own; ties
-in distance fall in one bin and are taken together; repeated rows each count; an empty table gives no rows; other
-columns are ignored, except that keep_good() returns them.
+in distance fall in one bin and are taken together; repeated rows each count; very long texts are counted whole; an
+empty table gives no rows; null ids are passed through; other columns are ignored, except that keep_good() returns them,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -33,10 +41,15 @@ SCALE = 256
 #: Standard deviation added to each dimension, in units of the transformed statistics.
 FLOOR = (0.05, 0.05, 0.05, 0.1, 0.05)
 P = len(FLOOR)
-MIN_FIT = 50
+#: Rows that the estimate of the next larger group counts as.
+SHRINK = 50
 #: Distance bins per factor e.
-BINS = 16
+BINS = 32
+#: Width of the bins that starting medians and quartiles are read from, in fixed-point steps.
+WIDTH = 8
 _PAIRS = list(combinations_with_replacement(range(P), 2))
+_SUMS = ["n", *(f"s{i}" for i in range(P)), *(f"s{i}_{j}" for i, j in _PAIRS)]
+_GROUP = ["lang", "source"]
 
 
 def vector() -> list[Column]:
@@ -72,95 +85,141 @@ def chi2_quantile(p: float, k: int) -> float:
     return high
 
 
-def _pools(x: DataFrame, least_rows: int) -> DataFrame:
-    """lang, source and the pool that each pair's rows are fitted in."""
-    sizes = x.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = F.col("n") < least_rows
-    by_lang = F.sum(F.when(small, F.col("n"))).over(W.partitionBy("lang"))
-    own, lang, rest = F.concat_ws("\t", F.lit("s"), "lang", "source"), F.concat_ws("\t", F.lit("l"), "lang"), F.lit("a")
-    return checkpoint(sizes.select("lang", "source", F.when(~small, own).when(by_lang >= least_rows, lang).otherwise(rest).alias("pool")))
+def _attached(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join with a table of a row or few a group, nulls being equal; small is read from files, so Spark knows whether to send it to all tasks."""
+    other = small.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in small.columns if c not in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.join(other, same, "left").drop(*(f"_{k}" for k in keys))
+
+
+def _sums(inside: str = "true") -> list[Column]:
+    """Counts, sums and products of the rows for which inside holds."""
+    values = {"n": "1L", **{f"s{i}": f"x{i}" for i in range(P)}, **{f"s{i}_{j}": f"x{i} * x{j}" for i, j in _PAIRS}}
+    return [F.expr(f"coalesce(sum({v}) FILTER (WHERE {inside}), 0)" if inside != "true" else f"sum({v})").alias(k) for k, v in values.items()]
+
 
+def _moments(at: str, factor: float, above: str | None) -> tuple[list[str], list[str]]:
+    """SQL for the means, and then for the covariances, of a level from its sums, leaning on those of the level above."""
+    lean = lambda own, k: own if above is None else f"(coalesce({own}, 0D) * {at}n + {SHRINK} * {above}{k}) / ({at}n + {SHRINK})"
+    raw = [f"coalesce({at}s{i} / nullif({at}n, 0), 0D) AS {at}r{i}" for i in range(P)]
+    mean = [f"{lean(f'{at}r{i}', f'm{i}')} AS {at}m{i}" for i in range(P)]
+    own = {(i, j): f"(({at}s{i}_{j} / nullif({at}n, 0) - {at}r{i} * {at}r{j}) * {factor!r}D)" for i, j in _PAIRS}
+    return raw, [*mean, *(f"{lean(f'coalesce({c}, 0D)', f'c{i}_{j}')} AS {at}c{i}_{j}" for (i, j), c in own.items())]
 
-def _attached(rows: DataFrame, small: DataFrame, keys: list[str], most: int = 10_000) -> DataFrame:
-    """Left join with a checkpointed table of a row per group: by broadcast while it is small, else by a join that Spark may split."""
-    return rows.join(F.broadcast(small) if small.count() <= most else small, keys, "left")
 
+#: What a group leans on: means and covariances of its language.
+_ABOVE = [f"l_m{i}" for i in range(P)] + [f"l_c{i}_{j}" for i, j in _PAIRS]
 
-def _mean_cov(sums: DataFrame, by: list[str], factor: float) -> DataFrame:
-    """From n, s0.. and s00..: the mean, and the Cholesky factor's inverse and log determinant of factor * covariance + floor."""
-    out = sums.filter(F.col("n") > 0)
-    out = out.select(*by, "n", *(f"s{i}_{j}" for i, j in _PAIRS), *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)))
-    cov = {f"c{i}_{j}": (F.col(f"s{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) * factor + (F.lit((FLOOR[i] * SCALE) ** 2) if i == j else F.lit(0.0)) for i, j in _PAIRS}
-    return _inverse_factor(out.select(*by, "n", *(f"m{i}" for i in range(P)), *(c.alias(k) for k, c in cov.items())), by)
 
+def leaning(sums: DataFrame, by: list[str], factor: float) -> DataFrame:
+    """Rows of n, s0.. and s0_0.. a group (by, lang, source), with what they lean on."""
+    sums = sums.withColumn("_one", F.lit(1))
+    out = sums
+    for at, keys in (("l_", [*by, "lang"]), ("a_", [*by, "_one"])):
+        out = _attached(out, sums.groupBy(*keys).agg(*(F.expr(f"sum({k}) AS {at}{k}") for k in _SUMS)), keys)
+    for at, above in (("a_", None), ("l_", "a_")):
+        for step in _moments(at, factor, above):
+            out = out.selectExpr("*", *step)
+    return out.select(*by, *_GROUP, *_SUMS, *_ABOVE)
 
-def _inverse_factor(out: DataFrame, by: list[str]) -> DataFrame:
+
+def estimates(sums: DataFrame, by: list[str], factor: float) -> DataFrame:
+    """by, lang, source, mean m0.., inverse Cholesky factor w0_0.. and logdet of the covariances, and what they lean on, from the rows of leaning()."""
+    out = sums
+    for step in _moments("", factor, "l_"):
+        out = out.selectExpr("*", *step)
+    floor = {(i, j): f" + {(FLOOR[i] * SCALE) ** 2!r}D" if i == j else "" for i, j in _PAIRS}
+    return _inverse_factor(out.selectExpr(*by, *_GROUP, *_ABOVE, *(f"m{i}" for i in range(P)), *(f"c{i}_{j}{floor[i, j]} AS c{i}_{j}" for i, j in _PAIRS)), [*by, *_GROUP, *_ABOVE])
+
+
+def _inverse_factor(out: DataFrame, keep: list[str]) -> DataFrame:
     """Columns c{i}_{j} (i <= j) to w{i}_{j} (j <= i), the inverse of the Cholesky factor, and logdet."""
+    add = lambda terms: " + ".join(terms) or "0D"
     for j in range(P):
-        out = out.withColumn(f"l{j}_{j}", F.sqrt(F.col(f"c{j}_{j}") - sum((F.col(f"l{j}_{k}") ** 2 for k in range(j)), F.lit(0.0))))
+        out = out.selectExpr("*", f"sqrt(c{j}_{j} - ({add(f'l{j}_{k} * l{j}_{k}' for k in range(j))})) AS l{j}_{j}")
         if j + 1 < P:
-            out = out.withColumns({f"l{i}_{j}": (F.col(f"c{j}_{i}") - sum((F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}_{j}") for i in range(j + 1, P)})
-    out = out.withColumns({f"w{i}_{i}": 1 / F.col(f"l{i}_{i}") for i in range(P)})
+            out = out.selectExpr("*", *(f"(c{j}_{i} - ({add(f'l{i}_{k} * l{j}_{k}' for k in range(j))})) / l{j}_{j} AS l{i}_{j}" for i in range(j + 1, P)))
+    out = out.selectExpr("*", *(f"1 / l{i}_{i} AS w{i}_{i}" for i in range(P)))
     for step in range(1, P):
-        out = out.withColumns({f"w{i}_{i - step}": -sum((F.col(f"l{i}_{k}") * F.col(f"w{k}_{i - step}") for k in range(i - step, i)), F.lit(0.0)) / F.col(f"l{i}_{i}") for i in range(step, P)})
-    logdet = sum((2 * F.log(f"l{i}_{i}") for i in range(P)), F.lit(0.0))
-    return checkpoint(out.select(*by, "n", *(f"m{i}" for i in range(P)), *(f"w{i}_{j}" for j, i in _PAIRS), logdet.alias("logdet")))
+        out = out.selectExpr("*", *(f"-({add(f'l{i}_{k} * w{k}_{i - step}' for k in range(i - step, i))}) / l{i}_{i} AS w{i}_{i - step}" for i in range(step, P)))
+    return out.selectExpr(*keep, *(f"m{i}" for i in range(P)), *(f"w{i}_{j}" for j, i in _PAIRS), add(f"2 * ln(l{i}_{i})" for i in range(P)) + " AS logdet")
+
 
+#: Squared Mahalanobis distance of x0.. under m0.. and w0_0.., in SQL.
+_DISTANCE = " + ".join(f"power({' + '.join(f'w{i}_{j} * (x{j} - m{j})' for j in range(i + 1))}, 2)" for i in range(P))
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance of x0.. under m0.. and w0_0..."""
-    return sum((sum((F.col(f"w{i}_{j}") * (F.col(f"x{j}") - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0)) ** 2 for i in range(P)), F.lit(0.0))
 
+def _first_sums(x: DataFrame) -> DataFrame:
+    """The sums of the two starts, as (start, lang, source, n, s0.., s0_0..)."""
+    plain = x.groupBy(*_GROUP).agg(*_sums()).withColumn("start", F.lit(1))
+    # Quartiles from exact counts of narrow bins, for all dimensions at once.
+    cells = x.select(*_GROUP, F.posexplode(F.expr(f"array({', '.join(f'floor(x{i} / {WIDTH})' for i in range(P))})")).alias("dim", "bin")).groupBy(*_GROUP, "dim", "bin").agg(F.count("*").alias("k"))
+    whole = W.partitionBy(*_GROUP, "dim")
+    cells = cells.withColumns({"upto": F.sum("k").over(whole.orderBy("bin")), "all": F.sum("k").over(whole)})
+    at = lambda q, name: F.expr(f"min(bin) FILTER (WHERE upto >= all * {q}D) * {WIDTH} + {WIDTH // 2} AS {name}")
+    quart = cells.groupBy(*_GROUP, "dim").agg(F.max("all").alias("n"), at(0.25, "low"), at(0.5, "mid"), at(0.75, "high"))
+    # As sums of n rows with that median for a mean and that spread for a deviation, so that small groups lean on others alike.
+    wide = quart.groupBy(*_GROUP).agg(F.max("n").alias("n"), *(F.expr(f"max(mid) FILTER (WHERE dim = {i}) AS q{i}") for i in range(P)), *(F.expr(f"max(power((high - low) / 1.349D, 2)) FILTER (WHERE dim = {i}) AS v{i}") for i in range(P)))
+    robust = wide.selectExpr("0 AS start", *_GROUP, "n", *(f"n * q{i} AS s{i}" for i in range(P)), *(f"cast(n * (q{i} * q{j}{f' + v{i}' if i == j else ''}) AS bigint) AS s{i}_{j}" for i, j in _PAIRS))
+    return robust.unionByName(plain.select(*robust.columns))
 
-def _sums() -> list[Column]:
-    return [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _PAIRS)]
 
+def fit(x: DataFrame, scratch: Scratch, share: float = 0.75, most_steps: int = 12, inner: float = 0.975, settled: float = 1e-3) -> DataFrame:
+    """The estimates of each group, mean m0.. and inverse Cholesky factor w0_0.., from rows of (lang, source, x0..).
 
-def fit(x: DataFrame, share: float = 0.75, steps: int = 6, inner: float = 0.975) -> DataFrame:
-    """The estimates of each pool: mean m0.., inverse Cholesky factor w0_0.., from rows of (pool, x0..)."""
-    by = ["start", "pool"]
-    names = [c for i in range(P) for c in (f"s{i}",)] + [f"s{i}_{j}" for i, j in _PAIRS]
-    quart = x.groupBy("pool").agg(F.count("*").alias("n"), *(F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(P)))
-    spread = {f"c{i}_{j}": (((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2 + (FLOOR[i] * SCALE) ** 2 if i == j else F.lit(0.0)) for i, j in _PAIRS}
-    first = _inverse_factor(quart.select(F.lit(0).alias("start"), "pool", "n", *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(P)), *(c.alias(k) for k, c in spread.items())), by)
-    second = _mean_cov(x.groupBy("pool").agg(*_sums()).withColumn("start", F.lit(1)), by, 1.0)
-    est = checkpoint(first.unionByName(second))
+    Steps end when no group's log determinant moves by settled or more, or after most_steps.
+    """
+    by = ["start", *_GROUP]
     h, k = chi2_quantile(share, P), chi2_quantile(inner, P)
     grow, last = share / chi2_cdf(h, P + 2), inner / chi2_cdf(k, P + 2)
-    both = x.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-    for _ in range(steps):
-        near = _attached(both, est.drop("n", "logdet"), by).withColumn("bin", F.floor(F.log(_distance() + 1e-3) * BINS))
-        bins = near.groupBy(*by, "bin").agg(*_sums())
-        order = W.partitionBy(*by).orderBy("bin")
-        bins = bins.withColumns({"_upto": F.sum("n").over(order), "_all": F.sum("n").over(W.partitionBy(*by))})
-        inside = bins.filter(F.col("_upto") - F.col("n") < F.ceil(F.col("_all") * share))
-        est = _mean_cov(inside.groupBy(*by).agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names)), by, grow)
-    best = checkpoint(est.groupBy("pool").agg(F.min_by(F.struct(*(c for c in est.columns if c != "pool")), F.struct("logdet", "start")).alias("_b")).select("pool", "_b.*").drop("start", "n", "logdet"))
-    near = _attached(x, best, ["pool"]).filter(_distance() <= k)
-    return _mean_cov(near.groupBy("pool").agg(*_sums()), ["pool"], last)
-
-
-def judge(docs: DataFrame, tail: float = 1e-7, least_rows: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Each document's counts, base_failed, distance (null if its pool gives none) and kept.
 
-    tail: the share of a normal sample that the distance would reject; least_rows: see above.
+    def step(est: DataFrame) -> DataFrame:
+        near = _attached(x, est.drop(*_ABOVE, "logdet"), _GROUP).withColumn("bin", F.expr(f"floor(ln({_DISTANCE} + 1e-3D) * {BINS})"))
+        bins = near.groupBy(*by, "bin").agg(*_sums())
+        bins = bins.withColumns({"_upto": F.sum("n").over(W.partitionBy(*by).orderBy("bin")), "_all": F.sum("n").over(W.partitionBy(*by))})
+        inside = bins.filter(F.col("_upto") - F.col("n") < F.ceil(F.col("_all") * share)).groupBy(*by).agg(*(F.expr(f"sum({c}) AS {c}") for c in _SUMS))
+        return estimates(_attached(inside, est.select(*by, *_ABOVE), by), ["start"], grow)
+
+    est = scratch.keep(estimates(leaning(_first_sums(x), ["start"], 1.0), ["start"], 1.0), "start")
+    for i in range(2):
+        est = scratch.keep(step(est), f"both{i}")
+    est = est.groupBy(*_GROUP).agg(F.min_by(F.struct(*(c for c in est.columns if c not in _GROUP)), F.struct("logdet", "start")).alias("_b")).select(*_GROUP, "_b.*")
+    for i in range(2, most_steps):
+        after = scratch.keep(step(est), f"step{i}")
+        moved = _attached(after.select(*by, "logdet"), est.select(*by, F.col("logdet").alias("was")), by).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        est = after
+        if moved is None or moved < settled:
+            break
+    near = _attached(x, est.drop("start", "logdet", *_ABOVE), _GROUP)
+    kept = leaning(near.groupBy(*_GROUP).agg(*_sums(f"{_DISTANCE} <= {k!r}D")), [], last)
+    return scratch.keep(estimates(kept, [], last).drop("logdet", *_ABOVE), "reweighted")
+
+
+def _judged(docs: DataFrame, scratch: Scratch, tail: float, id_col: str, text_col: str, lang_col: str, source_col: str, whole: bool) -> DataFrame:
+    """Counts, base_failed, distance and kept of each row, with the row itself as _row if whole is set: it is written once, and never shuffled."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("_text"), *([F.struct("*").alias("_row")] if whole else []))
+    rows = with_counts(rows, "_text").drop("_text").withColumn("base_failed", base_failed())
+    rows = scratch.keep(rows.select("*", *vector()), "vectors")
+    est = fit(rows.filter(~F.col("base_failed")).select(*_GROUP, *(f"x{i}" for i in range(P))), scratch)
+    out = _attached(rows, est, _GROUP).withColumn("distance", F.expr(_DISTANCE))
+    kept = ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(1 - tail, P))
+    return out.withColumn("kept", F.coalesce(kept, F.lit(False)))
+
+
+def judge(docs: DataFrame, tail: float = 1e-7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """Each document's counts, base_failed, distance and kept; distance is null where all of a group fail the base rules.
+
+    tail: the share of a normal sample that the distance would reject.
     """
     with Scratch(docs.sparkSession) as scratch:
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("source"), F.col(text_col).alias("_text"))
-        rows = with_counts(rows, "_text").drop("_text").withColumn("base_failed", base_failed())
-        rows = scratch.keep(rows.select("*", *vector()), "vectors")
-        rows = _attached(rows, _pools(rows, least_rows), ["lang", "source"])
-        fitted = fit(rows.filter(~F.col("base_failed")).select("pool", *(f"x{i}" for i in range(P))))
-        usable = fitted.filter(F.col("n") >= MIN_FIT).drop("n", "logdet")
-        out = _attached(rows, usable, ["pool"]).withColumn("distance", _distance())
-        kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > chi2_quantile(1 - tail, P), F.lit(False))
-        return checkpoint(out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance"))
-
-
-def keep_good(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents that judge() keeps, with all their columns. Ids must be unique."""
-    bad = judge(docs, id_col=id_col, **how).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(bad, id_col, "left_anti")
+        out = _judged(docs, scratch, tail, id_col, text_col, lang_col, source_col, False)
+        return checkpoint(out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"))
+
+
+def keep_good(docs: DataFrame, tail: float = 1e-7, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows that judge() keeps, with all their columns. The texts are written once beside their vectors, and not shuffled."""
+    scratch = Scratch(docs.sparkSession)  # its tables are read when the result is, and deleted at the end of the session
+    return _judged(docs, scratch, tail, id_col, text_col, lang_col, source_col, True).filter("kept").select("_row.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ and that all executors share. Each attempt of a task writes files of its own nam
 Spark counted are in the capture table, so lost executors leave at most files that nothing refers to.
 
 Cases: null html is the empty payload; null urls are empty; payloads under MIN_REVISIT bytes are always stored whole;
-repeated rows are captures each (rows that share id and payload are all stored whole); control characters in urls are
-percent-encoded in headers; an empty table gives no files and no rows; other columns are ignored.
+repeated rows are captures each (rows that share id and payload are all stored whole); rows with a null id are stored
+whole and nothing refers to them; control characters in urls are percent-encoded in headers; very long payloads are
+records like others; an empty table gives no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import re
 import struct
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from lodeworks.llm.common import Scratch, checkpoint, spread
 
 MIN_REVISIT = 100
+#: What stands for a null id in the index, before all others.
+NO_ID = -(1 << 63)
 BLOCK_LINES = 3000
 FILE_BYTES = 256 << 20
 DATE = "1970-01-01T00:00:00Z"
@@ -62,12 +65,14 @@ def _header(value) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", str(value))
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
     """One WARC record, not compressed. A revisit has the HTTP header of its page but no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(i))}>"
-    head = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": name(page_id), "WARC-Date": date, "WARC-Target-URI": _header(url or ""),
-            "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http;msgtype=response", "X-Page-Id": page_id}
+    head = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": name(uuid.uuid4() if page_id is None else page_id), "WARC-Date": date,
+            "WARC-Target-URI": _header(url or ""), "WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http;msgtype=response"}
+    if page_id is not None:
+        head["X-Page-Id"] = page_id
     if refers_to is not None:
         head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": name(refers_to), "X-Refers-To-Page-Id": refers_to}
     body = http + (payload if refers_to is None else b"")
@@ -87,17 +92,18 @@ def parse(data: bytes) -> dict:
     size = int(re.search(rb"(?i)\r\nContent-Length: (\d+)", http)[1])
     whole = field["WARC-Type"] == "response"
     if whole and (len(payload) != size or f"sha256:{hashlib.sha256(payload).hexdigest()}" != field["WARC-Payload-Digest"]):
-        raise ValueError(f"record of page {field['X-Page-Id']} is damaged")
-    return {"page_id": int(field["X-Page-Id"]), "url": field["WARC-Target-URI"], "payload_bytes": size, "payload_digest": field["WARC-Payload-Digest"].removeprefix("sha256:"),
-            "record_type": field["WARC-Type"], "refers_to": int(field["X-Refers-To-Page-Id"]) if "X-Refers-To-Page-Id" in field else None, "payload": payload if whole else None}
+        raise ValueError(f"record of page {field.get('X-Page-Id')} is damaged")
+    number = lambda name: int(field[name]) if name in field else None
+    return {"page_id": number("X-Page-Id"), "url": field["WARC-Target-URI"], "payload_bytes": size, "payload_digest": field["WARC-Payload-Digest"].removeprefix("sha256:"),
+            "record_type": field["WARC-Type"], "refers_to": number("X-Refers-To-Page-Id"), "payload": payload if whole else None}
 
 
 def _writer(folder: str, most: int):
     def run(batches):
         store, base = _open(folder)
         out = name = None
-        for batch in batches:
-            rows, at = [], []
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            at = []
             for page_id, url, payload, digest, refers_to in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
@@ -148,6 +154,7 @@ def _blocks(folder: str, lines: int):
                 if out is None:
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
+                page_id = NO_ID if page_id is None else page_id
                 if not block:
                     first = (key, page_id)
                 block.append(json.dumps([key, page_id, file, offset, length]))
@@ -194,42 +201,36 @@ def _finder(folder: str, fences: list):
         for batch in batches:
             found = []
             for key, page_id in zip(batch.column("url_key").to_pylist(), batch.column("page_id").to_pylist(), strict=True):
-                low = (key, page_id if page_id is not None else -(1 << 63))
-                p = max(0, bisect_right(starts, low) - 1)
-                # From the first block that may hold it up to the first line beyond it.
-                while p < len(fences):
+                low = (key, NO_ID if page_id is None else page_id)
+                # Equal lines may begin in the part, and the block, before the first that starts with them.
+                p, beyond = max(0, bisect_left(starts, low) - 1), False
+                while p < len(fences) and not beyond:
                     if now != p:
                         now, part = p, _Part(store, f"{base}/{fences[p][2]}", fences[p][3])
-                    k, beyond = max(0, bisect_right(part.firsts, low) - 1), False
+                    k = max(0, bisect_left(part.firsts, low) - 1)
                     while k < len(part.directory) and not beyond:
                         block = part.lines(k)
-                        i = bisect_right(block, low, key=lambda x: (x[0], x[1])) - 1
-                        while i > 0 and (block[i - 1][0], block[i - 1][1]) >= low:
-                            i -= 1
-                        for line in block[max(i, 0) :]:
-                            if (line[0], line[1]) < low:
-                                continue
+                        for line in block[bisect_left(block, low, key=lambda x: (x[0], x[1])) :]:
                             if line[0] != key or (page_id is not None and line[1] != page_id):
                                 beyond = True
                                 break
-                            found.append(line)
+                            found.append([line[0], None if line[1] == NO_ID else line[1], *line[2:]])
                         k += 1
-                    if beyond:
-                        break
                     p += 1
             rows = list(zip(*found, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(rows[1], pa.int64()), pa.array(rows[0], pa.string()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64())], names=_NAMES)
     return run
 
 
-
 def find(wanted: DataFrame, folder: str, fences: list, per_task: int = 50_000) -> DataFrame:
-    """The captures of the distinct wanted (url_key, page_id) rows; a null page_id wants all captures of the key."""
+    """The captures of the distinct wanted (url_key, page_id) rows, each once; a null page_id wants all captures of the key."""
     if not fences:
         return wanted.sparkSession.createDataFrame([], _CAPTURE)
     asked = wanted.select("url_key", F.col("page_id").cast("long").alias("page_id")).distinct()
-    tasks = spread(asked.count(), per_task, 1)
-    return asked.repartitionByRange(tasks, "url_key", "page_id").sortWithinPartitions("url_key", "page_id").mapInArrow(_finder(folder, fences), _CAPTURE)
+    n, named = asked.agg(F.count("*"), F.count("page_id")).first()
+    out = asked.repartitionByRange(spread(n, per_task, 1), "url_key", "page_id").sortWithinPartitions("url_key", "page_id").mapInArrow(_finder(folder, fences), _CAPTURE)
+    # Only a key that is asked for as a whole can give a capture twice.
+    return out if n == named else out.dropDuplicates(["file", "offset"])
 
 
 _READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"

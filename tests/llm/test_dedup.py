@@ -137,14 +137,64 @@ def test_exact_dedup_equals_brute_force(spark, texts):
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
+def verdicts(df):
+    return sorted((r.doc_id, r.keep_id, r.kept) for r in df.collect())
+
+
 def test_digest_index_across_batches(spark, tmp_path):
-    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=4)
     make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
-    first = index.dedup(make([(1, "a"), (2, "a"), (3, "b")]))
-    assert sorted((r.doc_id, r.keep_id, r.kept) for r in first.collect()) == [(1, 2, False), (2, 2, True), (3, 3, True)]
-    index.close()
-    again = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=4)
-    second = again.dedup(make([(9, "a"), (10, None), (11, "")]))
-    assert sorted((r.doc_id, r.keep_id, r.kept) for r in second.collect()) == [(9, 2, False), (10, 11, False), (11, 11, True)]
-    assert again.rows().count() == 3
-    again.close()
+    with exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=4) as index:
+        first = index.dedup(make([(1, "a"), (2, "a"), (3, "b")]))
+        assert verdicts(first) == [(1, 2, False), (2, 2, True), (3, 3, True)]
+    with exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index") as again:
+        assert again.buckets == 4
+        second = again.dedup(make([(9, "a"), (10, None), (11, "")]))
+        assert verdicts(second) == [(9, 2, False), (10, 11, False), (11, 11, True)]
+        assert again.rows().count() == 3
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=3)
+
+
+def test_a_batch_that_is_given_again_gets_the_same_verdicts(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id bigint, text string")
+    want = [(1, 2, False), (2, 2, True), (3, 3, True)]
+    with exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=2) as index:
+        # Lost after its digests were written, before they were published.
+        publish = exact_dedup.DigestIndex._publish
+        monkeypatch.setattr(exact_dedup.DigestIndex, "_publish", lambda self, runs: publish(self, runs) if len(runs) == 1 else 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.dedup(docs, batch="x")
+    monkeypatch.undo()
+    with exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index") as index:
+        assert index.rows().count() == 0
+        assert verdicts(index.dedup(docs, batch="x")) == want
+        # Lost after it was published: the same batch again, and another one with the same texts.
+        assert verdicts(index.dedup(docs, batch="x")) == want
+        assert index.rows().count() == 2
+        assert [r[2] for r in verdicts(index.dedup(docs, batch="y"))] == [False] * 3
+
+
+def test_appends_are_compacted_and_scans_need_no_sort(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_RUNS", 3)
+    with exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=3) as index:
+        for k in range(5):
+            docs = spark.createDataFrame([(100 * k + i, f"text {(k + 1) * i}") for i in range(40)], "doc_id bigint, text string")
+            found = index.dedup(docs, batch=str(k))
+            seen = {f"text {(j + 1) * i}" for j in range(k) for i in range(40)}
+            assert {r.doc_id for r in found.collect() if r.kept} == {100 * k + i for i in range(40) if f"text {(k + 1) * i}" not in seen}
+        assert len(index.runs) <= 4
+        index.compact()
+        assert len(index.runs) == 1 and index.rows().count() == index.rows().select("digest").distinct().count()
+        with index._sorted_scans():
+            plan = index.unknown(exact_dedup.checkpoint(exact_dedup.digests(docs).select("digest")))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == plan.count("Sort [") == 1 and "SortMergeJoin" in plan
+
+
+def test_null_ids_and_repeated_rows_keep_each_text(spark):
+    rows = [(7, "a", 1), (7, "b", 2), (9, "b", 3), (None, "c", 4), (None, "c", 5), (None, "a", 6), (8, "d", 7), (8, "d", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, digest int")
+    kept = exact_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert found == sorted([(7, "a"), (9, "b"), (None, "c"), (8, "d")], key=str)
+    assert all(r.kept is not None for r in exact_dedup.exact_dedup(docs).collect())

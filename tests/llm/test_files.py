@@ -58,6 +58,24 @@ def test_archive_round_trip(spark, monkeypatch):
         assert warc_store.index(none, f"{scratch.path}/none") == []
 
 
+def test_all_captures_of_a_key_are_found_across_blocks_and_parts(spark):
+    """Repeated keys and ids that fill whole blocks and parts, null ids, and a very long page."""
+    rows = [(1, "http://a.example/1", "same")] * 40 + [(i, "http://a.example/1", str(i)) for i in range(2, 30)]
+    rows += [(None, "http://a.example/1", "x" * 200), (None, None, "x" * 200), (90, "http://b.example/", "x" * 200), (91, "http://c.example/", "long " * 300_000)]
+    with Scratch(spark) as scratch:
+        folder, parts = f"{scratch.path}/a", f"{scratch.path}/i"
+        made = spark.createDataFrame([(*r, "extra") for r in rows], PAGES + ", url_key string").repartition(3)
+        captures = warc_store.write(made, folder, scratch)
+        for lines in (1, 3, 100):
+            fences = warc_store.index(captures, f"{parts}{lines}", lines=lines, per_part=7)
+            found = warc_store.find(captures, f"{parts}{lines}", fences).collect()
+            assert sorted(str(r.page_id) for r in found) == sorted(str(r[0]) for r in rows)
+            some = spark.createDataFrame([("example,a)/1", 1), ("example,a)/1", 29)], "url_key string, page_id bigint")
+            assert sorted(r.page_id for r in warc_store.find(some, f"{parts}{lines}", fences).collect()) == [1] * 40 + [29]
+        kinds = {(r.page_id, r.record_type) for r in warc_store.read(warc_store.find(captures, f"{parts}{lines}", fences), folder).collect()}
+        assert {(None, "response"), (90, "response"), (91, "response")} <= kinds
+
+
 def test_url_keys():
     assert warc_store.url_key("https://www.Example.com:443/a?b#c") == "com,example,www)/a?b"
     assert warc_store.url_key("http://x.org:81/") == "org,x:81)/"
