@@ -27,6 +27,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from lodeworks.llm.common import kept_in_process
 
 SAMPLES = 2
 #: Texts, and characters, whose descents are made together.
-ROWS, CHARS = 512, 400_000
+ROWS, CHARS = 2048, 1_000_000
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -47,11 +49,16 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _uniform(key: np.ndarray, *more) -> np.ndarray:
-    """Numbers between 0 and 1, exclusive, that depend on all arguments."""
+def _mixed(key: np.ndarray, *more) -> np.ndarray:
+    """Hashes of keys and numbers."""
     for m in more:
         key = _stir(key * np.uint64(0x9E3779B97F4A7C15) + np.asarray(m).astype(np.uint64) + np.uint64(1))
-    return ((key >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+    return key
+
+
+def _uniform(key: np.ndarray, *more) -> np.ndarray:
+    """Numbers between 0 and 1, exclusive, that depend on all arguments."""
+    return ((_mixed(key, *more) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,19 +100,26 @@ class Lattices:
             self.piece[nodes[piece]], self.weight[nodes[piece]] = i, w
         self.inner = np.zeros(len(nodes), bool)
         self.inner[self.step >> 21] = True
+        # First steps, which all places take, are in a table by character.
+        self.root = np.zeros(0x110000, np.int32)
+        first = self.step < 1 << 21
+        self.root[self.step[first]] = self.to[first]
 
     def edges(self, chars: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(from, to, piece, log weight) of the edges over words side by side; end: where the word of each place ends.
 
         A piece of -1 - c stands for the bytes of character c.
         """
-        place, node, depth, out = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0, []
         alone = np.ones(len(chars), bool)
+        place, node, depth, out = np.arange(len(chars)), self.root[chars].astype(np.int64), 0, []
         while len(place):
-            key = node << 21 | chars[place + depth]
-            i = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
-            found = self.step[i] == key
-            place, node, depth = place[found], self.to[i[found]], depth + 1
+            if depth:
+                key = node << 21 | chars[place + depth]
+                i = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
+                found, to = self.step[i] == key, self.to[i]
+            else:
+                found, to = node > 0, node
+            place, node, depth = place[found], to[found], depth + 1
             hit = self.piece[node] >= 0
             out.append((place[hit], np.full(hit.sum(), depth), self.piece[node[hit]], self.weight[node[hit]]))
             if depth == 1:
@@ -126,8 +140,8 @@ class _Batch:
 
     def __init__(self, lattices: Lattices, texts: list[str], keys: np.ndarray):
         words = [lattices.words.findall(t) for t in texts]
-        number: dict[str, int] = {}
-        self.word = np.array([number.setdefault(w, len(number)) for own in words for w in own], np.int64)
+        number: dict[str, int] = defaultdict(count().__next__)
+        self.word = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64)
         self.first = np.concatenate(([0], np.cumsum([len(own) for own in words]))).astype(np.int64)
         self.keys, self.bytes = keys, lattices.bytes
         self.length = np.array([len(w) for w in number], np.int64)
@@ -151,13 +165,12 @@ class _Batch:
             if hi > lo:
                 e, f = starts[lo], starts[hi]
                 after[nodes[lo:hi]] = np.logaddexp.reduceat(weights[e:f] + after[targets[e:f]], starts[lo:hi] - e)
-        #: Where an edge leads within its word, the log of its share among its node's, and the shares up to it.
+        #: Where an edge leads within its word, the log of its share among its node's, and the shares before it.
         self.to = to - np.repeat(self.node[:-1], self.length)[source]
         self.log = np.minimum(weight + after[target] - after[source], 0.0)
-        total = np.cumsum(np.exp(self.log))
-        self.cum = total - np.concatenate(([0.0], total))[self.edge[source]]
-        self.cum[self.edge[1:] - 1] = 1.0
-        self.cum += source
+        share = np.exp(self.log)
+        before = np.cumsum(share) - share
+        self.low = np.maximum(before - before[self.edge[source]], 0.0)
 
     def descend(self, row: np.ndarray, at: np.ndarray, place: np.ndarray, turn: int):
         """Plain samples from the given places on: for each of them in order (request, word, node, edge) of each step."""
@@ -166,17 +179,19 @@ class _Batch:
         pos = np.zeros(len(req), np.int64)
         heads = (np.cumsum(size) - size)[size > 0]
         pos[heads] = place[size > 0]
-        kind, key, own = self.word[word], self.keys[row][req], word - self.first[row][req]
+        kind, key = self.word[word], _mixed(self.keys[row][req], turn, word - self.first[row][req])
         live, out, step = np.flatnonzero(pos < self.length[kind]), [], 0
         while len(live):
             k = kind[live]
             node = self.node[k] + pos[live]
-            e = self.edge[node]
-            many = np.flatnonzero(self.degree[node] > 1)
-            if len(many):
-                u = _uniform(key[live[many]], turn, own[live[many]], step)
-                at = node[many]
-                e[many] = np.minimum(np.searchsorted(self.cum, at + u, "right"), self.edge[at + 1] - 1)
+            # From the last edge of a node, mostly the likeliest, down to the one that the number falls in.
+            e = self.edge[node + 1] - 1
+            more = np.flatnonzero(self.degree[node] > 1)
+            u = _uniform(key[live[more]], step)
+            while len(more):
+                on = u < self.low[e[more]]
+                more, u = more[on], u[on]
+                e[more] -= 1
             out.append((live, node, e))
             pos[live] = self.to[e]
             live = live[pos[live] < self.length[k]]
@@ -202,27 +217,38 @@ class _Batch:
             out[rare] = np.logaddexp.reduceat(log, np.flatnonzero(np.diff(of, prepend=-1)))
         return out
 
-    def split(self, r: int, turn: int, bound: float, before: float, word: int, own: np.ndarray) -> list[tuple]:
-        """The subtrees of the paths that differ in a word from its edges own: (bound, log probability, number of own edges kept, edge).
+    def split(self, turn: int, row: np.ndarray, bound: np.ndarray, before: np.ndarray, word: np.ndarray, own: list[np.ndarray]):
+        """The subtrees of the paths that differ in a word from its edges own, of some requests together.
 
-        The first attains the bound.
+        (request, log probability, bound, number of own edges kept, edge) of each, those that attain the bounds, and the
+        first of each request.
         """
-        node = np.searchsorted(self.edge, own, "right") - 1
-        e, of = _ranges(self.edge[node], self.degree[node])
-        other = e != own[of]
-        e, of = e[other], of[other]
-        phi = before + np.concatenate(([0.0], np.cumsum(self.log[own])))[of] + self.log[e]
-        share = np.cumsum(np.exp(phi - phi.max()))
-        key, at = np.full(len(e), self.keys[r]), word - self.first[r]
-        drawn = min(int(np.searchsorted(share, share[-1] * _uniform(key[:1], turn, at, 78)[0], "right")), len(e) - 1)
-        value = _truncated(phi, np.full(len(e), bound), _uniform(key, turn, at, np.arange(len(e)), 79))
+        size = np.array([len(x) for x in own])
+        edges, of = np.concatenate(own), np.repeat(np.arange(len(own)), size)
+        node = np.searchsorted(self.edge, edges, "right") - 1
+        run = np.concatenate(([0.0], np.cumsum(self.log[edges])))
+        starts = np.cumsum(size) - size
+        e, at = _ranges(self.edge[node], self.degree[node])
+        other = e != edges[at]
+        e, at = e[other], at[other]
+        req = of[at]
+        phi = before[req] + run[at] - run[starts[req]] + self.log[e]
+        first = np.searchsorted(req, np.arange(len(own)))
+        key = _mixed(self.keys[row], turn, word - self.first[row])
+        # The one that attains the bound, by its share.
+        share = np.exp(phi - np.maximum.reduceat(phi, first)[req])
+        total = np.cumsum(share) - share
+        low = total - total[first][req]
+        u = _uniform(key, 78) * np.add.reduceat(share, first)
+        drawn = np.maximum.reduceat(np.where(low <= u[req], np.arange(len(e)), 0), first)
+        value = _truncated(phi, bound[req], _uniform(key[req], np.arange(len(e)) - first[req], 79))
         value[drawn] = bound
-        order = np.concatenate(([drawn], np.delete(np.arange(len(e)), drawn)))
-        return [(float(value[i]), float(phi[i]), int(of[i]), int(e[i])) for i in order]
+        return req, phi, value, at - starts[req], e, drawn, np.append(first, len(e))
 
-    def ids(self, path: np.ndarray) -> np.ndarray:
-        """The ids of a path's pieces, with bytes spelt out."""
-        own = self.piece[path]
+    def ids(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        """The ids of paths' pieces, with bytes spelt out."""
+        own = self.piece[np.concatenate([np.empty(0, np.int64), *paths])]
+        ends = np.cumsum([len(x) for x in paths])
         odd = own < 0
         if odd.any():
             kinds, at = np.unique(own[odd], return_inverse=True)
@@ -231,9 +257,10 @@ class _Batch:
             where, _ = _ranges((np.cumsum(size) - size)[at], size[at])
             width = np.ones(len(own), np.int64)
             width[odd] = size[at]
+            ends = np.concatenate(([0], np.cumsum(width)))[ends]
             own, odd = np.repeat(own, width), np.repeat(odd, width)
             own[odd] = np.array([self.bytes[c] for x in spelt for c in x])[where]
-        return own.astype(np.int32)
+        return np.split(own.astype(np.int32), ends[:-1])
 
 
 def _truncated(phi: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -257,13 +284,20 @@ def sample(lattices: Lattices, texts: list[str], keys: list[int], k: int = SAMPL
             break
         best = []
         for r in row.tolist():
-            i = max(range(len(heaps[r])), key=lambda i: heaps[r][i][0])
-            bound, lp, path, word, place, own = heaps[r].pop(i)
-            if own is not None:
-                first, *more = [(v, phi, np.concatenate((path, own[:j], [e])), *((word, int(b.to[e])) if b.to[e] < b.length[b.word[word]] else (word + 1, 0)), None) for v, phi, j, e in b.split(r, turn, bound, lp, word, own)]
-                heaps[r] += more
-                bound, lp, path, word, place, _ = first
-            best.append((bound, lp, path, word, place))
+            best.append(heaps[r].pop(max(range(len(heaps[r])), key=lambda i: heaps[r][i][0])))
+        need = k - turn + 1
+        cut = [i for i, x in enumerate(best) if x[5] is not None]
+        if cut:
+            took = [best[i] for i in cut]
+            _, phi, value, kept, e, drawn, first = b.split(turn, row[cut], np.array([x[0] for x in took]), np.array([x[1] for x in took]), np.array([x[3] for x in took]), [x[5] for x in took])
+            for j, (_, _, path, word, _, own) in enumerate(took):
+                value[drawn[j]] = np.inf
+                lo, hi = first[j], first[j + 1]
+                top = lo + np.argsort(-value[lo:hi])[: need + 1]
+                value[drawn[j]] = took[j][0]
+                after = [(float(value[t]), float(phi[t]), np.concatenate((path, own[: kept[t]], e[t : t + 1])), *((word, int(b.to[e[t]])) if b.to[e[t]] < b.length[b.word[word]] else (word + 1, 0)), None) for t in top.tolist()]
+                best[cut[j]] = after[0]
+                heaps[row[cut[j]]] += after[1:]
         bound, start = np.array([x[0] for x in best]), np.array([x[1] for x in best])
         req, word, node, edge = b.descend(row, np.array([x[3] for x in best], np.int64), np.array([x[4] for x in best], np.int64), turn)
         ends = np.searchsorted(req, np.arange(len(row) + 1))
@@ -280,16 +314,14 @@ def sample(lattices: Lattices, texts: list[str], keys: list[int], k: int = SAMPL
         for i, r in enumerate(row.tolist()):
             prefix, lo, hi = best[i][2], cut[i], cut[i + 1]
             out[r].append((np.concatenate((prefix, edge[ends[i] : ends[i + 1]])), float(start[i] + run[ends[i + 1]] - run[ends[i]]), float(bound[i])))
-            need = k - turn + 1
             top = np.arange(lo, hi) if hi - lo <= need else lo + np.argpartition(-value[lo:hi], need - 1)[:need]
             for t in top.tolist():
                 s = int(begin[t])
                 heaps[r].append((float(value[t]), float(before[s]), np.concatenate((prefix, edge[ends[i] : s])), int(word[s]), 0, edge[s : stop[t]]))
-    done = []
-    for r in range(rows):
-        limit = max((x[0] for x in heaps[r]), default=-math.inf)
-        done.append([(b.ids(path), lp, g, 1.0 if limit == -math.inf else -math.expm1(-math.exp(min(lp - limit, 700)))) for path, lp, g in out[r]])
-    return done
+    ids = iter(b.ids([path for own in out for path, _, _ in own]))
+    limits = [max((x[0] for x in heap), default=-math.inf) for heap in heaps]
+    chance = lambda lp, limit: 1.0 if limit == -math.inf else -math.expm1(-math.exp(min(lp - limit, 700)))
+    return [[(next(ids), lp, g, chance(lp, limit)) for _, lp, g in own] for own, limit in zip(out, limits, strict=True)]
 
 
 def _sampled(path: str, k: int, alpha: float, seed: int, carry: list[str]):
