@@ -12,24 +12,31 @@
    largest component are compared with all of the bucket, tile by tile, by sketches of up to SKETCH hashes. Sets that
    fit a sketch are compared exactly, larger ones within 5 standard deviations. A tile proposes one pair for two
    components that are surely linked, and all pairs that aren't sure; these are confirmed on full sets as well.
-5. Components by alternating large-star and small-star steps on the confirmed links.
+   A bucket in which this would take more than MOST_PAIRS comparisons, such as one of a common passage, is first cut
+   into finer ones: its key is extended by CHOSEN other groups of ROWS bins, one at a time, and so again for LEVELS
+   levels. Texts of similarity 0.8 in a bucket miss each other in all of them with probability 2e-4, and share 13
+   buckets on average, which choose their groups differently; overall that adds less than the bands' own 5e-8.
+5. Components by alternating large-star and small-star steps on the confirmed links, until nothing changes.
 
-Set sizes, links and components are exact but for the probabilities named.
+Set sizes, links and components are exact but for the probabilities named, and for 64-bit hashes that agree by chance.
 
 Cases: null, empty and wordless texts have the empty set, n_shingles 0, and are linked with nothing, not even each
-other; a text with fewer words than a shingle has one shingle, the whole sequence; ids must be unique (repeated rows
-with one id collapse into one class and yield a row each); an empty table gives no rows; other columns are ignored.
+other; a text with fewer words than a shingle has one shingle, the whole sequence; repeated rows yield a row each; texts
+that share an id are told apart, and have the component of their own text; null ids are larger than all others; very long
+texts are taken whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import Scratch, checkpoint
+from lodeworks.llm.common import MOST_SENT, Scratch, checkpoint, without
 
 BINS, BANDS, ROWS = 256, 32, 4
 _SHIFT = np.uint64(64 - 8)
@@ -40,8 +47,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 SKETCH = 512
 #: Rows on one side of a tile.
 TILE = 1024
-#: Ids of texts to compare that are sent to every task at most; more are joined by a shuffle.
-MOST_SENT = 1_000_000
+#: Comparisons that a bucket is swept with at most before it is cut into finer ones, and how that is done.
+MOST_PAIRS, CHOSEN, LEVELS = 4 * TILE * TILE, 16, 3
 
 
 class _Hashes(dict):
@@ -86,29 +93,28 @@ def signature(sets: np.ndarray) -> np.ndarray:
     return value
 
 
-def band_keys(value: np.ndarray) -> np.ndarray:
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in value[: BANDS * ROWS].reshape(BANDS, ROWS).T:
+def band_keys(value: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    key = np.arange(1, bands + 1, dtype=np.uint64)
+    for column in value[: bands * ROWS].reshape(bands, ROWS).T:
         key = _stir(key * _MIX + column)
     return key.view(np.int64)
 
 
-_SIGNED = "doc_id bigint, n_shingles bigint, set_hash bigint, keys array<bigint>"
+def set_hash(sets: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(sets.tobytes()) - (1 << 63)
+
+
+_SIGNED = "doc_id bigint, text_hash bigint, n_shingles bigint, rep bigint, keys array<bigint>"
 
 
 def _signed(size: int):
     def run(batches):
         hashes = _Hashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for lo in range(0, batch.num_rows, 512):
-                n, whole, keys = [], [], []
-                for text in texts.slice(lo, 512).to_pylist():
-                    s = shingle_set(text, size, hashes)
-                    n.append(len(s))
-                    whole.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-                    keys.append(band_keys(signature(s)) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, 512), pa.array(n, pa.int64()), pa.array(whole, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_hash", "keys"])
+            for part in (batch.slice(lo, 512) for lo in range(0, batch.num_rows, 512)):
+                sets = [shingle_set(text, size, hashes) for text in part.column(2).to_pylist()]
+                made = [[len(s) for s in sets], [set_hash(s) if len(s) else None for s in sets], [band_keys(signature(s)) if len(s) else None for s in sets]]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True))], names=["doc_id", "text_hash", "n_shingles", "rep", "keys"])
     return run
 
 
@@ -118,15 +124,18 @@ def sketch(sets: np.ndarray) -> np.ndarray:
     return own[:SKETCH]
 
 
-def _shingled(size: int, short: bool = False):
-    """Documents to their full sets, or to sketches."""
+#: What texts are shingled again for: their full sets, sketches of these, or keys of all groups of bins.
+_AGAIN = {"whole": lambda s: s.tobytes(), "sketch": lambda s: sketch(s).tobytes(), "finer": lambda s: band_keys(signature(s), BINS // ROWS).tobytes()}
+
+
+def _shingled(size: int, what: str):
+    """Documents to (rep, what is asked for, as bytes)."""
     def run(batches):
-        hashes = _Hashes()
+        hashes, make = _Hashes(), _AGAIN[what]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                sets = [shingle_set(text, size, hashes) for text in batch.column(1).slice(lo, 512).to_pylist()]
-                sets = [(sketch(x) if short else x).tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+            for part in (batch.slice(lo, 512) for lo in range(0, batch.num_rows, 512)):
+                sets = [s for text in part.column("text").to_pylist() if len(s := shingle_set(text, size, hashes))]
+                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([make(s) for s in sets], pa.binary())], names=["rep", "shingles"])
     return run
 
 
@@ -146,11 +155,12 @@ def _overlap(batches):
         yield pa.RecordBatch.from_arrays([a, b, pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
 
 
-def _sets(texts: DataFrame, named: DataFrame, size: int, short: bool = False) -> DataFrame:
-    """rep and the full set, or the sketch, of the texts whose ids are in named (rep, distinct); only these are shingled again."""
-    named = checkpoint(named.withColumnRenamed("rep", "doc_id"))
-    own = texts.join(F.broadcast(named) if named.count() <= MOST_SENT else named, "doc_id", "left_semi")
-    return own.mapInArrow(_shingled(size, short), "rep bigint, shingles binary").dropDuplicates(["rep"])
+def _sets(texts: DataFrame, reps: DataFrame, named: DataFrame, size: int, what: str = "whole") -> DataFrame:
+    """rep and what is asked for of the classes in named (rep, distinct); one text of each is shingled again."""
+    where = checkpoint(reps.join(named, "rep", "left_semi").select("doc_id", "text_hash"))
+    where = F.broadcast(where) if where.count() <= MOST_SENT else where
+    same = texts["doc_id"].eqNullSafe(where["doc_id"]) & (texts["text_hash"] == where["text_hash"])
+    return texts.join(where, same, "left_semi").select("text").mapInArrow(_shingled(size, what), "rep bigint, shingles binary").dropDuplicates(["rep"])
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -158,13 +168,13 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, p
     sizes = reps.select("rep", "n_shingles")
     fit = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb")), "b")
     fit = checkpoint(fit.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"))
-    sets = scratch.keep(_sets(texts, fit.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), size), f"{name}_sets")
+    sets = scratch.keep(_sets(texts, reps, fit.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), size), f"{name}_sets")
     both = fit.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     return scratch.keep(both.mapInArrow(_overlap, "a bigint, b bigint, both bigint, either bigint").filter(100 * F.col("both") >= percent * F.col("either")).select("a", "b"), name)
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for the nodes of the undirected links (a, b): the smallest id that is reachable.
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for the nodes of the undirected links (a, b): the smallest node that is reachable.
 
     Large-star and small-star steps alternate until nothing changes; each is a few shuffles of the links.
     """
@@ -174,7 +184,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     before = mark(links)
-    for _ in range(most_rounds):
+    while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
         large = links.join(low, links["v"] == low["n"]).select("u", "m").union(links.join(low, links["u"] == low["n"]).filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("m")))
@@ -187,8 +197,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     roots = links.groupBy("u").agg(F.min("v").alias("root"))
     return checkpoint(roots.select(F.col("u").alias("node"), "root").union(roots.select("root", "root").distinct()))
 
@@ -247,56 +255,95 @@ def _tile(percent: int):
     return run
 
 
-def _left_over(buckets: DataFrame, reps: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+def _mixed(named: DataFrame) -> DataFrame:
+    """bucket, rows, main (its largest component) and probes (rows outside that) of the buckets with several components."""
+    sizes = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    by = sizes.groupBy("bucket").agg(F.max(F.struct("n", F.col("comp").alias("c"))).alias("top"), F.sum("n").alias("rows"), F.count("*").alias("comps"))
+    return by.filter("comps > 1").select("bucket", "rows", F.col("top.c").alias("main"), (F.col("rows") - F.col("top.n")).alias("probes"))
+
+
+def _finer(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of buckets cut into finer ones by CHOSEN groups of bins, a quarter of all; which quarter depends on the bucket."""
+    step = BINS // ROWS // CHOSEN
+    of = F.sequence(F.pmod(F.xxhash64(F.lit(3), "bucket"), F.lit(step)).cast("int"), F.lit(BINS // ROWS - 1), F.lit(step))
+    cut = rows.join(keys, "rep").select("rep", "band", "comp", "bucket", "finer", F.explode(of).alias("j"))
+    cut = cut.select("rep", "band", "comp", F.xxhash64("bucket", "j", F.get("finer", F.col("j"))).alias("bucket"))
+    shared = cut.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    return cut.join(shared, "bucket", "left_semi").select("bucket", "band", "rep", "comp")
+
+
+def _left_over(buckets: DataFrame, reps: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int, scratch: Scratch, report: dict) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and whose sketches may reach the threshold."""
     named = buckets.join(roots, buckets["rep"] == roots["node"], "left").select("bucket", "band", "rep", F.coalesce("root", "rep").alias("comp"))
-    sizes = named.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    mixed = checkpoint(sizes.groupBy("bucket").agg(F.max(F.struct("n", -F.col("comp"))).alias("top"), F.sum("n").alias("rows"), F.count("*").alias("comps")).filter("comps > 1").select("bucket", "rows", (-F.col("top.col2")).alias("main"), (F.col("rows") - F.col("top.n")).alias("probes")))
-    inside = scratch.keep(named.join(mixed, "bucket").withColumns({"probe": F.col("comp") != F.col("main"), "h": F.abs(F.xxhash64("rep"))}), "mixed")
+    swept, keys = [], None
+    for level in range(LEVELS + 1):
+        mixed = scratch.keep(_mixed(named), f"mixed{level}")
+        large = (F.col("rows") * F.col("probes") > MOST_PAIRS) & F.lit(level < LEVELS)
+        inside = scratch.keep(named.join(mixed, "bucket"), f"inside{level}")
+        swept.append(inside.filter(~large))
+        rest = inside.filter(large).select("bucket", "band", "rep", "comp")
+        if level == LEVELS or rest.isEmpty():
+            break
+        if keys is None:
+            own = _sets(texts, reps, rest.select("rep").distinct(), size, "finer")
+            # 64-bit numbers out of their bytes.
+            numbers = F.transform(F.sequence(F.lit(0), F.lit(BINS // ROWS - 1)), lambda i: F.xxhash64(F.substring("shingles", i * 8 + 1, F.lit(8))))
+            keys = scratch.keep(own.select("rep", numbers.alias("finer")), "finer_keys")
+        named = scratch.keep(_finer(rest, keys), f"finer{level}")
+    report["swept_pairs"] = sum(scratch.spark.read.parquet(f"{scratch.path}/mixed{k}").filter(F.lit(k == LEVELS) | (F.col("rows") * F.col("probes") <= MOST_PAIRS)).agg(F.coalesce(F.sum(F.col("rows") * F.col("probes")), F.lit(0))).first()[0] for k in range(len(swept)))
+    inside = reduce(DataFrame.unionByName, swept).withColumns({"probe": F.col("comp") != F.col("main"), "h": F.abs(F.xxhash64("rep"))})
     # Probes and targets of a bucket are dealt into tiles of about TILE by TILE.
     cut = inside.withColumns({"np": F.ceil(F.col("probes") / TILE).cast("int"), "nt": F.ceil(F.col("rows") / TILE).cast("int")})
     probes = cut.filter("probe").select("bucket", "band", "rep", "comp", F.lit(True).alias("p_side"), (F.col("h") % F.col("np")).cast("int").alias("pt"), F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("tt"))
     targets = cut.select("bucket", "band", "rep", "comp", F.lit(False).alias("p_side"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("pt"), (F.col("h") % F.col("nt")).cast("int").alias("tt"))
-    own = inside.select("rep").distinct()
-    sketches = reps.select("rep", F.col("n_shingles").alias("n"), "keys").join(scratch.keep(_sets(texts, own, size, short=True), "sketches"), "rep")
+    sketches = reps.select("rep", F.col("n_shingles").alias("n"), "keys").join(scratch.keep(_sets(texts, reps, inside.select("rep").distinct(), size, "sketch"), "sketches"), "rep")
     dealt = probes.unionByName(targets).join(scratch.keep(sketches, "tile_rows"), "rep")
     return dealt.groupBy("bucket", "pt", "tt").applyInArrow(_tile(percent), "a bigint, b bigint").distinct()
 
 
-def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's n_shingles and component_id, linking texts that share percent of the union of their shingles of size words."""
+def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, report: dict) -> DataFrame:
     with Scratch(docs.sparkSession) as scratch:
-        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        text = F.col(text_col).cast("string")
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
         signed = scratch.keep(texts.mapInArrow(_signed(size), _SIGNED), "signed")
         full = signed.filter("n_shingles > 0")
-        # Sets with one hash and one size are taken as equal.
-        classes = scratch.keep(full.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-        own = full.select("doc_id", "keys").join(classes.select(F.col("rep").alias("doc_id"), "n_shingles"), "doc_id")
-        reps = scratch.keep(own.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "reps")
+        # Equal sets have one hash: they are a class, which one of their texts stands for.
+        one = full.groupBy("rep").agg(F.first(F.struct("doc_id", "text_hash", "n_shingles", "keys")).alias("one"))
+        reps = scratch.keep(one.select("rep", "one.*"), "reps")
         rows = reps.select("rep", F.posexplode("keys").alias("band", "bucket"))
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
         buckets = scratch.keep(rows.join(sizes, "bucket"), "buckets")
         degree = buckets.groupBy("rep").agg(F.sum("n").alias("degree"))
-        centres = buckets.join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", -F.col("rep"))).alias("top")).select("bucket", (-F.col("top.col2")).alias("centre"))
+        centres = buckets.join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", "rep")).alias("top")).select("bucket", F.col("top.rep").alias("centre"))
         centres = scratch.keep(centres, "centres")
         stars = buckets.join(centres, "bucket").filter("rep <> centre").select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
         links = _confirmed(stars, reps, texts, size, percent, scratch, "star_links")
         roots = components(links)
-        more = _confirmed(_left_over(buckets, reps, roots, texts, size, percent, scratch), reps, texts, size, percent, scratch, "more_links")
+        more = _confirmed(_left_over(buckets, reps, roots, texts, size, percent, scratch, report), reps, texts, size, percent, scratch, "more_links")
         if not more.isEmpty():
             roots = components(links.union(more))
-        named = classes.join(roots, classes["rep"] == roots["node"], "left").select("set_hash", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
-        out = full.select("doc_id", "set_hash", "n_shingles").join(named, ["set_hash", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-        return checkpoint(out.union(signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
+        least = full.groupBy("rep").agg(F.min("doc_id").alias("least"))
+        named = scratch.keep(least.join(roots, least["rep"] == roots["node"], "left").select("rep", "least", F.coalesce("root", "rep").alias("root")), "named")
+        groups = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("rep", "component_id")
+        out = full.select("doc_id", "text_hash", "n_shingles", "rep").join(scratch.keep(groups, "groups"), "rep").select("doc_id", "text_hash", "n_shingles", "component_id")
+        return checkpoint(out.union(signed.filter("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))))
+
+
+def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
+    """Each document's n_shingles and component_id, linking texts that share percent of the union of their shingles of size words.
+
+    report: gets swept_pairs, the comparisons that step 4 may have made.
+    """
+    return _grouped(docs, size, percent, id_col, text_col, {} if report is None else report).drop("text_hash")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """One document of each group, the one with the smallest id, with all its columns."""
-    away = near_groups(docs, id_col=id_col, **how).filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(away, id_col, "left_anti")
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, the one with the smallest id, with all its columns. Of texts that share that id all stay."""
+    away = _grouped(docs, size, percent, id_col, text_col, {}).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash")
+    return without(docs, {"doc_id": F.col(id_col).cast("long"), "text_hash": F.xxhash64(F.col(text_col).cast("string"))}, away)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that are linked by four-word shingles."""
     groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4)
-    return groups.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

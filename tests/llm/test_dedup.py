@@ -81,9 +81,45 @@ def test_leftovers_are_found_in_small_tiles(spark, texts, monkeypatch):
     assert found == brute_groups(rows, 4)
 
 
+def test_large_buckets_are_cut_into_finer_ones(spark, texts, monkeypatch):
+    """The same with a bound on comparisons that nearly all mixed buckets exceed."""
+    monkeypatch.setattr(near_dedup, "MOST_PAIRS", 2)
+    kept = near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, reps, docs, size, percent, scratch, name: kept(pairs.limit(0) if name == "star_links" else pairs, reps, docs, size, percent, scratch, name))
+    rows = texts[:90]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs, size=4).collect()}
+    assert found == brute_groups(rows, 4)
+
+
+def test_a_bucket_of_many_singletons_is_not_swept_whole(spark, monkeypatch):
+    """20,000 unlike texts that all share one more bucket, as by a common passage, and some near copies among them."""
+    r = random.Random(8)
+    rows = [(i, " ".join(words(r, 24))) for i in range(20_000)]
+    copied = r.sample(range(20_000), 40)
+    rows += [(20_000 + k, rows[i][1] + " more") for k, i in enumerate(copied)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    left_over = near_dedup._left_over
+
+    def with_one_more(buckets, reps, *rest):
+        common = reps.selectExpr("5L AS bucket", "0 AS band", "rep")
+        return left_over(buckets.select("bucket", "band", "rep").unionByName(common), reps, *rest)
+
+    monkeypatch.setattr(near_dedup, "_left_over", with_one_more)
+    report = {}
+    found = {x.doc_id: x.component_id for x in near_dedup.near_groups(docs, size=4, report=report).collect()}
+    assert found == {**{i: i for i in range(20_000)}, **{20_000 + k: i for k, i in enumerate(copied)}}
+    assert report["swept_pairs"] < 20_000 * 20_000 / 1000
+
+
 def test_repeated_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g")] * 3 + [(2, "a b c d e f g")], "doc_id bigint, text string")
     assert sorted((r.doc_id, r.component_id) for r in near_dedup.near_groups(docs).collect()) == [(1, 1)] * 3 + [(2, 1)]
+    # Two texts with one id, null ids, a near copy of one of them, and a clashing column.
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    odd = spark.createDataFrame([(7, long, 1), (7, "something else that is not like it", 2), (9, long + " x", 3), (None, long, 4), (None, None, 5), (None, "a text of its own here", 6)], "doc_id bigint, text string, rep int")
+    assert sorted(((r.doc_id, r.component_id) for r in near_dedup.near_groups(odd).collect()), key=str) == sorted([(7, 7), (7, 7), (9, 7), (None, 7), (None, None), (None, None)], key=str)
+    assert sorted(r.rep for r in near_dedup.keep_one(odd).collect()) == [1, 2, 5, 6]
     assert near_dedup.near_groups(docs.limit(0)).count() == 0
     assert near_dedup.keep_one(docs.limit(0)).columns == docs.columns
 
