@@ -11,7 +11,7 @@ NC, SA, Lesser); of templates that match the same words the best covered stays.
 Each text is scanned alone, whole, with memory in proportion to it: no shuffle.
 
 Cases: null and empty texts match nothing; case and punctuation don't matter; texts that repeat a notice get a row for
-each place; rows with equal ids are scanned each; ties between alignments go to the one that ends first; an empty table
+each place; rows with equal or null ids are scanned each; a candidate yields one alignment, its best; ties between alignments go to the one that ends first; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -117,6 +117,10 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
 
     A match counts 2, a gap or mismatch -1; rows are template words, and only the band of each is computed.
     """
+    # Most notices are whole: then nothing can score higher than the first of the exact places.
+    for at in range(max(0, low), min(high, len(text) - len(template)) + 1):
+        if text[at] == template[0] and (text[at : at + len(template)] == template).all():
+            return len(template), at, at + len(template)
     width = high - low + 1
     score, start, hits = np.zeros(width, int), np.zeros(width, int), np.zeros(width, int)
     best = (0, 0, 0, 0)

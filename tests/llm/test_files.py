@@ -271,6 +271,88 @@ def test_alignment_equals_the_full_one():
         assert (best > 0) == (n > 0) and 2 * n >= best and 0 <= first <= end <= len(b)
 
 
+def test_long_odd_pages_take_time_in_proportion():
+    import time
+
+    for page in ("<a " * 350_000, "<a \"" * 250_000, "<a \">\"" * 150_000, "<a '\">" * 150_000, "<!--" * 250_000, "<" * 1_000_000, "<script>" * 120_000, "<p" * 300_000 + ">", "<![CDATA[" * 100_000):
+        began = time.process_time()
+        html_text.blocks(page)
+        assert time.process_time() - began < 10, page[:20]
+
+
+def test_scripts_go_and_formulas_stay():
+    page = "<article><p>before</p><script src=x />var leaked=1;</script><p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p><svg><title>t</title><text>label</text></svg><style>p{}</style><p title='a>b'>after &amp; on</p></article>"
+    assert html_text.main_text(page) == "before\na x=2 b\nlabel\nafter & on"
+    assert html_text.main_text("<p>kept <b class=x'>bold</b> end</p>") == "kept bold end"
+    assert html_text.main_text("<p>open <script>never closed <p>gone") == "open"
+
+
+def test_repeated_runs_equal_those_of_all_substrings(spark):
+    """Every run of a small host's pages, counted page by page."""
+    r = random.Random(3)
+    vocabulary = ["w" + str(i) for i in range(300)]
+    common = [" ".join(r.choices(vocabulary, k=12)) for _ in range(6)]
+    rows, streams = [], []
+    for i in range(40):
+        parts = [" ".join(r.choices(vocabulary, k=r.randint(5, 30))) for _ in range(3)] + r.sample(common, r.randint(0, 3))
+        r.shuffle(parts)
+        rows.append((i, f"http://h.example/{i}", "<article>" + "".join(f"<p>{x}</p>" for x in parts) + "</article>"))
+        streams.append(" ".join(parts).split())
+    need, counts = max(html_text.LEAST_PAGES, math.ceil(len(rows) * html_text.SHARE)), defaultdict(set)
+    for i, words in enumerate(streams):
+        for k in range(len(words) - 4):
+            counts[tuple(words[k : k + 5])].add(i)
+    host = html_text._MAIN_OF + "h.example"
+    want = {int(html_text.run_hashes(html_text._hashed(list(run)), 5, host)[0]) for run, on in counts.items() if len(on) >= need}
+    pages = spark.createDataFrame([(*x, "h.example") for x in rows], "page_id bigint, url string, html string, host string")
+    with Scratch(spark) as scratch:
+        for group in (300, 7):
+            html_text.GROUP, before = group, html_text.GROUP
+            try:
+                found = {x.run for x in html_text.repeated_runs(pages, scratch).collect() if x.host == host}
+            finally:
+                html_text.GROUP = before
+            assert found == want and want
+
+
+def test_scan_equals_a_search_by_alignment_alone(spark):
+    """All templates aligned with all of each text, without fingerprints, finds the same licenses."""
+    r = random.Random(12)
+    names = ["MIT-line", "CC-BY-4.0-line", "GPL-3.0-header", "Apache-2.0-line", "MPL-2.0-header", "LGPL-2.1-header"]
+    rows, want = [], {}
+    for i in range(40):
+        own = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(r.randint(0, 60))]
+        if i % 3:
+            name = r.choice(names)
+            notice = licenses.TEMPLATES[name].split()
+            if i % 3 == 2:
+                notice.insert(len(notice) // 2, "also")
+            at = r.randint(0, len(own))
+            own[at:at] = notice
+        rows.append((i, " ".join(own)))
+    own = {n: licenses.TEMPLATES[n] for n in names}
+    scanner = licenses.Scanner(own)
+    for i, text in rows:
+        h = scanner._hashed(text)
+        hits = {n for n, t in zip(scanner.names, scanner.hashes, strict=True) if (k := licenses.align(t, h, -len(t), len(h))[0]) >= licenses.LEAST * len(t) and licenses.allowed(n, len(t), text.lower())} if len(h) else set()
+        want[i] = hits
+    docs = spark.createDataFrame([*((i, t, 1) for i, t in rows), (None, None, 2), (99, "", 3)], "doc_id bigint, text string, start int")
+    found = defaultdict(set)
+    for x in licenses.scan(docs, own).collect():
+        found[x.doc_id].add(x.license)
+    assert {i: found[i] for i, _ in rows} == want and sum(map(bool, want.values())) >= 25
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_many_notices_in_one_long_text_are_quick():
+    import time
+
+    text = " ".join(["Some words before it.", licenses.TEMPLATES["GPL-3.0-header"]] * 1200)
+    began = time.process_time()
+    found = licenses.Scanner(licenses.TEMPLATES).scan(text)
+    assert sum(x[0] == "GPL-3.0-header" for x in found) == 1200 and time.process_time() - began < 60
+
+
 # ---- pieces
 
 
