@@ -1,12 +1,12 @@
 """Build logs to error events.
 
-A parser takes the rows of stream() that it supports and returns candidates with the columns of CANDIDATE; the registry
-holds them by priority. Whole-log parsers are expressions on the log text; the stateful one works on lines.
+A log is a sequence of lines. For each tool a grammar says which lines head a record and which lines below tell the
+place, as patterns with named fields. All grammars are applied to all lines in one pass; only lines that some grammar
+knows are shuffled, once, to put records together. What a failed step's logs give no record for yields one generic event.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,142 +17,148 @@ from pyspark.sql import functions as F
 from lodeworks.functions import text as T
 from lodeworks.functions.hashing import fingerprint
 from lodeworks.functions.paths import relativize
-from lodeworks.operators.sequence import forward_fill
 
 #: Columns that identify a log and its step.
 CONTEXT = ["run_id", "step_id", "ordinal", "status", "allow_failure", "exit_code", "source_root", "lab_root"]
-CANDIDATE = [*CONTEXT, "parser", "priority", "tool", "category", "severity", "message", "file", "line", "col", "rule", "code", "plugin", "raw_excerpt", "confidence", "log", "position"]
-
-
-def streams(step_logs: DataFrame) -> DataFrame:
-    """A row for each log of a step (0 standard output, 1 standard error), normalised, with both texts together as all."""
-    both = F.concat_ws("\n", F.coalesce("stdout", F.lit("")), F.coalesce("stderr", F.lit("")))
-    logs = F.array(*(F.struct(F.lit(i).alias("log"), T.normalize_log(F.coalesce(F.col(c), F.lit(""))).alias("text")) for i, c in enumerate(("stdout", "stderr"))))
-    return step_logs.select(*CONTEXT, both.alias("all"), F.explode(logs).alias("_l")).select(*CONTEXT, "all", "_l.log", "_l.text").filter(F.length(F.trim("text")) > 0)
-
-
-def _group(text: Column, pattern: str, group: int) -> Column:
-    """A group of the first match, null if there is none or it is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-
-
-def _candidate(rows: DataFrame, parser: str, priority: int, tool: str, category: Column | str, **values: Column) -> DataFrame:
-    kinds = {"line": "int", "col": "int", "position": "int"}
-    given = {"severity": F.lit("error"), "confidence": F.lit("high"), "position": F.lit(0), **values}
-    column = lambda n: given.get(n, F.lit(None)).cast(kinds.get(n, "string")).alias(n)
-    category = F.lit(category) if isinstance(category, str) else category
-    fixed = {"parser": F.lit(parser), "priority": F.lit(priority), "tool": F.lit(tool), "category": category}
-    return rows.select(*(fixed[n].alias(n) if n in fixed else F.col(n) if n in CONTEXT or n == "log" else column(n) for n in CANDIDATE))
-
-
-def eslint(logs: DataFrame) -> DataFrame:
-    """Diagnostics below the name of the file they are in."""
-    lines = logs.select(*CONTEXT, "log", F.posexplode(F.split("text", "\n")).alias("position", "s"))
-    t = F.trim("s")
-    header = F.when(~t.rlike(r"^\d+[:：]") & t.rlike(r"(?:[A-Za-z]:[\\/]|/).+\.[cm]?[jt]sx?$"), t)
-    lines = forward_fill(lines, ["run_id", "step_id", "ordinal", "log"], ["position"], header, "_file")
-    ruled, plain = r"^\s*(\d+):(\d+)\s+(error|warning)\s+(.+?)\s{2,}(\S+)\s*$", r"^\s*(\d+):(\d+)\s+(error|warning)\s+(.+?)\s*$"
-    s, has_rule = F.col("s"), F.col("s").rlike(ruled)
-    pick = lambda g: F.when(has_rule, F.regexp_extract(s, ruled, g)).otherwise(F.regexp_extract(s, plain, g))
-    rows = lines.filter(s.rlike(plain) & header.isNull())
-    return _candidate(rows, "eslint", 100, "eslint", "lint", severity=pick(3), message=F.trim(pick(4)), file=F.col("_file"), line=pick(1), col=pick(2), rule=F.when(has_rule, F.regexp_extract(s, ruled, 5)),
-                      raw_excerpt=F.trim(F.concat_ws("\n", F.col("_file"), s)), position=F.col("position"))
-
-
-def sass(logs: DataFrame) -> DataFrame:
-    text, error = F.col("text"), r"(?i)(?:\[sass\]\s*)?Error:\s*([^\n]+)"
-    root = r"(?i)((?:[A-Za-z]:[\\/]|/)[^\n]+?\.s[ac]ss)\s+(\d+):(\d+)\s+root stylesheet"
-    loose = r"(?i)(?:file:\s*)?((?:[A-Za-z]:[\\/]|/)[^\n?]+?\.s[ac]ss)(?:\?[^\s]*)?(?:\s+(\d+):(\d+)\s+root stylesheet)?"
-    at = lambda g: F.coalesce(_group(text, root, g), _group(text, loose, g))
-    start = F.greatest(F.lit(1), F.regexp_instr(text, F.lit(error)) - 80)
-    return _candidate(logs.filter(text.rlike(error)), "sass", 95, "sass", "style", message=F.trim(_group(text, error, 1)), file=at(1), line=at(2), col=at(3), plugin=_group(text, r"(?i)\[(vite:[^\]]+)\]\s*\[sass\]", 1), raw_excerpt=F.substring(text, start, F.lit(1000)))
-
-
-def vite(logs: DataFrame) -> DataFrame:
-    text = F.col("text")
-    resolve = r"(?i)(?:\[plugin:([^\]]+)\]\s*)?Failed to resolve import\s+([^\n]+?)(?:\s+from\s+[\"']([^\"']+)[\"'])?(?:\.|$)"
-    rollup = r"(?i)(?:RollupError:\s*)?(Could not resolve\s+[\"'][^\"']+[\"'](?:\s+from\s+[\"']([^\"']+)[\"'])?)"
-    build = r"(?i)error during build:\s*\n?([^\n]+)"
-    detail = F.coalesce(F.trim(_group(text, build, 1)), F.lit("Vite build failed"))
-    is_resolve, is_rollup = text.rlike(resolve), text.rlike(rollup)
-    is_build = text.rlike("(?i)error during build:") & ~text.rlike(r"(?i)\[sass\]|stylesheet to import|SassError")
-    pick = lambda a, b, c: F.when(is_resolve, a).when(is_rollup, b).otherwise(c)
-    none = F.lit(None).cast("string")
-    return _candidate(logs.filter(is_resolve | is_rollup | is_build), "vite", 90, "vite", F.when(is_resolve | is_rollup, "module-resolution").otherwise("build"),
-                      message=pick(F.concat(F.lit("Failed to resolve import "), F.trim(F.regexp_extract(text, resolve, 2))), _group(text, rollup, 1), detail),
-                      file=pick(F.coalesce(_group(text, resolve, 3), _group(text, r"(?i)\nfile:\s*([^\n?]+)", 1)), _group(text, rollup, 2), none),
-                      plugin=pick(_group(text, resolve, 1), F.lit("rollup"), _group(detail, r"\[([^\]]+)\]", 1)),
-                      raw_excerpt=pick(_group(text, resolve, 0), _group(text, rollup, 0), detail), confidence=F.when(is_resolve | is_rollup, "high").otherwise("medium"))
-
-
-def typescript(logs: DataFrame) -> DataFrame:
-    one = r"(?m)^(.+?)(?:\((\d+),(\d+)\):|:(\d+):(\d+)\s+-)\s*error\s+(TS\d+):\s*(.+)$"
-    rows = logs.select(*CONTEXT, "log", F.posexplode(F.regexp_extract_all("text", F.lit(one.replace("(?m)^", "(?m)(^", 1) + ")"), 1)).alias("position", "m"))
-    m = F.col("m")
-    at = lambda a, b: F.coalesce(_group(m, one, a), _group(m, one, b))
-    return _candidate(rows, "typescript", 85, "typescript", "typecheck", message=F.trim(_group(m, one, 7)), file=F.trim(_group(m, one, 1)), line=at(2, 4), col=at(3, 5), code=_group(m, one, 6), raw_excerpt=m, position=F.col("position"))
-
-
-def node(logs: DataFrame) -> DataFrame:
-    text = F.col("text")
-    missing, general = r"Error:\s*Cannot find module\s+['\"]([^'\"]+)['\"]", r"\b((?:Type|Reference|Syntax|Range)?Error):\s*([^\n]+)"
-    frame = r"(?m)^\s*at\s+.*?\(?((?:[A-Za-z]:[\\/]|/)[^\n():]+):(\d+):(\d+)\)?$"
-    own = F.filter(F.regexp_extract_all(text, F.lit(frame.replace("(?m)^", "(?m)(^", 1) + ")"), 1), lambda f: ~F.regexp_extract(f, frame, 1).rlike("(?i)node_modules|node:internal"))
-    first = F.get(own, F.lit(0))
-    is_missing = text.rlike(missing)
-    start = F.greatest(F.lit(1), F.regexp_instr(text, F.when(is_missing, F.lit(missing)).otherwise(F.lit(general))))
-    return _candidate(logs.filter(is_missing | text.rlike(general)), "node", 80, "node", "runtime",
-                      message=F.when(is_missing, F.concat(F.lit("Cannot find module '"), F.regexp_extract(text, missing, 1), F.lit("'"))).otherwise(F.concat(F.regexp_extract(text, general, 1), F.lit(": "), F.trim(F.regexp_extract(text, general, 2)))),
-                      file=_group(first, frame, 1), line=_group(first, frame, 2), col=_group(first, frame, 3), code=F.when(is_missing, "MODULE_NOT_FOUND"), raw_excerpt=F.substring(text, start, F.lit(1000)))
-
-
-def package_manager(logs: DataFrame) -> DataFrame:
-    """The first line of each distinct failure code; the exit code if there is none."""
-    text = F.col("text")
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(ERR_PNPM_[A-Z0-9_]+|ELIFECYCLE)\b"), 1))
-    exit_code = F.when(F.size(codes) == 0, _group(text, r"(?i)Command failed with exit code\s+(\d+)", 1))
-    found = F.when(F.size(codes) > 0, codes).when(exit_code.isNotNull(), F.array(F.concat(F.lit("EXIT_"), exit_code)))
-    rows = logs.select(*CONTEXT, "log", "text", F.posexplode(found).alias("position", "code"))
-    line = F.trim(F.substring_index(F.expr("substring(text, instr(text, code))"), "\n", 1))
-    said = F.when(F.startswith("code", F.lit("EXIT_")), F.concat(F.lit("Command failed with exit code "), F.substring("code", 6, 20))).otherwise(line)
-    return _candidate(rows, "pnpm-lifecycle", 30, "pnpm", "lifecycle", message=said, code=F.col("code"), raw_excerpt=said, confidence=F.lit("medium"), position=F.col("position"))
+#: What patterns may name, besides those.
+FIELDS = ["severity", "message", "file", "line", "col", "rule", "code", "plugin"]
+CANDIDATE = [*CONTEXT, "parser", "priority", "tool", "category", *FIELDS, "raw_excerpt", "confidence", "log", "position"]
+_LOG = ["run_id", "step_id", "ordinal", "log"]
 
 
 @dataclass(frozen=True)
-class Parser:
+class Pattern:
+    """A regular expression over a line, without the white space around it, and what its groups are.
+
+    fixed: values of fields that the line doesn't spell out. pair: it is matched against the line and the next one.
+    """
+
+    regex: str
+    groups: tuple[str, ...] = ()
+    fixed: tuple[tuple[str, str], ...] = ()
+    pair: bool = False
+
+    def fields(self) -> Column:
+        """The fields of a line that the pattern matches, null for other lines."""
+        text = F.concat_ws("\n", F.trim("line"), F.trim("next")) if self.pair else F.trim("line")
+        found = {g: F.nullif(F.trim(F.regexp_extract(text, self.regex, i + 1)), F.lit("")) for i, g in enumerate(self.groups)}
+        found |= {name: F.lit(value) for name, value in self.fixed}
+        return F.when(text.rlike(self.regex), F.struct(*(found.get(f, F.lit(None)).cast("string").alias(f) for f in FIELDS)))
+
+
+@dataclass(frozen=True)
+class Grammar:
+    """How a tool writes its errors.
+
+    one_for: "head", a record is an event, which has its first place if there is one; "place", each place below a head is
+    an event. needs_place: a head without a place is no event. once: of heads with one code in a log the first counts.
+    """
+
+    tool: str
+    category: str
     priority: int
-    supports: Column | Callable[[], Column]
-    extract: Callable[[DataFrame], DataFrame]
-
-
-def registry() -> dict[str, Parser]:
-    """Parsers by name. A log is offered to each whose pattern the step's logs have."""
-    a = F.col("all")
-    return {
-        "eslint": Parser(100, a.rlike(r"\b(?:error|warning)\b.*(?:@?[\w-]+/[\w/-]+|prettier/prettier)"), eslint),
-        "sass": Parser(95, a.rlike(r"(?i)\[sass\]|stylesheet to import|SassError|root stylesheet"), sass),
-        "vite": Parser(90, a.rlike(r"(?i)\[plugin:vite:|\[vite:|error during build|Failed to resolve import|RollupError|Could not resolve"), vite),
-        "typescript": Parser(85, a.rlike(r"error TS\d+:"), typescript),
-        "node": Parser(80, a.rlike("MODULE_NOT_FOUND") | (~a.rlike(r"(?i)\[sass\]|SassError|stylesheet to import") & a.rlike(r"(?:Type|Reference|Syntax|Range)?Error:") & a.rlike(r"(?m)^\s*at\s+")), node),
-        "pnpm-lifecycle": Parser(30, a.rlike(r"(?i)ELIFECYCLE|ERR_PNPM_RECURSIVE_RUN_FIRST_FAIL|Command failed with exit code"), package_manager),
+    heads: tuple[Pattern, ...]
+    places: tuple[Pattern, ...] = ()
+    one_for: str = "head"
+    needs_place: bool = False
+    once: bool = False
+    confidence: str = "high"
+
+
+_PATH = r"(?:file://)?((?:[A-Za-z]:[\\/]|\.{0,2}/)?[^:*?\"<>|()]*"
+# The tools' output, as they document or print it. Names of the tools are fixed values.
+GRAMMARS = {
+    # A line with a file, then lines with line:column, a level, the text, and the rule behind two spaces.
+    "eslint": Grammar("eslint", "lint", 100, (Pattern(r"^((?:[A-Za-z]:[\\/]|\.{0,2}/)[^:*?\"<>|]*\.(?:[cm]?[jt]sx?|vue))$", ("file",)),),
+                      (Pattern(r"^(\d+):(\d+)\s+(error|warning)\s+(.*?)(?:\s{2,}((?:@[\w.-]+/)?[\w-]+(?:/[\w-]+)*))?$", ("line", "col", "severity", "message", "rule")),), one_for="place"),
+    # "Error:" with the tool's tag before it or its stylesheet and place below it.
+    "sass": Grammar("sass", "style", 95, (Pattern(r"^(?:\[(vite:[\w-]+)\]\s*)?(?:\[sass\]\s*)?Error:\s*(.+)$", ("plugin", "message")),),
+                    (Pattern(_PATH + r"\.s[ac]ss)(?:\?\S*)?[\s:]+(\d+):(\d+)(?:\s+root stylesheet)?$", ("file", "line", "col")), Pattern(r"^file:\s*" + _PATH + r"\.s[ac]ss)(?:\?\S*)?$", ("file",))), needs_place=True),
+    # The bundler's import errors, and the line after its banner for what else ends a build.
+    "vite": Grammar("vite", "build", 90, (Pattern(r"(?:\[plugin:([^\]]+)\]\s*)?(Failed to resolve import\s+[\"'][^\"']+[\"'])(?:\s+from\s+[\"']([^\"']+)[\"'])?", ("plugin", "message", "file"), (("code", "unresolved"),)),
+                                          Pattern(r"(Could not resolve\s+[\"'][^\"']+[\"'](?:\s+from\s+[\"']([^\"']+)[\"'])?)", ("message", "file"), (("plugin", "rollup"), ("code", "unresolved"))),
+                                          Pattern(r"(?i)^error during build:\n(?!.*(?:\[sass\]|could not resolve|failed to resolve))(?:\[([^\]]+)\]\s*)?(.+)$", ("plugin", "message"), pair=True))),
+    # file(line,column): error TSnnnn: text, or file:line:column - error TSnnnn: text.
+    "typescript": Grammar("typescript", "typecheck", 85, (Pattern(r"^(.+)\((\d+),(\d+)\):\s*error\s+(TS\d+):\s*(.*)$", ("file", "line", "col", "code", "message")), Pattern(r"^(.+):(\d+):(\d+)\s+-\s+error\s+(TS\d+):\s*(.*)$", ("file", "line", "col", "code", "message")))),
+    # An error's name and text, then the frames of its stack; those of packages and of the runtime say nothing of the place.
+    "node": Grammar("node", "runtime", 80, (Pattern(r"^(?:\S+:\s+)?(?:Uncaught\s+)?Error:\s*(Cannot find module\s+['\"][^'\"]+['\"])", ("message",), (("code", "MODULE_NOT_FOUND"),)), Pattern(r"^(?:Uncaught\s+)?([A-Z]?\w*Error(?:\s\[\w+\])?:\s*.+)$", ("message",))),
+                    (Pattern(r"^at\s(?!.*(?:node_modules|node:))(?:.*\()?" + _PATH + r"):(\d+):(\d+)\)?$", ("file", "line", "col")), Pattern(r"^at\s")), needs_place=True),
+    # Codes of the package manager, or the exit code that it reports.
+    "pnpm-lifecycle": Grammar("pnpm", "lifecycle", 30, (Pattern(r"^(.*\b(ERR_PNPM_[A-Z0-9_]+|ELIFECYCLE)\b.*)$", ("message", "code")), Pattern(r"(?i)^(.*command failed with exit code\s+(\d+).*)$", ("message", "rule"), (("code", "EXIT"),))), once=True, confidence="medium"),
+}
+
+
+def lines_of(step_logs: DataFrame) -> DataFrame:
+    """The lines of each log of a step (0 standard output, 1 standard error), normalised, with the line after each."""
+    logs = F.array(*(F.struct(F.lit(i).alias("log"), F.split(T.normalize_log(F.coalesce(F.col(c), F.lit(""))), "\n").alias("lines")) for i, c in enumerate(("stdout", "stderr"))))
+    rows = step_logs.select(*CONTEXT, F.explode(logs).alias("_l")).select(*CONTEXT, "_l.log", "_l.lines")
+    return rows.select(*CONTEXT, "log", "lines", F.posexplode("lines").alias("position", "line")).select(*CONTEXT, "log", "position", "line", F.get("lines", F.col("position") + 1).alias("next")).filter(F.trim("line") != "")
+
+
+def candidates(lines: DataFrame, grammars: dict[str, Grammar] | None = None) -> DataFrame:
+    """The records of all grammars among lines, with the columns of CANDIDATE."""
+    grammars = GRAMMARS if grammars is None else grammars
+    first = lambda ps: F.coalesce(*(p.fields() for p in ps)) if ps else F.lit(None).cast("struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">")
+    known = F.array(*(F.struct(F.lit(n).alias("parser"), first(g.heads).alias("head"), first(g.places).alias("place")) for n, g in grammars.items()))
+    rows = lines.select(*CONTEXT, "log", "position", F.trim("line").alias("line"), F.explode(F.filter(known, lambda x: x["head"].isNotNull() | x["place"].isNotNull())).alias("_g")).select(*CONTEXT, "log", "position", "line", "_g.*")
+    # A head isn't a place of its own record; lines below it are, up to the next head.
+    order = W.partitionBy(*_LOG, "parser").orderBy("position")
+    rows = rows.withColumn("place", F.when(F.col("head").isNull(), F.col("place")))
+    rows = rows.withColumn("record", F.count("head").over(order))
+    within = W.partitionBy(*_LOG, "parser", "record").orderBy("position")
+    ahead = within.rowsBetween(W.currentRow, W.unboundedFollowing)
+    rows = rows.filter("record > 0").withColumns({
+        "top": F.first("head").over(within), "top_line": F.first("line").over(within), "places": F.count("place").over(ahead),
+        "where": F.first(F.when(F.col("place.file").isNotNull() | F.col("place.line").isNotNull(), F.struct("place", "line")), ignorenulls=True).over(ahead),
+    })
+    pick = lambda attribute: reduce(lambda c, n: c.when(F.col("parser") == n, F.lit(getattr(grammars[n], attribute))), list(grammars)[1:], F.when(F.col("parser") == next(iter(grammars)), F.lit(getattr(next(iter(grammars.values())), attribute))))
+    by_place = pick("one_for") == "place"
+    rows = rows.filter(F.when(by_place, F.col("place").isNotNull()).otherwise(F.col("head").isNotNull() & (~pick("needs_place") | (F.col("places") > 0))))
+    # The first of a code; a bare exit code only where there is no other one.
+    again = F.row_number().over(W.partitionBy(*_LOG, "parser", "head.code").orderBy("position"))
+    coded = F.max(F.when(F.col("head.code") != "EXIT", 1)).over(W.partitionBy(*_LOG, "parser"))
+    rows = rows.withColumns({"_again": again, "_coded": coded}).filter(~pick("once") | ((F.col("_again") == 1) & ((F.col("head.code") != "EXIT") | F.col("_coded").isNull())))
+    own = {f: F.when(by_place, F.coalesce(F.col(f"place.{f}"), F.col(f"top.{f}"))).otherwise(F.coalesce(F.col(f"head.{f}"), F.col(f"where.place.{f}"))) for f in FIELDS}
+    unresolved, plain_exit = F.col("head.code") == "unresolved", F.col("head.code") == "EXIT"
+    out = {
+        **own,
+        "severity": F.coalesce(own["severity"], F.lit("error")),
+        "message": own["message"],
+        # Where no rule is named, an exit code stands there; import errors have no code of their own.
+        "rule": F.when(~F.coalesce(plain_exit, F.lit(False)), own["rule"]),
+        "code": F.when(F.coalesce(unresolved, F.lit(False)), F.lit(None)).when(plain_exit, F.concat(F.lit("EXIT_"), F.col("head.rule"))).otherwise(own["code"]),
+        "line": own["line"].try_cast("int"), "col": own["col"].try_cast("int"),
+        "category": F.when(unresolved, "module-resolution").otherwise(pick("category")),
+        "confidence": pick("confidence"), "priority": pick("priority"), "tool": pick("tool"), "parser": F.col("parser"),
+        "raw_excerpt": F.when(by_place, F.concat_ws("\n", "top_line", "line")).otherwise(F.concat_ws("\n", "line", F.col("where.line"))),
     }
+    return rows.select(*((out[c] if c in out else F.col(c)).alias(c) for c in CANDIDATE))
 
 
 def fallback(step_logs: DataFrame, found: DataFrame) -> DataFrame:
-    """One generic candidate for each failed step that no parser understood."""
+    """One generic candidate for each failed step that no grammar understood: its last line that speaks of a failure."""
     bad = step_logs.filter(F.col("status").isin("failed", "timed_out")).join(found.select("run_id", "step_id", "ordinal").distinct(), ["run_id", "step_id", "ordinal"], "left_anti")
-    lines = F.reverse(F.filter(F.transform(F.split(T.normalize_log(F.concat_ws("\n", F.coalesce("stderr", F.lit("")), F.coalesce("stdout", F.lit("")))), "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"(?i)error|failed|timed?\s*out|exit")))
+    both = F.split(T.normalize_log(F.concat_ws("\n", "stderr", "stdout")), "\n")
+    spoken = F.filter(F.transform(both, lambda x: F.trim(x)), lambda x: x.rlike(r"(?i)\b(error|fail(ed|ure)?|time(d\s?-?out|out)|exit(ed)?)\b"))
     timed = F.col("status") == "timed_out"
-    said = F.coalesce(F.get(lines, F.lit(0)), F.when(timed, F.concat(F.lit("Command timed out in step "), F.col("step_id"))).otherwise(F.concat(F.lit("Command exited with code "), F.coalesce(F.col("exit_code").cast("string"), F.lit("unknown")))))
-    return _candidate(bad.withColumn("log", F.lit(1)), "generic", 0, "generic", F.when(timed, "timeout").otherwise("command"), message=said, raw_excerpt=said, confidence=F.lit("low"))
+    silent = F.when(timed, F.format_string("Command timed out in step %s", "step_id")).otherwise(F.format_string("Command exited with code %s", F.coalesce(F.col("exit_code").cast("string"), F.lit("unknown"))))
+    given = {"parser": "generic", "tool": "generic", "priority": 0, "severity": "error", "confidence": "low", "log": 1, "position": 0}
+    said = F.coalesce(F.try_element_at(spoken, F.lit(-1)), silent)
+    own = {**{k: F.lit(v) for k, v in given.items()}, "category": F.when(timed, "timeout").otherwise("command"), "message": said, "raw_excerpt": said}
+    kinds = dict(found.dtypes)
+    return bad.select(*((F.col(c) if c in CONTEXT else own.get(c, F.lit(None)).cast(kinds[c])).alias(c) for c in CANDIDATE))
+
+
+def parse(step_logs: DataFrame, grammars: dict[str, Grammar] | None = None) -> DataFrame:
+    """Error events of step_logs: without machine paths, one for each fingerprint and run (the first by priority and place).
 
+    The candidates are cut from their lineage, since the fallback asks for them again.
+    """
+    from lodeworks.sources.snapshots import cut
 
-def parse(step_logs: DataFrame, parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """Error events of step_logs: normalised, one for each fingerprint and run (the first by priority and place)."""
-    logs = streams(step_logs)
-    found = reduce(DataFrame.unionByName, (p.extract(logs.filter(p.supports)) for p in (parsers or registry()).values()))
+    found = cut(candidates(lines_of(step_logs), grammars))
     found = found.unionByName(fallback(step_logs, found))
-    root, lab = F.col("source_root"), F.col("lab_root")
+    root, lab = F.coalesce("source_root", F.lit("")), F.coalesce("lab_root", F.lit(""))
     out = found.withColumns({"message": T.message(F.col("message"), root, lab), "file": relativize(F.col("file"), root, lab), "raw_excerpt": T.excerpt(F.col("raw_excerpt"), root, lab)})
     out = out.withColumn("fingerprint", fingerprint(*(F.col(c) for c in ("parser", "tool", "category", "file", "line", "col", "message")), F.coalesce("rule", "code"), F.col("step_id")))
     w = W.partitionBy("run_id", "fingerprint").orderBy("ordinal", F.col("priority").desc(), "log", "position")
