@@ -76,9 +76,8 @@ _NAMED = r"^export\s+(type\s+)?\{([^}]*)\}\s*;?\s*$"
 def _statements(files: DataFrame) -> DataFrame:
     """path, line, code: lines outside comments, with the brace lists of imports and exports pulled into one line."""
     code = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "\r\n|\r", "\n"), r"(?s)/\*.*?\*/", " "), r"(?m)^\s*//.*$", "")
-    # Lists over several lines: newlines within the braces that follow import or export go.
-    for _ in range(40):
-        code = F.regexp_replace(code, r"(?m)^((?:import|export)(?:\s+type)?[^\n;{}]*\{[^\n{}]*)\n", "$1 ")
+    # Lists over several lines: newlines within the braces that follow import or export go, each where the last one ended.
+    code = F.regexp_replace(code, r"(?m)((?:^(?:import|export)(?:\s+type)?[^\n;{}]*\{|(?!\A)\G)[^\n{}]*)\n", "$1 ")
     return lines_of(files.withColumn("_code", code), "path", "_code").select("path", F.col("line_no").alias("line"), F.trim("line").alias("code"))
 
 
@@ -129,10 +128,9 @@ def exports(files: DataFrame) -> DataFrame:
 
 def module_candidates(path: Column, source: Column) -> Column:
     """Paths that a relative import may mean, in order of preference; none for a package name."""
-    joined = F.concat_ws("/", F.regexp_extract(path, r"^(.*)/[^/]*$", 1), source)
-    for _ in range(12):
-        joined = F.regexp_replace(F.regexp_replace(joined, r"(^|/)\./", "$1"), r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    joined = F.regexp_replace(joined, "^/|/$", "")
+    parts = F.split(F.concat_ws("/", F.regexp_extract(path, r"^(.*)/[^/]*$", 1), source), "/")
+    up = lambda have: F.when((F.size(have) > 0) & (F.coalesce(F.try_element_at(have, F.lit(-1)), F.lit("..")) != ".."), F.slice(have, 1, F.greatest(F.size(have) - 1, F.lit(0)))).otherwise(F.concat(have, F.array(F.lit(".."))))
+    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), lambda have, x: F.when(x.isin("", "."), have).when(x == "..", up(have)).otherwise(F.concat(have, F.array(x)))), "/")
     stem = F.regexp_replace(joined, r"\.js$", "")
     forms = F.array(joined, F.concat(stem, F.lit(".ts")), F.concat(stem, F.lit(".tsx")), F.concat(joined, F.lit("/index.ts")), F.concat(joined, F.lit("/index.tsx")), F.concat(stem, F.lit(".d.ts")))
     return F.when(source.startswith("."), forms).otherwise(F.array().cast("array<string>"))

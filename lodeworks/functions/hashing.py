@@ -26,12 +26,26 @@ def canonical_json(*columns: str) -> Column:
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
-def root_hash(df: DataFrame, key: str, row_digest: Column, group: Column | None = None) -> DataFrame:
-    """An order-free digest of many rows that is made in two levels: of each group of keys, and of the groups' digests.
+#: Rows, and digests, that one digest is made of on average, at most.
+FAN = 4096
 
-    group must be a function of key; by default the first two hex digits of its hash, so that no task gets all rows.
+
+def _digest_of(members: Column | str) -> Column:
+    """SHA-256 of the sorted members (k, d) as lines k:d."""
+    return F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(members)), lambda x: F.concat_ws(":", x["k"], x["d"]))), 256)
+
+
+def root_hash(df: DataFrame, key: str, row_digest: Column) -> DataFrame:
+    """An order-free digest of many rows, made level by level along the hex digits of the keys' hashes.
+
+    The lowest level's groups share two digits, or four, six, ... as the number of rows asks for, so that no task gets
+    more than some FAN rows of one group; each further level folds 256 groups into one.
     """
-    group = sha(F.col(key).cast("string"), 2) if group is None else group
-    rows = df.select(group.alias("g"), F.col(key).cast("string").alias("k"), row_digest.alias("d"))
-    level = rows.groupBy("g").agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: F.concat_ws(":", x["k"], x["d"]))), 256).alias("d"))
-    return level.agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: F.concat_ws(":", x["g"], x["d"]))), 256).alias("root_hash"))
+    n, digits = df.count(), 2
+    while n > FAN * 16**digits:
+        digits += 2
+    rows = df.select(sha(F.col(key).cast("string"), digits).alias("g"), F.struct(F.col(key).cast("string").alias("k"), row_digest.alias("d")).alias("m"))
+    level = rows.groupBy("g").agg(_digest_of("m").alias("d"))
+    for digits in range(digits - 2, 0, -2):
+        level = level.groupBy(F.substring("g", 1, digits).alias("h")).agg(_digest_of(F.struct(F.col("g").alias("k"), "d")).alias("d")).select(F.col("h").alias("g"), "d")
+    return level.agg(_digest_of(F.struct(F.col("g").alias("k"), "d")).alias("root_hash"))

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeworks.operators.quality import ratio
-from lodeworks.operators.ranking import budget_prefix
+from lodeworks.operators.ranking import budget_prefix, ranked
 
 
 def topics(seeds: DataFrame, symbols: DataFrame, components: DataFrame, units: DataFrame, commit: str) -> DataFrame:
@@ -70,7 +69,7 @@ def may_carry_forward(claims: DataFrame) -> DataFrame:
 def refresh_plan(impacts: DataFrame) -> DataFrame:
     """Affected units (unit_id, state) in order, with priority 100 for the first and one less for each further one."""
     rows = impacts.filter(F.col("state").isin("stale", "partially_stale"))
-    return rows.withColumn("priority", (101 - F.row_number().over(W.orderBy(F.col("state") != "stale", "unit_id"))).cast("long"))
+    return ranked(rows, [F.col("state") != "stale", F.col("unit_id")], "_place").withColumn("priority", 101 - F.col("_place")).drop("_place")
 
 
 def coverage(units: DataFrame, dims: dict[str, tuple[DataFrame, str]]) -> DataFrame:

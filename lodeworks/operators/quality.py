@@ -13,8 +13,18 @@ def ratio(numerator: Column, denominator: Column, empty: float | None) -> Column
 
 
 def statistics(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """n, mean, exact median, min and max; null without values."""
-    return df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"))
+    """n, mean, exact median, min and max; null without values.
+
+    The median is read off running counts of the distinct values, so that no group has to fit in memory.
+    """
+    whole = df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_k"))
+    counts = counts.withColumns({"_upto": F.sum("_k").over(W.partitionBy(*group).orderBy(value)), "_n": F.sum("_k").over(W.partitionBy(*group))})
+    holds = lambda place: (F.col("_upto") > place) & (F.col("_upto") - F.col("_k") <= place)
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    middle = counts.groupBy(*(F.col(g).alias(f"_{g}") for g in group)).agg(((F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2).alias("median"))
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
+    return whole.join(middle, same or F.lit(True), "left").select(*group, "n", "mean", "median", "min", "max")
 
 
 def zero_filled(dim: DataFrame, key: str, facts: DataFrame) -> DataFrame:

@@ -24,6 +24,23 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """df with each row's 1-based place in the order of the whole table, which must be total.
+
+    Rows are dealt into ranges of the order and sorted within them; a range's rows are shifted by the counts of earlier
+    ranges, so that no task gets all rows.
+    """
+    from lodeworks.sources.snapshots import cut
+
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    # Such an id is the number of the range and the place in it.
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    out = rows.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return out.withColumn(name, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("_at", "_part", "_before")
+
+
 def capped_topk(df: DataFrame, score: str, type_col: str, key: list[str], caps: dict[str, int], default_cap: int, limit: int, tie: list[str]) -> DataFrame:
     """Greedy selection by score: drop non-positive scores, first of each key, a cap for each type, then a limit.
 
@@ -39,9 +56,15 @@ def capped_topk(df: DataFrame, score: str, type_col: str, key: list[str], caps:
 
 
 def budget_prefix(df: DataFrame, group: list[str], order: list[Column], size: Column, budget: int, separator: int = 1, least: int = 1) -> DataFrame:
-    """Each group's longest prefix whose sizes, with separators between, fit the budget; at least the first rows stay."""
+    """Each group's longest prefix whose sizes, with separators between, fit the budget; at least the first rows stay.
+
+    With a separator no more rows than the budget has room for can stay, which prunes groups before they are shuffled.
+    """
     w = W.partitionBy(*group).orderBy(*order)
-    rows = df.withColumns({"rank": F.row_number().over(w).cast("long"), "_sum": F.sum(size.cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0))})
+    rows = df.withColumn("rank", F.row_number().over(w).cast("long"))
+    if separator > 0:
+        rows = rows.filter(F.col("rank") <= max(least, budget // separator + 1))
+    rows = rows.withColumns({"_sum": F.sum(size.cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0))})
     rows = rows.withColumn("used", (F.col("_sum") + separator * (F.col("rank") - 1)).cast("long")).drop("_sum")
     return rows.filter((F.col("used") <= budget) | (F.col("rank") <= least))
 

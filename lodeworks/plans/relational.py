@@ -173,10 +173,10 @@ def impact_rollup(t):
 
 
 @query(_EVIDENCE + """, u AS (SELECT o_custkey, count_if(impact IN ('changed', 'removed')) AS affected FROM e JOIN orders ON o_orderkey::VARCHAR = path GROUP BY o_custkey)
-  SELECT o_custkey, affected, 100 - row_number() OVER (ORDER BY affected DESC, o_custkey) AS priority FROM u WHERE affected > 0 QUALIFY row_number() OVER (ORDER BY affected DESC, o_custkey) <= 50""")
+  SELECT o_custkey, affected, 100 - row_number() OVER (ORDER BY affected DESC, o_custkey) AS priority FROM u WHERE affected > 0""")
 def refresh_plan(t):
-    top = ranking.top_k(impact_rollup(t).filter("affected > 0").select("o_custkey", "affected"), [C("affected").desc(), C("o_custkey")], 50)
-    return top.withColumn("priority", (100 - F.row_number().over(W.orderBy(C("affected").desc(), "o_custkey"))).cast("long"))
+    hit = impact_rollup(t).filter("affected > 0").select("o_custkey", "affected")
+    return ranking.ranked(hit, [C("affected").desc(), C("o_custkey")], "place").select("o_custkey", "affected", (100 - C("place")).alias("priority"))
 
 
 @query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")

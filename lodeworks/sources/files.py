@@ -26,7 +26,10 @@ def decoded(content: Column, kind: Column) -> Column:
 
 
 def scan_tree(spark: SparkSession, root: str, includes: list[str] | None = None, excludes: list[str] | None = None) -> DataFrame:
-    """The files entity of a tree: filtered by path first, and contents read only up to the size limit of the category."""
+    """The files entity of a tree: filtered by path first, and contents looked at only up to the size limit of the category.
+
+    Files beyond MOST_BYTES_CONFIG are listed with a warning and without a digest; a file beyond 2 GB can't be read as a row.
+    """
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     at = F.regexp_replace(F.col("path"), "^file:/+", "/")
@@ -36,7 +39,7 @@ def scan_tree(spark: SparkSession, root: str, includes: list[str] | None = None,
     rows = rows.withColumn("encoding", F.when(fits, encoding(F.col("content")))).withColumn("text", F.when(fits, decoded(F.col("content"), F.col("encoding"))))
     warning = F.when(~fits, "too large: content not read").when(F.col("encoding") == "unknown", "encoding not recognised")
     return rows.select(F.concat(F.lit("file-"), sha(F.col("path"), 16)).alias("id"), "path", basename(F.col("path")).alias("basename"), extension(F.lower("path")).alias("extension"), "category", language(F.col("path")).alias("language"),
-                       F.col("length").alias("size_bytes"), line_count(F.col("text")).alias("line_count"), F.sha2("content", 256).alias("sha256"), F.col("text").isNotNull().alias("is_text"), "encoding", (F.col("category") == "generated").alias("generated"), F.array_compact(F.array(warning)).alias("warnings"), "text")
+                       F.col("length").alias("size_bytes"), line_count(F.col("text")).alias("line_count"), F.when(fits, F.sha2("content", 256)).alias("sha256"), F.col("text").isNotNull().alias("is_text"), "encoding", (F.col("category") == "generated").alias("generated"), F.array_compact(F.array(warning)).alias("warnings"), "text")
 
 
 def porcelain(status: DataFrame, column: str = "output") -> DataFrame:

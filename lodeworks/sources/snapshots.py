@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,10 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder of spark.checkpoint.dir, for loops whose plans would grow."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lodeworks-"))
+        root = sc.getConf().get("spark.checkpoint.dir")
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        sc.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="lodeworks-"))
     return df.checkpoint()
 
 
@@ -23,15 +27,19 @@ def digest(df: DataFrame, key: str) -> str:
     return root_hash(df, key, F.sha2(canonical_json(*df.columns), 256)).first()[0] or ""
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _at(spark: SparkSession, path: str):
+    """A path, and the file system that it is in."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
 
 
 def _move(spark: SparkSession, source: str, target: str) -> None:
-    jvm = spark._jvm.org.apache.hadoop.fs
-    a, b = jvm.Path(source), jvm.Path(target)
-    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    (fs, a), (_, b) = _at(spark, source), _at(spark, target)
     fs.mkdirs(b.getParent())
     if not fs.rename(a, b):
         raise OSError(f"can't move {source} to {target}")
@@ -60,17 +68,29 @@ class SnapshotStore:
         df.write.mode("overwrite").parquet(f"{path}.new/data")
         self.spark.createDataFrame([(snapshot, own)], "snapshot string, root_hash string").coalesce(1).write.mode("overwrite").json(f"{path}.new/manifest")
         if exists(self.spark, path):
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            # The old one is there, under one name or the other, until the new one is.
+            _move(self.spark, path, f"{path}.{uuid.uuid4().hex}.old")
         _move(self.spark, f"{path}.new", path)
-        self.spark.createDataFrame([(snapshot, own)], "snapshot string, root_hash string").coalesce(1).write.mode("overwrite").json(f"{self.root}/current")
+        self._point_to(snapshot)
         return "written"
 
+    def _pointers(self) -> list[str]:
+        fs, at = _at(self.spark, f"{self.root}/current")
+        return sorted(x.getPath().getName() for x in fs.listStatus(at) if not x.getPath().getName().endswith(".new")) if fs.exists(at) else []
+
+    def _point_to(self, snapshot: str) -> None:
+        """A new pointer under the next number, whole before it has its name; the last one counts."""
+        number = int(self._pointers()[-1].split("-")[0]) + 1 if self._pointers() else 1
+        fs, new = _at(self.spark, f"{self.root}/current/{uuid.uuid4().hex}.new")
+        fs.create(new, False).close()
+        _move(self.spark, str(new), f"{self.root}/current/{number:09d}-{snapshot}")
+
     def root_hash(self, snapshot: str) -> str:
         return self.spark.read.json(f"{self._path(snapshot)}/manifest", schema="snapshot string, root_hash string").first()["root_hash"]
 
     def current(self) -> str | None:
-        return self.spark.read.json(f"{self.root}/current", schema="snapshot string, root_hash string").first()["snapshot"] if exists(self.spark, f"{self.root}/current") else None
+        pointers = self._pointers()
+        return pointers[-1].split("-", 1)[1] if pointers else None
 
     def read(self, snapshot: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self._path(snapshot or self.current())}/data")

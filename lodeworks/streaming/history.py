@@ -27,16 +27,15 @@ def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 day"
 def illegal_transitions(events: DataFrame, key: str, state: str, order: str, legal: dict[str, list[str]], first: list[str]) -> DataFrame:
     """Rows whose state may not follow the last one of their key, across batches: key, order, previous, state."""
     kinds = dict(events.dtypes)
+    pairs = [("", s) for s in first] + [(a, b) for a, after in legal.items() for b in after]
 
     def step(own: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        last = held.get[0] if held.exists else None
-        out = []
-        for pdf in [pd.concat(list(frames)).sort_values(order)]:
-            for now, at in zip(pdf[state], pdf[order], strict=True):
-                if now not in (first if last is None else legal.get(last, [])):
-                    out.append((own[0], at, last, now))
-                last = now
-        held.update((last,))
-        yield pd.DataFrame(out, columns=[key, order, "previous", state])
+        rows = pd.concat(frames).sort_values(order)[[order, state]]
+        before = rows[state].shift()
+        before.iloc[0] = held.get[0] if held.exists else None
+        held.update((rows[state].iloc[-1],))
+        fine = pd.MultiIndex.from_arrays([before.fillna(""), rows[state]]).isin(pairs)
+        out = rows[~fine].assign(**{key: own[0], "previous": before[~fine]})
+        yield out[[key, order, "previous", state]]
 
     return events.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}, previous string, {state} string", "last string", "append", GroupStateTimeout.NoTimeout)
