@@ -6,18 +6,21 @@ last one returns the packed pieces. Lengths, counts and models are taken from al
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import exact_dedup, near_dedup, packing, quality_model, quality_rules
-from lodeworks.llm.common import Scratch, checkpoint
+from lodeworks.llm.common import Scratch, checkpoint, clear
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier rejects."""
     model = quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return model.score(docs, score_col="_score").filter(F.col("_score") >= 0.5).drop("_score")
+    score = f"_{uuid.uuid4().hex}"  # no column of the documents
+    return model.score(docs, score_col=score).filter(F.col(score) >= 0.5).drop(score)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,4 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
         for k, (_, stage) in enumerate(STAGES):
             docs = scratch.keep(stage(spark, docs, sf_dir), f"stage{k}")
+            clear(spark, but=scratch.path)
         return checkpoint(docs)
