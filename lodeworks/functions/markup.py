@@ -86,3 +86,29 @@ def markdown_links(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = lines.select(key, "line_no", F.explode(F.regexp_extract_all("line", F.lit(f"({pattern})"), 1)).alias("link"))
     target = F.regexp_extract("link", pattern, 2)
     return rows.select(key, "line_no", F.regexp_extract("link", pattern, 1).alias("text"), target.alias("target"), target.rlike("^(?:https?:|mailto:|#)").alias("external"))
+
+
+def markdown_code_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, line_no (of the opening fence), language and code of the fenced blocks; one that isn't closed goes to the end."""
+    lines = fence_state(lines_of(docs, key, text), key)
+    opens = F.col("is_fence") & (F.sum(F.col("is_fence").cast("long")).over(W.partitionBy(key).orderBy("line_no")) % 2 == 1)
+    rows = lines.withColumn("_open", opens).withColumn("_block", F.count_if("_open").over(W.partitionBy(key).orderBy("line_no")))
+    rows = rows.filter((F.col("_block") > 0) & (F.col("_open") | F.col("in_fence")))
+    out = rows.groupBy(key, "_block").agg(F.min("line_no").alias("line_no"), F.max(F.when(F.col("_open"), F.regexp_extract("line", r"^\s*(?:`{3,}|~{3,})\s*([\w+#-]*)", 1))).alias("language"),
+                                          F.array_sort(F.collect_list(F.when(F.col("in_fence"), F.struct("line_no", "line")))).alias("_l"))
+    return out.select(key, "line_no", F.nullif("language", F.lit("")).alias("language"), F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("code"))
+
+
+def html_code_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, ordinal, language and code of the <pre> elements, without markup and with the common references decoded."""
+    pattern = r"(?is)<pre\b[^>]*>(.*?)</pre>"
+    rows = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(pattern), 1)).alias("ordinal", "_b"))
+    code = F.regexp_replace("_b", "(?s)<[^>]*>", "")
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("nbsp", " "), ("amp", "&")):
+        code = F.replace(code, F.lit(f"&{name};"), F.lit(sign))
+    return rows.select(key, "ordinal", F.nullif(F.regexp_extract("_b", r"(?i)class\s*=\s*[\"'][^\"']*\blanguage-([\w+#-]+)", 1), F.lit("")).alias("language"), code.alias("code"))
+
+
+def markdown_title(text: Column) -> Column:
+    """The first heading of the first level."""
+    return F.nullif(F.regexp_extract(text, r"(?m)^#\s+(.+?)\s*#*\s*$", 1), F.lit(""))

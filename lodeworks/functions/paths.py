@@ -56,6 +56,21 @@ def glob_pattern(glob: str, dialect: str = "catalog") -> str:
     return "^" + "".join(out) + "$"
 
 
+def glob_regex(glob: Column) -> Column:
+    """The pattern of a glob that is data: **/ is an optional directory, ** any text, * and ? stay within a name."""
+    out = F.regexp_replace(glob, r"([.+^${}()|\[\]\\])", r"\\$1")
+    for sign, pattern in (("**/", "\1"), ("**", "\2"), ("*", "[^/]*"), ("?", "[^/]"), ("\1", "(?:.*/)?"), ("\2", ".*")):
+        out = F.replace(out, F.lit(sign), F.lit(pattern))
+    return F.concat(F.lit("^"), out, F.lit("$"))
+
+
+def escapes_root(path: Column, target: Column) -> Column:
+    """Whether a link's target, absolute or relative to the link's folder, lies outside the tree that path is in."""
+    parts = F.split(F.concat_ws("/", dirname(path), target), "/")
+    step = lambda at, x: F.when(at < 0, at).when(x.isin("", "."), at).when(x == "..", at - 1).otherwise(at + 1)
+    return target.rlike("^(/|[A-Za-z]:)") | (F.aggregate(parts, F.lit(0), step) < 0)
+
+
 def matches_any(path: Column, globs: list[str], dialect: str = "catalog") -> Column:
     out = F.lit(False)
     for g in globs:

@@ -159,7 +159,7 @@ def parse(step_logs: DataFrame, grammars: dict[str, Grammar] | None = None) -> D
     found = cut(candidates(lines_of(step_logs), grammars))
     found = found.unionByName(fallback(step_logs, found))
     root, lab = F.coalesce("source_root", F.lit("")), F.coalesce("lab_root", F.lit(""))
-    out = found.withColumns({"message": T.message(F.col("message"), root, lab), "file": relativize(F.col("file"), root, lab), "raw_excerpt": T.excerpt(F.col("raw_excerpt"), root, lab)})
+    out = found.withColumns({"message": T.message(F.col("message"), root, lab), "file": relativize(F.col("file"), F.nullif("source_root", F.lit("")), F.nullif("lab_root", F.lit(""))), "raw_excerpt": T.excerpt(F.col("raw_excerpt"), root, lab)})
     out = out.withColumn("fingerprint", fingerprint(*(F.col(c) for c in ("parser", "tool", "category", "file", "line", "col", "message")), F.coalesce("rule", "code"), F.col("step_id")))
     w = W.partitionBy("run_id", "fingerprint").orderBy("ordinal", F.col("priority").desc(), "log", "position")
     out = out.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

@@ -92,12 +92,20 @@ def fingerprint_dedup(t):
     return ranking.first_wins(e, ["fingerprint"], [C("ts"), C("event_id")]).select("fingerprint", "event_id")
 
 
-@query("""SELECT user_id::VARCHAR AS run_id, count(DISTINCT props->>'$.k') AS total, count(DISTINCT props->>'$.k') AS errors, 0::BIGINT AS warnings, count(DISTINCT props->>'$.k') AS recognized, 0::BIGINT AS unrecognized FROM events WHERE event_type = 'error' GROUP BY 1""")
+@query("""WITH e AS (SELECT user_id::VARCHAR AS run_id, (event_id % 7)::INT AS form, props->>'$.k' AS k FROM events WHERE event_type = 'error'), d AS (SELECT DISTINCT run_id, form, CASE form WHEN 6 THEN '' ELSE k END AS k FROM e)
+  SELECT run_id, count(*) AS total, count_if(form <> 1) AS errors, count_if(form = 1) AS warnings, count_if(form < 6) AS recognized, count_if(form = 6) AS unrecognized FROM d GROUP BY 1""")
 def events_error_parse(t):
     k = json_value(C("props"), "$.k", "bigint").cast("string")
-    line = F.concat(F.lit("\x1b[31m/work/app/src/m"), k, F.lit(".ts("), k, F.lit(",7): error TS2"), k, F.lit(": bad value  in m\x1b[0m\r\n"))
+    logs_of = (
+        ("\x1b[31m/work/app/src/m{}.ts({},7): error TS2{}: bad value  in m\x1b[0m\r\n", ""), ("/work/app/src/m{}.ts\n  {}:7  warning  Bad  value {}  some-rule\n\n1 problem\n", ""), ("", "[sass] Error: no such mixin {}\n  /work/app/s{}.scss {}:7  root stylesheet\n"),
+        ("Failed to resolve import \"m{}\" from \"src/a{}.ts\". Is it there? {}\n", ""), ("", "TypeError: bad {}\n    at f (/x/node_modules/y.js:1:2)\n    at g (/work/app/m{}.js:{}:7)\n"), (" ERR_PNPM_K{}  bad {} {}\n", ""), ("nothing to see {} {} {}\n", ""),
+    )
+    def said(at):
+        parts = lambda text: [x for piece in text.split("{}") for x in (F.lit(piece), k)][:-1]
+        return F.element_at(F.array(*(F.concat(*parts(own[at])) if "{}" in own[at] else F.lit(own[at]) for own in logs_of)), (C("event_id") % 7 + 1).cast("int"))
+
     steps = t.events.filter("event_type = 'error'").select(C("user_id").cast("string").alias("run_id"), F.lit("build").alias("step_id"), C("event_id").alias("ordinal"), F.lit("failed").alias("status"), F.lit(False).alias("allow_failure"), F.lit(1).alias("exit_code"),
-                                                           line.alias("stdout"), F.lit("").alias("stderr"), F.lit("/work/app").alias("source_root"), F.lit("/lab").alias("lab_root"))
+                                                           said(0).alias("stdout"), said(1).alias("stderr"), F.lit("/WORK/app").alias("source_root"), F.lit(None).cast("string").alias("lab_root"))
     return logs.summary(logs.parse(steps))
 
 
@@ -163,3 +171,38 @@ def shortest_path(t):
     starts = t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("entity"))
     found = graph.shortest(graph.paths(starts, _edges(t, "nation", "supplier"), 3))
     return found.filter(C("entity").startswith("r")).select("start", "entity", "hops", F.array_join("path", ">").alias("path"))
+
+
+@query("""WITH n AS (SELECT l_orderkey, count_if(l_returnflag = 'A') AS src, count_if(l_returnflag = 'N') AS docs FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey, o_orderstatus, coalesce(src, 0) AS src, coalesce(docs, 0) AS docs FROM orders LEFT JOIN n ON l_orderkey = o_orderkey)
+  SELECT o_orderkey AS task_id, 'a' AS id, CASE WHEN src >= 2 THEN 'passed' ELSE 'failed' END AS status, src AS actual FROM o UNION ALL SELECT o_orderkey, 'b', CASE WHEN docs = 0 THEN 'passed' ELSE 'failed' END, docs FROM o
+  UNION ALL SELECT o_orderkey, 'c', CASE WHEN docs = 0 THEN 'passed' ELSE 'failed' END, docs FROM o UNION ALL SELECT o_orderkey, 'd', CASE WHEN o_orderstatus = 'F' THEN 'passed' ELSE 'failed' END, CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END FROM o
+  UNION ALL SELECT o_orderkey, 'e', CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'passed' END, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE 1 END FROM o UNION ALL SELECT o_orderkey, 'f', 'manual_required', NULL FROM o""")
+def criteria_verdicts(t):
+    from lodeworks.operators import taskrules
+
+    want = lambda **given: F.struct(*(F.lit(given.get(f)).cast(k).alias(f) if not isinstance(given.get(f), list) else F.array(*map(F.lit, given[f])).alias(f) for f, k in (x.split(":") for x in taskrules.EXPECTED[7:-1].split(","))))
+    own = (("a", "source_change", want(glob="src/**", minimum=2)), ("b", "path_denied", want(paths=["docs/**", "none"])), ("c", "path_allowed", want(paths=["src/**/*.ts"])), ("d", "command_passes", want(step_id="test")), ("e", "text_present", want(path="src/x.ts", regex="^order [0-9]+$")), ("f", "manual_check", want()))
+    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("id"), F.lit(k).alias("type"), e.alias("expected")) for i, k, e in own)))
+    criteria = t.orders.select(C("o_orderkey").alias("task_id"), rows.alias("_c")).select("task_id", "_c.*", F.lit(True).alias("automated"))
+    folder = F.when(C("l_returnflag") == "A", "src/a/").when(C("l_returnflag") == "N", "docs/").otherwise("dist/")
+    changed = t.lineitem.select(C("l_orderkey").alias("task_id"), F.concat(folder, C("l_partkey").cast("string"), F.lit(".ts")).alias("path"), (C("l_returnflag") == "R").alias("generated"))
+    known = t.orders.filter("o_orderstatus <> 'P'").select(C("o_orderkey").alias("task_id"), "o_orderstatus")
+    files = known.select("task_id", F.lit("src/x.ts").alias("path"), F.concat(F.lit("first\norder "), C("task_id").cast("string"), F.lit("\nend")).alias("content"))
+    steps = known.select("task_id", F.lit("test").alias("step_id"), F.when(C("o_orderstatus") == "F", "passed").otherwise("failed").alias("status"))
+    return taskrules.criteria_verdicts(criteria, changed, files, steps).select("task_id", "id", "status", "actual")
+
+
+@query("""WITH n AS (SELECT l_orderkey AS task_id, count(*) AS n, count_if(l_returnflag = 'N') AS docs, count_if(l_linestatus = 'O') AS new, sum(l_quantity)::BIGINT AS lines FROM lineitem GROUP BY 1)
+  SELECT task_id, CASE WHEN n <= 4 AND docs = 0 AND new <= 2 AND lines <= 100 THEN 'passed' ELSE 'failed' END AS status, array_to_string(list_filter([CASE WHEN docs > 0 THEN 'allowed-paths' END, CASE WHEN n > 4 THEN 'max-changed-files' END, CASE WHEN lines > 100 THEN 'max-diff-lines' END, CASE WHEN new > 2 THEN 'max-added-files' END], lambda x: x IS NOT NULL).list_sort(), ',') AS failed FROM n""")
+def change_policy(t):
+    from lodeworks.operators import taskrules
+
+    none, globs = F.array().cast("array<string>"), lambda *x: F.array(*map(F.lit, x))
+    by = t.lineitem.groupBy(C("l_orderkey").alias("task_id")).agg(F.sum("l_quantity").cast("long").alias("diff_lines"))
+    most = {"max_changed": 4, "max_added": 2, "max_deleted": 0, "max_diff_lines": 100}
+    flags = dict.fromkeys(("allow_untracked", "lockfiles_read_only", "manifests_read_only", "no_conflict_markers", "require_patch"), True)
+    policies = by.select("task_id", globs("src/**").alias("allowed"), globs("secret/**").alias("denied"), globs("**").alias("allowed_untracked"), none.alias("denied_extensions"), *(F.lit(v).alias(k) for k, v in (most | flags).items()))
+    path = F.concat(F.when(C("l_returnflag") == "N", "docs/").otherwise("src/"), C("l_partkey").cast("string"))
+    changed = t.lineitem.select(C("l_orderkey").alias("task_id"), path.alias("path"), F.when(C("l_linestatus") == "O", "added").otherwise("modified").alias("status"), *(F.lit(False).alias(c) for c in ("generated", "is_binary", "is_submodule", "has_conflict")))
+    rules = taskrules.policy_rules(policies, changed, by.select("task_id", "diff_lines", F.lit(True).alias("head_matches"), F.lit(True).alias("has_patch")))
+    return taskrules.policy_results(rules).select("task_id", "status", F.array_join("failed", ",").alias("failed"))

@@ -77,9 +77,10 @@ def glob_filter(t):
                            paths.selected(p, ["src/**", "docs/**"], ["**.png"]).alias("selected"))
 
 
-@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?:[A-Za-z]:[\\/]|/(?:home|Users|root|tmp)/)')")
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text || CASE lang WHEN 'de' THEN ' in /home/me/x' WHEN 'fr' THEN ' in C:\temp' WHEN 'es' THEN ' in /var/tmp' ELSE '' END, '(?:[A-Za-z]:[\\/]|/(?:home|Users|root|tmp)/)')")
 def absolute_path_scan(t):
-    return t.documents.filter(T.has_machine_path(C("text"))).select("doc_id")
+    said = F.when(C("lang") == "de", " in /home/me/x").when(C("lang") == "fr", " in C:\\temp").when(C("lang") == "es", " in /var/tmp").otherwise("")
+    return t.documents.filter(T.has_machine_path(F.concat("text", said))).select("doc_id")
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z_$][\w$-]*|\p{Han}{2,}'))::BIGINT AS n, len(list_distinct(regexp_extract_all(text, '[A-Za-z_$][\w$-]*|\p{Han}{2,}')))::BIGINT AS n_distinct FROM documents")
@@ -257,3 +258,24 @@ def priority_resolution(t):
   SELECT sha256(string_agg(g || ':' || d, chr(10) ORDER BY g)) AS root_hash FROM g""")
 def root_hash(t):
     return rooted(t.part, "p_partkey", F.sha2(F.concat_ws("|", "p_name", "p_brand", C("p_size").cast("string")), 256))
+
+
+@query("""WITH c AS (SELECT p_partkey AS path, 'C' || p_partkey AS c, p_size, p_brand FROM part)
+  SELECT path::VARCHAR AS path, 3::BIGINT AS line, 'class' AS kind, c AS qualified_name, 'package' AS visibility, 'class ' || c || ' extends Base<' || c || '>' AS signature, 'Base<' || c || '>' AS heritage, 'Part of ' || p_brand || '.' AS summary FROM c
+  UNION ALL SELECT path::VARCHAR, 4, 'property', c || '.size' || p_size, 'private', 'size' || p_size || '?: number', '', NULL FROM c
+  UNION ALL SELECT path::VARCHAR, 5, 'method', c || '.go', 'public', 'go(a: string): void', '', NULL FROM c
+  UNION ALL SELECT path::VARCHAR, 9, 'enum_member', 'Kind' || p_size || '.One', 'public', 'One = 1', '', NULL FROM c
+  UNION ALL SELECT path::VARCHAR, 8, 'enum', 'Kind' || p_size, 'package', 'enum Kind' || p_size, '', NULL FROM c""")
+def symbol_records(t):
+    from lodeworks.functions import syntax
+
+    name, size = F.concat(F.lit("C"), C("p_partkey")), C("p_size").cast("string")
+    text = F.concat(F.lit("/** Part of "), "p_brand", F.lit(".\n */\nexport class "), name, F.lit(" extends Base<"), name, F.lit("> {\n  private size"), size, F.lit("?: number = '{'.length;\n  go(a: string): void {\n  }\n}\nenum Kind"), size, F.lit(" { // {\n  One = 1,\n}\n"))
+    found = syntax.symbols(t.part.select(C("p_partkey").cast("string").alias("path"), text.alias("text")))
+    return found.select("path", C("line").cast("long").alias("line"), "kind", "qualified_name", "visibility", "signature", F.array_join("heritage", ",").alias("heritage"), "summary")
+
+
+@query("""SELECT p_partkey AS doc_id, 3::BIGINT AS line_no, lower(p_type) AS language, '# ' || p_name || chr(10) || 'end' AS code FROM part UNION ALL SELECT p_partkey, 8, NULL, 'open' FROM part WHERE p_size > 25""")
+def markdown_code(t):
+    text = F.concat(F.lit("# Title\n\n```"), F.lower("p_type"), F.lit("\n# "), "p_name", F.lit("\nend\n```\ntext\n"), F.when(C("p_size") > 25, "```\nopen").otherwise("no block"))
+    return markup.markdown_code_blocks(t.part.select(C("p_partkey").alias("doc_id"), text.alias("x")), "doc_id", "x").select("doc_id", C("line_no").cast("long").alias("line_no"), "language", "code")

@@ -32,3 +32,44 @@ def best_capture(attempts: DataFrame, key: list[str], good: Column, priority: st
 def json_value(json: Column, path: str, kind: str) -> Column:
     """A value of a JSON text by path, null where it is absent or of another kind."""
     return F.try_variant_get(F.try_parse_json(json), path, kind)
+
+
+def json_leaves(df: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, path, value): every scalar within JSON texts, however deep, as text, with the path of names and places to it.
+
+    One level is unfolded at a time, until no object or array is left; texts that aren't JSON have none. A
+    string that is JSON itself is unfolded like the rest; nulls are left out.
+    """
+    from lodeworks.sources.snapshots import cut
+
+    now = df.select(key, F.lit("$").alias("path"), F.col(json).alias("_j")).filter(F.try_parse_json("_j").isNotNull())
+    out, fields, items = None, "map<string,string>", "array<string>"
+    while True:
+        kind = F.substring(F.ltrim("_j"), 1, 1)
+        inner = F.when(kind == "{", F.map_entries(F.from_json("_j", fields))).when(kind == "[", F.transform(F.from_json("_j", items), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("key"), x.alias("value"))))
+        step = F.when(kind == "{", F.concat(F.lit("."), F.col("_c.key"))).otherwise(F.col("_c.key"))
+        rows = now.select(key, "path", "_j", F.explode(inner).alias("_c")).select(key, F.concat("path", step).alias("path"), F.col("_c.value").alias("_j")).filter("_j is not null")
+        rows = cut(rows)
+        nested = F.substring(F.ltrim("_j"), 1, 1).isin("{", "[") & F.try_parse_json("_j").isNotNull()
+        leaf = rows.filter(~nested).select(key, "path", F.col("_j").alias("value"))
+        out = leaf if out is None else out.unionByName(leaf)
+        now = rows.filter(nested)
+        if now.isEmpty():
+            return out
+
+
+def json_references(df: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, path, target): the values within JSON texts that point to files: relative paths and names with an extension."""
+    return json_leaves(df, key, json).filter(F.col("value").rlike(r"^\.{1,2}/|^[\w@.-]+(/[\w@.*-]+)+$")).select(key, "path", F.col("value").alias("target"))
+
+
+def string_record(json: Column) -> Column:
+    """An object's string values by name; null for what isn't an object."""
+    kept = F.map_filter(F.from_json(json, "map<string,string>"), lambda _, v: v.isNotNull() & ~F.trim(v).rlike(r"^([\[{].*|-?\d+(\.\d+)?|true|false)$"))
+    return F.when(F.ltrim(json).startswith("{"), kept)
+
+
+def configured(own: DataFrame, side: DataFrame, key: str, column: str) -> DataFrame:
+    """own with column taken from the side files where a row has none of its own."""
+    other = side.select(key, F.col(column).alias("_side"))
+    return own.join(other, key, "left").withColumn(column, F.coalesce(column, "_side")).drop("_side")

@@ -53,3 +53,19 @@ def porcelain(status: DataFrame, column: str = "output") -> DataFrame:
     code = F.substring("x", 1, 2)
     kind = F.when(code == "??", "untracked").when(renames(F.col("x")), "renamed").when(code.contains("D"), "deleted").when(code.contains("A"), "added").otherwise("modified")
     return rows.select(F.substring("x", 4, 1 << 20).alias("path"), kind.alias("status"), F.when(renames(F.col("x")), F.get("p", F.col("i") + 1)).alias("old_path"))
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size_bytes, sha256) of every file below a folder, paths relative to it."""
+    base = root.rstrip("/")
+    at = F.regexp_replace(F.col("path"), "^file:/+", "/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    return raw.select(F.substring(at, len(base.removeprefix("file://")) + 2, 1 << 20).alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def manifest_faults(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, fault): files that are missing, changed, or not in the manifest."""
+    a, b = expected.select("path", F.col("sha256").alias("_a")), found.select("path", F.col("sha256").alias("_b"))
+    both = a.join(b, "path", "full_outer")
+    fault = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "unexpected").when(F.col("_a") != F.col("_b"), "changed")
+    return both.select("path", fault.alias("fault")).filter("fault is not null")

@@ -100,6 +100,14 @@ class SnapshotStore:
         return digest(self.read(snapshot), self.key) == self.root_hash(snapshot)
 
 
+    def listed(self) -> DataFrame:
+        """(snapshot, root_hash, current, valid) of all snapshots; validity is that of their rows now."""
+        fs, at = _at(self.spark, f"{self.root}/snapshots")
+        names = sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+        rows = [(n, self.root_hash(n), n == self.current(), self.valid(n)) for n in names if not n.endswith((".new", ".old"))]
+        return self.spark.createDataFrame(rows, "snapshot string, root_hash string, current boolean, valid boolean")
+
+
 def append_history(df: DataFrame, path: str) -> None:
     """Append rows as JSON lines."""
     df.write.mode("append").json(path)
