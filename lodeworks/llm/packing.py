@@ -17,7 +17,8 @@ the tails of its length. Ranks are exact and spread out: the tails of one length
 ranked in each, and shifted by the counts of earlier ranges. Only counts reach the driver.
 
 Cases: a null or empty text is its end token alone; repeated rows are packed each; ties in length are ordered by a hash
-of the id and then the id; very long texts fill several sequences; an empty table gives no rows; other columns are ignored.
+of the id and then the id; very long texts fill several sequences; null ids are packed like others, and of rows that
+share an id the pieces can't be told apart; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

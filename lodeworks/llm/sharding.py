@@ -24,11 +24,15 @@ from lodeworks.llm.common import Scratch, checkpoint, spread
 _SPAN = 1 << 32
 
 
-def ranked(df: DataFrame, within: list[str], part: Column, order: list[str], name: str) -> DataFrame:
-    """Add name, the 0-based rank by order within the columns of within; part (increasing with order) names the range a row is in."""
+def ranked(df: DataFrame, within: list[str], part: Column, order: list[str], name: str, scratch: Scratch) -> DataFrame:
+    """Add name, the 0-based rank by order within the columns of within; part (increasing with order) names the range a row is in.
+
+    The counts of earlier ranges are read from files, so that Spark sends them to all tasks while they are small.
+    """
     df = df.withColumn("_part", part)
     counts = df.groupBy(*within, "_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(W.partitionBy(*within).orderBy("_part")) - F.col("_n")).drop("_n")
+    before = scratch.keep(before, f"before{name}")
     first = F.row_number().over(W.partitionBy(*within, "_part").orderBy(*order)) - 1
     own = df.withColumn("_row", first)
     same = [own[c].eqNullSafe(before[c]) for c in [*within, "_part"]]
@@ -42,15 +46,15 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 20, id_col: str =
     with Scratch(docs.sparkSession) as scratch:
         rows = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("_key"), *(c.alias(n) for n, c in more.items())), "keys")
         sizes = rows.groupBy("source").agg(F.count("*").alias("_of"))
-        sizes = checkpoint(sizes)
+        sizes = scratch.keep(sizes, "sizes")
         total = sizes.agg(F.coalesce(F.sum("_of"), F.lit(0))).first()[0]
         ranges = spread(total, per_part, 64)
         prefix = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
-        own = ranked(rows, ["source"], F.floor(prefix * ranges / _SPAN), ["_key", "doc_id"], "_rank")
+        own = ranked(rows, ["source"], F.floor(prefix * ranges / _SPAN), ["_key", "doc_id"], "_rank", scratch)
         big = sizes.withColumnRenamed("source", "_source")
         fraction = (2 * F.col("_rank") + 1) / (2 * F.col("_of"))
         own = scratch.keep(own.join(big, own["source"].eqNullSafe(big["_source"])).select("doc_id", "source", "_key", *more, fraction.alias("fraction")), "fractions")
-        whole = ranked(own.withColumn("_all", F.lit(0)), ["_all"], F.floor(F.col("fraction") * ranges), ["fraction", "source", "_key", "doc_id"], "_at")
+        whole = ranked(own.withColumn("_all", F.lit(0)), ["_all"], F.floor(F.col("fraction") * ranges), ["fraction", "source", "_key", "doc_id"], "_at", scratch)
         # Shard s has the places from ceil(s * total / shards) on.
         shard = F.floor(F.col("_at") * shards / F.lit(max(total, 1)))
         start = F.ceil(shard * F.lit(total) / shards)
