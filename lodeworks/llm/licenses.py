@@ -172,6 +172,10 @@ class Scanner:
             spans = None
             for t, chain in _chains(hits, self.hashes, self.prints):
                 own, n, pieces = self.hashes[t], 0, []
+                # No alignment has more words than the text has of the template's, within the band.
+                near = h[max(0, min(g[4] for g in chain) - BAND) : max(g[5] for g in chain) + BAND + len(own) + 1]
+                if np.isin(own, near).sum() < least * len(own):
+                    continue
                 for i, (p, _, q, _, low, high, _) in enumerate(chain):
                     (x, y), (u, v) = ((p, q) if i else (0, 0)), ((chain[i + 1][0], chain[i + 1][2]) if i + 1 < len(chain) else (len(h), len(own)))
                     k, first, end = align(own[y:v], h[x:u], low - BAND - x + y, high + BAND - x + y)
@@ -205,25 +209,25 @@ def _chains(hits: list, hashes: list, prints: list[int]):
             segments.append([p, p, p - d, p - d, d, d, 1])
     for t, segments in by.items():
         size = len(hashes[t])
-        best, back = [], []
-        for i, g in enumerate(segments):
-            most, via = 0.0, -1
-            for j in range(i - 1, -1, -1):
-                o = segments[j]
-                if g[0] - o[0] > 2 * size:
-                    break
+        start, end, first, last, low, high, count = np.array(segments).T
+        best, back = count.astype(float), np.full(len(segments), -1)
+        near = np.searchsorted(start, start - 2 * size)
+        for i in range(1, len(segments)):
+            j = np.arange(i - 1, near[i] - 1, -1)
+            j = j[(end[j] < start[i]) & (start[i] <= end[j] + size) & (last[j] < first[i])]
+            if len(j):
                 # A gap costs little, so that the nearer of two copies is followed.
-                if o[1] < g[0] <= o[1] + size and o[3] < g[2] and (w := best[j] - 1e-4 * abs(g[4] - o[5])) > most:
-                    most, via = w, j
-            best.append(most + g[6])
-            back.append(via)
+                most = best[j] - 1e-4 * np.abs(low[i] - high[j])
+                k = int(most.argmax())
+                if most[k] > 0:
+                    best[i], back[i] = most[k] + count[i], j[k]
         used: set[int] = set()
-        for i in sorted(range(len(segments)), key=lambda i: -best[i]):
+        for i in np.argsort(-best, kind="stable").tolist():
             chain = []
             while i >= 0 and i not in used:
                 used.add(i)
                 chain.append(segments[i])
-                i = back[i]
+                i = int(back[i])
             # Long templates share phrases with any prose.
             if chain and (size <= 60 or 20 * sum(g[6] for g in chain) >= prints[t]):
                 yield t, chain[::-1]
