@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeworks.llm import exact_dedup, html_text, licenses, near_dedup, packing, pieces, quality_model, quality_rules, sharding, warc_store
+from lodeworks.llm import decontaminate, exact_dedup, fill_middle, html_text, importance, licenses, near_dedup, packing, pieces, quality_model, quality_rules, sharding, warc_store
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_licenses": licenses.op8,
     "op9_pieces": pieces.op9,
     "op10_quality_model": quality_model.op10,
+    "op11_fill_middle": fill_middle.op11,
+    "op12_importance": importance.op12,
+    "op13_decontaminate": decontaminate.op13,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_warc_store": warc_store.OP3_SQL,
+    "op11_fill_middle": fill_middle.OP11_SQL,
+    "op12_importance": importance.OP12_SQL,
+    "op13_decontaminate": decontaminate.OP13_SQL,
 }
