@@ -1,11 +1,13 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment tells how much of a template a text has.
 
 Templates are a small fixed table (its size is checked), indexed once: word shingles are hashed, and of every few
-neighbouring ones the smallest is kept, in templates and texts alike, so that any common run of SHINGLE + SPAN - 1 words
-shares a fingerprint. Each hit proposes a template and a diagonal; hits whose places in the text are close make one
-segment, and segments of a template that follow each other in it and in the text make one candidate, whatever stands
-between them. Local alignments within BAND words of the segments' diagonals then give the words matched, their share of
-the template and the place in the text. A place must have the words that tell a license from its neighbours (version,
+neighbouring ones the smallest is kept; of templates of SHORT words or fewer all are. All shingles of a text are looked
+up, so any common run of SHINGLE + SPAN - 1 words (of SHINGLE words, with a short template) is a hit. Each hit proposes
+a template and a diagonal; hits whose places in the text are close make one segment, and segments of a template that
+follow each other in it and in the text make one candidate, whatever stands between them. A segment reaches back to the
+first word that matches behind the one before. Local alignments within BAND words of the segments' diagonals, all of a
+text at once, then give the words matched, their share of the template and the place in the text. What can't have
+enough of a template's words is not aligned. A place must have the words that tell a license from its neighbours (version,
 NC, SA, Lesser); of templates that match the same words the best covered stays.
 
 Each text is scanned alone, whole, with memory in proportion to it: no shuffle.
@@ -27,6 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE, SPAN, BAND = 3, 2, 4
+#: Words of a template, at most, of which every shingle is a fingerprint.
+SHORT = 30
+#: Cells of alignments that are computed at once.
+_CELLS = 100_000
 LEAST = 0.8
 MOST_TEMPLATE_WORDS = 200_000
 _WORD = re.compile(r"[^\W_]+")
@@ -67,7 +73,8 @@ TEMPLATES |= {x.stem: x.read_text("utf-8") for x in sorted((Path(__file__).paren
 for _k, _v in {"MIT-full": "Permission is hereby", "ISC": "Permission to use", "BSD-2-Clause": "Redistribution and", "BSD-3-Clause": "Redistribution and"}.items():
     TEMPLATES[_k] = TEMPLATES[_k][TEMPLATES[_k].index(_v) :]
 
-# Words, in lower case with one space between, that a place must have, or must not have, to be of a license.
+# Words, in lower case with one space between, that a place must have, or must not have, to be of a license. Between words
+# that it must have may stand one more.
 _NC, _SA, _ND = "(?:noncommercial|nc)", "(?:sharealike|sa)", "(?:noderivatives|noderivs|nd)"
 _MUST = {"MIT-line": ("mit",), "MIT-licensed": ("mit",), "ISC-licensed": ("isc",), "Apache-2.0": ("apache", "version 2|license 2"), "BSD-2-Clause-licensed": ("bsd 2",), "BSD-3-Clause-licensed": ("bsd 3",), "BSD-3-Clause": ("neither the name|names? of .* endorse|bsd 3",), "MPL-2.0": ("mozilla public license|mpl", "2 0"), "CC0": ("cc0|creative commons",),
          "GPL-2.0": ("general public license", "version 2(?! 1)|v2(?! 1)"), "GPL-3.0": ("general public license", "version 3|v3"), "LGPL-2.1": ("lesser", "version 2 1|v2 1"), "LGPL-3.0": ("lesser", "version 3|v3"), "AGPL-3.0": ("affero", "version 3|v3"),
@@ -77,11 +84,14 @@ _NOT = {"GPL-": ("lesser", "affero", "library general"), "CC-BY-4": (_NC, _SA, _
 _NOT_LONG = {"GPL-3.0": ("remote network interaction",), "CC-BY-SA": (_NC,)}
 
 
+_GAP = re.compile(r"(?<!!) ")
+
+
 def allowed(name: str, length: int, words: str) -> bool:
     """Whether a place has the words that tell a license from its neighbours."""
     has = lambda p: re.search(rf"\b(?:{p})\b", words)
     no = _NOT if length < _SHORT else _NOT_LONG
-    return all(has(p) for k, own in _MUST.items() if name.startswith(k) for p in own) and not any(has(p) for k, own in no.items() if name.startswith(k) for p in own)
+    return all(has(_GAP.sub(r" (?:\\w+ )?", p)) for k, own in _MUST.items() if name.startswith(k) for p in own) and not any(has(p) for k, own in no.items() if name.startswith(k) for p in own)
 
 
 class _Words(dict):
@@ -103,9 +113,9 @@ def _shingles(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Winnowed (hash, place) of a text's word hashes."""
+    """Winnowed (hash, place) of a template's word hashes."""
     s = _shingles(h)
-    if len(s) <= SPAN:
+    if len(h) <= SHORT or len(s) <= SPAN:
         return s, np.arange(len(s))
     views = np.lib.stride_tricks.sliding_window_view(s, SPAN)
     at = np.unique(np.arange(len(views)) + views.argmin(1))
@@ -113,34 +123,78 @@ def fingerprints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """Best local alignment with text place - template place in [low, high]: (words matched, first place, end place).
+    """align_many() of one."""
+    return align_many([(template, text, low, high)])[0]
+
+
+def align_many(jobs: list[tuple[np.ndarray, np.ndarray, int, int]]) -> list[tuple[int, int, int]]:
+    """For each (template, text, low, high) the best local alignment with text place - template place in [low, high].
 
-    A match counts 2, a gap or mismatch -1; rows are template words, and only the band of each is computed.
+    It is (words matched, first place, end place). A match counts 2, a gap or mismatch -1.
     """
-    # Most notices are whole: then nothing can score higher than the first of the exact places.
-    for at in range(max(0, low), min(high, len(text) - len(template)) + 1):
-        if text[at] == template[0] and (text[at : at + len(template)] == template).all():
-            return len(template), at, at + len(template)
-    width = high - low + 1
-    score, start, hits = np.zeros(width, int), np.zeros(width, int), np.zeros(width, int)
-    best = (0, 0, 0, 0)
-    for i, w in enumerate(template):
-        now, first, n = np.zeros(width, int), np.zeros(width, int), np.zeros(width, int)
-        for d in range(width):
-            j = i + low + d
-            if not 0 <= j < len(text):
-                continue
-            same = text[j] == w
-            options = [(0, j, 0), (score[d] + (2 if same else -1), start[d] if score[d] else j, (hits[d] if score[d] else 0) + same)]
-            if d + 1 < width:
-                options.append((score[d + 1] - 1, start[d + 1], hits[d + 1]))
-            if d:
-                options.append((now[d - 1] - 1, first[d - 1], n[d - 1]))
-            now[d], first[d], n[d] = max(options, key=lambda x: x[0])
-            if now[d] > best[0]:
-                best = (int(now[d]), int(n[d]), int(first[d]), j + 1)
-        score, start, hits = now, first, n
-    return best[1:]
+    out: list = [(0, 0, 0)] * len(jobs)
+    rest = []
+    for k, (template, text, low, high) in enumerate(jobs):
+        # Most notices are whole: then nothing can score higher than the first of the exact places.
+        for at in range(max(0, low), min(high, len(text) - len(template)) + 1):
+            if text[at] == template[0] and (text[at : at + len(template)] == template).all():
+                out[k] = (len(template), at, at + len(template))
+                break
+        else:
+            if len(template) and len(text):
+                rest.append(k)
+    rest.sort(key=lambda k: -len(jobs[k][0]))
+    while rest:
+        n, width = 0, 1
+        while n < len(rest) and (n + 1) * max(width, jobs[rest[n]][3] - jobs[rest[n]][2] + 1) <= max(_CELLS, width):
+            width = max(width, jobs[rest[n]][3] - jobs[rest[n]][2] + 1)
+            n += 1
+        n = max(n, 1)
+        for k, found in zip(rest[:n], _banded([jobs[k] for k in rest[:n]]), strict=True):
+            out[k] = found
+        rest = rest[n:]
+    return out
+
+
+def _banded(jobs: list) -> list[tuple[int, int, int]]:
+    """The alignments of jobs, longest template first: row by row of the templates, all jobs' bands as one array."""
+    n, width = len(jobs), max(high - low + 1 for _, _, low, high in jobs)
+    texts, templates = np.concatenate([j[1] for j in jobs]), np.concatenate([j[0] for j in jobs])
+    size, length = np.array([len(j[1]) for j in jobs]), np.array([len(j[0]) for j in jobs])
+    base, own = np.cumsum(size) - size, np.cumsum(length) - length
+    low, wide = np.array([j[2] for j in jobs]), np.array([j[3] - j[2] + 1 for j in jobs])
+    d = np.arange(width)
+    score, start, hits = (np.zeros((n, width + 1), np.int64) for _ in range(3))
+    best, found = np.zeros(n, np.int64), np.zeros((n, 3), np.int64)
+    for i in range(int(length[0])):
+        m = int(np.searchsorted(-length, -i, "left"))  # those that have a row i
+        j = i + low[:m, None] + d
+        inside = (j >= 0) & (j < size[:m, None]) & (d < wide[:m, None])
+        same = inside & (texts[base[:m, None] + np.clip(j, 0, size[:m, None] - 1)] == templates[own[:m] + i][:, None])
+        before = score[:m, :width]
+        step = before + np.where(same, 2, -1)
+        fresh = step <= 0
+        now = np.where(fresh, 0, step)
+        first = np.where(fresh | (before == 0), j, start[:m, :width])
+        count = np.where(fresh, 0, np.where(before > 0, hits[:m, :width], 0) + same)
+        # A word of the template that the text lacks.
+        up = score[:m, 1:] - 1
+        take = up > now
+        now, first, count = np.where(take, up, now), np.where(take, start[:m, 1:], first), np.where(take, hits[:m, 1:], count)
+        # Words of the text that the template lacks: the best of all cells to the left, less their distance.
+        now[~inside] = 0
+        source = np.maximum.accumulate((now + d) * width + d, axis=1) % width
+        now = np.take_along_axis(now, source, 1) - (d - source)
+        now[~inside] = 0
+        first, count = np.take_along_axis(first, source, 1), np.take_along_axis(count, source, 1)
+        score[:m, :width], start[:m, :width], hits[:m, :width] = now, first, count
+        column = now.argmax(1)
+        most = now[np.arange(m), column]
+        better = np.flatnonzero(most > best[:m])
+        best[better] = most[better]
+        at = column[better]
+        found[better] = np.stack([count[better, at], first[better, at], j[better, at] + 1], 1)
+    return [tuple(x) for x in found.tolist()]
 
 
 class Scanner:
@@ -154,39 +208,51 @@ class Scanner:
             raise ValueError("the templates are too large for one task")
         found = [(int(f), t, int(p)) for t, h in enumerate(self.hashes) for f, p in zip(*fingerprints(h), strict=True)]
         found.sort()
-        self.prints = np.bincount([t for _, t, _ in found], minlength=len(self.names)).tolist()
+        self.own = [np.unique(h, return_counts=True) for h in self.hashes]
         self.key = np.array([f for f, _, _ in found], np.uint64)
         self.template, self.place = np.array([t for _, t, _ in found]), np.array([p for _, _, p in found])
 
     def _hashed(self, text: str) -> np.ndarray:
         return np.array([h for run in text.split() for h in self.words[run]], np.uint64)
 
+    def _possible(self, hits: list, h: np.ndarray, least: float) -> set[int]:
+        """Those templates of hits of which the text has enough words at all."""
+        seen, out = np.unique(h), set()
+        for t in {x[0] for x in hits}:
+            words, times = self.own[t]
+            if times[np.isin(words, seen, assume_unique=True)].sum() >= least * len(self.hashes[t]):
+                out.add(t)
+        return out
+
     def scan(self, text: str | None, least: float = LEAST) -> list[tuple[str, int, int, float, int, int]]:
         """(template, words matched, words of the template, coverage, first character, end) of each match."""
         h = self._hashed(text or "")
-        keys, at = fingerprints(h)
+        keys = _shingles(h)
         lo, hi = np.searchsorted(self.key, keys, "left"), np.searchsorted(self.key, keys, "right")
-        out = []
-        if (hi > lo).any():
-            hits = sorted((int(self.template[k]), int(p), int(p) - int(self.place[k])) for a, b, p in zip(lo, hi, at, strict=True) if b > a for k in range(a, b))
-            spans = None
-            for t, chain in _chains(hits, self.hashes, self.prints):
-                own, n, pieces = self.hashes[t], 0, []
+        out: list = []
+        met = np.flatnonzero(hi > lo)
+        if len(met):
+            hits = sorted((int(self.template[k]), p, p - int(self.place[k])) for p in met.tolist() for k in range(lo[p], hi[p]))
+            spans = [m.span() for m in _WORD.finditer(text)]
+            chains, jobs = [], []
+            for t, chain in _chains(hits, self._possible(hits, h, least), self.hashes):
+                own = self.hashes[t]
                 # No alignment has more words than the text has of the template's, within the band.
                 near = h[max(0, min(g[4] for g in chain) - BAND) : max(g[5] for g in chain) + BAND + len(own) + 1]
                 if np.isin(own, near).sum() < least * len(own):
                     continue
-                for i, (p, _, q, _, low, high, _) in enumerate(chain):
-                    (x, y), (u, v) = ((p, q) if i else (0, 0)), ((chain[i + 1][0], chain[i + 1][2]) if i + 1 < len(chain) else (len(h), len(own)))
-                    k, first, end = align(own[y:v], h[x:u], low - BAND - x + y, high + BAND - x + y)
-                    n += k
-                    if k:
-                        pieces.append((x + first, x + end))
-                if pieces and n >= least * len(own):
-                    spans = spans or [m.span() for m in _WORD.finditer(text)]
+                starts = [(0, 0), *(_back(h, own, a, b) for a, b in zip(chain, chain[1:], strict=False)), (len(h), len(own))]
+                chains.append((t, [x for x, _ in starts[:-1]]))
+                for (x, y), (u, v), g in zip(starts, starts[1:], chain, strict=False):
+                    jobs.append((own[y:v], h[x:u], g[4] - BAND - x + y, g[5] + BAND - x + y))
+            aligned = iter(align_many(jobs))
+            for t, starts in chains:
+                size, found = len(self.hashes[t]), [(x, *next(aligned)) for x in starts]
+                n, pieces = sum(f[1] for f in found), [(x + first, x + end) for x, k, first, end in found if k]
+                if pieces and n >= least * size:
                     start, stop = spans[pieces[0][0]][0], spans[pieces[-1][1] - 1][1]
-                    if allowed(self.names[t], len(own), " ".join(_WORD.findall(text[start:stop].lower()))):
-                        out.append((2 * int(n) - len(own), pieces, (self.names[t], int(n), len(own), n / len(own), start, stop)))
+                    if allowed(self.names[t], size, " ".join(_WORD.findall(text[start:stop].lower()))):
+                        out.append((2 * n - size, pieces, (self.names[t], n, size, n / size, start, stop)))
         # Of matches over the same words the one with most words matched less those missing stays.
         kept: list = []
         for _, pieces, row in sorted(out, key=lambda x: (-x[0], -x[2][3], x[2][0], x[2][4])):
@@ -196,17 +262,31 @@ class Scanner:
         return sorted({row for _, row in kept}, key=lambda x: (x[4], x[0]))
 
 
-def _chains(hits: list, hashes: list, prints: list[int]):
+def _back(h: np.ndarray, own: np.ndarray, before: list, segment: list) -> tuple[int, int]:
+    """Where the words that match up to a segment begin, in text and template, behind the one before."""
+    p, q = segment[0], segment[2]
+    while p > before[1] + SHINGLE and q > before[3] + SHINGLE and h[p - 1] == own[q - 1]:
+        p, q = p - 1, q - 1
+    return p, q
+
+
+def _chains(hits: list, possible: set[int], hashes: list):
     """(template, segments in order of text and template) of hits; a segment is (places, template places, diagonals, hits)."""
     by: dict[int, list] = {}
+    # The latest segment of a template that has a hit on a diagonal.
+    on: dict[tuple[int, int], list] = {}
     for t, p, d in hits:
+        if t not in possible:
+            continue
         segments = by.setdefault(t, [])
-        for g in reversed(segments[-16:]):
-            if p - g[1] <= len(hashes[t]) and g[4] - BAND <= d <= g[5] + BAND and p - d >= g[3] - BAND:
-                g[1], g[3], g[4], g[5], g[6] = p, max(g[3], p - d), min(g[4], d), max(g[5], d), g[6] + 1
-                break
+        near = [g for k in range(d - BAND, d + BAND + 1) if (g := on.get((t, k))) and p - g[1] <= len(hashes[t]) and p - d >= g[3] - BAND]
+        if near:
+            g = max(near, key=lambda x: x[0])
+            g[1], g[3], g[4], g[5], g[6] = p, max(g[3], p - d), min(g[4], d), max(g[5], d), g[6] + 1
         else:
-            segments.append([p, p, p - d, p - d, d, d, 1])
+            g = [p, p, p - d, p - d, d, d, 1]
+            segments.append(g)
+        on[t, d] = g
     for t, segments in by.items():
         size = len(hashes[t])
         start, end, first, last, low, high, count = np.array(segments).T
@@ -228,8 +308,7 @@ def _chains(hits: list, hashes: list, prints: list[int]):
                 used.add(i)
                 chain.append(segments[i])
                 i = int(back[i])
-            # Long templates share phrases with any prose.
-            if chain and (size <= 60 or 20 * sum(g[6] for g in chain) >= prints[t]):
+            if chain:
                 yield t, chain[::-1]
 
 

@@ -22,10 +22,12 @@ def folder(request, spark, tmp_path_factory):
     spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint, digest string, n_words int").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (2, 0, 0), (5, 1, None), (7, 0, 1), (None, 1, 0)] if keep else [], "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([(*p, 1) for p in PAGES] if keep else [], "page_id bigint, url string, html string, text int").write.parquet(f"{at}/pages.parquet")
+    items = [(1, "some sentence of a very long text that goes on", "x"), (1, "again the same id", "x"), (None, "no id has this text of ten words or even more", "x"), (2, None, None), (3, "", "x")]
+    spark.createDataFrame(items if keep else [], "item_id bigint, text string, doc_id string").write.parquet(f"{at}/benchmark.parquet")
     return str(at), keep
 
 
-@pytest.mark.parametrize("name", ["op1_quality_rules", "op5_packing", "op6_html_text", "op7_sharding", "op8_licenses", "op9_pieces", "op10_quality_model"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op2_exact_dedup", "op4_near_dedup", "op5_packing", "op6_html_text", "op7_sharding", "op8_licenses", "op9_pieces", "op10_quality_model", "op11_fill_middle", "op12_importance", "op13_decontaminate"])
 def test_odd_tables(spark, folder, name):
     at, keep = folder
     found = QUERIES[name](spark, at).collect()
@@ -39,8 +41,30 @@ def test_odd_tables(spark, folder, name):
         assert {r.doc_id for r in found} == {r[0] for r in ROWS}
         if name not in ("op5_packing", "op9_pieces"):
             assert len(found) == len(ROWS)
+        by = {r[0]: [x for x in found if x.doc_id == r[0]] for r in ROWS}
         if name == "op9_pieces":
             assert all(r.round_trip for r in found)
+        if name == "op1_quality_rules":
+            assert {r.n_words for r in by[2] + by[3] + by[6]} == {0} and by[5][0].n_words == 200_000 and not any(r.kept for r in by[2])
+        if name == "op2_exact_dedup":
+            assert [r.kept for r in by[1]] == [True, True] and {r.group_size for r in by[3]} == {3} and by[5][0].text_sha256 == hashlib.sha256(LONG.encode()).hexdigest()
+        if name == "op4_near_dedup":
+            assert {(r.doc_id, r.component_id) for r in by[1] + by[2] + by[3]} == {(1, 1), (2, 2), (3, 3)} and {r.n_shingles for r in by[2] + by[3] + by[6]} == {0} and by[5][0].n_shingles == 10
+        if name == "op11_fill_middle":
+            assert all(r.restored_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t, *_ in ROWS if i == 5 or i == 7 for r in by[i]) and by[2][0].form == "plain"
+        if name == "op12_importance":
+            assert by[5][0].n_features == 2 * 200_000 - 1 and {r.weight for r in by[2] + by[3] + by[6]} == {0} and len(by[1]) == 2
+        if name == "op13_decontaminate":
+            assert by[5][0].n_hit == 200_000 and by[5][0].n_items == 1 and {r.n_hit for r in by[2] + by[3] + by[9]} == {0} and {r.n_items for r in by[None]} == {0, 1}
+
+
+def test_odd_pages_in_archives(spark, folder):
+    at, keep = folder
+    found = QUERIES["op3_warc_store"](spark, at).collect()
+    assert len(found) == (len(PAGES) if keep else 0)
+    if keep:
+        sizes = {p[0]: len((p[2] or "").encode()) for p in PAGES}
+        assert all(r.payload_bytes == sizes[r.page_id] and r.payload_digest == hashlib.sha256(next(p[2] or "" for p in PAGES if p[0] == r.page_id).encode()).hexdigest() for r in found)
 
 
 def test_stages_on_odd_tables(spark, folder, tmp_path):
