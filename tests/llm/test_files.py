@@ -238,6 +238,21 @@ def test_repeats_are_cut_from_marked_articles(spark):
     assert found == {i: text(i) for i in range(8)}
 
 
+def test_articles_keep_sentences_that_recur(spark):
+    """Every text is that of the article's blocks, though prose recurs on many pages of the host; what frames all articles goes."""
+    r = random.Random(9)
+    sentences = [" ".join(r.choice("abcdefgh") * r.randint(1, 4) for _ in range(r.randint(9, 14))).capitalize() + "." for _ in range(40)]
+    frame = "share this story with all of your friends today"
+    rows, want = [], {}
+    for i in range(60):
+        own = [" ".join(r.choices(sentences, k=r.randint(1, 3))) for _ in range(r.randint(2, 6))]
+        tail = f"<p>{frame}</p>" if i % 2 else ""
+        rows.append((i, f"http://{'framed' if i % 2 else 'plain'}.example/{i}", f"<nav>{frame}</nav><article><h1>{i} title</h1>{''.join(f'<p>{x}</p>' for x in own)}{tail}</article><footer>{sentences[0]}</footer>"))
+        want[i] = "\n".join([f"{i} title", *own])
+    found = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == want
+
+
 # ---- licenses
 
 
