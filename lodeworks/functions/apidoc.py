@@ -64,32 +64,34 @@ def api_rows(tables: DataFrame, key: str) -> DataFrame:
     return rows.filter(F.length("name") > 0).select(key, "line_no", moved.alias("section"), "name", "type", "default_value", required.alias("required"), "description")
 
 
-# Declarations at the start of a line. Fixed forms of the language.
-_DECLARES = r"^(export\s+)?(default\s+)?(declare\s+)?(abstract\s+)?(async\s+)?(class|interface|enum|function|type|const|let|var|namespace)\*?\s+([A-Za-z_$][\w$]*)"
+# Declarations at the start of a statement. Fixed forms of the language.
+_DECLARES = r"^(export\s+)?(default\s+)?(declare\s+)?(abstract\s+)?(async\s+)?(const enum|class|interface|enum|function|type|const|let|var|namespace)\b\s*\*?\s*([A-Za-z_$][\w$]*)?"
+_ASSIGNED = r"^export\s+(?:default\s+(?!class\b|function\b|abstract\s+class\b|async\s+function\b|interface\b|enum\b)|=\s*)(.+)$"
+_REQUIRED = r"^import\s+(type\s+)?([\w$]+)\s*=\s*require\(\s*['\"]([^'\"]+)['\"]\s*\)"
 _IMPORTS = r"^import\s+(type\s+)?(.*?)\s*from\s*['\"]([^'\"]+)['\"]"
 _BARE = r"^import\s*['\"]([^'\"]+)['\"]"
-_DYNAMIC = r"\bimport\(\s*['\"]([^'\"]+)['\"]"
 _REEXPORTS = r"^export\s+(type\s+)?(\*(?:\s+as\s+[\w$]+)?|\{[^}]*\})\s*from\s*['\"]([^'\"]+)['\"]"
 _NAMED = r"^export\s+(type\s+)?\{([^}]*)\}\s*;?\s*$"
 
 
 def _statements(files: DataFrame) -> DataFrame:
-    """path, line, code: lines outside comments, with the brace lists of imports and exports pulled into one line."""
-    code = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "\r\n|\r", "\n"), r"(?s)/\*.*?\*/", " "), r"(?m)^\s*//.*$", "")
-    # Lists over several lines: newlines within the braces that follow import or export go, each where the last one ended.
-    code = F.regexp_replace(code, r"(?m)((?:^(?:import|export)(?:\s+type)?[^\n;{}]*\{|(?!\A)\G)[^\n{}]*)\n", "$1 ")
-    return lines_of(files.withColumn("_code", code), "path", "_code").select("path", F.col("line_no").alias("line"), F.trim("line").alias("code"))
+    """path, line, code, inside: the statements of a file's top level in one line each, and its dynamic imports."""
+    from lodeworks.functions.syntax import file_statements
+
+    return file_statements(files).filter("scope is null").select("path", "line", F.col("head").alias("code"), "inside")
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """path, line, kind, name, exported, is_default of top-level TypeScript declarations in (path, text).
+    """path, line, kind, name, exported, is_default of top-level TypeScript declarations in (path, text). By syntax only: types aren't resolved."""
+    return _declared(_statements(files))
 
-    By syntax only: types aren't resolved, and lines count after multi-line lists are joined.
-    """
-    rows = _statements(files).filter(F.col("code").rlike(_DECLARES))
+
+def _declared(rows: DataFrame) -> DataFrame:
+    rows = rows.filter(F.col("inside").isNull() & F.col("code").rlike(_DECLARES))
     at = lambda g: F.regexp_extract("code", _DECLARES, g)
-    kind = F.when(at(6).isin("const", "let", "var"), "variable").otherwise(at(6))
-    return rows.select("path", "line", kind.alias("kind"), at(7).alias("name"), (at(1) != "").alias("exported"), (at(2) != "").alias("is_default"))
+    kind = F.when(at(6).isin("const", "let", "var"), "variable").when(at(6) == "const enum", "enum").otherwise(at(6))
+    name = F.when((at(7) == "") | (at(6) == "class") & at(7).isin("extends", "implements"), "anonymous").otherwise(at(7))
+    return rows.select("path", "line", kind.alias("kind"), name.alias("name"), (at(1) != "").alias("exported"), (at(2) != "").alias("is_default"))
 
 
 def _names(listed: Column) -> Column:
@@ -99,8 +101,9 @@ def _names(listed: Column) -> Column:
 
 
 def imports(files: DataFrame) -> DataFrame:
-    """path, line, source, imported, local, type_only. * is a namespace; a bare or dynamic import has no names."""
-    rows = _statements(files)
+    """path, line, source, imported, local, type_only. * is a namespace or, without a local name, a dynamic import; a bare import has no names."""
+    every = _statements(files)
+    rows = every.filter("inside is null")
     c = F.col("code")
     named = rows.filter(c.rlike(_IMPORTS)).select("path", "line", F.regexp_extract(c, _IMPORTS, 3).alias("source"), F.regexp_extract(c, _IMPORTS, 2).alias("what"), (F.regexp_extract(c, _IMPORTS, 1) != "").alias("type_only"))
     pair = lambda a, b: F.struct(a.alias("first"), b.alias("last"))
@@ -109,21 +112,25 @@ def imports(files: DataFrame) -> DataFrame:
     default = F.regexp_extract("what", r"^([A-Za-z_$][\w$]*)", 1)
     items = F.concat(F.when(default != "", F.array(pair(F.lit("default"), default))).otherwise(F.expr("array()").cast("array<struct<first:string,last:string>>")), F.when(space != "", F.array(pair(F.lit("*"), space))).otherwise(F.expr("array()").cast("array<struct<first:string,last:string>>")), braces)
     out = named.select("path", "line", "source", "type_only", F.explode(items).alias("i")).select("path", "line", "source", F.col("i.first").alias("imported"), F.col("i.last").alias("local"), "type_only")
-    bare = rows.select("path", "line", F.when(c.rlike(_BARE), F.array(F.regexp_extract(c, _BARE, 1))).otherwise(F.regexp_extract_all(c, F.lit(_DYNAMIC), 1)).alias("s"))
-    return out.unionByName(bare.select("path", "line", F.explode("s").alias("source"), F.lit(None).cast("string").alias("imported"), F.lit(None).cast("string").alias("local"), F.lit(False).alias("type_only")))
+    no = F.lit(None).cast("string")
+    bare = rows.filter(c.rlike(_BARE)).select("path", "line", F.regexp_extract(c, _BARE, 1).alias("source"), no.alias("imported"), no.alias("local"), F.lit(False).alias("type_only"))
+    required = rows.filter(c.rlike(_REQUIRED)).select("path", "line", F.regexp_extract(c, _REQUIRED, 3).alias("source"), F.lit("*").alias("imported"), F.regexp_extract(c, _REQUIRED, 2).alias("local"), (F.regexp_extract(c, _REQUIRED, 1) != "").alias("type_only"))
+    dynamic = every.filter("inside = 'import'").select("path", "line", c.alias("source"), F.lit("*").alias("imported"), no.alias("local"), F.lit(False).alias("type_only"))
+    return out.unionByName(bare).unionByName(required).unionByName(dynamic)
 
 
 def exports(files: DataFrame) -> DataFrame:
     """path, line, exported, local, source (null without one), type_only, re_export. A star export has * as its name."""
-    rows, c = _statements(files), F.col("code")
+    rows, c = _statements(files).filter("inside is null"), F.col("code")
     again = rows.filter(c.rlike(_REEXPORTS)).select("path", "line", F.regexp_extract(c, _REEXPORTS, 3).alias("source"), F.regexp_extract(c, _REEXPORTS, 2).alias("what"), (F.regexp_extract(c, _REEXPORTS, 1) != "").alias("type_only"))
     alias = F.regexp_extract("what", r"^\*\s+as\s+([\w$]+)", 1)
     star = F.array(F.struct(F.lit("*").alias("first"), F.when(alias != "", alias).otherwise("*").alias("last")))
     again = again.withColumn("i", F.explode(F.when(F.col("what").startswith("*"), star).otherwise(_names(F.col("what"))))).select("path", "line", F.col("i.last").alias("exported"), F.col("i.first").alias("local"), "source", "type_only", F.lit(True).alias("re_export"))
     listed = rows.filter(c.rlike(_NAMED)).select("path", "line", (F.regexp_extract(c, _NAMED, 1) != "").alias("type_only"), F.explode(_names(F.regexp_extract(c, _NAMED, 2))).alias("i"))
     listed = listed.select("path", "line", F.col("i.last").alias("exported"), F.col("i.first").alias("local"), F.lit(None).cast("string").alias("source"), "type_only", F.lit(False).alias("re_export"))
-    own = declarations(files).filter("exported").select("path", "line", F.when(F.col("is_default"), "default").otherwise(F.col("name")).alias("exported"), F.col("name").alias("local"), F.lit(None).cast("string").alias("source"), F.col("kind").isin("interface", "type").alias("type_only"), F.lit(False).alias("re_export"))
-    return again.unionByName(listed).unionByName(own)
+    own = _declared(rows).filter("exported").select("path", "line", F.when(F.col("is_default"), "default").otherwise(F.col("name")).alias("exported"), F.col("name").alias("local"), F.lit(None).cast("string").alias("source"), F.col("kind").isin("interface", "type").alias("type_only"), F.lit(False).alias("re_export"))
+    assigned = rows.filter(c.rlike(_ASSIGNED)).select("path", "line", F.lit("default").alias("exported"), F.regexp_extract(c, _ASSIGNED, 1).alias("local"), F.lit(None).cast("string").alias("source"), F.lit(False).alias("type_only"), F.lit(False).alias("re_export"))
+    return again.unionByName(listed).unionByName(own).unionByName(assigned)
 
 
 def module_candidates(path: Column, source: Column) -> Column:

@@ -1,92 +1,101 @@
-"""TypeScript sources to symbol records, line by line: declarations, members, signatures, heritage and doc comments.
+"""TypeScript sources to symbol records: declarations, members, signatures, parameters, heritage and doc comments.
 
-By syntax alone. A line's depth is the number of braces open before it; comments and strings are blanked first, so that
-line numbers stay those of the file. A declaration is read off the line it starts on.
+By syntax alone. lexer.py cuts a file into statements, those in the bodies of classes, interfaces, enums and namespaces
+among them, each file in a task of its own; what a statement declares is read off its head by column expressions.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeworks.functions.markup import lines_of
+from lodeworks.functions.lexer import statements
 from lodeworks.operators.classify import cascade
 
-_STRINGS = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`\\]|\\.)*`"
-_MODIFIERS = r"((?:(?:export|default|declare|abstract|public|private|protected|static|readonly|async|override)\s+)*)"
+_STATEMENT = "path string, line int, end_line int, head string, left string, inside string, scope string, doc string, params array<string>, after string"
+_KINDS = [pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5, pa.list_(pa.string()), pa.string()]
+_MODIFIERS = r"((?:(?:export|default|declare|abstract|public|private|protected|static|readonly|async|override|accessor)\s+)*)"
+_NAME = r"([\w$#]+|\[[^\]]*\]|\"[^\"]*\"|'[^']*')"
 # Forms of the language.
-_TOP = rf"^{_MODIFIERS}(class|interface|enum|function|type|const|let|var|namespace|module)\b\*?\s*([A-Za-z_$][\w$]*)"
-_ACCESSOR = rf"^{_MODIFIERS}(get|set)\s+([\w$]+)\s*\("
-_METHOD = rf"^{_MODIFIERS}\*?\s*([\w$]+)(\??)\s*(?:<[^()]*>)?\("
-_PROPERTY = rf"^{_MODIFIERS}([\w$]+)([?!]?)\s*(?::\s*([^=;]+?))?\s*(?:=.*|;|,)?$"
-_NOT_MEMBERS = ("if", "for", "while", "switch", "return", "catch", "else", "do", "try", "throw", "await", "new", "super")
-
-
-def code_lines(files: DataFrame) -> DataFrame:
-    """path, line_no, line, code (without comments and strings), depth, and the number of the comment block a line is in or ends."""
-    rows = lines_of(files, "path", "text")
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("line", _STRINGS, "''"), r"/\*.*?\*/", " "), "//.*$", "")
-    order = W.partitionBy("path").orderBy("line_no")
-    rows = rows.withColumns({"_bare": bare, "_last": F.when(bare.contains("/*"), True).when(bare.contains("*/"), False)})
-    inside = F.coalesce(F.last("_last", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
-    rows = rows.withColumn("_inside", inside)
-    after = F.when(F.col("_inside"), F.when(F.col("_bare").contains("*/"), F.substring_index("_bare", "*/", -1)).otherwise("")).otherwise(F.col("_bare"))
-    rows = rows.withColumn("code", F.trim(F.substring_index(after, "/*", 1)))
-    count = lambda c: F.length("code") - F.length(F.replace("code", F.lit(c), F.lit("")))
-    depth = F.coalesce(F.sum(count("{") - count("}")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = F.col("line").rlike(r"/\*") & ~F.col("_inside")
-    return rows.select("path", "line_no", "line", "code", depth.alias("depth"), F.sum(starts.cast("int")).over(order).alias("block"), (F.col("_inside") | starts).alias("comment"))
-
-
-def doc_comments(lines: DataFrame) -> DataFrame:
-    """path, end (its last line), summary, tags, deprecated and examples of each comment that starts with two stars."""
-    parts = lines.filter("comment").groupBy("path", "block").agg(F.max("line_no").alias("end"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
-    raw = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
-    rows = parts.select("path", "end", F.regexp_extract(raw, r"(?s)/\*\*(.*?)\*/", 1).alias("_b")).filter("_b <> ''")
-    body = F.regexp_replace("_b", r"(?m)^[ \t]*\*[ \t]?", "")
-    one = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    tags = F.regexp_extract_all(body, F.lit(r"@([A-Za-z][\w-]*)"), 1)
-    summary = F.nullif(one(F.regexp_replace(body, r"(?s)(?:^|\n)\s*@.*$", "")), F.lit(""))
-    return rows.select("path", "end", summary.alias("summary"), tags.alias("tags"), F.array_contains(tags, "deprecated").alias("deprecated"), F.transform(F.regexp_extract_all(body, F.lit(r"@example\s+([^@]+)"), 1), one).alias("examples"))
+_TOP = rf"^{_MODIFIERS}(const enum|class|interface|enum|function|type|const|let|var|namespace|module|global)\b\s*\*?\s*([\w$.]+|\{{[^=]*\}}|\[[^=]*\]|\"[^\"]*\"|'[^']*')?"
+_ACCESSOR = rf"^{_MODIFIERS}(get|set)\s+{_NAME}\s*\("
+_METHOD = rf"^{_MODIFIERS}\*?\s*{_NAME}(\??)\s*(?:<.*?>)?\("
+_PROPERTY = rf"^{_MODIFIERS}{_NAME}([?!]?)\s*(?::\s*(.+))?$"
+_PARAMETER = r"^(?:(?:public|private|protected|readonly|override)\s+)*(\.\.\.)?\s*([\w$]+|\{.*?\}|\[.*?\])(\?)?\s*(?::\s*(.+?))?(\s*=(?!>).*)?$"
+
+
+def _read(batches):
+    for batch in batches:
+        for path, text in zip(*(batch.column(i) for i in (0, 1)), strict=True):
+            rows = statements(text.as_py())
+            columns = [[path.as_py()] * len(rows), *([r[k] for r in rows] for k in range(9))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], names=[x.split()[0] for x in _STATEMENT.split(", ")])
+
+
+def file_statements(files: DataFrame) -> DataFrame:
+    """The statements of (path, text), as lexer.statements() says. Null texts have none."""
+    return files.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(_read, _STATEMENT)
+
+
+def _one_line(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def doc_parts(doc: Column) -> list[Column]:
+    """summary, tags, deprecated and examples of a comment that starts with two stars."""
+    body = F.regexp_replace(F.regexp_extract(doc, r"(?s)/\*\*(.*?)\*/", 1), r"(?m)^[ \t]*\*[ \t]?", "")
+    tags = F.coalesce(F.regexp_extract_all(body, F.lit(r"@([A-Za-z][\w-]*)"), 1), F.array().cast("array<string>"))
+    summary = F.nullif(_one_line(F.regexp_replace(body, r"(?s)(?:^|\n)\s*@.*$", "")), F.lit(""))
+    examples = F.transform(F.coalesce(F.regexp_extract_all(body, F.lit(r"@example\s+([^@]+)"), 1), F.array().cast("array<string>")), _one_line)
+    return [summary.alias("summary"), tags.alias("tags"), F.array_contains(tags, "deprecated").alias("deprecated"), examples.alias("examples")]
 
 
 def heritage_of(head: Column) -> Column:
-    """The types after extends and implements, split at commas outside angle brackets."""
-    clauses = F.regexp_extract_all(head, F.lit(r"\b(?:extends|implements)\s+(.+?)(?=\s+implements\b|\s*\{|$)"), 1)
-    return F.filter(F.transform(F.flatten(F.transform(clauses, lambda c: F.split(c, r",(?![^<]*>)"))), lambda x: F.trim(x)), lambda x: x != "")
+    """The types after extends and implements, split at commas outside angle brackets, braces and round ones; head: of a class or interface, type parameters cut off."""
+    clauses = F.regexp_extract_all(head, F.lit(r"\b(?:extends|implements)\s+(.+?)(?=\s+implements\b|$)"), 1)
+    return F.filter(F.transform(F.flatten(F.transform(clauses, lambda c: F.split(c, r",(?![^<]*>)(?![^{]*\})(?![^(]*\))"))), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """The symbol records of (path, text): path, line, kind, name, owner, qualified_name, exported, is_default, visibility,
-    explicit_visibility, modifiers, optional, type, signature, heritage, and what the doc comment above says.
+    """The symbol records of (path, text): path, line, end_line, kind, name, owner, qualified_name, exported, is_default,
+    visibility, explicit_visibility, modifiers, optional, type, signature, type_parameters, parameters, return_type,
+    heritage, and what the doc comment above says.
 
-    Members are those of classes, interfaces and enums; overloads are rows of their own.
+    Members are those of classes, interfaces and enums; what namespaces hold is named by their names; overloads, and
+    variables that are declared together, are rows of their own. Declarations within functions are none.
     """
-    lines = code_lines(files)
-    code = F.col("code")
-    top = (F.col("depth") == 0) & code.rlike(_TOP)
-    kind = F.regexp_extract(code, _TOP, 2)
-    order = W.partitionBy("path").orderBy("line_no")
-    rows = lines.filter("code <> ''").withColumn("_top", F.when(top, F.struct(kind.alias("kind"), F.regexp_extract(code, _TOP, 3).alias("name"), "line_no")))
-    rows = rows.withColumn("_own", F.last("_top", ignorenulls=True).over(order))
-    holds = F.col("_top").isNull() & (F.col("depth") == 1) & F.col("_own.kind").isin("class", "interface", "enum") & ~F.regexp_extract(code, r"^(\w*)", 1).isin(*_NOT_MEMBERS) & ~code.rlike(r"^[}\])@]")
-    rows = rows.filter(top | holds)
-    at = lambda p, g: F.regexp_extract(code, p, g)
-    names = {"const": "variable", "let": "variable", "var": "variable", "type": "type_alias", "module": "namespace"}
-    top_kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("_top.kind")), F.col("_top.kind"))
-    member = cascade((F.col("_own.kind") == "enum", "enum_member"), (code.rlike(r"^\["), "index_signature"), (code.rlike(r"^new\s*[(<]"), "construct_signature"), (code.rlike(r"^[(<]"), "call_signature"),
-                     (code.rlike(rf"^{_MODIFIERS}constructor\s*\("), "constructor"), (code.rlike(_ACCESSOR), "accessor"), (code.rlike(_METHOD), "method"), (code.rlike(_PROPERTY), "property"))
-    rows = rows.withColumn("kind", F.coalesce(top_kind, F.when((member == "accessor") & (at(_ACCESSOR, 2) == "get"), "getter").when(member == "accessor", "setter").otherwise(member))).filter("kind is not null")
-    name = F.when(top, F.col("_top.name")).when(F.col("kind").isin("getter", "setter"), at(_ACCESSOR, 3)).when(F.col("kind") == "method", at(_METHOD, 2)).when(F.col("kind") == "constructor", "constructor").when(F.col("kind") == "enum_member", at(r"^['\"]?([\w$]+)", 1)).when(F.col("kind") == "property", at(_PROPERTY, 2)).otherwise(F.col("kind"))
-    said = F.split(F.trim(at(rf"^{_MODIFIERS}", 1)), r"\s+")
-    modifiers = F.filter(said, lambda m: m != "")
-    given = F.coalesce(*(F.when(F.array_contains(modifiers, v), v) for v in ("private", "protected", "public")))
-    head = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(code, rf"^{_MODIFIERS}", ""), r"\s*[{;,]?\s*$", ""), r"\s+", " "))
-    signature = F.when(F.col("kind").isin("class", "interface", "function", "method", "getter", "setter", "constructor"), F.regexp_replace(head, r"\s*\{.*$", "")).when(F.col("kind") == "enum", F.concat(F.lit("enum "), name)).when(F.col("kind").isin("property", "variable"), F.regexp_replace(head, r"\s*=.*$", "")).otherwise(head)
-    owner = F.when(~top, F.col("_own.name"))
-    out = rows.select("path", F.col("line_no").alias("line"), "kind", name.alias("name"), owner.alias("owner"), F.concat_ws(".", owner, name).alias("qualified_name"), (top & F.array_contains(modifiers, "export")).alias("exported"), (top & F.array_contains(modifiers, "default")).alias("is_default"),
-                      F.coalesce(given, F.when(top, "package").otherwise("public")).alias("visibility"), given.isNotNull().alias("explicit_visibility"), modifiers.alias("modifiers"), F.coalesce((at(_PROPERTY, 3) == "?") | (at(_METHOD, 3) == "?"), F.lit(False)).alias("optional"),
-                      F.when(F.col("kind") == "property", F.nullif(F.trim(at(_PROPERTY, 4)), F.lit(""))).alias("type"), signature.alias("signature"), F.when(F.col("kind").isin("class", "interface"), heritage_of(code)).otherwise(F.array().cast("array<string>")).alias("heritage"))
-    docs = doc_comments(lines).withColumnRenamed("path", "_p")
-    return out.join(docs, (out["path"] == docs["_p"]) & (out["line"] == docs["end"] + 1), "left").drop("_p", "end")
+    at = lambda p, g: F.regexp_extract("left", p, g)
+    member = F.col("inside").isin("class", "interface", "enum")
+    rows = file_statements(files).filter("inside is null or inside <> 'import'").withColumn("_member", F.coalesce(member, F.lit(False)))
+    keyword = at(_TOP, 2)
+    names = {"const": "variable", "let": "variable", "var": "variable", "type": "type_alias", "module": "namespace", "global": "namespace", "const enum": "enum"}
+    top_kind = F.when(keyword != "", F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), keyword), keyword))
+    of = cascade((F.col("inside") == "enum", "enum_member"), (F.col("left").isin("static", ""), None), (F.col("left").rlike(rf"^{_MODIFIERS}\[\s*[\w$]+\s*:"), "index_signature"), (F.col("left").rlike(r"^new\s*[(<]"), "construct_signature"), (F.col("left").rlike(r"^[(<]"), "call_signature"),
+                 (F.col("left").rlike(rf"^{_MODIFIERS}constructor\s*\("), "constructor"), (F.col("left").rlike(_ACCESSOR) & (at(_ACCESSOR, 2) == "get"), "getter"), (F.col("left").rlike(_ACCESSOR), "setter"), (F.col("left").rlike(_METHOD), "method"), (F.col("left").rlike(_PROPERTY), "property"))
+    rows = rows.withColumn("kind", F.when(F.col("_member"), of).otherwise(top_kind)).filter("kind is not null")
+    kind, bare = F.col("kind"), lambda c: F.regexp_replace(c, r"^['\"]|['\"]$", "")
+    top_name = F.when(keyword == "global", "global").when((at(_TOP, 3) == "") | (kind == "class") & at(_TOP, 3).isin("extends", "implements"), "anonymous").otherwise(bare(at(_TOP, 3)))
+    name = cascade((~F.col("_member"), top_name), (kind.isin("getter", "setter"), bare(at(_ACCESSOR, 3))), (kind == "method", bare(at(_METHOD, 2))), (kind == "enum_member", bare(F.trim("left"))), (kind == "property", bare(at(_PROPERTY, 2))), (F.lit(True), kind))
+    modifiers = F.filter(F.split(F.trim(at(rf"^{_MODIFIERS}", 1)), r"\s+"), lambda m: m != "")
+    given = F.coalesce(*(F.when(F.array_contains("modifiers", v), v) for v in ("private", "protected", "public")))
+    head = F.trim(F.regexp_replace("head", rf"^{_MODIFIERS}", ""))
+    left = F.trim(F.regexp_replace("left", rf"^{_MODIFIERS}", ""))
+    signature = F.when(kind == "enum", F.concat(F.lit("enum "), "name")).when(kind.isin("property", "variable"), F.regexp_replace(left, r"^([\w$#]+)!", "$1")).otherwise(head)
+    # What stands before and behind the type parameters of a class or interface.
+    generic = F.regexp_extract(head, r"^(?:class|interface|function|type)?\s*\*?\s*[\w$#]*\??\s*<((?:[^<>]|=>|<(?:[^<>]|=>|<(?:[^<>]|=>|<[^<>]*>)*>)*>)*)>", 1)
+    without = F.when(generic != "", F.replace(head, F.concat(F.lit("<"), generic, F.lit(">")), F.lit(""))).otherwise(head)
+    none = F.array().cast("array<string>")
+    parameters = F.transform("params", lambda p: F.struct(F.regexp_extract(p, _PARAMETER, 2).alias("name"), F.nullif(F.trim(F.regexp_extract(p, _PARAMETER, 4)), F.lit("")).alias("type"),
+                                                          ((F.regexp_extract(p, _PARAMETER, 3) != "") | (F.regexp_extract(p, _PARAMETER, 5) != "")).alias("optional"), (F.regexp_extract(p, _PARAMETER, 1) != "").alias("rest")))
+    called = kind.isin("function", "method", "constructor", "getter", "setter", "call_signature", "construct_signature")
+    typed = F.when(kind == "property", at(_PROPERTY, 4)).when(kind == "variable", F.regexp_extract(left, r"^\w+\s+[\w$]+!?\s*:\s*(.+)$", 1)).when(kind == "type_alias", F.regexp_extract("head", r"=\s*(.+)$", 1))
+    rows = rows.withColumns({"name": name, "modifiers": modifiers})
+    rows = rows.select("*", signature.alias("signature"), given.alias("_given"), F.nullif(F.trim(typed), F.lit("")).alias("type"), F.when(kind.isin("class", "interface"), heritage_of(without)).otherwise(none).alias("heritage"), *doc_parts(F.coalesce("doc", F.lit(""))),
+                       F.when(generic != "", F.transform(F.split(generic, r",(?![^<]*>)(?![^{]*\})"), lambda x: F.trim(x))).otherwise(none).alias("type_parameters"),
+                       F.when(called, F.coalesce(parameters, F.array().cast("array<struct<name:string,type:string,optional:boolean,rest:boolean>>"))).alias("parameters"),
+                       F.when(kind.isin("function", "method", "getter", "call_signature", "construct_signature"), F.nullif(F.regexp_extract("after", r"^:\s*(.+)$", 1), F.lit(""))).alias("return_type"))
+    optional = F.coalesce((at(_PROPERTY, 3) == "?") & (kind == "property") | (at(_METHOD, 3) == "?") & (kind == "method"), F.lit(False))
+    return rows.select("path", "line", "end_line", "kind", "name", F.when(F.col("_member"), F.col("scope")).alias("owner"), F.concat_ws(".", "scope", "name").alias("qualified_name"),
+                       (~F.col("_member") & F.array_contains("modifiers", "export")).alias("exported"), (~F.col("_member") & F.array_contains("modifiers", "default")).alias("is_default"),
+                       F.coalesce("_given", F.when(~F.col("_member"), "package").otherwise("public")).alias("visibility"), F.col("_given").isNotNull().alias("explicit_visibility"), "modifiers", optional.alias("optional"), "type", "signature", "type_parameters", "parameters", "return_type", "heritage", "summary", "tags", "deprecated", "examples")

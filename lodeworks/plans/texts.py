@@ -275,6 +275,90 @@ def symbol_records(t):
     return found.select("path", C("line").cast("long").alias("line"), "kind", "qualified_name", "visibility", "signature", F.array_join("heritage", ",").alias("heritage"), "summary")
 
 
+#: Eight sources, one for each remainder of the key, around a name; every other line of the table below says what each declares.
+_FORMS = [
+    "const re = /[{]/;\nexport class {c}\n  extends Base<{c}, {{ a: string }}>\n  implements {b} {{\n}}\n",
+    "class {c} {{\n  run(\n    a: string,\n    n: Map<string, {b}> = new Map(),\n  ): {{ a: string }} {{ return {{ a }} }}\n}}\n",
+    "export default function () {{ const hidden = `${{'}}'}}`; }}\nexport const {c} = 1, size: {b}[] = []\n",
+    "class {c} {{ own: {b}; go(): void {{ if (a) {{ }} }} static {{ }} }}\n",
+    "namespace {c}.Inner {{\n  export interface {b} {{ x: string, y?(): void }}\n}}\n",
+    "import x = require(\"{b}\")\nimport {{\n  a as {c}\n}} from './{b}'\nimport(\"dyn\")\n",
+    "function {c}(a: string): void\nfunction {c}(a: {b}): void\nfunction {c}(a: any) {{ }}\n",
+    "export const enum {c} {{ One = 1 << 2, Two }}\ntype {b} =\n  | {{ a: 1 }}\n  | (() => void)\n",
+]
+
+
+def _sources(t):
+    """(path, text) of the parts: a source in one of eight forms, with the part's own names."""
+    values = {"{c}": F.concat(F.lit("C"), "p_partkey"), "{b}": F.concat(F.lit("B"), "p_size")}
+    text = F.lit(None).cast("string")
+    for k, form in enumerate(_FORMS):
+        own = F.lit(form.replace("{{", "\1").replace("}}", "\2"))
+        for mark, value in values.items():
+            own = F.replace(own, F.lit(mark), value)
+        text = F.when(F.pmod("p_partkey", F.lit(8)) == k, F.translate(own, "\1\2", "{}")).otherwise(text)
+    return t.part.select(C("p_partkey").cast("string").alias("path"), text.alias("text"))
+
+
+@query("""WITH p AS (SELECT p_partkey::VARCHAR AS path, p_partkey % 8 AS form, 'C' || p_partkey AS c, 'B' || p_size AS b FROM part)
+  SELECT path, 1::BIGINT AS line, 'variable' AS kind, 're' AS qualified_name, false AS exported, 'const re' AS signature, '' AS heritage, NULL AS type, NULL AS parameters FROM p WHERE form = 0
+  UNION ALL SELECT path, 2, 'class', c, true, 'class ' || c || ' extends Base<' || c || ', { a: string }> implements ' || b, 'Base<' || c || ', { a: string }>;' || b, NULL, NULL FROM p WHERE form = 0
+  UNION ALL SELECT path, 1, 'class', c, false, 'class ' || c, '', NULL, NULL FROM p WHERE form = 1
+  UNION ALL SELECT path, 2, 'method', c || '.run', false, 'run( a: string, n: Map<string, ' || b || '> = new Map(), ): { a: string }', '', NULL, 'a: string; n: Map<string, ' || b || '>' FROM p WHERE form = 1
+  UNION ALL SELECT path, 1, 'function', 'anonymous', true, 'function ()', '', NULL, '' FROM p WHERE form = 2
+  UNION ALL SELECT path, 2, 'variable', c, true, 'const ' || c, '', NULL, NULL FROM p WHERE form = 2
+  UNION ALL SELECT path, 2, 'variable', 'size', true, 'const size: ' || b || '[]', '', b || '[]', NULL FROM p WHERE form = 2
+  UNION ALL SELECT path, 1, 'class', c, false, 'class ' || c, '', NULL, NULL FROM p WHERE form = 3
+  UNION ALL SELECT path, 1, 'property', c || '.own', false, 'own: ' || b, '', b, NULL FROM p WHERE form = 3
+  UNION ALL SELECT path, 1, 'method', c || '.go', false, 'go(): void', '', NULL, '' FROM p WHERE form = 3
+  UNION ALL SELECT path, 1, 'namespace', c || '.Inner', false, 'namespace ' || c || '.Inner', '', NULL, NULL FROM p WHERE form = 4
+  UNION ALL SELECT path, 2, 'interface', c || '.Inner.' || b, true, 'interface ' || b, '', NULL, NULL FROM p WHERE form = 4
+  UNION ALL SELECT path, 2, 'property', c || '.Inner.' || b || '.x', false, 'x: string', '', 'string', NULL FROM p WHERE form = 4
+  UNION ALL SELECT path, 2, 'method', c || '.Inner.' || b || '.y', false, 'y?(): void', '', NULL, '' FROM p WHERE form = 4
+  UNION ALL SELECT path, n, 'function', c, false, 'function ' || c || '(a: ' || CASE n WHEN 1 THEN 'string): void' WHEN 2 THEN b || '): void' ELSE 'any)' END, '', NULL, 'a: ' || CASE n WHEN 1 THEN 'string' WHEN 2 THEN b ELSE 'any' END FROM p, range(1, 4) r(n) WHERE form = 6
+  UNION ALL SELECT path, 1, 'enum', c, true, 'enum ' || c, '', NULL, NULL FROM p WHERE form = 7
+  UNION ALL SELECT path, 1, 'enum_member', c || '.One', false, 'One = 1 << 2', '', NULL, NULL FROM p WHERE form = 7
+  UNION ALL SELECT path, 1, 'enum_member', c || '.Two', false, 'Two', '', NULL, NULL FROM p WHERE form = 7
+  UNION ALL SELECT path, 2, 'type_alias', b, false, 'type ' || b || ' = | { a: 1 } | (() => void)', '', '| { a: 1 } | (() => void)', NULL FROM p WHERE form = 7""")
+def symbol_forms(t):
+    from lodeworks.functions import syntax
+
+    shown = F.array_join(F.transform("parameters", lambda p: F.concat_ws(": ", p["name"], p["type"])), "; ")
+    return syntax.symbols(_sources(t)).select("path", C("line").cast("long").alias("line"), "kind", "qualified_name", "exported", "signature", F.array_join("heritage", ";").alias("heritage"), "type", shown.alias("parameters"))
+
+
+@query("""WITH p AS (SELECT p_partkey::VARCHAR AS path, p_partkey % 8 AS form, 'C' || p_partkey AS c, 'B' || p_size AS b FROM part)
+  SELECT path, 'import' AS what, 1::BIGINT AS line, b AS source, '*' AS outer_name, 'x' AS local FROM p WHERE form = 5
+  UNION ALL SELECT path, 'import', 2, './' || b, 'a', c FROM p WHERE form = 5
+  UNION ALL SELECT path, 'import', 5, 'dyn', '*', NULL FROM p WHERE form = 5
+  UNION ALL SELECT path, 'export', 2, NULL, c, c FROM p WHERE form IN (0, 2)
+  UNION ALL SELECT path, 'export', 1, NULL, 'default', 'anonymous' FROM p WHERE form = 2
+  UNION ALL SELECT path, 'export', 2, NULL, 'size', 'size' FROM p WHERE form = 2
+  UNION ALL SELECT path, 'export', 1, NULL, c, c FROM p WHERE form = 7""")
+def module_links(t):
+    from lodeworks.functions import apidoc
+
+    files = _sources(t)
+    inward = apidoc.imports(files).select("path", F.lit("import").alias("what"), C("line").cast("long").alias("line"), "source", C("imported").alias("outer_name"), "local")
+    outward = apidoc.exports(files).select("path", F.lit("export").alias("what"), C("line").cast("long").alias("line"), "source", C("exported").alias("outer_name"), "local")
+    return inward.unionByName(outward)
+
+
+@query("""WITH p AS (SELECT p_partkey::VARCHAR AS path, p_partkey % 8 AS form, 'C' || p_partkey AS c, 'B' || p_size AS b FROM part),
+    named AS (SELECT name, min(path) AS target FROM (SELECT path, c AS name FROM p WHERE form IN (0, 1, 2, 3, 6, 6, 7) UNION ALL SELECT path, c FROM p, range(2) WHERE form = 6 UNION ALL SELECT path, 're' FROM p WHERE form = 0
+      UNION ALL SELECT path, 'anonymous' FROM p WHERE form = 2 UNION ALL SELECT path, 'size' FROM p WHERE form = 2 UNION ALL SELECT path, c || '.Inner' FROM p WHERE form = 4 UNION ALL SELECT path, b FROM p WHERE form IN (4, 7)) GROUP BY name HAVING count(*) = 1),
+    edges AS (SELECT 'extends' AS type, path || '#' || c AS src, path, b AS name, 'high' AS confidence FROM p WHERE form = 0
+      UNION ALL SELECT 'references', path || '#' || c || CASE form WHEN 1 THEN '.run' WHEN 3 THEN '.own' ELSE '' END, path, b, 'medium' FROM p WHERE form IN (0, 1, 3, 6)
+      UNION ALL SELECT 'references', path || '#size', path, b, 'medium' FROM p WHERE form = 2)
+  SELECT DISTINCT type, src, target || '#' || name AS dst, path AS evidence_path, confidence FROM edges JOIN named USING (name)""")
+def symbol_edges(t):
+    from lodeworks.functions import syntax
+    from lodeworks.operators import components
+
+    found = syntax.symbols(_sources(t))
+    return components.heritage_edges(found).unionByName(components.reference_edges(found)).select("type", "src", "dst", "evidence_path", "confidence")
+
+
 @query("""SELECT p_partkey AS doc_id, 3::BIGINT AS line_no, lower(p_type) AS language, '# ' || p_name || chr(10) || 'end' AS code FROM part UNION ALL SELECT p_partkey, 8, NULL, 'open' FROM part WHERE p_size > 25""")
 def markdown_code(t):
     text = F.concat(F.lit("# Title\n\n```"), F.lower("p_type"), F.lit("\n# "), "p_name", F.lit("\nend\n```\ntext\n"), F.when(C("p_size") > 25, "```\nopen").otherwise("no block"))

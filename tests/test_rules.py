@@ -213,3 +213,86 @@ def test_logs_without_roots_and_with_roots_in_other_case(spark):
     found = {(r.run_id, r.message, r.file, r.blocking) for r in logs.parse(steps).collect()}
     assert {("r", "TypeError: one", "<external>/m.js", True), ("r", "TypeError: two", "<external>/m.js", True), ("q", "Command timed out in step s", None, True)} <= found
     assert any(x[1] == "TypeError: in <source>/x" for x in found)
+
+
+FORMS = r'''
+import type { A, B as C } from "./a";
+import x = require("y");
+const re = /[{]/;
+const t = `a ${ { b: `}${1}` } } {`, b = 2
+export const m = new Map<string, number>(), z: Array<{ a: string, b: number }> = [], q = a < b
+/** Doc
+ * of two. */
+@Component({ a: 1 })
+export class Two<T extends { x: string }>
+  extends Base<T, { a: string }>
+  implements I, J
+{
+  @Input() name: string = "{"
+  private readonly h = (x: number): void => { foo() }
+  run(
+    a: string,
+    b: Map<string, number> = new Map(),
+    ...rest: number[]
+  ): { a: string } {
+    return { a }
+  }
+  [Symbol.iterator]() { return 1 }
+  static { init() }
+  get v(): number { return 1 } set v(x: number) {}
+  *gen<T>(x: T) { yield /}/ }
+  a = 1; b?: string; constructor(private c: string) { super() }
+  optional?(): void;
+  cb: (x: number) => void
+}
+export default function () {}
+class One { a: string; m(): void {} }
+namespace N.M { export interface P { x: string, y(): void; [k: string]: any
+ (z: number): string
+ new (z: number): P }
+  namespace Deep { export const inner = 1 } }
+export const enum E { A = 1 << 2, B, "C-D" = 3 }
+declare global { interface Window { w: 1 } }
+type U = | { a: 1 }
+  | { b: 2 }
+function over(a: string): void
+function over(a: number): void
+function over(a: any) { import("dyn"); const hidden = 1 }
+const { d1, d2 } = obj
+export default foo({ a: 1 })
+export const last = 1
+'''
+
+
+def test_symbols_of_ordinary_code(spark):
+    found = syntax.symbols(spark.createDataFrame([("f.ts", FORMS), ("none.ts", None), ("empty.ts", "")], "path string, text string")).collect()
+    assert [(r.line, r.kind, r.qualified_name) for r in sorted(found, key=lambda r: (r.line, r.qualified_name))] == [
+        (4, "variable", "re"), (5, "variable", "b"), (5, "variable", "t"), (6, "variable", "m"), (6, "variable", "q"), (6, "variable", "z"), (9, "class", "Two"), (14, "property", "Two.name"), (15, "property", "Two.h"), (16, "method", "Two.run"), (23, "method", "Two.[Symbol.iterator]"),
+        (25, "getter", "Two.v"), (25, "setter", "Two.v"), (26, "method", "Two.gen"), (27, "property", "Two.a"), (27, "property", "Two.b"), (27, "constructor", "Two.constructor"), (28, "method", "Two.optional"), (29, "property", "Two.cb"),
+        (31, "function", "anonymous"), (32, "class", "One"), (32, "property", "One.a"), (32, "method", "One.m"), (33, "namespace", "N.M"), (33, "interface", "N.M.P"), (33, "index_signature", "N.M.P.index_signature"), (33, "property", "N.M.P.x"), (33, "method", "N.M.P.y"),
+        (34, "call_signature", "N.M.P.call_signature"), (35, "construct_signature", "N.M.P.construct_signature"), (36, "namespace", "N.M.Deep"), (36, "variable", "N.M.Deep.inner"), (37, "enum", "E"), (37, "enum_member", "E.A"), (37, "enum_member", "E.B"), (37, "enum_member", "E.C-D"),
+        (38, "namespace", "global"), (38, "interface", "global.Window"), (38, "property", "global.Window.w"), (39, "type_alias", "U"), (41, "function", "over"), (42, "function", "over"), (43, "function", "over"), (44, "variable", "{ d1, d2 }"), (46, "variable", "last")]
+    by = {r.qualified_name: r for r in found}
+    two, run = by["Two"], by["Two.run"]
+    assert two.heritage == ["Base<T, { a: string }>", "I", "J"] and two.type_parameters == ["T extends { x: string }"] and (two.exported, two.summary, two.end_line) == (True, "Doc of two.", 30)
+    assert two.signature == "class Two<T extends { x: string }> extends Base<T, { a: string }> implements I, J"
+    assert [tuple(p) for p in run.parameters] == [("a", "string", False, False), ("b", "Map<string, number>", True, False), ("rest", "number[]", False, True)] and run.return_type == "{ a: string }" and run.end_line == 22
+    assert (by["Two.h"].modifiers, by["Two.h"].visibility, by["Two.name"].type, by["Two.cb"].type, by["Two.b"].optional) == (["private", "readonly"], "private", "string", "(x: number) => void", True)
+    assert (by["z"].type, by["z"].exported, by["U"].type, by["E"].signature, by["anonymous"].is_default) == ("Array<{ a: string, b: number }>", True, "| { a: 1 } | { b: 2 }", "enum E", True)
+
+
+def test_imports_and_exports_of_ordinary_code(spark, rows):
+    files = spark.createDataFrame([("f.ts", FORMS)], "path string, text string")
+    assert rows(apidoc.imports(files).select("line", "source", "imported", "local", "type_only")) == [(2, "./a", "A", "A", True), (2, "./a", "B", "C", True), (3, "y", "*", "x", False), (43, "dyn", "*", None, False)]
+    assert rows(apidoc.exports(files).select("line", "exported", "local")) == sorted([(6, "m", "m"), (6, "q", "q"), (6, "z", "z"), (9, "Two", "Two"), (31, "default", "anonymous"), (37, "E", "E"), (45, "default", "foo({ a: 1 })"), (46, "last", "last")], key=repr)
+
+
+@pytest.mark.parametrize("odd", ["{" * 50_000, "}" * 50_000, "`${" * 30_000, '"\\"' * 30_000, "'" * 50_001, "/" * 50_001, "a<" * 30_000, "class A {" * 5_000, "@" * 30_000, "/*" * 30_000, "const a=1," * 20_000, "f(a," * 20_000, "`" * 30_001, "x\n" * 30_000, "class A<" * 20_000, "/[" * 30_000])
+def test_odd_sources_are_read_in_time(odd):
+    import time
+
+    from lodeworks.functions.lexer import statements
+
+    began = time.process_time()
+    statements(odd)
+    assert time.process_time() - began < 10
