@@ -66,7 +66,11 @@ FROM counted GROUP BY row ORDER BY row
 
 
 def _crc32(features: pa.Array) -> pa.Array:
-    return pa.array([zlib.crc32(x.encode()) for x in features.to_pylist()], pa.uint32())
+    features = features.combine_chunks() if isinstance(features, pa.ChunkedArray) else features
+    _, offsets, data = features.cast(pa.large_binary()).buffers()
+    at = np.frombuffer(offsets, np.int64)[features.offset : features.offset + len(features) + 1].tolist()
+    text = data.to_pybytes() if data else b""
+    return pa.array([zlib.crc32(text[i:j]) for i, j in zip(at, at[1:], strict=False)], pa.uint32())
 
 
 def blocks(text: str, size: int = _BLOCK):
