@@ -206,3 +206,43 @@ def change_policy(t):
     changed = t.lineitem.select(C("l_orderkey").alias("task_id"), path.alias("path"), F.when(C("l_linestatus") == "O", "added").otherwise("modified").alias("status"), *(F.lit(False).alias(c) for c in ("generated", "is_binary", "is_submodule", "has_conflict")))
     rules = taskrules.policy_rules(policies, changed, by.select("task_id", "diff_lines", F.lit(True).alias("head_matches"), F.lit(True).alias("has_patch")))
     return taskrules.policy_results(rules).select("task_id", "status", F.array_join("failed", ",").alias("failed"))
+
+
+_PARTS = """syms AS (SELECT p_partkey AS k, p_partkey::VARCHAR AS id, 'Item' || p_size AS name, 'src/' || p_partkey AS path, p_brand AS package, p_partkey % 3 <> 0 AS pub, p_partkey % 2 = 0 AS complete, p_partkey % 5 = 0 AS unresolved, p_size FROM part),
+    edges AS (SELECT k AS src, k + 1 AS dst FROM syms WHERE k % 4 = 0 UNION ALL SELECT k, k * 2 FROM syms WHERE k % 3 = 1),
+    hits AS (SELECT s_suppkey AS task_id, s.*, p_size = 1 + s_suppkey % 50 AS exact FROM supplier JOIN syms s ON p_size IN (1 + s_suppkey % 50, 1 + s_suppkey % 7) WHERE pub OR p_size = 1 + s_suppkey % 50),
+    own AS (SELECT task_id, id, 'normalized' AS key, 50 AS value FROM hits UNION ALL SELECT task_id, id, 'exact', 120 FROM hits WHERE exact UNION ALL SELECT task_id, id, 'public', 35 FROM hits WHERE pub AND complete
+      UNION ALL SELECT task_id, id, 'private', -25 FROM hits WHERE NOT pub UNION ALL SELECT task_id, id, 'low', -20 FROM hits WHERE NOT (pub AND complete) AND unresolved),
+    first AS (SELECT task_id, id::BIGINT AS k FROM own GROUP BY ALL HAVING sum(value) > 0),
+    one AS (SELECT task_id, dst FROM first JOIN edges ON src = first.k WHERE dst IN (SELECT k FROM syms)),
+    two AS (SELECT task_id, e.dst FROM (SELECT DISTINCT task_id, dst FROM one) o JOIN edges e ON src = o.dst WHERE e.dst IN (SELECT k FROM syms)),
+    points AS (SELECT task_id, 'symbol' AS type, id, key, value FROM own UNION ALL SELECT task_id, 'symbol', dst::VARCHAR, 'distance', 22 FROM one UNION ALL SELECT task_id, 'symbol', dst::VARCHAR, 'distance', 14 FROM two),
+    every AS (SELECT * FROM points UNION ALL SELECT DISTINCT task_id, 'package', package, 'distance', 18 FROM points JOIN syms USING (id)),
+    by_key AS (SELECT task_id, type, id, key, sum(value) AS value FROM every GROUP BY ALL),
+    scores AS (SELECT task_id, type, id, sum(value)::BIGINT AS score, string_agg(key || '=' || value, ',' ORDER BY key) AS breakdown FROM by_key GROUP BY ALL),
+    named AS (SELECT r.*, coalesce('Kit.' || name, id) AS title, coalesce(path, '') AS path, NOT coalesce(pub, true) AS hidden FROM scores r LEFT JOIN syms USING (id))"""
+
+
+@query(f"""WITH {_PARTS},
+    may AS (SELECT *, score > 0 AND NOT hidden AS ok FROM named),
+    once AS (SELECT *, ok AND row_number() OVER (PARTITION BY task_id, ok, type, title, path ORDER BY score DESC, id) = 1 AS f FROM may),
+    capped AS (SELECT *, f AND row_number() OVER (PARTITION BY task_id, type, f ORDER BY score DESC, id) <= CASE type WHEN 'symbol' THEN 12 ELSE 3 END AS c FROM once),
+    taken AS (SELECT *, c AND row_number() OVER (PARTITION BY task_id, c ORDER BY score DESC, type, id) <= 14 AS selected FROM capped)
+  SELECT task_id, type, id, score, breakdown, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, type, id) AS rank, selected,
+    CASE WHEN selected THEN NULL WHEN score <= 0 THEN 'non-positive relevance' ELSE 'limit or lower relevance' END AS excluded FROM taken""")
+def retrieval_candidates(t):
+    from lodeworks.operators import inverted
+
+    spark, key = t.spark, C("p_partkey")
+    symbols = t.part.select(key.cast("string").alias("id"), F.concat(F.lit("Item"), "p_size").alias("name"), F.concat(F.lit("Kit.Item"), "p_size").alias("qualified_name"), F.concat(F.lit("src/"), key).alias("path"), C("p_brand").alias("package"), (key % 3 != 0).alias("public"), (key % 2 == 0).alias("complete"), (key % 5 == 0).alias("unresolved"))
+    packages = t.part.select(C("p_brand").alias("id")).distinct().select("id", C("id").alias("name"), C("id").alias("path"))
+    no = F.lit(None).cast("array<string>")
+    index = inverted.Postings(symbols.select(F.lit("symbol").alias("type"), "id", "name", F.array("qualified_name").alias("names")).unionByName(packages.select(F.lit("package").alias("type"), "id", "name", no.alias("names"))))
+    text = F.format_string("Fix Item%d and item%d, please", 1 + C("s_suppkey") % 50, 1 + C("s_suppkey") % 7)
+    tasks = t.supplier.select(C("s_suppkey").alias("task_id"), text.alias("text"))
+    edges = t.part.filter(key % 4 == 0).select(F.lit("symbol_extends_symbol").alias("type"), key.alias("src"), (key + 1).alias("dst")).unionByName(t.part.filter(key % 3 == 1).select(F.lit("symbol_references_type").alias("type"), key.alias("src"), (key * 2).alias("dst")))
+    parts = "id string, name string, symbol string, package string, path string, confidence string, props array<string>, methods array<string>, properties array<string>, events array<string>, styles array<string>, examples array<string>, documents array<string>, public_packages array<string>"
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    found = inverted.candidates(tasks, index, symbols, none(parts), packages, edges, none("path string"), none("id string, root string, path string"), none("id string, path string, heading string, place int"),
+                                none("id string, type string, title string, text string, tags array<string>, commits array<string>, status string, verified boolean, unknown_scope boolean"))
+    return inverted.selected(found, limit=14).select("task_id", "type", "id", "score", "breakdown", "rank", "selected", "excluded")
