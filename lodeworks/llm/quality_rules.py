@@ -164,10 +164,11 @@ def _first_sums(x: DataFrame) -> DataFrame:
     return robust.unionByName(plain.select(*robust.columns))
 
 
-def fit(x: DataFrame, scratch: Scratch, share: float = 0.75, most_steps: int = 12, inner: float = 0.975, settled: float = 1e-3) -> DataFrame:
+def fit(x: DataFrame, scratch: Scratch, share: float = 0.75, inner: float = 0.975, settled: float = 1e-3, report: dict | None = None) -> DataFrame:
     """The estimates of each group, mean m0.. and inverse Cholesky factor w0_0.., from rows of (lang, source, x0..).
 
-    Steps end when no group's log determinant moves by settled or more, or after most_steps.
+    Each group keeps its smallest log determinant. Steps end when none falls by settled or more, as all must at last: the
+    determinants have a floor. report: gets steps, how many there were.
     """
     by = ["start", *_GROUP]
     h, k = chi2_quantile(share, P), chi2_quantile(inner, P)
@@ -184,12 +185,20 @@ def fit(x: DataFrame, scratch: Scratch, share: float = 0.75, most_steps: int = 1
     for i in range(2):
         est = scratch.keep(step(est), f"both{i}")
     est = est.groupBy(*_GROUP).agg(F.min_by(F.struct(*(c for c in est.columns if c not in _GROUP)), F.struct("logdet", "start")).alias("_b")).select(*_GROUP, "_b.*")
-    for i in range(2, most_steps):
-        after = scratch.keep(step(est), f"step{i}")
-        moved = _attached(after.select(*by, "logdet"), est.select(*by, F.col("logdet").alias("was")), by).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
-        est = after
-        if moved is None or moved < settled:
-            break
+    est, fell, steps = est.withColumn("fell", F.lit(0.0)), settled, 2
+    while fell is not None and fell >= settled:
+        now = est.drop("fell")
+        after = scratch.keep(step(now), f"step{steps}")
+        was = now.select(*by, F.col("logdet").alias("_was"), F.struct(*(c for c in now.columns if c not in by)).alias("_old"))
+        both = _attached(after.select(*by, F.struct(*(c for c in after.columns if c not in by)).alias("_new")), was, by)
+        lower = F.col("_new.logdet") < F.col("_was")
+        names = [c for c in now.columns if c not in by]
+        est = both.select(*by, *(F.when(lower, F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in names), F.when(lower, F.col("_was") - F.col("_new.logdet")).otherwise(0.0).alias("fell"))
+        est = scratch.keep(est, f"best{steps}")
+        fell, steps = est.agg(F.max("fell")).first()[0], steps + 1
+    if report is not None:
+        report["steps"] = steps
+    est = est.drop("fell")
     near = _attached(x, est.drop("start", "logdet", *_ABOVE), _GROUP)
     kept = leaning(near.groupBy(*_GROUP).agg(*_sums(f"{_DISTANCE} <= {k!r}D")), [], last)
     return scratch.keep(estimates(kept, [], last).drop("logdet", *_ABOVE), "reweighted")
