@@ -85,13 +85,21 @@ def language(path: Column) -> Column:
     return F.when(F.lower(basename(path)) == "makefile", "Text").otherwise(lookup(extension(F.lower(path)), LANGUAGES, "Unknown"))
 
 
-#: What a task text asks for, by words of two languages.
+# Words of two languages that speak for what a task asks, and what forbids.
 INTENT_WORDS = {
-    "understand": "explain understand 了解 理解 分析", "use": "use import 使用 引用 接入", "add": "add create 新增 添加 创建", "modify": "modify change 修改 调整", "fix": "fix repair 修复 解决",
-    "validate": "validate verify check 验证 校验", "migrate": "migrate 迁移", "debug": "debug trace 定位 调试 排查", "document": "document 文档 说明", "test": "test 测试",
+    "understand": "了解 理解 分析 understand explain",
+    "use": "使用 引用 接入 use import",
+    "add": "新增 添加 创建 add create",
+    "modify": "修改 调整 change modify",
+    "fix": "修复 解决 fix",
+    "validate": "验证 校验 validate verify",
+    "migrate": "迁移 migrate",
+    "debug": "定位 调试 排查 debug",
+    "document": "文档 说明 document",
+    "test": "测试 test",
 }
-#: Words that forbid what follows, up to the end of the clause.
-FORBIDS = ("do not", "don't", "must not", "不要", "不得", "禁止", "不允许")
+FORBIDS = ("不要", "不得", "禁止", "不允许", "do not", "don't", "must not")
+#: What forbids, and what it forbids: all up to the end of the clause.
 NEGATIVE = rf"(?i)(?:{'|'.join(FORBIDS)})\s*([^。；;\n]+)"
 
 

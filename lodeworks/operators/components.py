@@ -62,7 +62,8 @@ def components(symbols: DataFrame, source_globs: list[str], base_types: list[str
 def attachments(parts: DataFrame, files: DataFrame, templates: dict[str, list[str]], prefix: str = "") -> DataFrame:
     """(path, name, kind, file): files that a component's templates name; {dir}, {basename} and {component} stand for its own.
 
-    Templates without wildcards meet files by equality; others by the directory above the first wildcard, then by pattern.
+    Templates without wildcards meet files by equality; others by their longest segment without one, or else by what ends
+    their last one (an extension), then by pattern. Only a template that has neither is held against all files.
     """
     rows = None
     for kind, own in templates.items():
@@ -73,12 +74,16 @@ def attachments(parts: DataFrame, files: DataFrame, templates: dict[str, list[st
     t = F.col("t")
     for mark, value in values.items():
         t = F.replace(t, F.lit(mark), value)
-    rows = rows.withColumn("t", t).withColumn("_stem", F.regexp_extract("t", r"^([^*?]*)/[^/]*[*?]", 1))
-    exact = rows.filter(~F.col("t").rlike("[*?]")).join(files.select(F.col("path").alias("file")).distinct(), F.col("t") == F.col("file"))
-    names = F.split("file", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(names) - 1), lambda n: F.array_join(F.slice(names, F.lit(1), n), "/"))
-    placed = files.select(F.col("path").alias("file")).distinct().select("file", F.explode(F.array_distinct(above)).alias("_stem"))
-    loose = rows.filter(F.col("t").rlike("[*?]")).join(placed, "_stem").filter(F.rlike(F.col("file"), glob_regex(F.col("t"))))
+    plain = F.filter(F.split(t, "/"), lambda x: ~x.rlike("[*?]") & (x != ""))
+    longest = F.array_max(F.transform(plain, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    ending = F.regexp_extract(t, r"(\.[^*?/.]+)$", 1)
+    rows = rows.withColumn("t", t).withColumn("_stem", F.coalesce(F.concat(F.lit("/"), longest), ending))
+    every = files.select(F.col("path").alias("file")).distinct()
+    exact = rows.filter(~F.col("t").rlike("[*?]")).join(every, F.col("t") == F.col("file"))
+    keys = F.array_distinct(F.concat(F.transform(F.split("file", "/"), lambda x: F.concat(F.lit("/"), x)), F.array(F.regexp_extract("file", r"(\.[^*?/.]+)$", 1), F.lit(""))))
+    asked = rows.filter(F.col("t").rlike("[*?]"))
+    placed = every.select("file", F.explode(keys).alias("_stem")).join(asked.select("_stem").distinct(), "_stem", "left_semi")
+    loose = asked.join(placed, "_stem").filter(F.rlike(F.col("file"), glob_regex(F.col("t"))))
     return exact.select("path", "name", "kind", "file").unionByName(loose.select("path", "name", "kind", "file")).distinct()
 
 

@@ -65,6 +65,10 @@ class Grammar:
     confidence: str = "high"
 
 
+# Parts of messages: a text in quotes, and what the type checker prints behind a place.
+_QUOTED = r"[\"'][^\"']+[\"']"
+_INSIDE = r"[\"']([^\"']+)[\"']"
+_CHECKED = r"error\s+(TS\d+):\s*(.*)$"
 _PATH = r"(?:file://)?((?:[A-Za-z]:[\\/]|\.{0,2}/)?[^:*?\"<>|()]*"
 # The tools' output, as they document or print it. Names of the tools are fixed values.
 GRAMMARS = {
@@ -75,19 +79,23 @@ GRAMMARS = {
     "sass": Grammar("sass", "style", 95, (Pattern(r"^(?:\[(vite:[\w-]+)\]\s*)?(?:\[sass\]\s*)?Error:\s*(.+)$", ("plugin", "message")),),
                     (Pattern(_PATH + r"\.s[ac]ss)(?:\?\S*)?[\s:]+(\d+):(\d+)(?:\s+root stylesheet)?$", ("file", "line", "col")), Pattern(r"^file:\s*" + _PATH + r"\.s[ac]ss)(?:\?\S*)?$", ("file",))), needs_place=True),
     # The bundler's import errors, and the line after its banner for what else ends a build.
-    "vite": Grammar("vite", "build", 90, (Pattern(r"(?:\[plugin:([^\]]+)\]\s*)?(Failed to resolve import\s+[\"'][^\"']+[\"'])(?:\s+from\s+[\"']([^\"']+)[\"'])?", ("plugin", "message", "file"), (("code", "unresolved"),)),
-                                          Pattern(r"(Could not resolve\s+[\"'][^\"']+[\"'](?:\s+from\s+[\"']([^\"']+)[\"'])?)", ("message", "file"), (("plugin", "rollup"), ("code", "unresolved"))),
+    "vite": Grammar("vite", "build", 90, (Pattern(rf"(?:\[plugin:([^\]]+)\]\s*)?(Failed to resolve import\s+{_QUOTED})(?:\s+from\s+{_INSIDE})?", ("plugin", "message", "file"), (("code", "unresolved"),)),
+                                          Pattern(rf"(Could not resolve\b\s*{_QUOTED}(?:\s+from\b\s*{_INSIDE})?)", ("message", "file"), (("plugin", "rollup"), ("code", "unresolved"))),
                                           Pattern(r"(?i)^error during build:\n(?!.*(?:\[sass\]|could not resolve|failed to resolve))(?:\[([^\]]+)\]\s*)?(.+)$", ("plugin", "message"), pair=True))),
-    # file(line,column): error TSnnnn: text, or file:line:column - error TSnnnn: text.
-    "typescript": Grammar("typescript", "typecheck", 85, (Pattern(r"^(.+)\((\d+),(\d+)\):\s*error\s+(TS\d+):\s*(.*)$", ("file", "line", "col", "code", "message")), Pattern(r"^(.+):(\d+):(\d+)\s+-\s+error\s+(TS\d+):\s*(.*)$", ("file", "line", "col", "code", "message")))),
+    # The plain form, file(line,column): error TSnnnn: text, and the pretty one, file:line:column - error TSnnnn: text.
+    "typescript": Grammar("typescript", "typecheck", 85, tuple(Pattern(rf"^(\S.*){place}\s*{_CHECKED}", ("file", "line", "col", "code", "message")) for place in (r"\((\d+),(\d+)\):", r":(\d+):(\d+)\s+-"))),
     # An error's name and text, then the frames of its stack; those of packages and of the runtime say nothing of the place.
     "node": Grammar("node", "runtime", 80, (Pattern(r"^(?:\S+:\s+)?(?:Uncaught\s+)?Error:\s*(Cannot find module\s+['\"][^'\"]+['\"])", ("message",), (("code", "MODULE_NOT_FOUND"),)), Pattern(r"^(?:Uncaught\s+)?([A-Z]?\w*Error(?:\s\[\w+\])?:\s*.+)$", ("message",))),
                     (Pattern(r"^at\s(?!.*(?:node_modules|node:))(?:.*\()?" + _PATH + r"):(\d+):(\d+)\)?$", ("file", "line", "col")), Pattern(r"^at\s")), needs_place=True),
-    # Codes of the package manager, or the exit code that it reports.
-    "pnpm-lifecycle": Grammar("pnpm", "lifecycle", 30, (Pattern(r"^(.*\b(ERR_PNPM_[A-Z0-9_]+|ELIFECYCLE)\b.*)$", ("message", "code")), Pattern(r"(?i)^(.*command failed with exit code\s+(\d+).*)$", ("message", "rule"), (("code", "EXIT"),))), once=True, confidence="medium"),
+    # A line of the package manager that has one of its codes, or the exit code of what it ran.
+    "pnpm-lifecycle": Grammar("pnpm", "lifecycle", 30, (Pattern(r"^((?:.*\W)?(ERR_PNPM(?:_[A-Z\d]+)+|ELIFECYCLE)\b.*)$", ("message", "code")), Pattern(r"(?i)^(.*\bfailed with exit code\s+(\d+).*)$", ("message", "rule"), (("code", "EXIT"),))), once=True, confidence="medium"),
 }
 
 
+#: What every line has that a grammar above knows: its heads say what is wrong, its places are numbers, files or frames.
+_MAY_SAY = r"(?i)error|warning|resolve|ELIFECYCLE|ERR_PNPM|exit code|\d+:\d+|\.s[ac]ss|^\s*at\s|\.(?:[cm]?[jt]sx?|vue)\s*$"
+
+
 def lines_of(step_logs: DataFrame) -> DataFrame:
     """The lines of each log of a step (0 standard output, 1 standard error), normalised, with the line after each."""
     logs = F.array(*(F.struct(F.lit(i).alias("log"), F.split(T.normalize_log(F.coalesce(F.col(c), F.lit(""))), "\n").alias("lines")) for i, c in enumerate(("stdout", "stderr"))))
@@ -100,6 +108,8 @@ def candidates(lines: DataFrame, grammars: dict[str, Grammar] | None = None) ->
     grammars = GRAMMARS if grammars is None else grammars
     first = lambda ps: F.coalesce(*(p.fields() for p in ps)) if ps else F.lit(None).cast("struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">")
     known = F.array(*(F.struct(F.lit(n).alias("parser"), first(g.heads).alias("head"), first(g.places).alias("place")) for n, g in grammars.items()))
+    if grammars is GRAMMARS:
+        lines = lines.filter(F.col("line").rlike(_MAY_SAY) | F.coalesce(F.col("next").rlike(r"\S") & F.col("line").rlike("(?i)error during build"), F.lit(False)))
     rows = lines.select(*CONTEXT, "log", "position", F.trim("line").alias("line"), F.explode(F.filter(known, lambda x: x["head"].isNotNull() | x["place"].isNotNull())).alias("_g")).select(*CONTEXT, "log", "position", "line", "_g.*")
     # A head isn't a place of its own record; lines below it are, up to the next head.
     order = W.partitionBy(*_LOG, "parser").orderBy("position")

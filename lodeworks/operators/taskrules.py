@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ BY_STEP = ("command_passes", "http_status")
 CRITERIA = (*BY_CHANGES, "file_exists", *BY_TEXT, *BY_STEP, *BY_HAND)
 LOCKFILES = ("pnpm-lock.yaml", "package-lock.json", "yarn.lock")
 MANIFESTS = ("package.json", "pnpm-workspace.yaml")
-STOP_WORDS = "ncom component components event workflow 使用 实现 定位 组件 示例 事件 公共 结构 说明 查找 一个 同时 确认 现有".split()
+STOP_WORDS = "component components event workflow 使用 实现 定位 组件 示例 事件 公共 结构 说明 查找 一个 同时 确认 现有".split()
 
 #: What a criterion expects; fields that its type doesn't ask for are null.
 EXPECTED = "struct<path:string,paths:array<string>,glob:string,text:string,regex:string,minimum:int,step_id:string>"
@@ -112,9 +114,9 @@ def compared(tasks: DataFrame, raw: DataFrame, knowledge: DataFrame) -> DataFram
     return out.withColumns({"delta_tokens": delta, "length": F.when(delta < 0, "shorter").when(delta > 0, "longer").otherwise("tie"), "within_allowance": F.col("knowledge_fallbacks") <= F.col("allowed_raw_fallback")})
 
 
-def terms_of(text: Column) -> Column:
-    """Distinct words of a question in lower case, without single characters and stop words."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_-]+"), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS)))
+def terms_of(text: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
+    """Distinct words of a question in lower case, without single characters and stop words; add the names that all questions have."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_-]+"), lambda w: (F.length(w) > 1) & ~w.isin(*stop_words)))
 
 
 def context(items: DataFrame, group: list[str], phases: list[str], budget: int, keep: dict[str, int] | None = None, constant: int = 0) -> DataFrame:
