@@ -63,9 +63,9 @@ class Scratch:
         self.spark, self.path = spark, f"{shared_dir(spark)}/lodeworks-{uuid.uuid4().hex}"
         _left.add(self.path)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Write df once and read it back, which also cuts its lineage."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        df.write.mode("overwrite").option("compression", compression).parquet(f"{self.path}/{name}")
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def drop(self) -> None:

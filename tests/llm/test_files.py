@@ -253,6 +253,15 @@ def test_articles_keep_sentences_that_recur(spark):
     assert found == want
 
 
+def test_long_frames_go_whole(spark):
+    """A notice of more words than FRAME at the tail of all articles of a host."""
+    notice = " ".join(f"n{j}" for j in range(5 * html_text.FRAME))
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(700 if k % 2 else 20))
+    rows = [(i, f"http://one.example/{i}", f"<article><p>{text(i)}</p><p>{notice}</p></article>") for i in range(6)] + [(50, "http://two.example/", f"<article><p>{text(3)}</p><p>{notice}</p></article>")]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {**{i: text(i) for i in range(6)}, 50: f"{text(3)}\n{notice}"}
+
+
 # ---- licenses
 
 
