@@ -14,6 +14,34 @@ def read_entity(spark: SparkSession, path: str, entity: str, multi_line: bool =
     return spark.read.schema(SCHEMAS[entity]).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
 
 
+def read_folder(spark: SparkSession, path: str, schema: str | None = None, faulty: str = "fail") -> tuple[DataFrame, DataFrame]:
+    """(documents with _file, faults) of the JSON files below a folder, one document each; faults: (file, text) of those that are none.
+
+    schema: DDL; without one it is the union of what the files have. faulty: "fail" raises at once if there is a fault,
+    "route" gives both tables, "empty" gives no documents at all if there is one, as a listing that must be whole does.
+    """
+    if faulty not in ("fail", "route", "empty"):
+        raise ValueError(f"no such policy: {faulty}")
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias("_text"))
+    whole = F.try_parse_json("_text")
+    good = F.schema_of_variant(whole).startswith("OBJECT")
+    bad = raw.filter(~F.coalesce(good, F.lit(False))).select(F.col("_file").alias("file"), F.col("_text").alias("text"))
+    fine = raw.filter(F.coalesce(good, F.lit(False)))
+    if schema is None:
+        found = fine.agg(F.schema_of_variant_agg(whole)).first()[0]
+        if found is None or found == "VOID":
+            return fine.select("_file"), bad
+        schema = found.removeprefix("OBJECT<").removesuffix(">").replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+        docs = fine.select(F.from_json("_text", f"STRUCT<{schema}>").alias("_d"), "_file").select("_d.*", "_file")
+    else:
+        docs = fine.select(F.from_json("_text", schema).alias("_d"), "_file").select("_d.*", "_file")
+    if faulty != "route" and not bad.isEmpty():
+        if faulty == "fail":
+            raise ValueError(f"not a JSON document: {bad.first().file}")
+        docs = docs.limit(0)
+    return docs, bad
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return read_entity(spark, path, "history", multi_line=False)
 

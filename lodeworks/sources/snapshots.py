@@ -100,14 +100,67 @@ class SnapshotStore:
         return digest(self.read(snapshot), self.key) == self.root_hash(snapshot)
 
 
-    def listed(self) -> DataFrame:
-        """(snapshot, root_hash, current, valid) of all snapshots; validity is that of their rows now."""
+    def listed(self, check: bool = True) -> DataFrame:
+        """(snapshot, root_hash, current, valid) of all snapshots; validity, if checked, is that of their rows now."""
         fs, at = _at(self.spark, f"{self.root}/snapshots")
         names = sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
-        rows = [(n, self.root_hash(n), n == self.current(), self.valid(n)) for n in names if not n.endswith((".new", ".old"))]
+        rows = [(n, self.root_hash(n), n == self.current(), self.valid(n) if check else None) for n in names if not n.endswith((".new", ".old"))]
         return self.spark.createDataFrame(rows, "snapshot string, root_hash string, current boolean, valid boolean")
 
 
+class CollectionStore(SnapshotStore):
+    """Snapshots of several tables that belong together: readers see all tables of one, or none.
+
+    The tables are staged beside, with one manifest that names all and their root hashes; one move puts them in place, and
+    the pointer comes last.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: dict[str, str]):
+        """keys: each table's name, and its key column."""
+        super().__init__(spark, root, "")
+        self.keys = keys
+
+    def write(self, tables: dict[str, DataFrame], snapshot: str, force: bool = False) -> str:
+        """Write all tables as one snapshot and point to it: "written", or "unchanged" if it exists with the same content."""
+        if set(tables) != set(self.keys):
+            raise ValueError(f"a collection has the tables {sorted(self.keys)}")
+        path, own = self._path(snapshot), {n: digest(df, self.keys[n]) for n, df in tables.items()}
+        if exists(self.spark, path):
+            if self.manifest(snapshot) == own:
+                return "unchanged"
+            if not force:
+                raise FileExistsError(f"collection {snapshot} exists with other content")
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{path}.new/{name}")
+        self.spark.createDataFrame(sorted(own.items()), "name string, root_hash string").coalesce(1).write.mode("overwrite").json(f"{path}.new/manifest")
+        if exists(self.spark, path):
+            _move(self.spark, path, f"{path}.{uuid.uuid4().hex}.old")
+        _move(self.spark, f"{path}.new", path)
+        self._point_to(snapshot)
+        return "written"
+
+    def manifest(self, snapshot: str | None = None) -> dict[str, str]:
+        """The tables of a collection and their root hashes."""
+        rows = self.spark.read.json(f"{self._path(snapshot or self.current())}/manifest", schema="name string, root_hash string")
+        return {r.name: r.root_hash for r in rows.collect()}
+
+    def root_hash(self, snapshot: str) -> str:
+        """One hash for all tables."""
+        import hashlib
+
+        return hashlib.sha256("\n".join(f"{n}:{h}" for n, h in sorted(self.manifest(snapshot).items())).encode()).hexdigest()
+
+    def read(self, name: str, snapshot: str | None = None) -> DataFrame:
+        """A table of a collection, of the current one if none is named."""
+        if name not in self.keys:
+            raise KeyError(name)
+        return self.spark.read.parquet(f"{self._path(snapshot or self.current())}/{name}")
+
+    def valid(self, snapshot: str) -> bool:
+        """Whether all tables still have the root hashes of the manifest."""
+        return all(digest(self.read(n, snapshot), self.keys[n]) == h for n, h in self.manifest(snapshot).items())
+
+
 def append_history(df: DataFrame, path: str) -> None:
     """Append rows as JSON lines."""
     df.write.mode("append").json(path)
