@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeworks.functions.hashing import composite_id
-from lodeworks.operators import classify, diff, joins, quality, ranking
+from lodeworks.operators import classify, components, diff, joins, quality, ranking, reconciliation
 from lodeworks.operators.classify import cascade
 from lodeworks.plans.registry import query
 
@@ -208,7 +207,7 @@ def array_membership_join(t):
 def edge_build(t):
     def edges(df, kind, a, x, b, y):
         src, dst = F.concat(F.lit(f"{a}/"), C(x).cast("string")), F.concat(F.lit(f"{b}/"), C(y).cast("string"))
-        return df.select(composite_id("relation", F.lit(kind), src, dst).alias("id"), F.lit(kind).alias("type"), src.alias("src"), dst.alias("dst"))
+        return components.edge_rows(df, kind, src, dst).select("id", "type", "src", "dst")
     return edges(t.nation, "belongs", "nation", "n_nationkey", "region", "n_regionkey").unionByName(edges(t.customer, "lives", "customer", "c_custkey", "nation", "c_nationkey")).unionByName(edges(t.supplier, "trades", "supplier", "s_suppkey", "nation", "s_nationkey"))
 
 
@@ -364,3 +363,35 @@ def duplicate_keys(t):
 @query("""SELECT l_suppkey, p_brand, min(l_orderkey) AS first_order FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
 def first_mention(t):
     return t.lineitem.join(t.part, C("l_partkey") == C("p_partkey")).groupBy("l_suppkey", "p_brand").agg(F.min("l_orderkey").alias("first_order"))
+
+
+_VALUES = """WITH v AS (SELECT p_brand AS component, 'attribute' AS item_kind, p_name AS name, lower(regexp_replace(p_name, '[-_\\s]', '', 'g')) AS item, ['official-doc', 'source-code', 'type-definition'][1 + (p_partkey % 3)::INT] AS source, p_type AS type,
+    CASE WHEN p_size > 45 THEN 'big' WHEN p_size > 5 THEN NULL ELSE 'Small' END AS dflt, CASE WHEN p_partkey % 29 = 0 THEN 'old' ELSE 'new' END AS commit, 'part/' || p_partkey AS evidence, p_partkey + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1000000000 END AS ordinal FROM part WHERE p_size % 4 = 0),
+    k AS (SELECT component, item, source, arg_min(lower(type), ordinal) AS t, arg_min(lower(dflt), ordinal) FILTER (dflt IS NOT NULL) AS d FROM v GROUP BY ALL),
+    j AS (SELECT component, item, count(*) AS n, count(DISTINCT t) AS nt, count(DISTINCT d) AS nd, min(source) AS s FROM k GROUP BY ALL),
+    g AS (SELECT component, item, list(struct_pack(o := ordinal, source := source, evidence := evidence, name := name, type := type, dflt := dflt, commit := commit) ORDER BY ordinal) AS l, bool_or(commit <> 'new') AS cm, arg_min(evidence, ordinal) FILTER (commit = 'new') AS fresh, arg_min(source, ordinal) FILTER (commit = 'new') AS fresh_source FROM v GROUP BY ALL),
+    i AS (SELECT *, CASE WHEN nt > 1 OR nd > 1 OR cm THEN 'conflict' WHEN n >= 2 THEN 'verified' WHEN s = 'official-doc' THEN 'documented' ELSE 'inferred' END AS status FROM g JOIN j USING (component, item))"""
+
+
+def _values(t):
+    doc = C("p_partkey") % 3 == 0
+    return t.part.filter("p_size % 4 = 0").select(C("p_brand").alias("component"), F.lit("attribute").alias("item_kind"), C("p_name").alias("name"), F.when(doc, "official-doc").when(C("p_partkey") % 3 == 1, "source-code").otherwise("type-definition").alias("source"), C("p_type").alias("type"),
+                                                  F.when(C("p_size") > 45, "big").when(C("p_size") <= 5, "Small").alias("default_value"), F.when(C("p_partkey") % 29 == 0, "old").otherwise("new").alias("commit"), F.concat(F.lit("part/"), "p_partkey").alias("evidence"), (C("p_partkey") + F.when(doc, 0).otherwise(1_000_000_000)).alias("ordinal"))
+
+
+@query(_VALUES + """ SELECT component, item, l[1].name AS name, l[1].type AS type, l[1].dflt AS default_value, array_to_string(list_transform(l, lambda x: x.evidence), ',') AS evidence, n AS n_sources, status,
+    CASE status WHEN 'verified' THEN 'high' WHEN 'conflict' THEN 'low' ELSE 'medium' END AS confidence FROM i""")
+def reconciled_items(t):
+    found = reconciliation.items(_values(t), F.lit("new"))
+    return found.select("component", "item", "name", "type", "default_value", F.array_join("evidence", ",").alias("evidence"), "n_sources", "status", "confidence")
+
+
+@query(_VALUES + """, c AS (SELECT component, l[1].name AS name, 'type-mismatch' AS conflict, 'error' AS severity, l[1].source AS source_a, l[2].source AS source_b, l[1].evidence || ',' || l[2].evidence AS evidence FROM i WHERE nt > 1 AND len(l) > 1
+    UNION ALL SELECT component, l[1].name, 'default-mismatch', 'warning', l[1].source, l[2].source, l[1].evidence || ',' || l[2].evidence FROM i WHERE nd > 1 AND len(l) > 1
+    UNION ALL SELECT component, l[1].name, 'commit-mismatch', 'error', l[1].source, coalesce(fresh_source, l[1].source), l[1].evidence || ',' || coalesce(fresh, l[1].evidence) FROM i WHERE cm
+    UNION ALL SELECT component, name, 'source-public-item-not-documented', 'warning', source, 'official-doc', evidence FROM v WHERE source <> 'official-doc' AND (component, item) NOT IN (SELECT (component, item) FROM v WHERE source = 'official-doc')
+    UNION ALL SELECT component, name, 'documented-item-not-found-in-source', 'error', source, 'source-code', evidence FROM v WHERE source = 'official-doc' AND (component, item) NOT IN (SELECT (component, item) FROM v WHERE source <> 'official-doc')) SELECT * FROM c""")
+def reconciled_conflicts(t):
+    v = _values(t)
+    found = reconciliation.conflicts(v, F.lit("new"), v.select("component").distinct())
+    return found.select("component", "name", "conflict", "severity", "source_a", "source_b", F.array_join("evidence", ",").alias("evidence"))

@@ -95,6 +95,11 @@ def fingerprint_dedup(t):
 @query("""WITH e AS (SELECT user_id::VARCHAR AS run_id, (event_id % 7)::INT AS form, props->>'$.k' AS k FROM events WHERE event_type = 'error'), d AS (SELECT DISTINCT run_id, form, CASE form WHEN 6 THEN '' ELSE k END AS k FROM e)
   SELECT run_id, count(*) AS total, count_if(form <> 1) AS errors, count_if(form = 1) AS warnings, count_if(form < 6) AS recognized, count_if(form = 6) AS unrecognized FROM d GROUP BY 1""")
 def events_error_parse(t):
+    return logs.summary(logs.parse(_error_steps(t, "/WORK/app")))
+
+
+def _error_steps(t, source_root):
+    """A step for each error event, with a log in one of seven forms."""
     k = json_value(C("props"), "$.k", "bigint").cast("string")
     logs_of = (
         ("\x1b[31m/work/app/src/m{}.ts({},7): error TS2{}: bad value  in m\x1b[0m\r\n", ""), ("/work/app/src/m{}.ts\n  {}:7  warning  Bad  value {}  some-rule\n\n1 problem\n", ""), ("", "[sass] Error: no such mixin {}\n  /work/app/s{}.scss {}:7  root stylesheet\n"),
@@ -104,9 +109,19 @@ def events_error_parse(t):
         parts = lambda text: [x for piece in text.split("{}") for x in (F.lit(piece), k)][:-1]
         return F.element_at(F.array(*(F.concat(*parts(own[at])) if "{}" in own[at] else F.lit(own[at]) for own in logs_of)), (C("event_id") % 7 + 1).cast("int"))
 
-    steps = t.events.filter("event_type = 'error'").select(C("user_id").cast("string").alias("run_id"), F.lit("build").alias("step_id"), C("event_id").alias("ordinal"), F.lit("failed").alias("status"), F.lit(False).alias("allow_failure"), F.lit(1).alias("exit_code"),
-                                                           said(0).alias("stdout"), said(1).alias("stderr"), F.lit("/WORK/app").alias("source_root"), F.lit(None).cast("string").alias("lab_root"))
-    return logs.summary(logs.parse(steps))
+    return t.events.filter("event_type = 'error'").select(C("user_id").cast("string").alias("run_id"), F.lit("build").alias("step_id"), C("event_id").alias("ordinal"), F.lit("failed").alias("status"), F.lit(False).alias("allow_failure"), F.lit(1).alias("exit_code"),
+                                                          said(0).alias("stdout"), said(1).alias("stderr"), F.lit(source_root).alias("source_root"), F.lit(None).cast("string").alias("lab_root"))
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id::VARCHAR AS run_id, (event_id % 7)::INT AS form, props->>'$.k' AS k FROM events WHERE event_type = 'error'), d AS (SELECT DISTINCT run_id, form, CASE form WHEN 6 THEN '' ELSE k END AS k FROM e)
+  SELECT run_id, ['typescript', 'eslint', 'sass', 'vite', 'node', 'pnpm-lifecycle', 'generic'][form + 1] AS parser, ['typecheck', 'lint', 'style', 'module-resolution', 'runtime', 'lifecycle', 'command'][form + 1] AS category,
+    CASE form WHEN 1 THEN 'warning' ELSE 'error' END AS severity, CASE WHEN form <= 1 THEN 'src/m' || k || '.ts' WHEN form = 2 THEN 's' || k || '.scss' WHEN form = 3 THEN 'src/a' || k || '.ts' WHEN form = 4 THEN 'm' || k || '.js' END AS file,
+    CASE WHEN form IN (0, 1, 2, 4) THEN k::INT END AS line, CASE WHEN form IN (0, 1, 2, 4) THEN 7 END AS col, CASE form WHEN 1 THEN 'some-rule' END AS rule, CASE form WHEN 0 THEN 'TS2' || k WHEN 5 THEN 'ERR_PNPM_K' || k END AS code,
+    CASE form WHEN 0 THEN 'bad value in m' WHEN 1 THEN 'Bad value ' || k WHEN 2 THEN 'no such mixin ' || k WHEN 3 THEN 'Failed to resolve import "m' || k || '"' WHEN 4 THEN 'TypeError: bad ' || k WHEN 5 THEN 'ERR_PNPM_K' || k || ' bad ' || k || ' ' || k ELSE 'Command exited with code 1' END AS message,
+    [85, 100, 95, 90, 80, 30, 0][form + 1] AS priority FROM d""")
+def events_error_values(t):
+    found = logs.parse(_error_steps(t, "/work/app"))
+    return found.select("run_id", "parser", "category", "severity", "file", "line", "col", "rule", "code", "message", "priority")
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k, NULL::VARCHAR AS missing FROM events")
@@ -268,3 +283,29 @@ def context_trimming(t):
     done = contexts.trimmed(rows.drop("l_partkey", "l_suppkey"), needs, ["claim", "snippet"], 30)
     kept = done.groupBy("task_id").agg(F.count_if("kept").alias("blocks"), F.max("chars").alias("chars"), F.bool_and("fits").alias("fits"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(C("kept"), C("place")))), lambda x: x.cast("string")), ",").alias("places"))
     return kept.join(contexts.pieces_left(done, needs).groupBy("task_id").agg(F.count("*").alias("pieces")), "task_id")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS key, o_orderkey % 7 AS f, o_orderkey AS k FROM orders)
+  SELECT key, '$.steps[*].id pattern' AS rule, '$.steps[0].id' AS place, 'Bad Id' AS found FROM o WHERE f = 1
+  UNION ALL SELECT key, '$.steps[*].id unique', '$.steps[0].id', 's' || k FROM o WHERE f = 2
+  UNION ALL SELECT key, '$.steps[*].dependencies[*] within', '$.steps[1].dependencies[1]', 'lost' FROM o WHERE f = 3
+  UNION ALL SELECT key, '$.steps[*].dependencies[*] within', '$.steps[1].dependencies[0]', 's' || k FROM o WHERE f = 1
+  UNION ALL SELECT key, '$.steps[*].cwd pattern', '$.steps[1].cwd', '../up' FROM o WHERE f = 4
+  UNION ALL SELECT key, '$ json', '$', 'invalid' FROM o WHERE f = 5
+  UNION ALL SELECT key, '$ required', '$', 'version' FROM o WHERE f = 6
+  UNION ALL SELECT key, '$.steps maxItems', '$.steps', '2' FROM o WHERE f = 0 AND k % 2 = 0
+  UNION ALL SELECT key, '$.version type', '$.version', 'string' FROM o WHERE f = 4""")
+def document_faults(t):
+    from lodeworks.sources import validation as V
+
+    k, f = C("o_orderkey").cast("string"), C("o_orderkey") % 7
+    first = F.when(f == 1, "Bad Id").otherwise(F.concat(F.lit("s"), k))
+    second = F.when(f == 2, F.concat(F.lit("s"), k)).otherwise("last")
+    version = F.when(f == 6, "").when(f == 4, '"version": "1", ').otherwise('"version": 1, ')
+    text = F.format_string('{%s"steps": [{"id": "%s", "cwd": "a/b", "dependencies": []}, {"id": "%s", "cwd": "%s", "dependencies": ["s%s"%s]}], "other": {"steps": [{"id": "?"}]}}', version, first, second, F.when(f == 4, "../up").otherwise("."), k, F.when(f == 3, ', "lost"').otherwise(""))
+    text = F.when(f == 5, F.substring(text, 1, 40)).otherwise(text)
+    rules = [*V.PLAN, *V.from_schema({"type": "object", "required": ["version", "steps"], "properties": {"version": {"type": "integer"}, "steps": {"type": "array"}}})]
+    docs = t.orders.select(C("o_orderkey").alias("key"), text.alias("json"), ((f == 0) & (C("o_orderkey") % 2 == 0)).alias("narrow"))
+    found = V.faults(docs, "key", "json", rules)
+    few = V.faults(docs.filter("narrow"), "key", "json", [V.Rule("$.steps", "maxItems", 1)])
+    return found.unionByName(few).select("key", "rule", "place", "found")
