@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,21 +90,10 @@ def numbered(df: DataFrame, group: list[str], item: str, ordinal: str, name: str
 def sequential_pick(df: DataFrame, group: str, order: list[str], type_col: str, caps: dict[str, int], default_cap: int, file: str, start: str, end: str, skip: str) -> DataFrame:
     """Snippets in order: a cap for each type, then the skip flag, then ranges that an accepted snippet covers are refused.
 
-    An ordered fold with state across types, so it runs group by group; groups are the candidates of one request.
+    A type's cap counts the rows it has looked at, taken or not, so the first rows of each type are the ones that may be
+    taken; of these, those that aren't skipped are taken unless an earlier one has the same range.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: dict = {}
-        taken: set = set()
-        keep = []
-        for i, r in pdf.sort_values(order).iterrows():
-            t = r[type_col]
-            if used.get(t, 0) >= caps.get(t, default_cap):
-                continue
-            used[t] = used.get(t, 0) + 1
-            if r[skip] or (r[file], r[start], r[end]) in taken:
-                continue
-            taken.add((r[file], r[start], r[end]))
-            keep.append(i)
-        return pdf.loc[keep]
-
-    return df.groupBy(group).applyInPandas(fold, df.schema)
+    by = [F.col(c) for c in order]
+    cap = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in caps.items() for x in kv)), F.col(type_col)), F.lit(default_cap)) if caps else F.lit(default_cap)
+    looked = df.withColumn("_n", F.row_number().over(W.partitionBy(group, type_col).orderBy(*by))).filter(F.col("_n") <= cap).drop("_n")
+    return first_wins(looked.filter(~F.col(skip)), [group, file, start, end], by)

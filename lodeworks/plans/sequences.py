@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodeworks.functions.hashing import fingerprint
 from lodeworks.operators import graph, logs, quality, ranking, retrieval, sequence
 from lodeworks.operators.classify import cascade
 from lodeworks.plans.registry import query
+from lodeworks.sources.snapshots import shared_folder
+from lodeworks.streaming import history
 from lodeworks.sources.documents import json_value
 
 C = F.col
@@ -309,3 +313,29 @@ def document_faults(t):
     found = V.faults(docs, "key", "json", rules)
     few = V.faults(docs.filter("narrow"), "key", "json", [V.Rule("$.steps", "maxItems", 1)])
     return found.unionByName(few).select("key", "rule", "place", "found")
+
+
+def _event_stream(t):
+    """The events table as a stream: landed as files of a folder, which a stream reads."""
+    at = f"{shared_folder(t.spark)}/landed-{uuid.uuid4().hex}"
+    t.events.withColumn("ts", C("ts").cast("timestamp")).write.parquet(at)
+    return t.spark.readStream.schema(t.spark.read.parquet(at).schema).parquet(at)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_events(t):
+    rows = _event_stream(t).withColumn("fingerprint", F.concat_ws("|", "user_id", "event_type"))
+    return history.drained(history.first_events(rows, "fingerprint", "ts", "100000 days").select("user_id", "event_type"))
+
+
+@query("""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_daily_counts(t):
+    return history.drained(history.windowed_counts(_event_stream(t), "ts", "event_type")).withColumn("start", C("start").cast("timestamp_ntz"))
+
+
+@query("""WITH o AS (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS previous, event_type FROM events)
+  SELECT * FROM o WHERE NOT coalesce(CASE previous WHEN 'error' THEN event_type = 'click' WHEN 'click' THEN event_type <> 'click' ELSE true END, false) OR (previous IS NULL AND event_type = 'error')""")
+def stream_illegal_transitions(t):
+    kinds = sorted(r.event_type for r in t.events.select("event_type").distinct().collect())
+    legal = {k: ["click"] if k == "error" else [x for x in kinds if x != "click"] if k == "click" else kinds for k in kinds}
+    return history.drained(history.illegal_transitions(_event_stream(t).select("user_id", "event_id", "event_type"), "user_id", "event_type", "event_id", legal, [k for k in kinds if k != "error"]))

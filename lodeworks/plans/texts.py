@@ -359,6 +359,24 @@ def symbol_edges(t):
     return components.heritage_edges(found).unionByName(components.reference_edges(found)).select("type", "src", "dst", "evidence_path", "confidence")
 
 
+@query("""WITH p AS (SELECT p_partkey::VARCHAR AS path, p_partkey % 8 AS form, 'B' || p_size AS b FROM part), n AS (SELECT form, count(*) AS n FROM p GROUP BY form),
+    c AS (SELECT coalesce(sum(n) FILTER (form IN (0, 2, 4, 7)), 0) AS one, coalesce(sum(n) FILTER (form = 0), 0) AS f0, coalesce(sum(n) FILTER (form = 1), 0) AS f1, coalesce(sum(n) FILTER (form = 2), 0) AS f2, coalesce(sum(n) FILTER (form = 3), 0) AS f3, coalesce(sum(n) FILTER (form = 4), 0) AS f4, coalesce(sum(n) FILTER (form = 5), 0) AS f5, coalesce(sum(n) FILTER (form = 6), 0) AS f6, coalesce(sum(n) FILTER (form = 7), 0) AS f7 FROM n),
+    m AS (SELECT unnest([{'m': 'modules', 'k': NULL, 'n': f0 + f1 + f2 + f3 + f4 + f6 + f7}, {'m': 'declarations', 'k': NULL, 'n': 2 * f0 + 2 * f1 + 3 * f2 + 3 * f3 + 4 * f4 + 3 * f6 + 4 * f7}, {'m': 'exported_symbols', 'k': NULL, 'n': f0 + 3 * f2 + f4 + f7}, {'m': 'members', 'k': NULL, 'n': f1 + 2 * f3 + 2 * f4 + 2 * f7},
+      {'m': 'deprecated', 'k': NULL, 'n': 0}, {'m': 'private_members', 'k': NULL, 'n': 2 * f0 + f1 + 3 * f2 + f3 + 2 * f4 + 3 * f6 + 2 * f7}, {'m': 'imports', 'k': NULL, 'n': 3 * f5}, {'m': 'unresolved_imports', 'k': NULL, 'n': 2 * f5}, {'m': 'type_only_imports', 'k': NULL, 'n': 0},
+      {'m': 'exports', 'k': NULL, 'n': f0 + 3 * f2 + f7}, {'m': 're_exports', 'k': NULL, 'n': 0}, {'m': 'default_exports', 'k': NULL, 'n': f2},
+      {'m': 'symbols_by_kind', 'k': 'variable', 'n': f0 + 2 * f2}, {'m': 'symbols_by_kind', 'k': 'class', 'n': f0 + f1 + f3}, {'m': 'symbols_by_kind', 'k': 'method', 'n': f1 + f3 + f4}, {'m': 'symbols_by_kind', 'k': 'function', 'n': f2 + 3 * f6}, {'m': 'symbols_by_kind', 'k': 'property', 'n': f3 + f4}, {'m': 'symbols_by_kind', 'k': 'namespace', 'n': f4},
+      {'m': 'symbols_by_kind', 'k': 'interface', 'n': f4}, {'m': 'symbols_by_kind', 'k': 'enum', 'n': f7}, {'m': 'symbols_by_kind', 'k': 'enum_member', 'n': 2 * f7}, {'m': 'symbols_by_kind', 'k': 'type_alias', 'n': f7}]) AS x FROM c)
+  SELECT x.m AS measure, x.k AS key, x.n::BIGINT AS n FROM m WHERE x.n > 0 OR x.k IS NULL
+  UNION ALL (SELECT 'largest_modules', path, [2, 2, 3, 3, 4, 0, 3, 4][1 + form::INT]::BIGINT AS n FROM p WHERE form <> 5 ORDER BY n DESC, path LIMIT 20)""")
+def symbol_statistics(t):
+    from lodeworks.functions import apidoc, syntax
+    from lodeworks.operators import components
+
+    files = _sources(t)
+    inward = apidoc.imports(files).withColumn("resolved", F.when(C("source") == "dyn", "found"))
+    return components.symbol_statistics(syntax.symbols(files), inward, apidoc.exports(files))
+
+
 @query("""SELECT p_partkey AS doc_id, 3::BIGINT AS line_no, lower(p_type) AS language, '# ' || p_name || chr(10) || 'end' AS code FROM part UNION ALL SELECT p_partkey, 8, NULL, 'open' FROM part WHERE p_size > 25""")
 def markdown_code(t):
     text = F.concat(F.lit("# Title\n\n```"), F.lower("p_type"), F.lit("\n# "), "p_name", F.lit("\nend\n```\ntext\n"), F.when(C("p_size") > 25, "```\nopen").otherwise("no block"))

@@ -20,6 +20,43 @@ def encoding(content: Column) -> Column:
     return F.when(head.startswith("FFFE"), "UTF-16LE").when(head == "EFBBBF", "UTF-8 BOM").when(F.hex(content).rlike("^(..)*00"), "binary").when(valid, "UTF-8").otherwise("unknown")
 
 
+#: The share of NUL bytes above which a text without a mark is taken for UTF-16, and how many bytes tell. Fixed values.
+NUL_SHARE, PROBE = 0.2, 200
+
+
+def event_text(content: Column) -> Column:
+    """The text of a log of unknown origin: UTF-16LE by its mark or by the NUL bytes among its first PROBE, else UTF-8 with or without a mark."""
+    # Two hexadecimal digits a byte, set apart so that zeros of neighbours don't count.
+    first = F.substring(content, 1, PROBE)
+    zeros = F.regexp_count(F.regexp_replace(F.hex(first), "(..)", "$1 "), F.lit("00 "))
+    wide = zeros > NUL_SHARE * F.octet_length(first)
+    head, body = F.hex(F.substring(content, 1, 3)), lambda skip: F.substring(content, skip + 1, 1 << 30)
+    return F.when(head.startswith("FFFE"), F.decode(body(2), "UTF-16LE")).when(wide, F.decode(content, "UTF-16LE")).when(head == "EFBBBF", body(3).cast("string")).otherwise(F.make_valid_utf8(content.cast("string")))
+
+
+def blob_id(content: Column) -> Column:
+    """The object id that version control gives a file's content."""
+    return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(content).cast("string"), F.lit("\x00")), "UTF-8"), content))
+
+
+def listed_objects(listing: DataFrame, column: str = "output") -> DataFrame:
+    """(path, mode, object_id) of NUL-separated listings of tracked files, with or without their stages; without, the id is null.
+
+    A path that is listed more than once keeps an id if it has one.
+    """
+    rows = listing.select(F.explode(F.filter(F.split(F.col(column), "\x00"), lambda x: x != "")).alias("x"))
+    staged = r"^(\d+)\s+([a-f0-9]{40,64})\s+\d+\t(.+)$"
+    at = lambda g: F.nullif(F.regexp_extract("x", staged, g), F.lit(""))
+    rows = rows.select(F.replace(F.coalesce(at(3), F.col("x")), F.lit("\\"), F.lit("/")).alias("path"), at(1).alias("mode"), at(2).alias("object_id"))
+    return rows.groupBy("path").agg(F.max("mode").alias("mode"), F.max("object_id").alias("object_id"))
+
+
+def to_read(tracked: DataFrame, known: DataFrame) -> DataFrame:
+    """Of tracked files (path, object_id) those that must be read: no file of known (path, object_id) has their content at their path."""
+    same = [F.col("a.path") == F.col("b.path"), F.col("a.object_id") == F.col("b.object_id")]
+    return tracked.alias("a").join(known.alias("b"), same, "left_anti")
+
+
 def decoded(content: Column, kind: Column) -> Column:
     body = lambda skip: F.substring(content, skip + 1, 1 << 30)
     return F.when(kind == "UTF-16LE", F.decode(body(2), "UTF-16LE")).when(kind == "UTF-8 BOM", body(3).cast("string")).when(kind == "UTF-8", content.cast("string"))

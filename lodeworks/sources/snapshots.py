@@ -11,14 +11,21 @@ from pyspark.sql import functions as F
 from lodeworks.functions.hashing import canonical_json, root_hash
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir, for loops whose plans would grow."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all machines share. On one machine a temporary one stands in for it."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="lodeworks-")
     if not sc.getCheckpointDir():
-        root = sc.getConf().get("spark.checkpoint.dir")
-        if not root and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
-        sc.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="lodeworks-"))
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder, for loops whose plans would grow."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

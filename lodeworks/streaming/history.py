@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,12 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodeworks.sources.snapshots import shared_folder
+
 
 def history_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """New JSON-lines files of a folder as they arrive."""
     return spark.readStream.schema(schema).json(path)
 
 
+def drained(stream: DataFrame) -> DataFrame:
+    """What a stream gives for all that is there now: it runs until its sources are read, and its rows are read back from the shared folder."""
+    spark = stream.sparkSession
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{at}/state").format("parquet").outputMode("append").start(f"{at}/rows").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
 def first_events(events: DataFrame, fingerprint: str, time: str, delay: str = "1 hour") -> DataFrame:
     """The first event of each fingerprint within the watermark."""
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([fingerprint])

@@ -67,3 +67,20 @@ def test_history_stream(spark, tmp_path):
     run = bad.writeStream.format("memory").queryName("bad_moves").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
     run.awaitTermination()
     assert [tuple(r) for r in spark.table("bad_moves").collect()] == [("a", 2, "draft", "closed")]
+
+
+def test_object_ids_listings_and_event_logs(spark, rows):
+    """Ids as version control gives them; listings with and without stages; texts with marks, with NULs and plain."""
+    import hashlib
+
+    contents = [b"", b"hello\n", bytes(range(256)) * 3]
+    found = spark.createDataFrame([(i, c) for i, c in enumerate(contents)], "i int, c binary").select("i", files.blob_id(F.col("c"))).collect()
+    assert sorted(map(tuple, found)) == [(i, hashlib.sha1(b"blob %d\0" % len(c) + c).hexdigest()) for i, c in enumerate(contents)]
+    a, b = "a" * 40, "b" * 64
+    listing = spark.createDataFrame([("\x00".join(["x y.ts", "src/b.ts", f"100644 {a} 0\tsrc/b.ts", f"100755 {b} 0\tw\\z.ts", ""]),), ("",)], "output string")
+    tracked = files.listed_objects(listing)
+    assert rows(tracked) == [("src/b.ts", "100644", a), ("w/z.ts", "100755", b), ("x y.ts", None, None)]
+    assert rows(files.to_read(tracked, spark.createDataFrame([("src/b.ts", a), ("w/z.ts", a), ("x y.ts", None)], "path string, object_id string")).select("path")) == [("w/z.ts",), ("x y.ts",)]
+    texts = [("é plain".encode(), "é plain"), (b"\xff\xfe" + "Aé\n".encode("utf-16-le"), "Aé\n"), ("wide text 漢".encode("utf-16-le"), "wide text 漢"), (b"\xef\xbb\xbfmarked", "marked"), (b"a\x00bcdefgh", "a\x00bcdefgh"), (b"", "")]
+    found = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(texts)], "i int, c binary").select("i", files.event_text(F.col("c"))).collect()
+    assert sorted(map(tuple, found)) == [(i, t) for i, (_, t) in enumerate(texts)]
