@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import MOST_SENT, Scratch, checkpoint, without
+from lodeworks.llm.common import LOWER, MOST_SENT, UPPER, Scratch, checkpoint, without
 
 BINS, BANDS, ROWS = 256, 32, 4
 _SHIFT = np.uint64(64 - 8)
@@ -347,3 +347,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that are linked by four-word shingles."""
     groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4)
     return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: All pairs that share a shingle, and all that can be reached: for small tables.
+OP4_SQL = rf"""
+WITH RECURSIVE own AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT row, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT row, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM own WHERE len(w) > 0)
+), sizes AS (
+    SELECT row, count(*) AS n FROM shingles GROUP BY row
+), pairs AS (
+    SELECT a.row AS a, b.row AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.row < b.row GROUP BY ALL
+), links AS (
+    SELECT a, b FROM pairs JOIN sizes x ON x.row = a JOIN sizes y ON y.row = b WHERE 100 * pairs.n >= 80 * (x.n + y.n - pairs.n)
+), ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+    SELECT row, row AS at FROM own UNION SELECT reached.row, ways.b FROM reached JOIN ways ON ways.a = reached.at
+), roots AS (
+    SELECT reached.row, min(own.doc_id) AS component_id FROM reached JOIN own ON own.row = reached.at GROUP BY reached.row
+)
+SELECT doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM own JOIN roots USING (row) LEFT JOIN sizes USING (row)
+"""

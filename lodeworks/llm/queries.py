@@ -23,6 +23,8 @@ QUERIES = {
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_warc_store": warc_store.OP3_SQL,
+    "op4_near_dedup": near_dedup.OP4_SQL,
+    "op7_sharding": sharding.OP7_SQL,
     "op11_fill_middle": fill_middle.OP11_SQL,
     "op12_importance": importance.OP12_SQL,
     "op13_decontaminate": decontaminate.OP13_SQL,

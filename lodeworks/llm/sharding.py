@@ -68,3 +68,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = {"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text)}
     placed = interleave(spark.read.parquet(f"{sf_dir}/documents.parquet"), carry=sizes)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+#: The CRC-32 of each text byte by byte, and ranks by sorting.
+OP7_SQL = """
+WITH table_of AS (
+    SELECT list(c ORDER BY n) AS crcs FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) t(n))
+), hashed AS (
+    SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, md5(concat_ws(':', '20', CAST(doc_id AS VARCHAR))) AS key,
+           xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(crcs[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) AS text_crc32
+    FROM documents, table_of
+), fractions AS (
+    SELECT *, CAST(2 * (row_number() OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST) - 1) + 1 AS DOUBLE) / (2 * count(*) OVER (PARTITION BY source)) AS fraction FROM hashed
+), placed AS (
+    SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, key, doc_id NULLS FIRST) - 1 AS place, count(*) OVER () AS total FROM fractions
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 16 // total AS INTEGER) AS shard, CAST(place - CAST(ceil((place * 16 // total) * total / 16) AS BIGINT) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, source FROM placed
+"""
