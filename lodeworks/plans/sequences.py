@@ -267,25 +267,25 @@ def retrieval_candidates(t):
     return inverted.selected(found, limit=14).select("task_id", "type", "id", "score", "breakdown", "rank", "selected", "excluded")
 
 
-@query("""WITH block AS (SELECT l_orderkey AS task_id, CASE WHEN l_linenumber <= 4 THEN 1 ELSE 2 END AS phase, l_linenumber AS place, '- claim ' || p_name AS text, l_partkey, l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY task_id, phase ORDER BY place) = 1 AS must FROM block),
-    turned AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY NOT must, phase, place) AS turn FROM ranked),
+@query("""WITH block AS (SELECT DISTINCT l_orderkey AS task_id, CASE WHEN l_linenumber <= 4 THEN 1 ELSE 2 END AS phase, l_linenumber AS place, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, '- claim ' || p_name AS text, l_partkey, l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY task_id, phase ORDER BY place, id) = 1 AS must FROM block),
+    turned AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY NOT must, phase, place, id) AS turn FROM ranked),
     piece AS (SELECT task_id, turn, 'p' || l_partkey % 7 AS piece FROM turned UNION ALL SELECT task_id, turn, 's' || l_suppkey % 3 FROM turned),
     first_use AS (SELECT task_id, min(turn) AS turn, piece FROM piece GROUP BY task_id, piece),
     extra AS (SELECT task_id, turn, sum(length('- [' || piece || '] evidence') + 1) AS more FROM first_use GROUP BY ALL),
     summed AS (SELECT t.*, sum(length(text) + 1 + coalesce(more, 0)) OVER (PARTITION BY t.task_id ORDER BY t.turn) AS upto FROM turned t LEFT JOIN extra e ON e.task_id = t.task_id AND e.turn = t.turn),
     kept AS (SELECT *, must OR upto <= 30 * 4 AS keep FROM summed),
-    totals AS (SELECT task_id, count(*) FILTER (keep) AS blocks, max(upto) FILTER (keep)::BIGINT AS chars, bool_and(NOT must OR upto <= 30 * 4) AS fits, string_agg(place, ',' ORDER BY place) FILTER (keep) AS places FROM kept GROUP BY task_id),
+    totals AS (SELECT task_id, count(*) FILTER (keep) AS blocks, max(upto) FILTER (keep)::BIGINT AS chars, bool_and(NOT must OR upto <= 30 * 4) AS fits, string_agg(id, ',' ORDER BY id) FILTER (keep) AS places FROM kept GROUP BY task_id),
     left_over AS (SELECT task_id, count(DISTINCT piece) AS pieces FROM piece JOIN (SELECT task_id, turn FROM kept WHERE keep) USING (task_id, turn) GROUP BY task_id)
   SELECT task_id, blocks, chars, fits, places, pieces FROM totals JOIN left_over USING (task_id)""")
 def context_trimming(t):
     from lodeworks.operators import contexts
 
-    rows = t.lineitem.join(t.part, C("l_partkey") == C("p_partkey")).select(C("l_orderkey").alias("task_id"), F.when(C("l_linenumber") <= 4, "claim").otherwise("snippet").alias("phase"), C("l_linenumber").alias("place"), C("l_linenumber").cast("string").alias("id"), F.concat(F.lit("- claim "), "p_name").alias("text"), "l_partkey", "l_suppkey")
+    rows = t.lineitem.join(t.part, C("l_partkey") == C("p_partkey")).select(C("l_orderkey").alias("task_id"), F.when(C("l_linenumber") <= 4, "claim").otherwise("snippet").alias("phase"), C("l_linenumber").alias("place"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.concat(F.lit("- claim "), "p_name").alias("text"), "l_partkey", "l_suppkey").distinct()
     piece = F.explode(F.array(F.concat(F.lit("p"), C("l_partkey") % 7), F.concat(F.lit("s"), C("l_suppkey") % 3)))
     needs = rows.select("task_id", "id", piece.alias("piece")).withColumn("text", F.format_string("- [%s] evidence", "piece"))
     done = contexts.trimmed(rows.drop("l_partkey", "l_suppkey"), needs, ["claim", "snippet"], 30)
-    kept = done.groupBy("task_id").agg(F.count_if("kept").alias("blocks"), F.max("chars").alias("chars"), F.bool_and("fits").alias("fits"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(C("kept"), C("place")))), lambda x: x.cast("string")), ",").alias("places"))
+    kept = done.groupBy("task_id").agg(F.count_if("kept").alias("blocks"), F.max("chars").alias("chars"), F.bool_and("fits").alias("fits"), F.array_join(F.array_sort(F.collect_list(F.when(C("kept"), C("id")))), ",").alias("places"))
     return kept.join(contexts.pieces_left(done, needs).groupBy("task_id").agg(F.count("*").alias("pieces")), "task_id")
 
 
