@@ -47,7 +47,7 @@ class Encoder:
     so that the memory outlives a task.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         import tokenizers
 
         self.tokenizer, self.most = tokenizers.Tokenizer.from_file(path), most
