@@ -35,17 +35,17 @@ def _digest_of(members: Column | str) -> Column:
     return F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(members)), lambda x: F.concat_ws(":", x["k"], x["d"]))), 256)
 
 
-def root_hash(df: DataFrame, key: str, row_digest: Column) -> DataFrame:
-    """An order-free digest of many rows, made level by level along the hex digits of the keys' hashes.
+def root_hash(df: DataFrame, key: str, row_digest: Column, by: list[str] | None = None) -> DataFrame:
+    """An order-free digest of many rows, or of the rows of each group, made level by level along the hex digits of the keys' hashes.
 
     The lowest level's groups share two digits, or four, six, ... as the number of rows asks for, so that no task gets
     more than some FAN rows of one group; each further level folds 256 groups into one.
     """
-    n, digits = df.count(), 2
+    n, digits, by = df.count(), 2, by or []
     while n > FAN * 16**digits:
         digits += 2
-    rows = df.select(sha(F.col(key).cast("string"), digits).alias("g"), F.struct(F.col(key).cast("string").alias("k"), row_digest.alias("d")).alias("m"))
-    level = rows.groupBy("g").agg(_digest_of("m").alias("d"))
+    rows = df.select(*by, sha(F.col(key).cast("string"), digits).alias("g"), F.struct(F.col(key).cast("string").alias("k"), row_digest.alias("d")).alias("m"))
+    level = rows.groupBy(*by, "g").agg(_digest_of("m").alias("d"))
     for digits in range(digits - 2, 0, -2):
-        level = level.groupBy(F.substring("g", 1, digits).alias("h")).agg(_digest_of(F.struct(F.col("g").alias("k"), "d")).alias("d")).select(F.col("h").alias("g"), "d")
-    return level.agg(_digest_of(F.struct(F.col("g").alias("k"), "d")).alias("root_hash"))
+        level = level.groupBy(*by, F.substring("g", 1, digits).alias("h")).agg(_digest_of(F.struct(F.col("g").alias("k"), "d")).alias("d")).select(*by, F.col("h").alias("g"), "d")
+    return level.groupBy(*by).agg(_digest_of(F.struct(F.col("g").alias("k"), "d")).alias("root_hash"))

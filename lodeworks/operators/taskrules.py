@@ -79,7 +79,7 @@ def policy_rules(policies: DataFrame, changed: DataFrame, inspected: DataFrame)
         "lockfiles": name.isin(*LOCKFILES), "manifests": name.isin(*MANIFESTS), "conflicts": F.col("has_conflict"), "binaries": F.col("is_binary"), "submodules": F.col("is_submodule"),
     }
     counts = own.groupBy("task_id").agg(*(F.count_if(c).alias(f"n_{k}") for k, c in tests.items()))
-    facts = policies.join(counts, "task_id", "left").join(inspected, "task_id", "left").na.fill(0, [f"n_{k}" for k in tests])
+    facts = policies.join(counts, "task_id", "left").join(inspected.select("task_id", "diff_lines", "head_matches", "has_patch"), "task_id", "left").na.fill(0, [f"n_{k}" for k in tests])
     n = lambda k: F.col(f"n_{k}")
     unless = lambda flag, ok: ~F.col(flag) | ok
     rules = {

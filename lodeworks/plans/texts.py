@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions import markup, paths
 from lodeworks.functions import text as T
 from lodeworks.functions.hashing import root_hash as rooted
-from lodeworks.operators import classify, joins, quality
+from lodeworks.operators import classify, inspection, joins, quality
 from lodeworks.operators.classify import cascade
 from lodeworks.plans.registry import query
 from lodeworks.sources.documents import best_capture
@@ -381,3 +381,50 @@ def symbol_statistics(t):
 def markdown_code(t):
     text = F.concat(F.lit("# Title\n\n```"), F.lower("p_type"), F.lit("\n# "), "p_name", F.lit("\nend\n```\ntext\n"), F.when(C("p_size") > 25, "```\nopen").otherwise("no block"))
     return markup.markdown_code_blocks(t.part.select(C("p_partkey").alias("doc_id"), text.alias("x")), "doc_id", "x").select("doc_id", C("line_no").cast("long").alias("line_no"), "language", "code")
+
+
+#: Each document is a file of its source's task, in one of six states; some lines are lost, changed or new, all before them are numbered.
+_CHANGES = r"""WITH l AS (SELECT doc_id, source, doc_id % 6 AS k, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
+  p AS (SELECT doc_id, source, k, i, i || ' ' || x AS line, CASE WHEN doc_id % 3 = 0 THEN '<<<<<<< ' ELSE 'new ' END || i AS extra, i % 29 = 3 AS lost, i % 17 = 1 AND i % 29 <> 3 AS other, i % 23 = 4 AS fresh FROM l),
+  e AS (SELECT doc_id, i, 0 AS j, NOT lost AND NOT other AS kept, CASE WHEN lost OR other THEN 1 ELSE 0 END AS gone, CASE WHEN other THEN 1 ELSE 0 END AS come FROM p
+        UNION ALL SELECT doc_id, i, 1, false, 0, 1 FROM p WHERE fresh),
+  g AS (SELECT *, sum(CASE WHEN kept THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i, j) AS place FROM e),
+  h AS (SELECT *, coalesce(place - lag(place) OVER (PARTITION BY doc_id ORDER BY i, j) > 6, true) AS starts FROM g WHERE NOT kept),
+  d AS (SELECT doc_id, sum(gone)::BIGINT AS gone, sum(come)::BIGINT AS come, count(*) FILTER (WHERE starts) AS hunks FROM h GROUP BY doc_id),
+  t AS (SELECT doc_id, any_value(source) AS source, any_value(k) AS k, count(*) AS lines, string_agg('-' || line || chr(10), '' ORDER BY i) AS minus, bool_or(fresh AND starts_with(extra, '<')) AS marks,
+        count(*) FILTER (WHERE NOT lost) + count(*) FILTER (WHERE fresh) AS after, string_agg(CASE WHEN lost THEN '' WHEN other THEN '+~' || line || chr(10) ELSE '+' || line || chr(10) END || CASE WHEN fresh THEN '+' || extra || chr(10) ELSE '' END, '' ORDER BY i) AS plus FROM p GROUP BY doc_id),
+  s AS (SELECT t.*, coalesce(gone, 0) AS gone, coalesce(come, 0) AS come, coalesce(hunks, 0) AS hunks, 'src/' || t.doc_id || '.md' AS path FROM t LEFT JOIN d USING (doc_id)),
+  f AS (SELECT doc_id, source, path, k, CASE k WHEN 1 THEN 'added' WHEN 2 THEN 'deleted' WHEN 3 THEN 'renamed' WHEN 4 THEN 'untracked' ELSE 'modified' END AS status, k = 5 AS is_binary,
+        CASE WHEN k IN (1, 4) THEN after WHEN k IN (2, 5) THEN 0 ELSE come END AS added, CASE WHEN k IN (1, 4, 5) THEN 0 WHEN k = 2 THEN lines ELSE gone END AS removed,
+        CASE WHEN k = 5 THEN 0 WHEN k IN (1, 2, 4) THEN 1 ELSE hunks END AS hunks, marks AND k NOT IN (2, 5) AS has_conflict,
+        CASE WHEN k IN (1, 4) THEN sha256('diff --git a/' || path || ' b/' || path || chr(10) || 'new file mode 100644' || chr(10) || '--- /dev/null' || chr(10) || '+++ b/' || path || chr(10) || '@@ -0,0 +1' || CASE WHEN after = 1 THEN '' ELSE ',' || after END || ' @@' || chr(10) || plus)
+             WHEN k = 2 THEN sha256('diff --git a/' || path || ' b/' || path || chr(10) || 'deleted file mode 100644' || chr(10) || '--- a/' || path || chr(10) || '+++ /dev/null' || chr(10) || '@@ -1' || CASE WHEN lines = 1 THEN '' ELSE ',' || lines END || ' +0,0 @@' || chr(10) || minus)
+             WHEN k = 5 THEN sha256('Binary files a/' || path || ' and b/' || path || ' differ' || chr(10)) END AS patch_sha256 FROM s) """
+
+
+def _changed_files(t):
+    k, rows = C("doc_id") % 6, F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("i"), F.concat(i.cast("string"), F.lit(" "), x).alias("line")))
+    extra = lambda i: F.concat(F.when(C("doc_id") % 3 == 0, "<<<<<<< ").otherwise("new "), i.cast("string"))
+    changed = lambda r: F.when(r["i"] % 29 == 3, F.array().cast("array<string>")).when(r["i"] % 17 == 1, F.array(F.concat(F.lit("~"), r["line"]))).otherwise(F.array(r["line"]))
+    new = F.flatten(F.transform(rows, lambda r: F.concat(changed(r), F.when(r["i"] % 23 == 4, F.array(extra(r["i"]))).otherwise(F.array().cast("array<string>")))))
+    content = lambda x: F.encode(F.array_join(F.concat(x, F.array(F.lit(""))), "\n"), "UTF-8")
+    path, was = F.concat(F.lit("src/"), C("doc_id").cast("string"), F.lit(".md")), F.concat(F.lit("old/"), C("doc_id").cast("string"), F.lit(".md"))
+    status = F.element_at(F.array(*map(F.lit, ("modified", "added", "deleted", "renamed", "untracked", "modified"))), (k + 1).cast("int"))
+    files = t.documents.select(C("source").alias("task_id"), path.alias("path"), status.alias("status"), F.when(k == 3, was).alias("old_path"), F.lit(False).alias("generated"), F.lit("100644").alias("mode"))
+    before = t.documents.select(C("source").alias("task_id"), F.when(k == 3, was).otherwise(path).alias("path"), content(F.transform(rows, lambda r: r["line"])).alias("content"))
+    after = t.documents.select(C("source").alias("task_id"), path.alias("path"), F.when(k == 5, F.concat(F.lit(bytearray(b"\0")), content(new))).otherwise(content(new)).alias("content"))
+    return inspection.changed_files(files, before, after)
+
+
+@query(_CHANGES + """SELECT source AS task_id, path, status, CASE WHEN k = 3 THEN 'old/' || doc_id || '.md' END AS old_path, added::BIGINT AS added, removed::BIGINT AS removed, hunks::BIGINT AS hunks, (added + removed)::BIGINT AS diff_lines,
+  is_binary, has_conflict, patch_sha256 FROM f""")
+def inspected_files(t):
+    known = C("status").isin("added", "untracked", "deleted") | C("is_binary")
+    return _changed_files(t).select("task_id", "path", "status", "old_path", "added", "removed", "hunks", "diff_lines", "is_binary", "has_conflict", F.when(known, F.sha2("patch", 256)).alias("patch_sha256"))
+
+
+@query(_CHANGES + """SELECT source AS task_id, count(*) AS changed, count(*) FILTER (WHERE k IN (1, 4)) AS n_added, count(*) FILTER (WHERE k IN (0, 5)) AS n_modified, count(*) FILTER (WHERE k = 2) AS n_deleted, count(*) FILTER (WHERE k = 3) AS n_renamed,
+  count(*) FILTER (WHERE k = 4) AS n_untracked, count(*) FILTER (WHERE is_binary) AS n_binary, count(*) FILTER (WHERE has_conflict) AS n_conflicts, sum(added + removed)::BIGINT AS diff_lines, coalesce(source < 'm', false) AS head_matches FROM f GROUP BY source""")
+def task_inspection(t):
+    tasks = t.documents.select(C("source").alias("task_id")).distinct().withColumn("baseline", F.lit("c1")).withColumn("head", F.when(C("task_id") < "m", "c1").otherwise("c2"))
+    return inspection.inspected(_changed_files(t), tasks).select("task_id", "changed", "n_added", "n_modified", "n_deleted", "n_renamed", "n_untracked", "n_binary", "n_conflicts", "diff_lines", "head_matches")

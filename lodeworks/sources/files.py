@@ -79,17 +79,20 @@ def scan_tree(spark: SparkSession, root: str, includes: list[str] | None = None,
                        F.col("length").alias("size_bytes"), line_count(F.col("text")).alias("line_count"), F.when(fits, F.sha2("content", 256)).alias("sha256"), F.col("text").isNotNull().alias("is_text"), "encoding", (F.col("category") == "generated").alias("generated"), F.array_compact(F.array(warning)).alias("warnings"), "text")
 
 
-def porcelain(status: DataFrame, column: str = "output") -> DataFrame:
-    """Changed files of NUL-separated version-control status texts: a rename or copy record is followed by its old path."""
-    parts = F.filter(F.split(F.col(column), "\x00"), lambda x: x != "")
-    rows = status.select(F.monotonically_increasing_id().alias("_id"), parts.alias("p")).select("_id", "p", F.posexplode("p").alias("i", "x"))
+def porcelain(status: DataFrame, column: str = "output", by: list[str] | None = None) -> DataFrame:
+    """Changed files of NUL-separated version-control status texts: a rename or copy record is followed by its old path.
+
+    Columns of by go with each file. Ignored files are no changes.
+    """
+    parts, by = F.filter(F.split(F.col(column), "\x00"), lambda x: x != ""), by or []
+    rows = status.select(*by, parts.alias("p")).select(*by, "p", F.posexplode("p").alias("i", "x"))
     before = F.get("p", F.col("i") - 1)
     # A record is an old path exactly if the one before it is a rename or copy record that isn't an old path itself.
     renames = lambda x: x.rlike("^(R.|.R|C.|.C) ")
-    rows = rows.filter(F.coalesce(~renames(before), F.lit(True)))
+    rows = rows.filter(F.coalesce(~renames(before), F.lit(True)) & ~F.col("x").startswith("!! "))
     code = F.substring("x", 1, 2)
     kind = F.when(code == "??", "untracked").when(renames(F.col("x")), "renamed").when(code.contains("D"), "deleted").when(code.contains("A"), "added").otherwise("modified")
-    return rows.select(F.substring("x", 4, 1 << 20).alias("path"), kind.alias("status"), F.when(renames(F.col("x")), F.get("p", F.col("i") + 1)).alias("old_path"))
+    return rows.select(*by, F.substring("x", 4, 1 << 20).alias("path"), kind.alias("status"), F.when(renames(F.col("x")), F.get("p", F.col("i") + 1)).alias("old_path"))
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
