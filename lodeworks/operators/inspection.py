@@ -67,6 +67,7 @@ def inspected(files: DataFrame, tasks: DataFrame) -> DataFrame:
 
     files: rows of changed_files. tasks: task_id, head, baseline. A task without changed files has counts of 0 and no
     fingerprint; an unknown head doesn't match. Digests are folded level by level, so a task may have any number of files.
+    files is read more than once: where diffs are many, write them first.
     """
     own = ~F.col("generated")
     tests = {
