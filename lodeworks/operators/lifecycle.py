@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.functions.text import has_machine_path
 from lodeworks.operators.quality import ratio
 from lodeworks.operators.ranking import budget_prefix, ranked
 
@@ -38,6 +39,37 @@ def claim_faults(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return label(none, "no-evidence").unionByName(label(lost, "unknown-evidence")).unionByName(label(twice, "repeated-id"))
 
 
+#: The most bytes of a draft, and what an evidence id of a verified claim holds. Fixed values.
+MOST_DRAFT_BYTES, VERIFIED_BY = 80 << 10, "run|task|E"
+
+
+def draft_faults(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(draft_id, code, n) of drafts as they came in; drafts without a row may be imported.
+
+    drafts: draft_id, bundle_id, raw (text of one JSON object). evidence: bundle_id, id. The first of these is reported
+    alone: OUTPUT_TOO_LARGE, INVALID_JSON (null and empty texts too), ABSOLUTE_PATH, SCHEMA_INVALID (no list of claims),
+    BUNDLE_MISMATCH. Of drafts that pass these, all of: REPEATED_CLAIM, NO_EVIDENCE, UNKNOWN_EVIDENCE (evidence of another
+    bundle doesn't count) and UNCHECKED (a verified claim without evidence of a run or a task), with their counts.
+    """
+    json = F.try_parse_json("raw")
+    rows = drafts.withColumn("_claims", F.try_variant_get(json, "$.claims", "array<struct<id string, status string, evidenceIds array<string>>>"))
+    fits = F.try_variant_get(json, "$.sourceBundleId", "string").eqNullSafe(F.col("bundle_id")) & F.col("bundle_id").isNotNull()
+    code = (F.when(F.octet_length("raw") > MOST_DRAFT_BYTES, "OUTPUT_TOO_LARGE").when(json.isNull(), "INVALID_JSON").when(has_machine_path(F.col("raw")), "ABSOLUTE_PATH")
+            .when(F.col("_claims").isNull(), "SCHEMA_INVALID").when(~fits, "BUNDLE_MISMATCH"))
+    rows = rows.select("draft_id", "bundle_id", "_claims", code.alias("code"))
+    refused = rows.filter("code is not null").select("draft_id", "code", F.lit(1).cast("long").alias("n"))
+    claims = rows.filter("code is null").select("draft_id", "bundle_id", F.inline("_claims")).withColumn("evidenceIds", F.coalesce("evidenceIds", F.array().cast("array<string>")))
+    named = claims.select("draft_id", "bundle_id", F.explode("evidenceIds").alias("id"))
+    lost = named.join(evidence.select("bundle_id", "id"), ["bundle_id", "id"], "left_anti")
+    label = lambda df, fault: df.groupBy("draft_id").agg(F.lit(fault).alias("code"), F.count("*").alias("n"))
+    twice = claims.groupBy("draft_id", "id").count().filter("count > 1")
+    unchecked = claims.filter((F.col("status") == "verified") & ~F.exists("evidenceIds", lambda x: F.coalesce(x.rlike(VERIFIED_BY), F.lit(False))))
+    found = {"REPEATED_CLAIM": twice, "NO_EVIDENCE": claims.filter(F.size("evidenceIds") == 0), "UNKNOWN_EVIDENCE": lost, "UNCHECKED": unchecked}
+    for fault, df in found.items():
+        refused = refused.unionByName(label(df, fault))
+    return refused
+
+
 def publishable(claims: DataFrame, approvals: DataFrame) -> DataFrame:
     """(unit_id, publishable): no claim is inferred or rejected, and each is approved."""
     ok = approvals.select("unit_id", F.col("claim_id").alias("id")).distinct().withColumn("_ok", F.lit(True))

@@ -1,5 +1,7 @@
 """Learning and task lifecycles on literal rows."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from lodeworks.operators import lifecycle as L
@@ -61,3 +63,20 @@ def test_versions_and_reports(spark, rows):
     assert rows(L.version_binding(c, s)) == [("x", "c1", "s1", True), ("y", "c2", "s2", False)]
     table = spark.createDataFrame([(2, "a|b"), (1, None)], "n int, text string")
     assert L.markdown_table(table, ["n"]).first()[0] == "| n | text |\n| --- | --- |\n| 1 | - |\n| 2 | a\\|b |"
+
+
+def test_draft_faults(spark, rows):
+    def draft(claims, bundle="b"):
+        return json.dumps({"sourceBundleId": bundle, "claims": claims})
+
+    good = {"id": "1", "status": "verified", "evidenceIds": ["E1"]}
+    texts = {
+        "good": draft([good]), "no claims": draft([]), "large": draft([good]) + " " * 81920, "broken": "{", "null": None, "empty": "", "path": draft([good | {"text": "see C:\\Users\\me\\x"}]),
+        "list": draft("none"), "other": draft([good], "c"), "foreign": draft([good | {"evidenceIds": ["E7"]}]), "many": draft([good, good, {"id": "2", "status": "inferred"}, {"id": "3", "status": "verified", "evidenceIds": ["x", "y", None]}]),
+    }
+    drafts = spark.createDataFrame([(k, "b", x) for k, x in texts.items()] + [("no bundle", None, draft([good], None))], "draft_id string, bundle_id string, raw string")
+    evidence = spark.createDataFrame([("b", "E1"), ("b", "x"), ("c", "E7")], "bundle_id string, id string")
+    want = [("broken", "INVALID_JSON", 1), ("empty", "INVALID_JSON", 1), ("null", "INVALID_JSON", 1), ("large", "OUTPUT_TOO_LARGE", 1), ("path", "ABSOLUTE_PATH", 1), ("list", "SCHEMA_INVALID", 1), ("other", "BUNDLE_MISMATCH", 1), ("no bundle", "BUNDLE_MISMATCH", 1),
+            ("foreign", "UNKNOWN_EVIDENCE", 1), ("many", "REPEATED_CLAIM", 1), ("many", "NO_EVIDENCE", 1), ("many", "UNKNOWN_EVIDENCE", 2), ("many", "UNCHECKED", 1)]
+    assert rows(L.draft_faults(drafts, evidence)) == sorted(want, key=repr)
+    assert rows(L.draft_faults(drafts.limit(0), evidence)) == []
