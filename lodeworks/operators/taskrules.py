@@ -38,14 +38,15 @@ def criteria_verdicts(criteria: DataFrame, changed: DataFrame, files: DataFrame,
     e = lambda f: F.col(f"expected.{f}")
     # A list wins over a path, a path over a glob; a change may be anywhere, and nothing is denied by default.
     globs = F.coalesce(e("paths"), F.when(F.col("type") == "source_change", F.array(F.coalesce(e("glob"), F.lit("**")))), F.when(e("path").isNotNull(), F.array(e("path"))), F.when(e("glob").isNotNull(), F.array(e("glob"))), F.when(F.col("type") == "path_allowed", F.array(F.lit("**"))), F.array(F.lit("")))
-    rows = criteria.withColumn("_globs", globs)
-    own = rows.filter(F.col("type").isin(*BY_CHANGES)).select("task_id", "id", "_globs").join(changed.filter("not generated").select("task_id", F.col("path").alias("_path")), "task_id")
-    hit = fits_any(F.col("_path"), F.col("_globs"))
+    # Sizes of exploded or shortened tables are guessed too small, so joins by task are told not to broadcast one.
+    own = criteria.filter(F.col("type").isin(*BY_CHANGES)).select("task_id", "id", F.transform(globs, glob_regex).alias("_patterns"))
+    own = own.join(changed.filter("not generated").select("task_id", F.col("path").alias("_path")).hint("merge"), "task_id")
+    hit = F.exists("_patterns", lambda p: F.rlike(F.col("_path"), p))
     counts = own.groupBy("task_id", "id").agg(F.count_if(hit).alias("_in"), F.count_if(~hit).alias("_out"))
     there = files.select(F.col("task_id").alias("_of"), F.col("path").alias("_at"), "content")
-    rows = rows.join(counts, ["task_id", "id"], "left").join(there, (F.col("task_id") == F.col("_of")) & (e("path") == F.col("_at")), "left")
+    rows = criteria.join(counts.hint("merge"), ["task_id", "id"], "left").join(there.hint("merge"), (F.col("task_id") == F.col("_of")) & (e("path") == F.col("_at")), "left")
     done = steps.select(F.col("task_id").alias("_by"), F.col("step_id").alias("_step"), F.col("status").alias("_status"))
-    rows = rows.join(done, (F.col("task_id") == F.col("_by")) & (e("step_id") == F.col("_step")), "left")
+    rows = rows.join(done.hint("merge"), (F.col("task_id") == F.col("_by")) & (e("step_id") == F.col("_step")), "left")
     inside, outside = F.coalesce("_in", F.lit(0)), F.coalesce("_out", F.lit(0))
     holds = F.when(e("regex").isNotNull(), F.rlike(F.col("content"), F.concat(F.lit("(?m)"), e("regex")))).otherwise(F.contains("content", F.coalesce(e("text"), F.lit(""))))
     verdict = lambda ok: F.when(ok, "passed").otherwise("failed")

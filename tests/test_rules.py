@@ -206,6 +206,13 @@ def test_beyond_the_old_bounds(spark, monkeypatch):
     assert hashing.root_hash(df.repartition(7), "id", C("d")).first()[0] == hashing.root_hash(df, "id", C("d")).first()[0] != before
 
 
+def test_criteria_are_not_broadcast(spark):
+    from lodeworks.plans import QUERIES
+
+    df = QUERIES["criteria_verdicts"](spark, "/root/testdata/sf0.001")
+    assert df.count() and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_logs_without_roots_and_with_roots_in_other_case(spark):
     names = "run_id string, step_id string, ordinal int, status string, allow_failure boolean, exit_code int, stdout string, stderr string, source_root string, lab_root string"
     log = "TypeError: {}\n    at f (/Src/App/m.js:1:2)\n"
