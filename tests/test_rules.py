@@ -227,6 +227,17 @@ def test_gap_of_customers_without_orders(spark, tmp_path):
     assert found == sorted(con.execute(ORACLES["gap_priority"]).fetchall()) and found[0] == (1, "uncovered", 10, 11)
 
 
+def test_root_hash_is_the_same_however_many_rows_there_are(spark, monkeypatch):
+    df = spark.range(3000).select("id", (C("id") % 3).alias("task"), F.sha2(C("id").cast("string"), 256).alias("d"))
+    found = lambda: (hashing.root_hash(df, "id", C("d"), digits=2).first()[0], sorted(map(tuple, hashing.root_hash(df, "id", C("d"), by=["task"], digits=2).collect())))
+    few = found()
+    monkeypatch.setattr(hashing, "FAN", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    many = found()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert many == few
+
+
 def test_logs_without_roots_and_with_roots_in_other_case(spark):
     names = "run_id string, step_id string, ordinal int, status string, allow_failure boolean, exit_code int, stdout string, stderr string, source_root string, lab_root string"
     log = "TypeError: {}\n    at f (/Src/App/m.js:1:2)\n"
