@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.lexer import statements
 from lodeworks.operators.classify import cascade
+from lodeworks.tables import dealt
 
 _STATEMENT = "path string, line int, end_line int, head string, left string, inside string, scope string, doc string, params array<string>, after string"
 _KINDS = [pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5, pa.list_(pa.string()), pa.string()]
@@ -35,7 +36,7 @@ def _read(batches):
 
 def file_statements(files: DataFrame) -> DataFrame:
     """The statements of (path, text), as lexer.statements() says. Null texts have none."""
-    return files.select(F.col("path").cast("string"), F.col("text").cast("string")).mapInArrow(_read, _STATEMENT)
+    return dealt(files.select(F.col("path").cast("string"), F.col("text").cast("string")), "path").mapInArrow(_read, _STATEMENT)
 
 
 def _one_line(text: Column) -> Column:

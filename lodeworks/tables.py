@@ -9,6 +9,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt over all cores by keys, before work that takes long for each row: a small file is few tasks as it is read."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 #: DDL of the entities that snapshots consist of; arrays of records are child tables with the parent's key.
 SCHEMAS = {
     "files": "id string, path string, basename string, extension string, category string, language string, package_id string, size_bytes bigint, line_count bigint, sha256 string, is_text boolean, encoding string, generated boolean, executable boolean, symlink boolean, symlink_target string, git_object_id string, warnings array<string>",

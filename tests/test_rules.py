@@ -238,6 +238,11 @@ def test_root_hash_is_the_same_however_many_rows_there_are(spark, monkeypatch):
     assert many == few
 
 
+def test_files_of_one_partition_are_parsed_in_several_tasks(spark):
+    files = spark.range(40).coalesce(1).select(C("id").cast("string").alias("path"), F.lit("const a = 1\n").alias("text"))
+    assert syntax.file_statements(files).select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_logs_without_roots_and_with_roots_in_other_case(spark):
     names = "run_id string, step_id string, ordinal int, status string, allow_failure boolean, exit_code int, stdout string, stderr string, source_root string, lab_root string"
     log = "TypeError: {}\n    at f (/Src/App/m.js:1:2)\n"
