@@ -86,11 +86,16 @@ def declarations(files: DataFrame) -> DataFrame:
     return _declared(_statements(files))
 
 
+def _kind_and_name() -> tuple[Column, Column]:
+    at = lambda g: F.regexp_extract("code", _DECLARES, g)
+    kind = F.when(at(6).isin("const", "let", "var"), "variable").when(at(6) == "const enum", "enum").otherwise(at(6))
+    return kind, F.when((at(7) == "") | (at(6) == "class") & at(7).isin("extends", "implements"), "anonymous").otherwise(at(7))
+
+
 def _declared(rows: DataFrame) -> DataFrame:
     rows = rows.filter(F.col("inside").isNull() & F.col("code").rlike(_DECLARES))
     at = lambda g: F.regexp_extract("code", _DECLARES, g)
-    kind = F.when(at(6).isin("const", "let", "var"), "variable").when(at(6) == "const enum", "enum").otherwise(at(6))
-    name = F.when((at(7) == "") | (at(6) == "class") & at(7).isin("extends", "implements"), "anonymous").otherwise(at(7))
+    kind, name = _kind_and_name()
     return rows.select("path", "line", kind.alias("kind"), name.alias("name"), (at(1) != "").alias("exported"), (at(2) != "").alias("is_default"))
 
 
@@ -100,37 +105,50 @@ def _names(listed: Column) -> Column:
     return F.transform(entries, lambda x: F.struct(F.trim(F.split(x, r"\s+as\s+")[0]).alias("first"), F.trim(F.element_at(F.split(x, r"\s+as\s+"), -1)).alias("last")))
 
 
+def _each(rows: DataFrame, names: str, *cells: tuple[Column, Column]) -> DataFrame:
+    """path, line and what the cells (condition, array of structs of the named fields) whose condition holds have, in one pass over the rows."""
+    none = F.array().cast(f"array<struct<{names}>>")
+    rows = rows.select("path", "line", F.explode(F.concat(*(F.when(holds, made.cast(f"array<struct<{names}>>")).otherwise(none) for holds, made in cells))).alias("_r"))
+    return rows.select("path", "line", "_r.*")
+
+
 def imports(files: DataFrame) -> DataFrame:
     """path, line, source, imported, local, type_only. * is a namespace or, without a local name, a dynamic import; a bare import has no names."""
-    every = _statements(files)
-    rows = every.filter("inside is null")
-    c = F.col("code")
-    named = rows.filter(c.rlike(_IMPORTS)).select("path", "line", F.regexp_extract(c, _IMPORTS, 3).alias("source"), F.regexp_extract(c, _IMPORTS, 2).alias("what"), (F.regexp_extract(c, _IMPORTS, 1) != "").alias("type_only"))
+    c, top, no = F.col("code"), F.col("inside").isNull(), F.lit(None).cast("string")
+    row = lambda *cells: F.struct(*(x.alias(n) for x, n in zip(cells, ("source", "imported", "local", "type_only"), strict=True)))
+    at = lambda p, g: F.regexp_extract(c, p, g)
     pair = lambda a, b: F.struct(a.alias("first"), b.alias("last"))
-    braces = _names(F.regexp_extract("what", r"(\{[^}]*\})", 1))
-    space = F.regexp_extract("what", r"\*\s+as\s+([\w$]+)", 1)
-    default = F.regexp_extract("what", r"^([A-Za-z_$][\w$]*)", 1)
-    items = F.concat(F.when(default != "", F.array(pair(F.lit("default"), default))).otherwise(F.expr("array()").cast("array<struct<first:string,last:string>>")), F.when(space != "", F.array(pair(F.lit("*"), space))).otherwise(F.expr("array()").cast("array<struct<first:string,last:string>>")), braces)
-    out = named.select("path", "line", "source", "type_only", F.explode(items).alias("i")).select("path", "line", "source", F.col("i.first").alias("imported"), F.col("i.last").alias("local"), "type_only")
-    no = F.lit(None).cast("string")
-    bare = rows.filter(c.rlike(_BARE)).select("path", "line", F.regexp_extract(c, _BARE, 1).alias("source"), no.alias("imported"), no.alias("local"), F.lit(False).alias("type_only"))
-    required = rows.filter(c.rlike(_REQUIRED)).select("path", "line", F.regexp_extract(c, _REQUIRED, 3).alias("source"), F.lit("*").alias("imported"), F.regexp_extract(c, _REQUIRED, 2).alias("local"), (F.regexp_extract(c, _REQUIRED, 1) != "").alias("type_only"))
-    dynamic = every.filter("inside = 'import'").select("path", "line", c.alias("source"), F.lit("*").alias("imported"), no.alias("local"), F.lit(False).alias("type_only"))
-    return out.unionByName(bare).unionByName(required).unionByName(dynamic)
+    none = F.array().cast("array<struct<first:string,last:string>>")
+    what = at(_IMPORTS, 2)
+    space, default = F.regexp_extract(what, r"\*\s+as\s+([\w$]+)", 1), F.regexp_extract(what, r"^([A-Za-z_$][\w$]*)", 1)
+    items = F.concat(F.when(default != "", F.array(pair(F.lit("default"), default))).otherwise(none), F.when(space != "", F.array(pair(F.lit("*"), space))).otherwise(none), _names(F.regexp_extract(what, r"(\{[^}]*\})", 1)))
+    return _each(
+        _statements(files).filter((F.col("inside") == "import") | top & c.startswith("import")), "source:string,imported:string,local:string,type_only:boolean",
+        (top & c.rlike(_IMPORTS), F.transform(items, lambda i: row(at(_IMPORTS, 3), i["first"], i["last"], at(_IMPORTS, 1) != ""))),
+        (top & c.rlike(_BARE), F.array(row(at(_BARE, 1), no, no, F.lit(False)))),
+        (top & c.rlike(_REQUIRED), F.array(row(at(_REQUIRED, 3), F.lit("*"), at(_REQUIRED, 2), at(_REQUIRED, 1) != ""))),
+        (F.col("inside") == "import", F.array(row(c, F.lit("*"), no, F.lit(False)))),
+    )
 
 
 def exports(files: DataFrame) -> DataFrame:
     """path, line, exported, local, source (null without one), type_only, re_export. A star export has * as its name."""
-    rows, c = _statements(files).filter("inside is null"), F.col("code")
-    again = rows.filter(c.rlike(_REEXPORTS)).select("path", "line", F.regexp_extract(c, _REEXPORTS, 3).alias("source"), F.regexp_extract(c, _REEXPORTS, 2).alias("what"), (F.regexp_extract(c, _REEXPORTS, 1) != "").alias("type_only"))
-    alias = F.regexp_extract("what", r"^\*\s+as\s+([\w$]+)", 1)
+    c, no, not_again = F.col("code"), F.lit(None).cast("string"), F.lit(False)
+    row = lambda *cells: F.struct(*(x.alias(n) for x, n in zip(cells, ("exported", "local", "source", "type_only", "re_export"), strict=True)))
+    at = lambda p, g: F.regexp_extract(c, p, g)
+    what = at(_REEXPORTS, 2)
+    alias = F.regexp_extract(what, r"^\*\s+as\s+([\w$]+)", 1)
     star = F.array(F.struct(F.lit("*").alias("first"), F.when(alias != "", alias).otherwise("*").alias("last")))
-    again = again.withColumn("i", F.explode(F.when(F.col("what").startswith("*"), star).otherwise(_names(F.col("what"))))).select("path", "line", F.col("i.last").alias("exported"), F.col("i.first").alias("local"), "source", "type_only", F.lit(True).alias("re_export"))
-    listed = rows.filter(c.rlike(_NAMED)).select("path", "line", (F.regexp_extract(c, _NAMED, 1) != "").alias("type_only"), F.explode(_names(F.regexp_extract(c, _NAMED, 2))).alias("i"))
-    listed = listed.select("path", "line", F.col("i.last").alias("exported"), F.col("i.first").alias("local"), F.lit(None).cast("string").alias("source"), "type_only", F.lit(False).alias("re_export"))
-    own = _declared(rows).filter("exported").select("path", "line", F.when(F.col("is_default"), "default").otherwise(F.col("name")).alias("exported"), F.col("name").alias("local"), F.lit(None).cast("string").alias("source"), F.col("kind").isin("interface", "type").alias("type_only"), F.lit(False).alias("re_export"))
-    assigned = rows.filter(c.rlike(_ASSIGNED)).select("path", "line", F.lit("default").alias("exported"), F.regexp_extract(c, _ASSIGNED, 1).alias("local"), F.lit(None).cast("string").alias("source"), F.lit(False).alias("type_only"), F.lit(False).alias("re_export"))
-    return again.unionByName(listed).unionByName(own).unionByName(assigned)
+    again = F.transform(F.when(what.startswith("*"), star).otherwise(_names(what)), lambda i: row(i["last"], i["first"], at(_REEXPORTS, 3), at(_REEXPORTS, 1) != "", F.lit(True)))
+    kind, name = _kind_and_name()
+    own = row(F.when(at(_DECLARES, 2) != "", "default").otherwise(name), name, no, kind.isin("interface", "type"), not_again)
+    return _each(
+        _statements(files).filter(F.col("inside").isNull() & c.startswith("export")), "exported:string,local:string,source:string,type_only:boolean,re_export:boolean",
+        (c.rlike(_REEXPORTS), again),
+        (c.rlike(_NAMED), F.transform(_names(at(_NAMED, 2)), lambda i: row(i["last"], i["first"], no, at(_NAMED, 1) != "", not_again))),
+        (c.rlike(_DECLARES), F.array(own)),
+        (c.rlike(_ASSIGNED), F.array(row(F.lit("default"), at(_ASSIGNED, 1), no, not_again, not_again))),
+    )
 
 
 def module_candidates(path: Column, source: Column) -> Column:

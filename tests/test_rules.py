@@ -243,6 +243,18 @@ def test_files_of_one_partition_are_parsed_in_several_tasks(spark):
     assert syntax.file_statements(files).select(F.spark_partition_id()).distinct().count() > 1
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_imports_and_exports_parse_their_files_once(spark):
+    files = spark.createDataFrame([("a.ts", "import a, { b as c } from './x'\nimport 'y'\nexport { c }\nexport * from './z'\nexport default class K {}\n")], "path string, text string")
+    inward, outward = apidoc.imports(files), apidoc.exports(files)
+    assert plan_of(inward).count("MapInArrow") == plan_of(outward).count("MapInArrow") == 1
+    assert sorted((r.source, r.imported, r.local) for r in inward.filter("imported is not null").collect()) == [("./x", "b", "c"), ("./x", "default", "a")] and inward.count() == 3
+    assert sorted((r.exported, r.local, r.source, r.re_export) for r in outward.collect()) == [("*", "*", "./z", True), ("c", "c", None, False), ("default", "K", None, False)]
+
+
 def test_logs_without_roots_and_with_roots_in_other_case(spark):
     names = "run_id string, step_id string, ordinal int, status string, allow_failure boolean, exit_code int, stdout string, stderr string, source_root string, lab_root string"
     log = "TypeError: {}\n    at f (/Src/App/m.js:1:2)\n"
