@@ -104,16 +104,21 @@ def symbol_statistics(symbols: DataFrame, imports: DataFrame, exports: DataFrame
     imports: path, source, resolved (null: unresolved); exports: as apidoc.exports() gives them; parts: components with
     confidence, and arrays of styles, examples, documents, props, events and slots. Measures with keys have a row for each.
     """
+    from lodeworks.sources.snapshots import cut
+
     none = F.lit(None).cast("string")
     one = lambda df, cells: df.agg(*(F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in cells.items())).select(F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), none.alias("key"), F.col(n).alias("n")) for n in cells))).alias("x")).select("x.*")
-    per = lambda df, name, key: df.groupBy(key.cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), "key", "n")
+    # Each table is read once, into counts by what the measures ask for.
+    few = symbols.groupBy("path", "kind").agg(F.count("*").alias("n"), F.count_if("exported").alias("exported"), F.count_if(F.col("owner").isNotNull()).alias("members"), F.count_if("deprecated").alias("deprecated"), F.count_if(F.col("visibility") != "public").alias("hidden"))
+    few, outward = cut(few), cut(exports.groupBy("exported", "re_export").agg(F.count("*").alias("n")))
+    per = lambda df, name, key: df.groupBy(key.cast("string").alias("key")).agg(F.sum("n").alias("n")).select(F.lit(name).alias("measure"), "key", "n")
     top = lambda df, name, key: per(df, name, key).orderBy(F.col("n").desc(), "key").limit(most)
-    out = one(symbols, {"modules": F.count_distinct("path"), "declarations": F.count("*"), "exported_symbols": F.count_if("exported"), "members": F.count_if(F.col("owner").isNotNull()), "deprecated": F.count_if("deprecated"), "private_members": F.count_if(F.col("visibility") != "public")})
-    out = out.unionByName(per(symbols, "symbols_by_kind", F.col("kind"))).unionByName(top(symbols, "largest_modules", F.col("path")))
+    out = one(few, {"modules": F.count_distinct("path"), "declarations": F.sum("n"), "exported_symbols": F.sum("exported"), "members": F.sum("members"), "deprecated": F.sum("deprecated"), "private_members": F.sum("hidden")})
+    out = out.unionByName(per(few, "symbols_by_kind", F.col("kind"))).unionByName(top(few, "largest_modules", F.col("path")))
     out = out.unionByName(one(imports, {"imports": F.count("*"), "unresolved_imports": F.count_if(F.col("resolved").isNull()), "type_only_imports": F.count_if("type_only")}))
-    out = out.unionByName(one(exports, {"exports": F.count("*"), "re_exports": F.count_if("re_export"), "default_exports": F.count_if(F.col("exported") == "default")})).unionByName(top(exports.filter("re_export"), "most_re_exported", F.col("exported")))
+    out = out.unionByName(one(outward, {"exports": F.sum("n"), "re_exports": F.sum(F.when(F.col("re_export"), F.col("n"))), "default_exports": F.sum(F.when(F.col("exported") == "default", F.col("n")))})).unionByName(top(outward.filter("re_export"), "most_re_exported", F.col("exported")))
     if parts is not None:
         some = lambda c: F.count_if(F.size(c) > 0)
         sizes = lambda c: F.sum(F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))))
-        out = out.unionByName(per(parts, "components_by_confidence", F.col("confidence"))).unionByName(one(parts, {"components": F.count("*"), "components_with_styles": some("styles"), "components_with_examples": some("examples"), "components_with_documents": some("documents"), "props": sizes("props"), "events": sizes("events"), "slots": sizes("slots")}))
+        out = out.unionByName(per(parts.withColumn("n", F.lit(1)), "components_by_confidence", F.col("confidence"))).unionByName(one(parts, {"components": F.count("*"), "components_with_styles": some("styles"), "components_with_examples": some("examples"), "components_with_documents": some("documents"), "props": sizes("props"), "events": sizes("events"), "slots": sizes("slots")}))
     return out

@@ -255,6 +255,16 @@ def test_imports_and_exports_parse_their_files_once(spark):
     assert sorted((r.exported, r.local, r.source, r.re_export) for r in outward.collect()) == [("*", "*", "./z", True), ("c", "c", None, False), ("default", "K", None, False)]
 
 
+def test_symbol_statistics_read_each_table_once(spark):
+    from lodeworks.operators import components
+
+    files = spark.createDataFrame([("a.ts", "export const a = 1\nclass B { x: number }\n")], "path string, text string")
+    found = components.symbol_statistics(syntax.symbols(files), apidoc.imports(files).withColumn("resolved", F.lit("x")), apidoc.exports(files))
+    assert plan_of(found).count("MapInArrow") == 1
+    n = {(r.measure, r.key): r.n for r in found.collect()}
+    assert n["declarations", None] == 3 and n["members", None] == n["exported_symbols", None] == n["exports", None] == 1 and n["imports", None] == n["re_exports", None] == 0 and n["largest_modules", "a.ts"] == 3
+
+
 def test_logs_without_roots_and_with_roots_in_other_case(spark):
     names = "run_id string, step_id string, ordinal int, status string, allow_failure boolean, exit_code int, stdout string, stderr string, source_root string, lab_root string"
     log = "TypeError: {}\n    at f (/Src/App/m.js:1:2)\n"
