@@ -47,30 +47,36 @@ def numbered_evidence(usable: DataFrame) -> DataFrame:
     return first.select("task_id", "evidence", F.row_number().over(W.partitionBy("task_id").orderBy("_first", "evidence")).cast("long").alias("number"))
 
 
-def trimmed(blocks: DataFrame, needs: DataFrame, phases: list[str], budget: int, constant: Column | int = 0, keep: int = 1) -> DataFrame:
+def trimmed(blocks: DataFrame, needs: DataFrame | None, phases: list[str], budget: int, constant: Column | int = 0, keep: int = 1) -> DataFrame:
     """blocks (task_id, phase, place, id, text) with kept, fits and chars, the characters of the context they are in.
 
-    needs: (task_id, id, piece, text) pieces that blocks refer to, in a context as long as one of these blocks is. The
-    first keep blocks of each phase stay, then as many as fit: of phases[0] first, of the last phase last. Each text takes
-    its characters and a line end. fits: whether what must stay is within the budget (tokens of TOKEN characters).
+    needs: (task_id, id, piece, text) pieces that blocks refer to, in a context as long as one of these blocks is; None if
+    blocks have them in a column needs, an array of (piece, text). The first keep blocks of each phase stay, then as many
+    as fit: of phases[0] first, of the last phase last. Each text takes its characters and a line end. fits: whether what
+    must stay is within the budget (tokens of TOKEN characters). All is windows within tasks, so that blocks that are dealt
+    by task_id and have their needs with them are not dealt again.
     """
     size = lambda c: F.length(c) + 1
     number = F.array_position(F.array(*map(F.lit, phases)), F.col("phase"))
-    rows = blocks.withColumns({"_phase": number, "_row": F.row_number().over(W.partitionBy("task_id", "phase").orderBy("place", "id"))})
+    rows = blocks if needs is None else blocks.join(needs.groupBy("task_id", "id").agg(F.collect_set(F.struct("piece", "text")).alias("needs")), ["task_id", "id"], "left")
+    rows = rows.withColumns({"_phase": number, "_row": F.row_number().over(W.partitionBy("task_id", "phase").orderBy("place", "id"))})
     rows = rows.withColumn("_must", F.col("_row") <= keep)
     front = W.partitionBy("task_id").orderBy((~F.col("_must")).cast("int"), "_phase", "_row")
     rows = rows.withColumn("_turn", F.row_number().over(front).cast("long"))
-    # Each piece falls to the first block in that order.
-    used = needs.select("task_id", "id", "piece", size("text").alias("_size")).distinct().join(rows.select("task_id", "id", "_turn"), ["task_id", "id"])
-    own = used.groupBy("task_id", "piece").agg(F.min(F.struct("_turn", "_size")).alias("_f")).groupBy("task_id", F.col("_f._turn").alias("_turn")).agg(F.sum("_f._size").alias("_more"))
-    rows = rows.join(own, ["task_id", "_turn"], "left").withColumn("_upto", F.sum(size("text") + F.coalesce("_more", F.lit(0))).over(W.partitionBy("task_id").orderBy("_turn")))
+    # Each piece falls to the first block in that order: a row for each piece of a block, of which the first stands for the block.
+    pieces = F.array_distinct(F.transform("needs", lambda x: F.struct(x["piece"].alias("piece"), size(x["text"]).alias("size"))))
+    rows = rows.select("*", F.posexplode_outer(pieces).alias("_at", "_p")).withColumn("_own", F.coalesce("_at", F.lit(0)) == 0)
+    new = F.row_number().over(W.partitionBy("task_id", "_p.piece").orderBy("_turn", "_p.size")) == 1
+    rows = rows.withColumn("_more", F.when(new, F.coalesce("_p.size", F.lit(0))).otherwise(0) + F.when(F.col("_own"), size("text")).otherwise(0))
+    upto = F.sum("_more").over(W.partitionBy("task_id").orderBy("_turn").rangeBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_upto", upto).filter("_own")
     total = F.col("_upto") + (F.lit(constant) if isinstance(constant, int) else constant)
     rows = rows.withColumns({"_total": total, "_ok": total <= budget * TOKEN})
     whole = W.partitionBy("task_id")
     rows = rows.withColumn("kept", F.col("_must") | F.col("_ok"))
     fits = F.bool_and(~F.col("_must") | F.col("_ok")).over(whole)
     chars = F.max(F.when(F.col("kept"), F.col("_total"))).over(whole)
-    return rows.withColumns({"fits": fits, "chars": chars.cast("long")}).drop("_phase", "_row", "_must", "_turn", "_more", "_upto", "_total", "_ok")
+    return rows.withColumns({"fits": fits, "chars": chars.cast("long")}).select(*(c for c in blocks.columns), "kept", "fits", "chars")
 
 
 def pieces_left(done: DataFrame, needs: DataFrame) -> DataFrame:

@@ -271,6 +271,15 @@ def test_symbol_edges_parse_their_files_once(spark):
     assert "MapInArrow" not in plan_of(QUERIES["symbol_edges"](spark, "/root/testdata/sf0.001"))
 
 
+def test_contexts_of_dealt_blocks_are_not_dealt_again(spark):
+    from lodeworks.operators import contexts
+
+    blocks = spark.createDataFrame([(1, "a", 1, "x", "xx", [("p", "pp")]), (1, "a", 2, "y", "yy", [("p", "pp"), ("q", "q")]), (2, "a", 1, "x", "x", None)], "task_id int, phase string, place int, id string, text string, needs array<struct<piece:string,text:string>>")
+    done = contexts.trimmed(blocks.repartition("task_id"), None, ["a"], 2)
+    assert plan_of(done).count("Exchange") == 1
+    assert sorted((r.task_id, r.id, r.kept, r.chars) for r in done.collect()) == [(1, "x", True, 6), (1, "y", False, 6), (2, "x", True, 2)]
+
+
 def test_logs_without_roots_and_with_roots_in_other_case(spark):
     names = "run_id string, step_id string, ordinal int, status string, allow_failure boolean, exit_code int, stdout string, stderr string, source_root string, lab_root string"
     log = "TypeError: {}\n    at f (/Src/App/m.js:1:2)\n"
