@@ -10,8 +10,8 @@ may recur and be prose all the same: there a stretch goes only if it begins or e
 MAIN_SHARE of the host's articles. Marked articles are compared with marked articles, other words with all other words,
 those that tags drop among them. Repetition alone can't decide the rest: adverts needn't repeat.
 
-Each page is parsed once; the blocks that its text may have, and hashes of words, are kept in a scratch table. Of an article
-the first and last FRAME words are looked at, and twice as many again where a stretch turns out to be longer.
+Each page is parsed once; the blocks that its text may have, and hashes of the words outside articles, are kept in a scratch
+table. An article's runs are counted wherever they stand in it; its words are hashed again from its blocks when they are dealt.
 
 Copied articles repeat, so equal and near-equal pages of a host count as one. The words that tags would keep have a
 sketch of 64 minima over their runs; pages that agree on one of its BANDS parts, directly or through others, are copies,
@@ -56,8 +56,10 @@ HARD, SOFT, TALK = 3, 1, 2
 LEAST_PAGES, SHARE, LONG = 3, 0.1, 8
 #: The share of a host's marked articles that have a run, for it to be boilerplate at the head or tail of one.
 MAIN_SHARE = 0.5
-#: Words at each end of an article that are compared first.
+#: Words at each end of an article that are held against the repeated runs first, and then twice as many while what goes may reach further.
 FRAME = 64
+#: Words whose hashes a process remembers at most.
+MOST_WORDS = 100_000
 #: Parts of a page's sketch; pages that agree on one are copies.
 BANDS = 8
 #: Repeated runs, hosts and copies that are sent to every task at most.
@@ -249,8 +251,19 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     return [(text, DROPPED if h or any(goes[i] for i in own) else MAIN if m else OPEN) for text, h, m, own in found]
 
 
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        self[word] = out = xxhash.xxh32_intdigest(word)
+        return out
+
+
+_HASHES = _Hashes()
+
+
 def _hashed(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.uint32, len(words)).view(np.int32)
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint32, len(words)).view(np.int32)
 
 
 def run_hashes(words: np.ndarray, depth: int, host: str) -> np.ndarray:
@@ -285,36 +298,50 @@ def covered(words: np.ndarray, host: str, runs: np.ndarray, depth: int = MIN_RUN
 
 def main_text(page: str | None, host: str = "", runs: np.ndarray | None = None) -> str:
     """The text of a page; runs: hashes of the runs that are boilerplate by repetition, sorted."""
-    own = blocks(page)
-    marked = any(k == MAIN for _, k in own)
-    return _chosen(own, _hashed([w for t, k in own if (k == MAIN) == marked for w in t.split()]), host, runs)
+    return _chosen(blocks(page), None, host, runs)
 
 
-def _ends(gone: np.ndarray) -> tuple[int, int]:
-    """How many words are covered from the start on, and how many up to the end."""
-    if gone.all():
-        return len(gone), 0
-    return int(gone.argmin()), int(gone[::-1].argmin())
+def _stretch(gone: np.ndarray) -> int:
+    """How many words are covered from the start on."""
+    return len(gone) if gone.all() else int(gone.argmin())
 
 
-def _chosen(own: list[tuple[str, int]], hashed: np.ndarray, host: str, runs: np.ndarray | None) -> str:
-    """The text of a page by its blocks; hashed: the words of its MAIN blocks, framed() or not, or, if it has none, of all."""
+def _ends(words: list[str], host: str, runs: np.ndarray) -> tuple[int, int]:
+    """How many words are covered from the start on, and how many up to the end: (all, 0) if all are.
+
+    Whether a word is covered hangs on the MIN_RUN - 1 words next to it, so a stretch that ends before those of a frame is whole.
+    """
+    frame = FRAME
+    while 2 * frame < len(words):
+        first = _stretch(covered(_hashed(words[:frame]), host, runs))
+        last = _stretch(covered(_hashed(words[-frame:]), host, runs)[::-1])
+        if max(first, last) <= frame - MIN_RUN:
+            return first, last
+        frame *= 2
+    gone = covered(_hashed(words), host, runs)
+    first = _stretch(gone)
+    return first, 0 if first == len(gone) else _stretch(gone[::-1])
+
+
+def _chosen(own: list[tuple[str, int]], hashed: np.ndarray | None, host: str, runs: np.ndarray | None) -> str:
+    """The text of a page by its blocks; hashed: the words of all of them, of a page without MAIN blocks, if they are known."""
     marked = any(k == MAIN for _, k in own)
     want = MAIN if marked else OPEN
     text = [t for t, k in own if k == want]
     if runs is not None and len(runs):
         # MAIN words are held against other pages' MAIN words, others against all that aren't.
-        gone = covered(hashed, _MAIN_OF + host if marked else host, runs)
         if marked:
-            first, last = _ends(gone)
+            blocked = [t.split() for t in text]
+            words = [w for x in blocked for w in x]
+            first, last = _ends(words, _MAIN_OF + host, runs)
             if first or last:
-                blocked = [t.split() for t in text]
-                stop, at = sum(map(len, blocked)) - last, 0
-                text = []
+                stop, at, text = len(words) - last, 0, []
                 for x in blocked:
                     text.append(" ".join(x[max(0, first - at) : max(0, stop - at)]))
                     at += len(x)
-        elif gone.any():
+            return "\n".join(t for t in text if t)
+        gone = covered(_hashed([w for t, _ in own for w in t.split()]) if hashed is None else hashed, host, runs)
+        if gone.any():
             text, at = [], 0
             for t, k in own:
                 x = t.split()
@@ -324,14 +351,6 @@ def _chosen(own: list[tuple[str, int]], hashed: np.ndarray, host: str, runs: np.
     return "\n".join(t for t in text if t)
 
 
-def framed(words: np.ndarray, page_id: int | None, frame: int | None) -> np.ndarray:
-    """The first and last frame words of a stream with a word of the page's own between; all of a stream that isn't longer than both."""
-    if frame is None or len(words) <= 2 * frame:
-        return words
-    mark = np.array([xxhash.xxh32_intdigest(f"\n{page_id}")], np.uint32).view(np.int32)
-    return np.concatenate((words[:frame], mark, words[-frame:]))
-
-
 def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes in the order of their first depth tokens (or more), and the rank classes of that order, by prefix doubling."""
     _, rank = np.unique(tokens, return_inverse=True)
@@ -357,7 +376,8 @@ def _runs(depth: int):
     A run on need of all pages is, in one group at least, on as large a share of that group's.
     """
     def find(key, table):
-        host, need, total, parts = (table.column(c)[0].as_py() for c in ("host", "need", "pages", "parts"))
+        host = key[0].as_py().split("\n", 1)[1]
+        need, total, parts = (table.column(c)[0].as_py() for c in ("need", "pages", "parts"))
         streams = [np.asarray(x.values, np.int64) for x in table.column("words")]
         n, sizes = len(streams), np.array([len(x) + 1 for x in streams])
         # A page ends in a token of its own, which no other suffix has.
@@ -389,55 +409,35 @@ def bands(words: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(np.split(least, BANDS))]
 
 
-_PARSED = "page_id bigint, url string, host string, kinds array<tinyint>, texts array<string>, main array<int>, other array<int>, bands array<bigint>"
-_PARSED_KINDS = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-
-
-def _parsed(frame: int | None):
-    def run(batches):
-        names = [x.split()[0] for x in _PARSED.split(", ")]
-        for whole in batches:
-            for batch in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256)):
-                rows = []
-                for page_id, url, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True):
-                    own = blocks(page)
-                    put = lambda kinds: _hashed([w for t, k in own if k in kinds for w in t.split()])  # noqa: B023, E731
-                    marked, other = put((MAIN,)), put((OPEN, DROPPED))
-                    band = bands(marked if len(marked) else put((OPEN,)))
-                    # Of a page with MAIN blocks no other one is ever in its text.
-                    kept = [x for x in own if x[1] == MAIN] or own
-                    rows.append((page_id, url, host, [k for _, k in kept], [t for t, _ in kept], framed(marked, page_id, frame), other, band))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_PARSED_KINDS)], names=names)
+_PARSED = "page_id bigint, url string, host string, kinds array<tinyint>, texts array<string>, marked boolean, other array<int>, bands array<bigint>"
+_PARSED_KINDS = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.string()), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
-    return run
 
+def _parsed(batches):
+    names = [x.split()[0] for x in _PARSED.split(", ")]
+    for whole in batches:
+        for batch in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256)):
+            rows = []
+            for page_id, url, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True):
+                own = blocks(page)
+                put = lambda kinds: _hashed([w for t, k in own if k in kinds for w in t.split()])  # noqa: B023, E731
+                main = put((MAIN,))
+                # Of a page with MAIN blocks no other one is ever in its text.
+                kept = [x for x in own if x[1] == MAIN] or own
+                rows.append((page_id, url, host, [k for _, k in kept], [t for t, _ in kept], len(main) > 0, put((OPEN, DROPPED)), bands(main if len(main) else put((OPEN,)))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_PARSED_KINDS)], names=names)
 
-def parsed(pages: DataFrame, frame: int | None = None) -> DataFrame:
-    """Pages (page_id, url, host, html) as the blocks that their text may have, the words of their MAIN blocks (framed) and of their others, and the bands of those that tags would keep."""
-    return pages.select("page_id", "url", "host", "html").mapInArrow(_parsed(frame), _PARSED)
 
+def parsed(pages: DataFrame) -> DataFrame:
+    """Pages (page_id, url, host, html) as the blocks that their text may have, whether these are MAIN blocks, the words of other blocks, and the bands of those that tags would keep."""
+    return pages.select("page_id", "url", "host", "html").mapInArrow(_parsed, _PARSED)
 
-def _reframed(frame: int):
-    def run(batches):
-        for whole in batches:
-            for batch in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256)):
-                made = [framed(_hashed([w for t, k in zip(x, y, strict=True) if k == MAIN for w in t.split()]), i, frame) for i, y, x in zip(*(batch.column(c).to_pylist() for c in ("page_id", "kinds", "texts")), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.int32())) if c == "main" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
 
-    return run
-
-
-def _beyond(frame: int, sent):
-    """Pages whose covered stretch fills the frame."""
-    def run(batches):
-        for batch in batches:
-            out = []
-            for i, words, (host, runs) in zip(batch.column("page_id"), batch.column("main"), _of(batch, sent), strict=True):
-                if len(words) == 2 * frame + 1 and len(runs) and max(_ends(covered(np.asarray(words.values, np.int32), _MAIN_OF + (host or ""), runs))) >= frame:
-                    out.append(i.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["page_id"])
-
-    return run
+def _worded(batches):
+    for whole in batches:
+        for batch in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256)):
+            words = pa.array([_hashed([w for t in x for w in t.split()]) for x in batch.column("texts").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), words], names=["page_id", "host", "words"])
 
 
 def copies(streams: DataFrame, scratch: Scratch) -> DataFrame:
@@ -481,20 +481,22 @@ def repeated_runs(pages: DataFrame, scratch: Scratch, min_run: int = MIN_RUN, ma
 
 def _repeated(blocked: DataFrame, scratch: Scratch, min_run: int, main_share: float) -> DataFrame:
     """repeated_runs() of pages as parsed() gives them; main_share: SHARE for the words of marked articles."""
-    marked = F.size("main") > 0
-    main = blocked.filter(marked).select("page_id", F.concat(F.lit(_MAIN_OF), F.coalesce("host", F.lit(""))).alias("host"), F.col("main").alias("words"), "bands")
-    other = blocked.select("page_id", "host", F.col("other").alias("words"), F.when(~marked, F.col("bands")).otherwise(F.array().cast("array<bigint>")).alias("bands"))
-    streams = other.unionByName(main)
+    main_of = F.concat(F.lit(_MAIN_OF), F.coalesce("host", F.lit(""))).alias("host")
+    main = blocked.filter("marked").select("page_id", main_of, "bands")
+    other = blocked.filter("not marked").select("page_id", "host", "bands")
     share = F.when(F.col("host").startswith(_MAIN_OF), main_share).otherwise(SHARE)
-    again = scratch.keep(copies(streams, scratch).filter("rep <> page_id").select("page_id"), "again")
+    again = scratch.keep(copies(other.unionByName(main), scratch).filter("rep <> page_id").select("page_id"), "again")
     again = F.broadcast(again) if again.count() <= MOST_SENT else again
-    single = streams.select("page_id", "host", "words").join(again, "page_id", "left_anti")
-    sizes = single.groupBy("host").agg(F.count("*").alias("pages")).withColumns({"need": F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("pages") * share)).cast("long"), "parts": F.ceil(F.col("pages") / GROUP)})
+    left = blocked.join(again, "page_id", "left_anti")
+    sizes = left.select("host").unionByName(left.filter("marked").select(main_of)).groupBy("host").agg(F.count("*").alias("pages"))
+    sizes = sizes.withColumns({"need": F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("pages") * share)).cast("long"), "parts": F.ceil(F.col("pages") / GROUP)})
     sizes = scratch.keep(sizes.filter("pages >= need"), "sizes")
     sizes = F.broadcast(sizes) if sizes.count() <= MOST_SENT else sizes
+    main = left.filter("marked").select("page_id", main_of, "texts").mapInArrow(_worded, "page_id bigint, host string, words array<int>")
+    single = left.select("page_id", "host", F.col("other").alias("words")).unionByName(main)
     # Grouped by one string, since rows that a join has dealt by host would not be dealt again by host and part.
     dealt = single.filter(F.size("words") >= min_run).join(sizes, "host").withColumn("deal", F.concat_ws("\n", F.pmod(F.xxhash64("page_id"), F.col("parts")).cast("string"), "host"))
-    runs = scratch.keep(dealt.groupBy("deal").applyInArrow(_runs(min_run), _RUN), "runs")
+    runs = scratch.keep(dealt.select("deal", "words", "need", "pages", "parts").groupBy("deal").applyInArrow(_runs(min_run), _RUN), "runs")
     whole = runs.filter("parts = 1 and n >= need").select("host", "run")
     some = runs.filter("parts > 1").select("host", "run", "need").distinct()
     if some.isEmpty():
@@ -509,9 +511,8 @@ def _texts(sent):
         for whole in batches:
             for batch in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256)):
                 made = []
-                for kinds, texts, main, other, (host, runs) in zip(*(batch.column(c) for c in ("kinds", "texts", "main", "other")), _of(batch, sent), strict=True):
-                    hashed = np.asarray((main if len(main) else other).values, np.int32)
-                    made.append(_chosen(list(zip(texts.as_py(), kinds.as_py(), strict=True)), hashed, host, runs))
+                for kinds, texts, other, (host, runs) in zip(*(batch.column(c) for c in ("kinds", "texts", "other")), _of(batch, sent), strict=True):
+                    made.append(_chosen(list(zip(texts.as_py(), kinds.as_py(), strict=True)), np.asarray(other.values, np.int32), host or "", runs))
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())], names=["page_id", "url", "text", "n_chars"])
     return run
 
@@ -520,17 +521,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Each page's page_id, url, text and n_chars."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     hosted = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)))
-    scratch, frame = Scratch(pages.sparkSession), FRAME  # its tables are read when the result is, and deleted at the end of the session
-    blocked = scratch.keep(parsed(hosted, frame), "parsed", compression="zstd")
-    while True:
-        with Scratch(pages.sparkSession) as own:
-            runs = checkpoint(_repeated(blocked, own, MIN_RUN, MAIN_SHARE)).withColumn("host", F.regexp_replace("host", _MAIN_OF, ""))
-        told, sent = _sent(blocked, runs)
-        if told.select("page_id", "host", "main", "runs").mapInArrow(_beyond(frame, sent), "page_id bigint").isEmpty():
-            break
-        frame *= 2
-        blocked = scratch.keep(blocked.mapInArrow(_reframed(frame), _PARSED), f"parsed{frame}", compression="zstd")
-    return told.select("page_id", "url", "host", "kinds", "texts", "main", "other", "runs").mapInArrow(_texts(sent), "page_id bigint, url string, text string, n_chars bigint")
+    scratch = Scratch(pages.sparkSession)  # its tables are read when the result is, and deleted at the end of the session
+    blocked = scratch.keep(parsed(hosted), "parsed", compression="zstd")
+    with Scratch(pages.sparkSession) as own:
+        runs = checkpoint(_repeated(blocked, own, MIN_RUN, MAIN_SHARE)).withColumn("host", F.regexp_replace("host", _MAIN_OF, ""))
+    told, sent = _sent(blocked, runs)
+    return told.select("page_id", "url", "host", "kinds", "texts", "other", "runs").mapInArrow(_texts(sent), "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,6 +253,18 @@ def test_articles_keep_sentences_that_recur(spark):
     assert found == want
 
 
+@pytest.mark.parametrize("group", [300, 3])
+def test_heads_that_stand_within_other_articles_go(spark, monkeypatch, group):
+    """A notice at the head of one article and the tail of another, in the middle of the host's others."""
+    monkeypatch.setattr(html_text, "GROUP", group)
+    note = "share this story with all of your friends today"
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(300))
+    rows = [(i, f"http://one.example/{i}", f"<article><p>{text(i)}</p><p>{note}</p><p>{text(50 + i)}</p></article>") for i in range(8)]
+    rows += [(8, "http://one.example/8", f"<article><p>{note}</p><p>{text(8)}</p></article>"), (9, "http://one.example/9", f"<article><p>{text(9)}</p><p>{note}</p></article>")]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {**{i: f"{text(i)}\n{note}\n{text(50 + i)}" for i in range(8)}, 8: text(8), 9: text(9)}
+
+
 def test_long_frames_go_whole(spark):
     """A notice of more words than FRAME at the tail of all articles of a host."""
     notice = " ".join(f"n{j}" for j in range(5 * html_text.FRAME))
