@@ -1,7 +1,7 @@
 """JSON documents held against rules: what a schema says of the places in a document, and what holds between places.
 
-A document is a variant. Its nodes are unfolded level by level, but only along the paths that rules name, so the plan is as
-deep as the deepest rule and a document's other parts are never touched. Each rule looks at the nodes of its path; rules
+A document is a variant, parsed once. Its nodes are taken from it in its row, and only along the paths that rules name, so a
+document's other parts are never touched. Each rule looks at the nodes of its path; rules
 between paths are joins within a document. A path is written with names and [*] for the items of arrays: $.steps[*].id.
 """
 
@@ -62,20 +62,27 @@ def _steps(path: str) -> list[str]:
 def nodes(documents: DataFrame, key: str, json: str, paths: set[str]) -> DataFrame:
     """(key, path, place, kind, v) of the nodes at paths: kind as JSON names it, place with the numbers of items. A text that isn't JSON has one node of kind invalid."""
     wanted = {"$"} | {"$" + "".join(_steps(p)[:n]) for p in paths for n in range(1, len(_steps(p)) + 1)}
-    now = documents.select(F.col(key).alias("key"), F.lit("$").alias("path"), F.lit("$").alias("place"), F.try_parse_json(json).alias("v"))
-    levels = [now]
-    for depth in range(1, max(map(len, map(_steps, wanted))) + 1):
-        at = sorted(p for p in wanted if len(_steps(p)) == depth)
-        above = sorted({p[: -len(_steps(p)[-1])] for p in at})
-        deeper = documents.sparkSession.sql("SELECT t.key, t.path AS _path, t.place AS _place, e.key AS _name, e.pos AS _pos, e.value AS v FROM {t} t, LATERAL variant_explode(t.v) e", t=now.filter(F.col("path").isin(above)))
-        item = F.col("_name").isNull()
-        deeper = deeper.withColumn("path", F.concat("_path", F.when(item, "[*]").otherwise(F.concat(F.lit("."), "_name")))).filter(F.col("path").isin(at))
-        now = deeper.select("key", "path", F.concat("_place", F.when(item, F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "_name"))).alias("place"), "v")
-        levels.append(now)
-    kind = F.schema_of_variant("v")
+    node = lambda path, place, v: F.struct(F.lit(path).alias("path"), place.alias("place"), v.alias("v"))
+    rows = documents.select(F.col(key).alias("key"), F.try_parse_json(json).alias("_v"))
+    rows, at = rows.select("key", F.array(node("$", F.lit("$"), F.col("_v"))).alias("_n0")), {"$": "_n0"}
+    for path in sorted(wanted - {"$"}, key=lambda p: (len(_steps(p)), p)):
+        last = _steps(path)[-1]
+        if last == "[*]":
+            items = lambda x: F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), lambda v, n: node(path, F.concat(x["place"], F.lit("["), n.cast("string"), F.lit("]")), v))  # noqa: B023, E731
+            made = F.flatten(F.array_compact(F.transform(at[path[: -len(last)]], items)))
+        else:
+            named = lambda x: node(path, F.concat(x["place"], F.lit(last)), F.try_variant_get(x["v"], f"${last}", "variant"))  # noqa: B023, E731
+            made = F.filter(F.transform(at[path[: -len(last)]], named), lambda x: x["v"].isNotNull())
+        at[path] = f"_n{len(at)}"
+        rows = rows.withColumn(at[path], made)
+    # The whole document is a node as well if it isn't JSON.
+    asked = [F.col(c) if p in paths else F.filter(c, lambda x: x["v"].isNull()) for p, c in at.items() if p in paths or p == "$"]
+    rows = rows.select("key", F.inline(F.concat(*asked)))
+    # A node's schema is that of all below it; as a column of its own it is found once, not for each use.
+    kind = F.col("_schema")
     named = (F.when(F.col("v").isNull(), "invalid").when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null")
              .when((kind == "BIGINT"), "integer").otherwise("number"))
-    return reduce(DataFrame.unionByName, levels).withColumn("kind", named)
+    return rows.withColumn("_schema", F.schema_of_variant("v")).withColumn("kind", named).drop("_schema")
 
 
 def _text(v: Column) -> Column:
@@ -110,17 +117,21 @@ def _fault(rule: Rule) -> Column:
 def faults(documents: DataFrame, key: str, json: str, rules: list[Rule]) -> DataFrame:
     """(key, rule, place, found): every rule that a document breaks, where, and what stands there. A text that isn't JSON breaks the rule "$ json"."""
     paths = {r.path for r in rules} | {r.bound for r in rules if r.kind in ("within", "apart")}
-    every = nodes(documents, key, json, paths)
-    if any(r.kind not in NODE_RULES for r in rules):
-        from lodeworks.sources.snapshots import cut
-
-        every = cut(every)  # which several rules ask
     cells = [F.when(F.col("kind") == "invalid", F.struct(F.lit("$ json").alias("rule"), F.lit("invalid").alias("found")))]
     for rule in (r for r in rules if r.kind in NODE_RULES):
         wrong = F.when((F.col("path") == rule.path) & (F.col("kind") != "invalid"), _fault(rule))
         cells.append(F.when(wrong.isNotNull(), F.struct(F.lit(rule.name).alias("rule"), wrong.alias("found"))))
-    out = every.select("key", "place", F.explode(F.array_compact(F.array(*cells))).alias("_f")).select("key", "_f.rule", "place", "_f.found")
-    values = lambda p: every.filter((F.col("path") == p) & ~F.col("kind").isin("object", "array", "null", "invalid")).select("key", "place", _text(F.col("v")).alias("found"))
+    between = [r for r in rules if r.kind not in NODE_RULES]
+    asked = F.col("path").isin(sorted({p for r in between for p in (r.path, r.bound) if p in paths})) & ~F.col("kind").isin("object", "array", "null", "invalid")
+    # Faults, and with no rule the values that rules between places ask for. A filter on them would compute them twice.
+    cells.append(F.when(asked, F.struct(F.lit(None).cast("string").alias("rule"), _text(F.col("v")).alias("found"))))
+    every = nodes(documents, key, json, paths).select("key", "path", "place", F.explode(F.array_compact(F.array(*cells))).alias("_f")).select("key", "path", "place", "_f.rule", "_f.found")
+    if between:
+        from lodeworks.sources.snapshots import cut
+
+        every = cut(every)  # which several rules ask
+    out = every.filter("rule is not null").select("key", "rule", "place", "found")
+    values = lambda p: every.filter((F.col("path") == p) & F.col("rule").isNull()).select("key", "place", "found")
     for rule in rules:
         if rule.kind == "unique":
             twice = values(rule.path).groupBy("key", "found").agg(F.count("*").alias("_n"), F.min("place").alias("place")).filter("_n > 1")

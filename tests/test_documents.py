@@ -65,6 +65,15 @@ def test_schemas_equal_a_walk_by_hand(spark, rows):
     assert rows(found) == sorted(want, key=repr) and len({w[1] for w in want}) > 12
 
 
+def test_documents_are_parsed_once_and_nodes_asked_alone(spark, rows):
+    docs = spark.createDataFrame([(1, '{"a": [{"b": null, "c d": [1, "x"]}, 5, {"b": {"b": 2}}], "z": 1}'), (2, "{broken"), (3, '{"a": {"b": 1}}'), (4, None)], "key int, doc string")
+    found = V.nodes(docs, "key", "doc", {"$.a[*].b", "$.a[*].c d[*]"})
+    assert rows(found.select("key", "path", "place", "kind")) == sorted([(1, "$.a[*].b", "$.a[0].b", "null"), (1, "$.a[*].b", "$.a[2].b", "object"), (1, "$.a[*].c d[*]", "$.a[0].c d[0]", "integer"), (1, "$.a[*].c d[*]", "$.a[0].c d[1]", "string"), (2, "$", "$", "invalid"), (4, "$", "$", "invalid")], key=repr)
+    frame = spark.range(3).selectExpr("id as key", "format_string('{\"a\": [%s]}', id) as doc")
+    plan = V.nodes(frame, "key", "doc", {"$.a", "$.a[*]"})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_parse_json") + plan.count("parseJson") == 1
+
+
 def test_rules_between_places_and_cycles(spark, rows):
     plan = lambda *steps: json.dumps({"steps": [{"id": i, "cwd": c, "dependencies": d} for i, c, d in steps]})
     docs = spark.createDataFrame([(1, plan(("a", ".", []), ("b", "x/y", ["a"]))), (2, plan(("a", "/abs", ["c"]), ("b", "C:/x", ["a"]), ("c", "a/../..", ["b"]), ("d", ".", ["c"]))), (3, plan(("A b", ".", []), ("a", ".", ["zz", "a"]), ("a", ".", []))), (4, "{}")], "key int, doc string")
