@@ -22,6 +22,8 @@ Repeats come from suffix arrays. The distinct pages of a host are dealt into gro
 in each group the token streams are concatenated, with page ends that match nothing, and sorted by prefix doubling.
 Suffixes that agree on MIN_RUN words form runs. A run that is on enough of the host's pages is on as large a share of one
 group's at least; those leave their groups as hashes and are counted again over all pages, so no host meets in a task.
+Groups get 16 bits of each word's hash, which saves half of the shuffle: what is equal in full is equal in part, so no run
+is missed, and the count over all pages, which decides, is by the full hashes.
 
 Cases: null or empty html has no text; null and hostless urls are one host; rows that share an id, and rows with a null id,
 are extracted each; a host of fewer than LEAST_PAGES distinct pages has no repeats; unclosed and stray tags are tolerated;
@@ -37,6 +39,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,8 +61,8 @@ LEAST_PAGES, SHARE, LONG = 3, 0.1, 8
 MAIN_SHARE = 0.5
 #: Words at each end of an article that are held against the repeated runs first, and then twice as many while what goes may reach further.
 FRAME = 64
-#: Words whose hashes a process remembers at most.
-MOST_WORDS = 100_000
+#: Bytes of text whose words are hashed together.
+BYTES = 1 << 18
 #: Parts of a page's sketch; pages that agree on one are copies.
 BANDS = 8
 #: Repeated runs, hosts and copies that are sent to every task at most.
@@ -69,6 +72,7 @@ MOST_SENT = 1_000_000
 _BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title noscript template iframe noembed noframes xmp select".split())
+_RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in _RAW}
 _AWAY = set("aside button dialog footer form head menu nav".split())
 _AWAY_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _AWAY_NAMES = set("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer login menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
@@ -79,8 +83,15 @@ _LAST = set("area bar block box button buttons form icons item items links list
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile("[>\"']")
+# A whole tag whose quotes are all closed.
+_WHOLE = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# Without one of these no attribute says anything.
+_TELLING = re.compile("class|id|role|hidden|style", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
+# Numbers for bytes, and the base of their polynomials with its inverse.
+_BYTE = np.random.default_rng(6).integers(1, 1 << 63, 256, np.uint64)
+_BASE, _BACK = np.uint64(0x9FB21C651E98DF25), np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
 _HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -101,7 +112,7 @@ def _away(name: str, attributes: str, in_main: bool) -> int:
     if name in _AWAY or (name == "header" and not in_main):
         return HARD
     out = 0
-    if not attributes.strip(" /"):
+    if not _TELLING.search(attributes):
         return out
     for key, *value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(value).lower()
@@ -124,8 +135,21 @@ def marks_of(page: str):
     Each character is looked at a bounded number of times. A quote that nothing closes is a character like others, and so
     are all quotes once no tag ends outside them; a tag that never ends is text.
     """
-    at, size, quotes = 0, len(page), {'"', "'"}
+    at, size, quotes, odd = 0, len(page), {'"', "'"}, False
     while (start := page.find("<", at)) >= 0:
+        if not odd and (tag := _WHOLE.match(page, start)):
+            at, (closing, name, attributes) = tag.end(), tag.groups()
+            name = name.lower()
+            yield start, at, closing, name, attributes
+            if name in _RAW and not closing:
+                close = _RAW_END[name].search(page, at)
+                if not close:
+                    yield at, size, "", None, ""
+                    return
+                if close.start() > at:
+                    yield at, close.start(), "", None, ""
+                at = close.start()
+            continue
         at = start + 1
         if page.startswith("!--", at):
             end = page.find("-->", at + 3)
@@ -156,6 +180,7 @@ def marks_of(page: str):
                         i = close + 1
             if end < 0:
                 quotes.clear()
+                odd = True
                 end = page.find(">", tag.end()) + 1
                 if not end:
                     return
@@ -163,7 +188,7 @@ def marks_of(page: str):
             yield start, at, tag[1], tag[2].lower(), page[tag.end() : at - 1]
             if tag[2].lower() in _RAW and not tag[1]:
                 # What a raw element holds isn't markup.
-                close = re.compile(f"</{tag[2]}(?=[\\s/>])", re.I).search(page, at)
+                close = _RAW_END[tag[2].lower()].search(page, at)
                 if not close:
                     yield at, size, "", None, ""
                     return
@@ -183,7 +208,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     def close() -> None:
         text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
         if text:
-            found.append((text, hard, main, [e[3] for e in stack if e[3] is not None]))
+            found.append((text, hard, main, [e[3] for e in stack if e[3] is not None] if marks else []))
         parts.clear()
 
     def pop(n: int) -> None:
@@ -251,29 +276,74 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
     return [(text, DROPPED if h or any(goes[i] for i in own) else MAIN if m else OPEN) for text, h, m, own in found]
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        self[word] = out = xxhash.xxh32_intdigest(word)
-        return out
+def _hashes(text: str) -> np.ndarray:
+    """A hash of each word of a text in which single spaces stand between words, all words side by side.
 
-
-_HASHES = _Hashes()
+    A word is a polynomial of its bytes modulo 2 ** 64: the difference of two prefix sums, taken back to the word's start.
+    """
+    data, at, out = text.encode("utf-8", "surrogatepass"), 0, [np.empty(0, np.int32)]
+    power = back = np.empty(0, np.uint64)
+    while at < len(data):
+        end = data.find(b" ", at + BYTES)
+        own = np.frombuffer(data, np.uint8, (end if end >= 0 else len(data)) - at, at)
+        gaps, n = np.flatnonzero(own == 32), len(own)
+        starts, ends = np.append(0, gaps + 1), np.append(gaps, n)
+        if len(power) < n:
+            power, back = (np.cumprod(np.full(n + n // 8 + 1, x)) for x in (_BASE, _BACK))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[own] * power[:n], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * back[starts]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        at += n + 1
+    return np.concatenate(out)
 
 
 def _hashed(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint32, len(words)).view(np.int32)
+    return _hashes(" ".join(words))
+
+
+def _each(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' words, and how many words each has."""
+    return _hashes(" ".join(filter(None, texts))), np.array([t.count(" ") + 1 if t else 0 for t in texts], np.int64)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values))
+
+
+def _listed(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists side by side, and the lists' sizes."""
+    return lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _seed(host: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(host))
+
+
+def _mixed(columns, seed) -> np.ndarray:
+    """A hash of each row of some columns of words."""
+    out = seed
+    for c in columns:
+        out = (out ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out = out ^ (out >> np.uint64(29))
+    return out
 
 
 def run_hashes(words: np.ndarray, depth: int, host: str) -> np.ndarray:
     """A hash of each run of depth words, different for each host."""
     n = max(0, len(words) - depth + 1)
-    out = np.full(n, xxhash.xxh64_intdigest(host), np.uint64)
-    for i in range(depth):
-        out = (out ^ words[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
+    return _mixed((words[i : i + n] for i in range(depth)), np.full(n, _seed(host))).view(np.int64)
+
+
+def _page_runs(words: np.ndarray, sizes: np.ndarray, depth: int, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the runs of pages side by side, and the page of each; no run spans two pages."""
+    n = max(0, len(words) - depth + 1)
+    page = np.repeat(np.arange(len(sizes)), sizes)[:n]
+    found = _mixed((words[i : i + n] for i in range(depth)), seeds[page])
+    whole = np.arange(n) + depth <= np.cumsum(sizes)[page]
+    return found[whole].view(np.int64), page[whole]
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -351,81 +421,111 @@ def _chosen(own: list[tuple[str, int]], hashed: np.ndarray | None, host: str, ru
     return "\n".join(t for t in text if t)
 
 
-def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes in the order of their first depth tokens (or more), and the rank classes of that order, by prefix doubling."""
-    _, rank = np.unique(tokens, return_inverse=True)
-    rank = rank.astype(np.int64)
-    n, k = len(rank), 1
-    while k < depth:
+def _ranked(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys, without those that fewer than least share, and the class of each in that order."""
+    order = np.argsort(keys)
+    new = np.diff(keys[order], prepend=keys[order[:1]] - 1) != 0
+    kind = np.cumsum(new) - 1
+    enough = np.bincount(kind)[kind] >= least
+    return order[enough], kind[enough]
+
+
+def suffix_array(tokens: np.ndarray, depth: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in the order of their first depth tokens (or more), and the rank classes of that order, by prefix doubling.
+
+    Suffixes whose first tokens fewer than least suffixes share are left out, as soon as that is known; their class is -1.
+    """
+    n, k = len(tokens), 1
+    order, kind = _ranked(tokens, least)
+    while True:
+        rank = np.full(n, -1)
+        rank[order] = kind
+        if k >= depth:
+            return order, rank
         step = min(k, depth - k)
-        other = np.zeros(n, np.int64)
-        other[: n - step] = rank[step:] + 1
-        _, rank = np.unique(rank * (n + 2) + other, return_inverse=True)
-        rank = rank.astype(np.int64)
+        # What follows a suffix that many share is shared by as many; past the end there is nothing.
+        other = np.full(len(order), -1)
+        inside = order + step < n
+        other[inside] = rank[order[inside] + step]
+        if least > 1:
+            order, kind, other = order[other >= 0], kind[other >= 0], other[other >= 0]
+        at, kind = _ranked(kind * (n + 2) + other + 1, least)
+        order = order[at]
         k += step
-    return np.argsort(rank, kind="stable"), rank
 
 
-_RUN = "host string, run bigint, n bigint, need bigint, parts bigint"
-_RUN_SCHEMA = pa.schema([("host", pa.string()), ("run", pa.int64()), ("n", pa.int64()), ("need", pa.int64()), ("parts", pa.int64())])
+_RUN = "host string, run bigint, need bigint"
+_RUN_SCHEMA = pa.schema([("host", pa.string()), ("run", pa.int64()), ("need", pa.int64())])
 
 
 def _runs(depth: int):
-    """The runs of a group that may be on enough pages of the host, with the group's pages that have them.
+    """The runs of a group that may be on enough pages of the host.
 
     A run on need of all pages is, in one group at least, on as large a share of that group's.
     """
     def find(key, table):
         host = key[0].as_py().split("\n", 1)[1]
-        need, total, parts = (table.column(c)[0].as_py() for c in ("need", "pages", "parts"))
+        need, total = (table.column(c)[0].as_py() for c in ("need", "pages"))
         streams = [np.asarray(x.values, np.int64) for x in table.column("words")]
         n, sizes = len(streams), np.array([len(x) + 1 for x in streams])
         # A page ends in a token of its own, which no other suffix has.
         tokens = np.concatenate([np.append(x, -(1 << 40) - i) for i, x in enumerate(streams)])
         page = np.repeat(np.arange(n), sizes)
         left = np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(len(tokens))
-        order, rank = suffix_array(tokens, depth)
+        order, rank = suffix_array(tokens, depth, max(1, -(-need * n // total)))
         order = order[left[order] >= depth]
         kind = rank[order]
         kinds, pages = np.unique(np.unique(kind * n + page[order]) // n, return_counts=True)
-        enough = pages * total >= need * n
-        first = order[np.searchsorted(kind, kinds[enough])]
-        found = [int(run_hashes(tokens[i : i + depth].astype(np.int32), depth, host)[0]) for i in first]
-        k = len(found)
-        return pa.table([pa.array(c, t.type) for c, t in zip(([host] * k, found, pages[enough], [need] * k, [parts] * k), _RUN_SCHEMA, strict=True)], schema=_RUN_SCHEMA)
+        first = order[np.searchsorted(kind, kinds[pages * total >= need * n])]
+        found = _mixed((tokens[first + i] for i in range(depth)), np.full(len(first), _seed(host))).view(np.int64)
+        return pa.table([pa.array(c, t.type) for c, t in zip(([host] * len(found), found, [need] * len(found)), _RUN_SCHEMA, strict=True)], schema=_RUN_SCHEMA)
     return find
 
 
-def bands(words: np.ndarray) -> list[int]:
-    """Keys that near-equal streams share: BANDS of a sketch with one minimum in each of 64 ranges of run hashes."""
-    if not len(words):
-        return []
-    h = run_hashes(words, min(len(words), MIN_RUN), "").view(np.uint64)
-    least = np.full(64, np.iinfo(np.uint64).max)
-    np.minimum.at(least, (h >> np.uint64(58)).astype(int), h)
-    held = np.flatnonzero(least != np.iinfo(np.uint64).max)
-    # An empty range borrows from the next one that isn't.
-    least = least[held[np.searchsorted(held, np.arange(64)) % len(held)]]
-    return [xxhash.xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(np.split(least, BANDS))]
+def bands(words: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Keys that near-equal pages share: BANDS of a sketch with one minimum in each of 64 ranges of run hashes.
+
+    words: of pages of those sizes, side by side; pages without words have no keys.
+    """
+    out = np.zeros((len(sizes), BANDS), np.int64)
+    none = np.iinfo(np.uint64).max
+    for depth in range(1, MIN_RUN + 1):
+        # A page of few words has one run.
+        own = sizes == depth if depth < MIN_RUN else sizes >= depth
+        if not own.any():
+            continue
+        h, page = _page_runs(words[np.repeat(own, sizes)], sizes[own], depth, np.full(own.sum(), _seed("")))
+        h, least = h.view(np.uint64), np.full(64 * own.sum(), none)
+        np.minimum.at(least, page * 64 + (h >> np.uint64(58)).astype(int), h)
+        least = least.reshape(-1, 64)
+        # An empty range borrows from the next one that isn't.
+        held = np.where(least != none, np.arange(64), 128)
+        held = np.minimum.accumulate(np.concatenate((held, held + 64), axis=1)[:, ::-1], axis=1)[:, ::-1][:, :64] % 64
+        least = np.take_along_axis(least, held, axis=1).reshape(-1, BANDS, 64 // BANDS)
+        out[own] = _mixed((least[:, :, i] for i in range(64 // BANDS)), np.tile(np.arange(BANDS, dtype=np.uint64), (len(least), 1))).view(np.int64)
+    return _lists(out[sizes > 0].ravel(), BANDS * (sizes > 0))
 
 
 _PARSED = "page_id bigint, url string, host string, kinds array<tinyint>, texts array<string>, marked boolean, other array<int>, bands array<bigint>"
-_PARSED_KINDS = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int8()), pa.list_(pa.string()), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
 
 def _parsed(batches):
     names = [x.split()[0] for x in _PARSED.split(", ")]
     for whole in batches:
         for batch in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256)):
-            rows = []
-            for page_id, url, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True):
+            kinds, texts, marked, other, shown = [], [], [], [], []
+            for page in batch.column("html").to_pylist():
                 own = blocks(page)
-                put = lambda kinds: _hashed([w for t, k in own if k in kinds for w in t.split()])  # noqa: B023, E731
-                main = put((MAIN,))
+                main = [x for x in own if x[1] == MAIN]
                 # Of a page with MAIN blocks no other one is ever in its text.
-                kept = [x for x in own if x[1] == MAIN] or own
-                rows.append((page_id, url, host, [k for _, k in kept], [t for t, _ in kept], len(main) > 0, put((OPEN, DROPPED)), bands(main if len(main) else put((OPEN,)))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_PARSED_KINDS)], names=names)
+                kept = main or own
+                kinds.append([k for _, k in kept])
+                texts.append([t for t, _ in kept])
+                marked.append(bool(main))
+                other.append(" ".join([t for t, k in own if k != MAIN]))
+                shown.append(" ".join(texts[-1] if main else [t for t, k in own if k == OPEN]))
+            made = [pa.array(kinds, pa.list_(pa.int8())), pa.array(texts, pa.list_(pa.string())), pa.array(marked, pa.bool_()), _lists(*_each(other)), bands(*_each(shown))]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names[:3]] + made, names=names)
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -433,11 +533,17 @@ def parsed(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "host", "html").mapInArrow(_parsed, _PARSED)
 
 
-def _worded(batches):
-    for whole in batches:
-        for batch in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256)):
-            words = pa.array([_hashed([w for t in x for w in t.split()]) for x in batch.column("texts").to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), words], names=["page_id", "host", "words"])
+def _worded(short: bool):
+    """Pages' words, hashed from their texts if they come as such; short: the last 16 bits of each."""
+    def run(batches):
+        for whole in batches:
+            for batch in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256)):
+                if "texts" in batch.schema.names:
+                    words, sizes = _each(pc.binary_join(batch.column("texts"), " ").to_pylist())
+                else:
+                    words, sizes = _listed(batch.column("words"))
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), _lists(words.astype(np.int16 if short else np.int32), sizes)], names=["page_id", "host", "words"])
+    return run
 
 
 def copies(streams: DataFrame, scratch: Scratch) -> DataFrame:
@@ -457,20 +563,34 @@ def _sent(rows: DataFrame, runs: DataFrame) -> tuple[DataFrame, np.ndarray | Non
     return rows.join(runs.groupBy("host").agg(F.sort_array(F.collect_set("run")).alias("runs")), "host", "left"), None
 
 
-def _of(batch, sent):
-    for host, runs in zip(batch.column("host").to_pylist(), batch.column("runs"), strict=True):
-        yield host, sent if sent is not None else np.asarray(runs.values if runs.is_valid else [], np.int64)
+def _known(batch, sent, found: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which of the runs found on the rows of a batch are among those sent, or their row's own."""
+    if sent is not None:
+        return _among(found, sent)
+    out, cuts = np.zeros(len(found), bool), np.searchsorted(row, np.arange(batch.num_rows + 1))
+    for i, runs in enumerate(batch.column("runs")):
+        if runs.is_valid:
+            out[cuts[i] : cuts[i + 1]] = _among(found[cuts[i] : cuts[i + 1]], np.asarray(runs.values, np.int64))
+    return out
 
 
 def _counted(depth: int, sent):
+    """Of the runs whose short words make a key among those sent: key, run and how many pages have it."""
     def run(batches):
         for batch in batches:
-            hits = [np.empty(0, np.int64)]
-            for (host, runs), words in zip(_of(batch, sent), batch.column("words"), strict=True):
-                own = np.unique(run_hashes(np.asarray(words.values, np.int32), depth, host))
-                hits.append(own[_among(own, runs)])
-            found, n = np.unique(np.concatenate(hits), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["run", "n"])
+            words, sizes = _listed(batch.column("words"))
+            seeds = np.array([_seed(host) for host in batch.column("host").to_pylist()], np.uint64)
+            key, row = _page_runs(words.astype(np.int16), sizes, depth, seeds)
+            known = _known(batch, sent, key, row)
+            found = _page_runs(words, sizes, depth, seeds)[0][known] if known.any() else np.empty(0, np.int64)
+            key, row = key[known], row[known]
+            # Each page counts once.
+            order = np.lexsort((found, row))
+            key, found, row = key[order], found[order], row[order]
+            once = np.ones(len(found), bool)
+            once[1:] = (np.diff(row) != 0) | (found[1:] != found[:-1])
+            found, first, n = np.unique(found[once], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key[once][first], found, n)], names=["key", "run", "n"])
     return run
 
 
@@ -492,27 +612,36 @@ def _repeated(blocked: DataFrame, scratch: Scratch, min_run: int, main_share: fl
     sizes = sizes.withColumns({"need": F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("pages") * share)).cast("long"), "parts": F.ceil(F.col("pages") / GROUP)})
     sizes = scratch.keep(sizes.filter("pages >= need"), "sizes")
     sizes = F.broadcast(sizes) if sizes.count() <= MOST_SENT else sizes
-    main = left.filter("marked").select("page_id", main_of, "texts").mapInArrow(_worded, "page_id bigint, host string, words array<int>")
-    single = left.select("page_id", "host", F.col("other").alias("words")).unionByName(main)
+
+    def single(short: bool) -> DataFrame:
+        made = f"page_id bigint, host string, words array<{'smallint' if short else 'int'}>"
+        main = left.filter("marked").select("page_id", main_of, "texts").mapInArrow(_worded(short), made)
+        other = left.select("page_id", "host", F.col("other").alias("words")).filter(F.size("words") >= min_run)
+        return (other.mapInArrow(_worded(short), made) if short else other).unionByName(main.filter(F.size("words") >= min_run))
+
     # Grouped by one string, since rows that a join has dealt by host would not be dealt again by host and part.
-    dealt = single.filter(F.size("words") >= min_run).join(sizes, "host").withColumn("deal", F.concat_ws("\n", F.pmod(F.xxhash64("page_id"), F.col("parts")).cast("string"), "host"))
-    runs = scratch.keep(dealt.select("deal", "words", "need", "pages", "parts").groupBy("deal").applyInArrow(_runs(min_run), _RUN), "runs")
-    whole = runs.filter("parts = 1 and n >= need").select("host", "run")
-    some = runs.filter("parts > 1").select("host", "run", "need").distinct()
-    if some.isEmpty():
-        return whole
-    rows, sent = _sent(dealt.filter("parts > 1").select("host", "words"), some)
-    counts = rows.mapInArrow(_counted(min_run, sent), "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
-    return whole.unionByName(some.join(counts, "run").filter("n >= need").select("host", "run"))
+    dealt = single(True).join(sizes, "host").withColumn("deal", F.concat_ws("\n", F.pmod(F.xxhash64("page_id"), F.col("parts")).cast("string"), "host"))
+    some = scratch.keep(dealt.select("deal", "words", "need", "pages").groupBy("deal").applyInArrow(_runs(min_run), _RUN), "runs").distinct()
+    rows, sent = _sent(single(False).select("host", "words"), some)
+    counts = rows.mapInArrow(_counted(min_run, sent), "key bigint, run bigint, n bigint").groupBy("key", "run").agg(F.sum("n").alias("n"))
+    return some.withColumnRenamed("run", "key").join(counts, "key").filter("n >= need").select("host", "run")
 
 
 def _texts(sent):
     def run(batches):
         for whole in batches:
             for batch in (whole.slice(lo, 256) for lo in range(0, whole.num_rows, 256)):
-                made = []
-                for kinds, texts, other, (host, runs) in zip(*(batch.column(c) for c in ("kinds", "texts", "other")), _of(batch, sent), strict=True):
-                    made.append(_chosen(list(zip(texts.as_py(), kinds.as_py(), strict=True)), np.asarray(other.values, np.int32), host or "", runs))
+                made, marked = pc.binary_join(batch.column("texts"), "\n").to_pylist(), batch.column("marked").to_pylist()
+                hosts = [host or "" for host in batch.column("host").to_pylist()]
+                # The first and the last run of each article: it loses nothing if neither is boilerplate.
+                ends = [(i, own) for i, text in enumerate(made) if marked[i] and len(own := text.split(None, MIN_RUN)) >= MIN_RUN]
+                words = _hashed([w for i, own in ends for w in own[:MIN_RUN] + made[i].rsplit(None, MIN_RUN)[-MIN_RUN:]]).reshape(-1, MIN_RUN)
+                row = np.repeat(np.array([i for i, _ in ends], np.int64), 2)
+                found = _mixed(words.T, np.array([_seed(_MAIN_OF + hosts[i]) for i in row], np.uint64)).view(np.int64)
+                for i in {*row[_known(batch, sent, found, row)].tolist(), *(i for i, x in enumerate(marked) if not x)}:
+                    runs = sent if sent is not None else np.asarray(batch.column("runs")[i].values if batch.column("runs")[i].is_valid else [], np.int64)
+                    own = list(zip(batch.column("texts")[i].as_py(), batch.column("kinds")[i].as_py(), strict=True))
+                    made[i] = _chosen(own, np.asarray(batch.column("other")[i].values, np.int32), hosts[i], runs)
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())], names=["page_id", "url", "text", "n_chars"])
     return run
 
@@ -526,7 +655,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     with Scratch(pages.sparkSession) as own:
         runs = checkpoint(_repeated(blocked, own, MIN_RUN, MAIN_SHARE)).withColumn("host", F.regexp_replace("host", _MAIN_OF, ""))
     told, sent = _sent(blocked, runs)
-    return told.select("page_id", "url", "host", "kinds", "texts", "other", "runs").mapInArrow(_texts(sent), "page_id bigint, url string, text string, n_chars bigint")
+    return told.select("page_id", "url", "host", "kinds", "texts", "marked", "other", "runs").mapInArrow(_texts(sent), "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

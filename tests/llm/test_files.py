@@ -337,6 +337,64 @@ def test_scripts_go_and_formulas_stay():
     assert html_text.main_text("<p>open <script>never closed <p>gone") == "open"
 
 
+def test_suffixes_that_few_share_are_left_out():
+    r = np.random.default_rng(5)
+    for least in (1, 2, 5):
+        tokens = r.integers(0, 4, 300)
+        order, rank = html_text.suffix_array(tokens, 5, least)
+        suffix = lambda i: tokens[i : i + 5].tolist()  # noqa: B023, E731
+        counts = defaultdict(int)
+        for i in range(300):
+            counts[tuple(suffix(i))] += 1
+        assert [suffix(i) for i in order] == sorted(suffix(i) for i in range(300) if len(suffix(i)) == 5 and counts[tuple(suffix(i))] >= least or least == 1)
+        assert len(set(rank[order].tolist())) == len({tuple(suffix(i)) for i in order}) and (rank >= 0).sum() == len(order)
+
+
+def test_words_and_sketches_of_many_pages_equal_those_of_each():
+    r = random.Random(4)
+    texts = [" ".join(r.choices(["a", "bc", "é", "😀", "long" * 30, *map(str, range(200))], k=n)) for n in (0, 1, 2, 4, 5, 6, 40, 3000, 0, 90)]
+    words, sizes = html_text._each(texts)
+    assert sizes.tolist() == [len(t.split()) for t in texts]
+    assert words.tolist() == [int(html_text._hashed([w])[0]) for t in texts for w in t.split()]
+    assert html_text.bands(words, sizes).to_pylist() == [html_text.bands(*html_text._each([t])).to_pylist()[0] for t in texts]
+    assert len(set(html_text._hashed([f"w{i}" for i in range(20_000)]).tolist())) > 19_995
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_runs_equal_in_part_are_told_apart(spark, monkeypatch, sent):
+    """Words of different pages whose hashes agree in 16 bits only are no repeats; also with runs joined, not sent."""
+    monkeypatch.setattr(html_text, "MOST_SENT", sent)
+    words = [f"w{i}" for i in range(200_000)]
+    full, like = html_text._hashed(words), defaultdict(list)
+    for w, h in zip(words, full.tolist()):
+        like[h & 0xFFFF].append(w)
+    alike = [own[:8] for own in like.values() if len(own) >= 8][:10]
+    assert len(alike) == 10 and len(set(html_text._hashed([w for own in alike for w in own]).tolist())) == 80
+    boiler, head = "all rights reserved by the company of this site", "share this story with all of your friends"
+    own = [" ".join(x[i] for x in alike) for i in range(8)]
+    rows = [(i, f"http://one.example/{i}", f"<p>text {i} {own[i]}</p><p>{boiler}</p>") for i in range(8)]
+    rows += [(10 + i, f"http://two.example/{i}", f"<article><p>{head}</p><p>{own[i]}</p></article>") for i in range(8)]
+    found = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {**{i: f"text {i} {own[i]}" for i in range(8)}, **{10 + i: own[i] for i in range(8)}}
+
+
+def test_hashes_and_sketches_cost_less_than_the_parse():
+    import time
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    pages = ["<nav><ul>" + "<li><a href='/x'>x</a></li>" * 8 + "</ul></nav><article>" + "".join(f"<p>{' '.join(str(r.getrandbits(40)) for _ in range(70))}</p>" for _ in range(7)) + "</article>" for _ in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(1000)), "url": ["u"] * 1000, "host": ["h"] * 1000, "html": pages})
+
+    def took(make):
+        began = time.process_time()
+        make()
+        return time.process_time() - began
+
+    assert min(took(lambda: list(html_text._parsed([batch]))) for _ in range(3)) < 2 * min(took(lambda: [html_text.blocks(p) for p in pages]) for _ in range(3))
+
+
 def test_repeated_runs_equal_those_of_all_substrings(spark):
     """Every run of a small host's pages, counted page by page."""
     r = random.Random(3)
