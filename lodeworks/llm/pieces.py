@@ -14,8 +14,9 @@ is it split, by the edge at which its paths leave the word's: the edge that atta
 others get truncated bounds of their own. The inclusion score of a sample is the probability to be above the bound that
 the search stopped at, 1 - exp(-exp(log_prob - bound)); 1 if no path is left.
 
-The lattices and descents of a batch of texts are made together, array by array: pieces are found by walking a trie from
-all places of the batch's distinct words at once. Random numbers are hashes of the row's key, the round, the word and
+The descents of a batch of texts are made together, array by array, and so are the lattices of the words that are new in
+it: pieces are found by walking a trie from all their places at once. A process remembers the lattices of the words it has
+met, up to a bound, beyond which those met once are forgotten. Random numbers are hashes of the row's key, the round, the word and
 the step, hence independent of batches and partitions.
 
 Cases: null or empty texts have one path of no pieces; a text with fewer than k paths gets them all; rows of equal key
@@ -27,11 +28,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
-from itertools import chain, count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,15 @@ from lodeworks.llm.common import kept_in_process
 
 SAMPLES = 2
 #: Texts, and characters, whose descents are made together.
-ROWS, CHARS = 2048, 1_000_000
+ROWS, CHARS = 2048, 300_000
+#: Edges of words' lattices that a process remembers, about.
+EDGES = 3_000_000
+#: Shares of edges are counted in units of 2 ** -UNITS.
+UNITS = 46
+#: Weights and shares below this are added as logarithms.
+LEAST = 1e-250
+#: The table of a trie's steps has 2 ** SLOTS slots.
+SLOTS = 20
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -61,12 +70,37 @@ def _uniform(key: np.ndarray, *more) -> np.ndarray:
     return ((_mixed(key, *more) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
 
 
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).view(np.int64)
+
+
+def _longer(array: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """The first n values of an array and more after them, with room for others."""
+    if n + len(more) > len(array):
+        array = np.concatenate((array[:n], np.empty(max(len(more), n // 2), array.dtype)))
+    array[n : n + len(more)] = more
+    return array
+
+
 def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers first[i], first[i] + 1, ... of size[i] each, one after the other, and the i of each."""
     of = np.repeat(np.arange(len(size)), size)
     return np.arange(len(of)) - (np.cumsum(size) - size)[of] + first[of], of
 
 
+class _Numbers(dict):
+    """Words by number, in the order in which they are asked for, and those that are new."""
+
+    def __init__(self, words):
+        super().__init__(words)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = out = len(self)
+        self.new.append(word)
+        return out
+
+
 class Lattices:
     """The pieces of a model as a trie in flat arrays, with the log weight of each."""
 
@@ -86,6 +120,12 @@ class Lattices:
         # Characters without a piece that holds them are words of their own.
         held = "".join(sorted({c for p in self.vocabulary for c in p} - {"▁"}))
         self.words = re.compile("▁*[" + re.escape(held) + "]+|▁+|.", re.S)
+        # Where words don't end at ▁ and line ends alone.
+        self.odd = re.compile("[^▁" + re.escape(held) + ("" if "\n" in held else "\n") + "]")
+        self.line_end = "\n" if "\n" in held else " \n "
+        #: What each id stands for, in UTF-8.
+        spelt = [self.model.id_to_piece(i) for i in range(n)]
+        self.spelt = pa.array([bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else x.replace("▁", " ").encode("utf-8", "replace") for i, x in enumerate(spelt)], pa.binary())
         # Trie nodes are numbered from 1; a step is a node and a character.
         nodes, steps = {"": 0}, {}
         for piece in self.vocabulary:
@@ -104,73 +144,163 @@ class Lattices:
         self.root = np.zeros(0x110000, np.int32)
         first = self.step < 1 << 21
         self.root[self.step[first]] = self.to[first]
+        # One step of each slot is in a table; slots with several are searched.
+        slot = _slot(self.step)
+        self.table, self.crowded = np.zeros(1 << SLOTS, np.int32), np.bincount(slot, minlength=1 << SLOTS) > 1
+        self.table[slot] = np.arange(len(self.step))
+        self.seen, self.length, self.node = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.degree, self.edge = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        #: Where an edge leads within its word, its piece, the log of its share among its node's, and the shares before it.
+        self.target, self.of, self.log, self.low = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64)
+        self._restart([])
+
+    def _restart(self, words: list[str]) -> None:
+        """Remember these words only; their lattices are to be set."""
+        self.number = _Numbers(zip(words, range(len(words)), strict=True))
+        self.sizes = [0, 0, 0]
+
+    def _forget(self) -> None:
+        """Keep the words that were seen more than once; none if these are many."""
+        kept = np.flatnonzero(self.seen[: self.sizes[0]] > 1)
+        nodes, _ = _ranges(self.node[kept], self.length[kept])
+        edges, _ = _ranges(self.edge[nodes], self.degree[nodes])
+        if 2 * len(edges) > EDGES:
+            return self._restart([])
+        names = list(self.number)
+        length, degree, others = self.length[kept], self.degree[nodes], [x[edges] for x in (self.target, self.of, self.log, self.low)]
+        self._restart([names[i] for i in kept.tolist()])
+        self._put(length, degree, others)
+
+    def _put(self, length: np.ndarray, degree: np.ndarray, others: list[np.ndarray]) -> None:
+        w, n, e = self.sizes
+        self.seen = _longer(self.seen, w, np.zeros(len(length), np.int64))
+        self.length, self.node = _longer(self.length, w, length), _longer(self.node, w + 1, n + np.cumsum(length))
+        self.degree, self.edge = _longer(self.degree, n, degree), _longer(self.edge, n + 1, e + np.cumsum(degree))
+        self.target, self.of, self.log, self.low = (_longer(x, e, more) for x, more in zip((self.target, self.of, self.log, self.low), others, strict=True))
+        self.sizes = [w + len(length), n + len(degree), e + len(others[0])]
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of texts' words, and how many each text has. Lattices are made of words that aren't remembered.
+
+        Numbers hold until the next call.
+        """
+        if self.sizes[2] > EDGES:
+            self._forget()
+        found = None if any("▁▁" in t or " " in t for t in texts) else self._cut(texts)
+        if found is None:
+            words = [self.words.findall(t) for t in texts]
+            found = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64), np.array([len(own) for own in words], np.int64)
+        if self.number.new:
+            self._make(self.number.new)
+            self.number.new = []
+        self.seen[: self.sizes[0]] += np.bincount(found[0], minlength=self.sizes[0])
+        return found
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """numbers() of texts without runs of ▁, cut at ▁ and line ends; None if there are odd characters among them."""
+        cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(pa.array(texts, pa.string()), "▁", " ▁"), "\n", self.line_end), " ")
+        flat = cut.flatten().dictionary_encode()
+        words = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = list(map(self.number.get, words))
+        new = [i for i, x in enumerate(number) if x is None]
+        if self.odd.search("".join([words[i] for i in new])):
+            return None
+        for i in new:
+            number[i] = self.number[words[i]] if words[i] else -1
+        number = np.array(number, np.int64)[flat.indices.to_numpy()]
+        row = np.repeat(np.arange(len(texts)), pc.list_value_length(cut).to_numpy())
+        some = number >= 0
+        return number[some], np.bincount(row[some], minlength=len(texts))
+
+    def _make(self, words: list[str]) -> None:
+        length = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(length)
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        end, n = np.repeat(ends, length), len(chars)
+        source, to, piece, weight = self.edges(chars, end)
+        degree = np.bincount(source, minlength=n)
+        edge = np.cumsum(degree) - degree
+        # Log weights of what follows a node, for all nodes at one distance from the ends of their words at a time.
+        after = np.zeros(n + 1)
+        target = np.where(to == end[source], n, to)
+        left = end - np.arange(n)
+        nodes = np.argsort(left, kind="stable")
+        at, _ = _ranges(edge[nodes], degree[nodes])
+        cuts = np.searchsorted(left[nodes], np.arange(1, left.max(initial=0) + 2))
+        starts = np.concatenate(([0], np.cumsum(degree[nodes]))).astype(np.int64)
+        weights, targets = weight[at], target[at]
+        spans = [(lo, hi, starts[lo], starts[hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi > lo]
+        plain, total = np.exp(weights), np.ones(n + 1)
+        for lo, hi, e, f in spans:
+            total[nodes[lo:hi]] = np.add.reduceat(plain[e:f] * total[targets[e:f]], starts[lo:hi] - e)
+        if LEAST < total.min() and total.max() < 1 / LEAST:
+            after = np.log(total)
+        else:
+            # Long words, whose weights only logarithms hold.
+            for lo, hi, e, f in spans:
+                after[nodes[lo:hi]] = np.logaddexp.reduceat(weights[e:f] + after[targets[e:f]], starts[lo:hi] - e)
+        log = np.minimum(weight + after[target] - after[source], 0.0)
+        # Whole units, so that sums are exact whatever stands before.
+        share = (np.exp(log) * 2.0**UNITS).astype(np.int64)
+        before = np.cumsum(share) - share
+        self._put(length, degree, [to - (end - np.repeat(length, length))[source], piece, log, before - before[edge[source]]])
+
+    def _next(self, key: np.ndarray) -> np.ndarray:
+        """Where steps lead, 0 for those that there aren't."""
+        at = _slot(key)
+        i = self.table[at]
+        out = np.where(self.step[i] == key, self.to[i], 0)
+        shared = np.flatnonzero(self.crowded[at])
+        if len(shared):
+            i = np.minimum(np.searchsorted(self.step, key[shared]), len(self.step) - 1)
+            out[shared] = np.where(self.step[i] == key[shared], self.to[i], 0)
+        return out
 
     def edges(self, chars: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(from, to, piece, log weight) of the edges over words side by side; end: where the word of each place ends.
 
         A piece of -1 - c stands for the bytes of character c.
         """
-        alone = np.ones(len(chars), bool)
+        # How many edges each place has so far.
+        had = np.zeros(len(chars), np.int64)
         place, node, depth, out = np.arange(len(chars)), self.root[chars].astype(np.int64), 0, []
         while len(place):
             if depth:
-                key = node << 21 | chars[place + depth]
-                i = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
-                found, to = self.step[i] == key, self.to[i]
+                to = self._next(node << 21 | chars[place + depth])
+                found = to > 0
             else:
                 found, to = node > 0, node
             place, node, depth = place[found], to[found], depth + 1
             hit = self.piece[node] >= 0
-            out.append((place[hit], np.full(hit.sum(), depth), self.piece[node[hit]], self.weight[node[hit]]))
             if depth == 1:
-                alone[place[hit]] = False
+                odd = np.ones(len(chars), bool)
+                odd[place[hit]] = False
+            at = place[hit]
+            out.append((at, had[at], np.full(len(at), depth), self.piece[node[hit]], self.weight[node[hit]]))
+            had[at] += 1
             on = self.inner[node] & (place + depth < end[place])
             place, node = place[on], node[on]
-        odd = np.flatnonzero(alone)
+        odd = np.flatnonzero(odd) if len(chars) else place
         c = chars[odd]
         size = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF) - 2 * (c == 0x2581)
-        out.append((odd, np.ones(len(odd), np.int64), -1 - c, self.byte_weight * size))
-        source, length, piece, weight = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.argsort(source, kind="stable")
+        out.append((odd, had[odd], np.ones(len(odd), np.int64), -1 - c, self.byte_weight * size))
+        had[odd] += 1
+        source, nth, length, piece, weight = (np.concatenate(x) for x in zip(*out, strict=True))
+        to = (np.cumsum(had) - had)[source] + nth
+        order = np.empty(len(to), np.int64)
+        order[to] = np.arange(len(to))
         return source[order], source[order] + length[order], piece[order], weight[order]
 
 
 class _Batch:
-    """The lattices of some texts in flat arrays: words by number, their characters as nodes, and the nodes' edges."""
+    """Some texts as numbers of words, and the words' lattices in flat arrays: their characters as nodes, and the nodes' edges."""
 
     def __init__(self, lattices: Lattices, texts: list[str], keys: np.ndarray):
-        words = [lattices.words.findall(t) for t in texts]
-        number: dict[str, int] = defaultdict(count().__next__)
-        self.word = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64)
-        self.first = np.concatenate(([0], np.cumsum([len(own) for own in words]))).astype(np.int64)
+        self.word, sizes = lattices.numbers(texts)
+        self.first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         self.keys, self.bytes = keys, lattices.bytes
-        self.length = np.array([len(w) for w in number], np.int64)
-        self.node = np.concatenate(([0], np.cumsum(self.length))).astype(np.int64)
-        chars = np.frombuffer("".join(number).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        end = np.repeat(self.node[1:], self.length)
-        source, to, self.piece, weight = lattices.edges(chars, end)
-        n = len(chars)
-        self.degree = np.bincount(source, minlength=n)
-        self.edge = np.concatenate(([0], np.cumsum(self.degree))).astype(np.int64)
-        # Log weights of what follows a node, for all nodes at one distance from the ends of their words at a time.
-        after = np.zeros(n + 1)
-        target = np.where(to == end[source], n, to)
-        left = end - np.arange(n)
-        nodes = np.argsort(left, kind="stable")
-        at, _ = _ranges(self.edge[nodes], self.degree[nodes])
-        cuts = np.searchsorted(left[nodes], np.arange(1, left.max(initial=0) + 2))
-        starts = np.concatenate(([0], np.cumsum(self.degree[nodes]))).astype(np.int64)
-        weights, targets = weight[at], target[at]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi > lo:
-                e, f = starts[lo], starts[hi]
-                after[nodes[lo:hi]] = np.logaddexp.reduceat(weights[e:f] + after[targets[e:f]], starts[lo:hi] - e)
-        #: Where an edge leads within its word, the log of its share among its node's, and the shares before it.
-        self.to = to - np.repeat(self.node[:-1], self.length)[source]
-        self.log = np.minimum(weight + after[target] - after[source], 0.0)
-        share = np.exp(self.log)
-        before = np.cumsum(share) - share
-        self.low = np.maximum(before - before[self.edge[source]], 0.0)
+        self.length, self.node, self.degree, self.edge = lattices.length, lattices.node, lattices.degree, lattices.edge[: lattices.sizes[1] + 1]
+        self.piece, self.to, self.log, self.low = lattices.of, lattices.target, lattices.log, lattices.low
 
     def descend(self, row: np.ndarray, at: np.ndarray, place: np.ndarray, turn: int):
         """Plain samples from the given places on: for each of them in order (request, word, node, edge) of each step."""
@@ -179,6 +309,7 @@ class _Batch:
         pos = np.zeros(len(req), np.int64)
         heads = (np.cumsum(size) - size)[size > 0]
         pos[heads] = place[size > 0]
+        steps = np.zeros(len(req), np.int64)
         kind, key = self.word[word], _mixed(self.keys[row][req], turn, word - self.first[row][req])
         live, out, step = np.flatnonzero(pos < self.length[kind]), [], 0
         while len(live):
@@ -187,21 +318,43 @@ class _Batch:
             # From the last edge of a node, mostly the likeliest, down to the one that the number falls in.
             e = self.edge[node + 1] - 1
             more = np.flatnonzero(self.degree[node] > 1)
-            u = _uniform(key[live[more]], step)
+            u = (_mixed(key[live[more]], step) >> np.uint64(64 - UNITS)).view(np.int64)
             while len(more):
                 on = u < self.low[e[more]]
                 more, u = more[on], u[on]
                 e[more] -= 1
-            out.append((live, node, e))
+            out.append((live, step, node, e))
+            steps[live] += 1
             pos[live] = self.to[e]
             live = live[pos[live] < self.length[k]]
             step += 1
         if not out:
             return tuple(np.empty(0, np.int64) for _ in range(4))
-        slot, node, e = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.argsort(slot, kind="stable")
-        slot, node, e = slot[order], node[order], e[order]
-        return req[slot], word[slot], node, e
+        # One edge of each step that a word takes, in order.
+        first, total = np.cumsum(steps) - steps, int(steps.sum())
+        nodes, edges = np.empty(total, np.int64), np.empty(total, np.int64)
+        for live, step, node, e in out:
+            at = first[live] + step
+            nodes[at], edges[at] = node, e
+        return np.repeat(req, steps), np.repeat(word, steps), nodes, edges
+
+    def apart(self, node: np.ndarray, edge: np.ndarray, before: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Log probability of the paths that differ from descents in each of their words, which begin there."""
+        if not len(begin):
+            return np.empty(0)
+        many = self.degree[node] > 1
+        share = np.where(many, -np.expm1(self.log[edge]), 0.0)
+        head = before[begin]
+        out = np.add.reduceat(np.exp(before - np.repeat(head, np.diff(begin, append=len(node)))) * share, begin)
+        with np.errstate(divide="ignore"):
+            phi = head + np.log(out)
+        # Where next to nothing is left, logarithms are added up.
+        rare = np.flatnonzero((out < 1e-6) & np.logical_or.reduceat(many, begin))
+        if len(rare):
+            size = np.diff(begin, append=len(node))[rare]
+            at, _ = _ranges(begin[rare], size)
+            phi[rare] = np.logaddexp.reduceat(before[at] + self.others(node[at], edge[at]), np.cumsum(size) - size)
+        return phi
 
     def others(self, node: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """Log of the share of each node's edges but the given one."""
@@ -305,7 +458,7 @@ def sample(lattices: Lattices, texts: list[str], keys: list[int], k: int = SAMPL
         before = run[:-1] - run[ends[:-1]][req] + start[req]
         # One subtree for each word passed: log probability and bound.
         begin = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(req, prepend=-1) != 0))
-        phi = np.logaddexp.reduceat(before + b.others(node, edge), begin) if len(begin) else np.empty(0)
+        phi = b.apart(node, edge, before, begin)
         some = phi > -np.inf
         begin, stop, phi = begin[some], np.append(begin, len(word))[1:][some], phi[some]
         of, at = req[begin], word[begin]
@@ -327,7 +480,7 @@ def sample(lattices: Lattices, texts: list[str], keys: list[int], k: int = SAMPL
 def _sampled(path: str, k: int, alpha: float, seed: int, carry: list[str]):
     def run(batches):
         lattices = kept_in_process(f"lattices {path} {alpha}", lambda: Lattices(path, alpha))
-        model = lattices.model
+        model, width = lattices.model, pc.binary_length(lattices.spelt).to_numpy()
         for batch in batches:
             keys, texts = batch.column("key").to_pylist(), [model.normalize(t or "") for t in batch.column("text").to_pylist()]
             lo = 0
@@ -337,11 +490,16 @@ def _sampled(path: str, k: int, alpha: float, seed: int, carry: list[str]):
                     chars += len(texts[hi])
                     hi += 1
                 made = sample(lattices, texts[lo:hi], [xxhash.xxh64_intdigest(str(x), seed) for x in keys[lo:hi]], k)
-                flat = [(i, n, *s, model.decode(s[0].tolist()) == texts[i][lattices.prefix :].replace("▁", " ")) for i, own in enumerate(made, lo) for n, s in enumerate(own)]
+                flat = [(i, n, *s) for i, own in enumerate(made, lo) for n, s in enumerate(own)]
                 at = pa.array([f[0] for f in flat], pa.int64())
-                ids = [f[2] for f in flat]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32)))
+                ids = np.concatenate([*(f[2] for f in flat), np.empty(0, np.int32)]).astype(np.int32)
+                offsets = np.concatenate(([0], np.cumsum([len(f[2]) for f in flat]))).astype(np.int32)
+                # Decoded, all samples side by side.
+                ends = np.concatenate(([0], np.cumsum(width[ids])))[offsets].tolist()
+                said = lattices.spelt.take(pa.array(ids)).buffers()[2].to_pybytes() if len(ids) else b""
+                want = [t.replace("▁", " ").encode("utf-8", "replace") for t in texts[lo:hi]]
+                flat = [(*f, said[a:b] == want[f[0] - lo]) for f, a, b in zip(flat, ends[:-1], ends[1:], strict=True)]
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                 kinds = {1: pa.int32(), 3: pa.float64(), 4: pa.float64(), 5: pa.float64(), 6: pa.bool_()}
                 sampled, log_prob, perturbed, inclusion, same = (pa.array([f[j] for f in flat], t) for j, t in kinds.items())
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(at), sampled, ids, log_prob, perturbed, inclusion, same] + [batch.column(c).take(at) for c in carry], names=["key", "sample", "ids", "log_prob", "perturbed", "inclusion", "round_trip", *carry])

@@ -520,6 +520,25 @@ def test_inclusion_scores_weigh_samples_without_bias():
     assert len(paths) > 4 and np.mean(found) == pytest.approx(1, abs=5 * np.std(found) / math.sqrt(n))
 
 
+def test_lattices_of_words_are_made_once_and_remembering_changes_nothing(monkeypatch):
+    lattices, r = pieces.Lattices(MODEL), random.Random(8)
+    words = ["hello", "so", "naïve", "😀", "x" * 400, "a\nb", "\n", "it", "\u2581", "été", *map(str, range(40))]
+    texts = [lattices.model.normalize(" ".join(r.choices(words, k=30))) for _ in range(20)] + ["", "▁▁a b▁", "a▁▁\n\nb"]
+    for t in texts:
+        number, size = lattices.numbers([t])
+        names = list(lattices.number)
+        assert [names[i] for i in number.tolist()] == lattices.words.findall(t) and size.tolist() == [len(number)]
+    made, edges = [], lattices.edges
+    monkeypatch.setattr(lattices, "edges", lambda *x: made.append(x) or edges(*x))
+    want = pieces.sample(lattices, texts, list(range(len(texts))))
+    assert not made
+    monkeypatch.setattr(pieces, "EDGES", 200)
+    few = pieces.Lattices(MODEL)
+    found = [pieces.sample(few, [t], [i])[0] for i, t in enumerate(texts)]
+    assert [[s[0].tolist() for s in own] for own in found] == [[s[0].tolist() for s in own] for own in want]
+    assert [s[1:] for own in found for s in own] == [pytest.approx(s[1:]) for own in want for s in own]
+
+
 def test_few_paths_and_round_trip(spark):
     lattices = pieces.Lattices(MODEL)
     own = pieces.sample(lattices, ["", "", "▁a"], [1, 2, 3], 50)
